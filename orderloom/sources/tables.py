@@ -60,6 +60,16 @@ def lookups(spark: SparkSession, folder: str) -> Lookups:
     )
 
 
+def partial_lookups(spark: SparkSession, folder: str) -> Lookups:
+    """Lookups with gaps: no price from 990 on, no balance in debt, no stock of small parts."""
+    full = lookups(spark, folder)
+    return full._replace(
+        prices=full.prices.filter(F.col("price_cents") < 99_000),
+        balances=balances(table(spark, folder, "customer").filter(F.col("c_acctbal") >= 0)),
+        stock=full.stock.filter(F.col("on_hand") > 5),
+    )
+
+
 def prices(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select(
         _labelled("I", "p_partkey").alias("item_number"),

@@ -17,33 +17,40 @@ def dedup_requests(requests: DataFrame, time: str, delay: str) -> DataFrame:
 
 
 def pair_streams(
-    left: DataFrame, right: DataFrame, key: str, time: str, wait: str, how: str = "inner"
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    time: str | None = None,
+    wait: str | None = None,
+    how: str = "inner",
 ) -> DataFrame:
-    """``(key, left, right)`` of rows whose times are within ``wait`` of each other.
+    """``(key, left, right)`` of two streams with at most one row per key and side.
 
-    Each side needs the event-time column ``time``; the bound lets Spark drop old state. With
-    ``how='full_outer'`` rows that found no partner in time come out with the other side null.
+    Without ``time`` a row waits for its partner without end, and so does its state. With the
+    event-time column ``time`` a pair's rows must lie within ``wait`` of each other, and state
+    older than that is dropped; ``how='full_outer'`` then also gives the rows that found no
+    partner, with the other side null.
     """
 
     def side(rows: DataFrame, name: str) -> DataFrame:
+        if time is not None:
+            rows = rows.withWatermark(time, wait)
         fields = [c for c in rows.columns if c != key]
-        kept = rows.withWatermark(time, wait).select(
-            F.col(key).alias(f"{name}_key"),
-            F.col(time).alias(f"{name}_time"),
-            F.struct(*fields).alias(name),
+        columns = [F.col(key).alias(f"{name}_key"), F.struct(*fields).alias(name)]
+        if time is not None:
+            columns.append(F.col(time).alias(f"{name}_time"))
+        return rows.select(*columns)
+
+    matches = F.col("left_key") == F.col("right_key")
+    if time is not None:
+        bound = F.expr(f"INTERVAL {wait}")
+        matches = (
+            matches
+            & (F.col("left_time") >= F.col("right_time") - bound)
+            & (F.col("left_time") <= F.col("right_time") + bound)
         )
-        return kept
-
-    bound = F.expr(f"INTERVAL {wait}")
-    near = (
-        (F.col("left_key") == F.col("right_key"))
-        & (F.col("left_time") >= F.col("right_time") - bound)
-        & (F.col("left_time") <= F.col("right_time") + bound)
-    )
-    joined = side(left, "left").join(side(right, "right"), near, how)
-    return joined.select(
-        F.coalesce("left_key", "right_key").alias(key), "left", "right"
-    )
+    joined = side(left, "left").join(side(right, "right"), matches, how)
+    return joined.select(F.coalesce("left_key", "right_key").alias(key), "left", "right")
 
 
 def pair_in_arrival_order(

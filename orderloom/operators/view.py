@@ -15,8 +15,9 @@ SETTERS: dict[str, tuple[str, ...]] = {
     "unit_price": (PRICE,),
     "quantity": (CREATE, PRICE, RESERVE, PULL),
 }
-# Types that change an order and so need it to exist.
+# Types that change an order and so need it to exist; the others leave the view as it is.
 NEEDS_ORDER = (PRICE, RESERVE, PULL)
+CHANGES_ORDER = (CREATE, *NEEDS_ORDER)
 NO_CREATE = "changed before it was created"
 
 
@@ -25,8 +26,17 @@ def _last_set(source: str, setters: tuple[str, ...]) -> Column:
     return F.max_by(source, F.when(F.col("event_name").isin(*setters), F.col("sequence")))
 
 
-def view_aggregates() -> list[Column]:
-    """Aggregates of the fold; batch and streaming group the same way by ``do_key``."""
+def fold(events: DataFrame) -> DataFrame:
+    """One row of folded columns per order, for a table or a stream of events.
+
+    Types that change nothing are filtered out first, which on the stored table skips their
+    folders.
+    """
+    changes = events.filter(F.col("event_name").isin(*CHANGES_ORDER))
+    return changes.groupBy("do_key").agg(*_aggregates())
+
+
+def _aggregates() -> list[Column]:
     columns = [
         _last_set("amount" if name == "unit_price" else name, setters).alias(name)
         for name, setters in SETTERS.items()
@@ -60,7 +70,7 @@ def order_view(events: DataFrame) -> DataFrame:
     single grouped aggregation with map-side combining; one very long chain stays one row
     per map task.
     """
-    return view_rows(events.groupBy("do_key").agg(*view_aggregates()))
+    return view_rows(fold(events))
 
 
 def order_view_as_of(events: DataFrame, sequence: int) -> DataFrame:
@@ -70,8 +80,7 @@ def order_view_as_of(events: DataFrame, sequence: int) -> DataFrame:
 
 def view_rejects(events: DataFrame) -> DataFrame:
     """Keys with an event that changes an order before any Create event."""
-    folded = events.groupBy("do_key").agg(*view_aggregates())
-    return folded.filter(F.col("used_at").isNotNull() & ~_well_formed()).select(
+    return fold(events).filter(F.col("used_at").isNotNull() & ~_well_formed()).select(
         "do_key", F.lit("OrderView").alias("stage"), F.lit(NO_CREATE).alias("reason")
     )
 

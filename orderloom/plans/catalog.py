@@ -48,11 +48,6 @@ def _facts(spark: SparkSession, folder: str, **options) -> DataFrame:
     return lifecycle.order_facts(requests, tables.lookups(spark, folder), **options)
 
 
-def _partial_facts(spark: SparkSession, folder: str) -> DataFrame:
-    lookups = tables.partial_lookups(spark, folder)
-    return lifecycle.order_facts(tables.requests(spark, folder), lookups)
-
-
 def store_path(spark: SparkSession, folder: str) -> str:
     """Folder of the stored events of a data folder, written on first use."""
     key = (spark.sparkContext.applicationId, folder)
@@ -190,14 +185,20 @@ def shippable_orders(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def order_rejects(spark: SparkSession, folder: str) -> DataFrame:
-    rejects = lifecycle.all_rejects(_partial_facts(spark, folder))
-    return _ordered(rejects, "stage", "reason")
+    lookups = tables.partial_lookups(spark, folder)
+    facts = lifecycle.order_facts(tables.requests(spark, folder), lookups)
+    return _ordered(lifecycle.all_rejects(facts), "stage", "reason")
 
 
 def pending_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    facts = _partial_facts(spark, folder)
-    credit = stages.side_of(lifecycle.events_of_type(facts, CREDIT), CREDIT)
-    reserve = stages.side_of(lifecycle.events_of_type(facts, RESERVE), RESERVE)
+    lookups = tables.partial_lookups(spark, folder)
+    requests = tables.requests(spark, folder)
+
+    def side(name: str, **not_needed: None) -> DataFrame:
+        facts = lifecycle.order_facts(requests, lookups._replace(**not_needed))
+        return stages.side_of(lifecycle.events_of_type(facts, name), name)
+
+    credit, reserve = side(CREDIT, stock=None), side(RESERVE, balances=None)
     return pairing.missing_side(pairing.pending_pairs(credit, reserve))
 
 
@@ -340,7 +341,7 @@ def stream_order_events(spark: SparkSession, folder: str) -> DataFrame:
     tables.requests(spark, folder).write.parquet(arriving)
     store = OrderTables(root)
     requests = stream_requests(spark, arriving, files_per_batch=4)
-    lookups = tables.lookups(spark, folder)
+    lookups = tables.saved_lookups(tables.lookups(spark, folder), f"{root}/lookups")
     run_orders(requests, store, lambda: lookups, ALL_FILES_NOW).awaitTermination()
     stored = read_events(spark, store.events)
     return stored.select("do_key", "sequence", "event_name", _cents(), "approved", "description")

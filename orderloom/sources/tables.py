@@ -70,6 +70,16 @@ def partial_lookups(spark: SparkSession, folder: str) -> Lookups:
     )
 
 
+def saved_lookups(full: Lookups, path: str) -> Lookups:
+    """The lookups written once and read back, for a stream that joins them in every batch."""
+    read = {}
+    for name in ("prices", "balances", "stock"):
+        rows = getattr(full, name)
+        rows.write.parquet(f"{path}/{name}")
+        read[name] = rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/{name}")
+    return full._replace(**read)
+
+
 def prices(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select(
         _labelled("I", "p_partkey").alias("item_number"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from orderloom.operators.view import latest_per_key, view_aggregates, view_rows
+from orderloom.operators.view import fold, latest_per_key, view_rows
 from orderloom.schemas import ORDER_VIEW
 from orderloom.sinks.tables import write_batch
 
@@ -19,9 +19,8 @@ def maintain_view(
     The state is the view itself, one row per order; with many orders run it on the RocksDB
     state store (``spark.sql.streaming.stateStore.providerClass``).
     """
-    folded = events.groupBy("do_key").agg(*view_aggregates())
     return (
-        folded.writeStream.outputMode("update")
+        fold(events).writeStream.outputMode("update")
         .foreachBatch(lambda batch, batch_id: write_batch(view_rows(batch), path, batch_id))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "5 seconds"}))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orderloom.operators.view import latest_per_key
 from orderloom.schemas import EVENT_COLUMNS
@@ -28,9 +29,11 @@ def upsert(rows: DataFrame, path: str, batch_id: int) -> None:
     write_batch(rows, path, batch_id)
 
 
-def read_upserts(spark: SparkSession, path: str, schema, key: str) -> DataFrame:
-    rows = spark.read.schema(schema.add("batch_id", "bigint")).parquet(path)
-    return latest_per_key(rows, key, "batch_id").drop("batch_id")
+def read_upserts(spark: SparkSession, path: str, schema: T.StructType, key: str) -> DataFrame:
+    """Last written row of each key, in the given schema."""
+    with_batch = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+    rows = spark.read.schema(with_batch).parquet(path)
+    return latest_per_key(rows, key, "batch_id").select(*schema.fieldNames())
 
 
 def drop_batches_before(spark: SparkSession, path: str, batch_id: int) -> None:

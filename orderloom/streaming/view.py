@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from orderloom.operators.view import fold, latest_per_key, view_rows
+from orderloom.operators.view import fold, view_rows
 from orderloom.schemas import ORDER_VIEW
-from orderloom.sinks.tables import write_batch
+from orderloom.sinks.tables import read_upserts, upsert
 
 
 def maintain_view(
@@ -21,7 +20,7 @@ def maintain_view(
     """
     return (
         fold(events).writeStream.outputMode("update")
-        .foreachBatch(lambda batch, batch_id: write_batch(view_rows(batch), path, batch_id))
+        .foreachBatch(lambda batch, batch_id: upsert(view_rows(batch), path, batch_id))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "5 seconds"}))
         .start()
@@ -30,6 +29,4 @@ def maintain_view(
 
 def read_view(spark: SparkSession, path: str) -> DataFrame:
     """Current view: the last written row of each order."""
-    schema = T.StructType([*ORDER_VIEW.fields, T.StructField("batch_id", T.LongType())])
-    rows = spark.read.schema(schema).parquet(path)
-    return latest_per_key(rows, "order_number", "batch_id").select(*ORDER_VIEW.fieldNames())
+    return read_upserts(spark, path, ORDER_VIEW, "order_number")

@@ -1,0 +1,127 @@
+"""Event rows, the fold into the order view, and last value per key."""
+
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from orderloom.operators import events as ev
+from orderloom.operators import view
+from orderloom.schemas import (
+    CREATE,
+    CREDIT,
+    EVENT_TYPES,
+    PAYMENT,
+    PRICE,
+    PULL,
+    RESERVE,
+    SHIP,
+)
+from orderloom.sources.requests import literal_events
+
+CHAIN = [
+    {"event_name": CREATE, "account_number": "2", "item_number": "3", "location": "4", "quantity": 5},
+    {"event_name": PRICE, "item_number": "2", "location": "3", "quantity": 4, "amount": Decimal("5.67")},
+    {"event_name": CREDIT, "account_number": "2", "amount": Decimal("12.34"), "approved": True},
+    {"event_name": RESERVE, "account_number": "2", "item_number": "3", "location": "4", "quantity": 5},
+    {"event_name": PAYMENT, "account_number": "2", "amount": Decimal("11.22")},
+    {"event_name": PULL, "account_number": "2", "item_number": "3", "location": "4", "quantity": 5},
+    {"event_name": SHIP, "item_number": "2", "location": "3", "quantity": 4},
+]
+
+
+def chain(spark, rows=CHAIN, key="1"):
+    return literal_events(
+        spark, [{"do_key": key, "sequence": i, **row} for i, row in enumerate(rows, 1)]
+    )
+
+
+def view_of(events):
+    return [tuple(r) for r in view.order_view(events).collect()]
+
+
+def test_fold_of_all_types(spark):
+    assert view_of(chain(spark)) == [("1", "2", "2", "3", Decimal("5.67"), 5)]
+
+
+def test_as_of_sequence(spark):
+    events = chain(spark)
+    one = view.order_view_as_of(events, 1).first()
+    assert (one.item_number, one.unit_price, one.quantity) == ("3", None, 5)
+    two = view.order_view_as_of(events, 2).first()
+    assert (two.item_number, two.unit_price, two.quantity) == ("2", Decimal("5.67"), 4)
+
+
+def test_a_null_set_last_wins(spark):
+    rows = [CHAIN[0], {**CHAIN[1], "item_number": None, "quantity": None}]
+    assert view_of(chain(spark, rows)) == [("1", "2", None, "3", Decimal("5.67"), None)]
+
+
+def test_second_create_keeps_the_price(spark):
+    rows = [CHAIN[0], CHAIN[1], {**CHAIN[0], "quantity": 9}]
+    assert view_of(chain(spark, rows)) == [("1", "2", "3", "4", Decimal("5.67"), 9)]
+
+
+@pytest.mark.parametrize("first", [CHAIN[1], CHAIN[3], CHAIN[5]])
+def test_change_before_create_is_rejected(spark, first):
+    for rows in ([first], [first, CHAIN[0]]):
+        events = chain(spark, rows)
+        assert view_of(events) == []
+        assert view.view_rejects(events).first().reason == view.NO_CREATE
+
+
+def test_event_without_effect_needs_no_order(spark):
+    events = chain(spark, [CHAIN[2], CHAIN[4], CHAIN[6]])
+    assert view_of(events) == []
+    assert view.view_rejects(events).count() == 0
+
+
+def test_one_very_long_chain(spark):
+    """One order with most of all events still gives one right row."""
+    long = spark.range(20000).select(
+        F.lit("hot").alias("do_key"),
+        (F.col("id") + 1).alias("sequence"),
+        F.when(F.col("id") == 0, CREATE).otherwise(RESERVE).alias("event_name"),
+        F.lit("a").alias("account_number"),
+        F.lit("i").alias("item_number"),
+        F.lit("l").alias("location"),
+        F.col("id").cast("int").alias("quantity"),
+        F.lit(None).cast("decimal(21,2)").alias("amount"),
+    )
+    assert view_of(long) == [("hot", "a", "i", "l", None, 19999)]
+
+
+def test_round_trip_and_mismatch(spark):
+    clean = {r.event_name: (r.n_in, r.n_mismatch) for r in ev.round_trip_mismatches(chain(spark)).collect()}
+    assert clean == {name: (1, 0) for name in EVENT_TYPES}
+    # A Ship event has no account, so one that carries it does not survive typed encoding.
+    odd = chain(spark, [*CHAIN[:6], {**CHAIN[6], "account_number": "x"}])
+    found = {r.event_name: r.n_mismatch for r in ev.round_trip_mismatches(odd).collect()}
+    assert found == {name: int(name == SHIP) for name in EVENT_TYPES}
+
+
+def test_feed_subscription_and_unknown(spark):
+    events = chain(spark, [*CHAIN, {"event_name": "Other"}, {}])
+    assert ev.event_feed(events, CREDIT).count() == 1
+    assert ev.subscribe_order_created(events).columns == [
+        "order_number", "account_number", "item_number", "location", "quantity",
+    ]
+    assert ev.subscribe_order_created(events, from_offset=1).count() == 1
+    assert ev.subscribe_order_created(events, from_offset=2).count() == 0
+    assert sorted(r.sequence for r in ev.unknown_events(events).collect()) == [8, 9]
+
+
+def test_hydrated_columns(spark):
+    for name, event_type in EVENT_TYPES.items():
+        typed = ev.hydrate(chain(spark), name)
+        assert typed.columns == ["do_key", "sequence", *event_type.fields]
+        assert typed.count() == 1
+
+
+def test_latest_per_key(spark):
+    rows = spark.createDataFrame(
+        [("a", 1, 1, "x"), ("a", 2, 1, "y"), ("a", 2, 2, None), ("b", 1, 1, "z")],
+        "k string, t int, n int, v string",
+    )
+    last = view.latest_per_key(rows, "k", "t", "n")
+    assert sorted(tuple(r) for r in last.select("k", "v").collect()) == [("a", None), ("b", "z")]

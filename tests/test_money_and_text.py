@@ -1,0 +1,85 @@
+"""Money rules and text forms."""
+
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from orderloom.functions import ids, money, text
+from orderloom.schemas import CREATE, CREDIT, PRICE
+
+
+@pytest.mark.parametrize(
+    "cents, quantity, balance, approved, amount_cents",
+    [
+        (1299, 1, 12, True, 1299),  # the cents do not count
+        (1299, 1, 11, False, 1299),
+        (567, 10, 56, True, 5670),
+        (0, 5, 0, True, 0),
+        (2_000_000_000, 50, 10**9, True, 100_000_000_000),  # more cents than 32 bits hold
+    ],
+)
+def test_credit_rule(spark, cents, quantity, balance, approved, amount_cents):
+    row = spark.createDataFrame(
+        [(cents, quantity, balance)], "cents bigint, quantity int, balance bigint"
+    )
+    price = money.cents_to_price(F.col("cents"))
+    amount = money.extended_amount(price, F.col("quantity"))
+    total = F.col("cents") * F.col("quantity")
+    out = row.select(
+        money.covers(F.col("balance"), amount).alias("by_amount"),
+        money.covers_cents(F.col("balance"), total).alias("by_cents"),
+        money.to_cents(amount).alias("cents"),
+        money.cents_to_amount(total).alias("amount"),
+        amount.alias("extended"),
+    ).first()
+    assert (out.by_amount, out.by_cents, out.cents) == (approved, approved, amount_cents)
+    assert out.amount == out.extended == Decimal(amount_cents) / 100
+
+
+def test_truncation_is_toward_zero(spark):
+    out = spark.range(1).select(
+        money.whole_units(F.lit(Decimal("-12.99"))).alias("below"),
+        money.whole_units(F.lit(Decimal("12.99"))).alias("above"),
+        text.epoch_seconds(F.lit(1_700_000_000_999)).alias("seconds"),
+    )
+    assert tuple(out.first()) == (-12, 12, 1_700_000_000)
+
+
+def test_lines_print_missing_values_as_null(spark):
+    rows = spark.createDataFrame(
+        [
+            (CREATE, "o1", "i", None, "a", 3, None),
+            (PRICE, "o1", "i", "l", None, 3, Decimal("5.60")),
+            (CREDIT, "o1", None, None, "a", None, Decimal("1.00")),
+        ],
+        "event_name string, do_key string, item_number string, location string, "
+        "account_number string, quantity int, amount decimal(21,2)",
+    )
+    lines = [r.line for r in rows.select(text.event_line(F.col("event_name")).alias("line")).collect()]
+    assert lines == [
+        "CreateOrderEvent for order o1 I:i L:null A:a Q:3",
+        "PriceLookupEvent for order o1 extended price 5.60",
+        None,
+    ]
+
+
+def test_order_and_metric_lines(spark):
+    order = spark.createDataFrame(
+        [("1", "2", "3", "8", 4)],
+        "order_number string, item_number string, account_number string, location string, quantity int",
+    )
+    assert order.select(text.order_line()).first()[0] == "Order 1 I:2 L:8 A:3 Q:4"
+    line = text.metric_line(
+        text.metric_name(F.lit("IN")), F.lit(7).cast("string"), F.lit(1_700_000_000_999)
+    )
+    assert spark.range(1).select(line).first()[0] == "order.create.IN 7 1700000000 \n"
+
+
+def test_identifiers_are_stable(spark):
+    row = spark.createDataFrame([("r1",)], "id string")
+    pick = row.select(
+        ids.order_number(F.col("id")), ids.correlation_id(F.col("id"), F.lit(CREATE))
+    )
+    assert pick.first() == pick.first()
+    assert pick.first()[0] == "r1"

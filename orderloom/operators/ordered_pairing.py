@@ -44,8 +44,7 @@ def settle(
     and the other side's value is null. ``order_by`` must order the rows of a key totally.
     Rows without key or side are left out.
     """
-    spark = events.sparkSession
-    checkpoint_dir(spark)
+    checkpoint_dir(events.sparkSession)
     order = {f"order_{i}": column for i, column in enumerate(order_by)}
     rows = events.select(
         key.alias("key"),
@@ -53,11 +52,11 @@ def settle(
         value.alias("value"),
         *[column.alias(name) for name, column in order.items()],
     ).filter(F.col("key").isNotNull() & F.col("is_left").isNotNull())
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # The two passes must see the same partitions, so they read one checkpointed copy: range
-    # bounds come from sampling and would differ if the exchange were computed twice.
+    # bounds come from sampling and would differ if the exchange were computed twice. Adaptive
+    # execution may merge neighbouring small partitions, which keeps the order.
     staged = (
-        rows.repartitionByRange(partitions, "key", *order)
+        rows.repartitionByRange("key", *order)
         .sortWithinPartitions("key", *order)
         .select(F.spark_partition_id().alias("chunk"), "key", "is_left", "value")
         .checkpoint()

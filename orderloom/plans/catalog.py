@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderloom.functions.money import to_cents
+from orderloom.functions.text import order_line
 from orderloom.operators import counters, events, ordered_pairing, pairing, stages, view
 from orderloom.plans import lifecycle
 from orderloom.schemas import (
@@ -120,6 +121,34 @@ def reserve_inventory_events(spark: SparkSession, folder: str) -> DataFrame:
     return _ordered(reserve, *EVENT_TYPES[RESERVE].fields)
 
 
+# What each step asks the services for
+
+
+def price_requests(spark: SparkSession, folder: str) -> DataFrame:
+    created = events.create_order_events(tables.requests(spark, folder))
+    return _ordered(stages.price_requests(created), "item_number")
+
+
+def _enriched(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored PriceLookup events with the view folded from the same store."""
+    priced = read_feed(spark, store_path(spark, folder), PRICE)
+    return stages.enrich(priced, view.order_view(_stored(spark, folder))).events
+
+
+def balance_requests(spark: SparkSession, folder: str) -> DataFrame:
+    return _ordered(stages.balance_requests(_enriched(spark, folder)), "account_number")
+
+
+def reserve_requests(spark: SparkSession, folder: str) -> DataFrame:
+    asked = stages.reserve_requests(_enriched(spark, folder))
+    return _ordered(asked, "item_number", "location", "quantity")
+
+
+def pull_requests(spark: SparkSession, folder: str) -> DataFrame:
+    asked = stages.pull_requests(_credit_reserve(spark, folder))
+    return _ordered(asked, "item_number", "location", "quantity")
+
+
 def _side(spark: SparkSession, folder: str, name: str) -> DataFrame:
     stored = read_feed(spark, store_path(spark, folder), name)
     return stages.side_of(stored, name)
@@ -234,6 +263,17 @@ def order_view_direct(spark: SparkSession, folder: str) -> DataFrame:
     return _view_columns(lifecycle.current_view(facts))
 
 
+def view_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """A log replayed from the second event on: no order in it was ever created."""
+    later = _stored(spark, folder).filter(F.col("sequence") >= 2)
+    return _ordered(view.view_rejects(later), "stage", "reason")
+
+
+def order_descriptions(spark: SparkSession, folder: str) -> DataFrame:
+    current = view.order_view(_stored(spark, folder))
+    return current.select("order_number", order_line().alias("line"))
+
+
 def event_feed_by_type(spark: SparkSession, folder: str) -> DataFrame:
     feed = events.event_feed(_stored(spark, folder), CREDIT)
     return feed.select("do_key", "sequence", "account_number", _cents(), "approved")
@@ -400,7 +440,11 @@ QUERIES: dict[str, Query] = {
         credit_check_events,
         reserve_inventory_events,
         combo_credit_reserve,
+        price_requests,
+        balance_requests,
+        reserve_requests,
         payment_requests,
+        pull_requests,
         payment_events,
         pull_inventory_events,
         combo_payment_pull,
@@ -411,6 +455,8 @@ QUERIES: dict[str, Query] = {
         order_view,
         order_view_as_of,
         order_view_direct,
+        view_rejects,
+        order_descriptions,
         event_feed_by_type,
         subscribe_order_created,
         event_descriptions,

@@ -176,6 +176,15 @@ FROM reserve""",
 SELECT do_key AS order_number, amount_cents, approved, r.account_number, item_number, location,
        quantity, description
 FROM credit c JOIN reserve r USING (do_key)""",
+    "price_requests": f"""WITH {_ORDER}
+SELECT request_id AS order_number, item_number FROM requests""",
+    "balance_requests": f"""WITH {_ORDER}
+SELECT do_key AS order_number, account_number FROM priced""",
+    "reserve_requests": f"""WITH {_ORDER}
+SELECT do_key AS order_number, item_number, location, quantity FROM priced""",
+    "pull_requests": f"""WITH {_ORDER}
+SELECT do_key AS order_number, r.item_number, r.location, r.quantity
+FROM credit JOIN reserve r USING (do_key)""",
     "payment_requests": f"WITH {_ORDER} SELECT account_number, amount_cents FROM payment",
     "payment_events": f"""WITH {_ORDER}
 SELECT do_key AS order_number, account_number, amount_cents FROM payment""",
@@ -207,6 +216,14 @@ WHERE c.do_key IS NULL OR r.do_key IS NULL""",
     "order_view": _view("true"),
     "order_view_as_of": _view("sequence <= 1"),
     "order_view_direct": _view("true"),
+    "view_rejects": f"""WITH {_LOG}
+SELECT DISTINCT do_key AS order_number, 'OrderView' AS stage,
+       'changed before it was created' AS reason
+FROM log WHERE sequence IN (2, 4, 6)""",
+    "order_descriptions": f"""WITH {_ORDER}
+SELECT request_id AS order_number, 'Order ' || request_id || ' I:' || item_number || ' L:'
+       || location || ' A:' || account_number || ' Q:' || quantity AS line
+FROM requests""",
     "event_feed_by_type": f"""WITH {_LOG}
 SELECT do_key, sequence, account_number, amount_cents, approved FROM log WHERE sequence = 3""",
     "subscribe_order_created": f"""WITH {_LOG}

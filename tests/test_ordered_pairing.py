@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from orderloom.operators.ordered_pairing import settle
 
 
+@pytest.fixture(autouse=True)
+def small_partitions(spark):
+    """Keeps all shuffle partitions, so that the rows really are spread."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def fold(rows):
     """Brute force: one pass over rows in order, one open row per key."""
     opened, pairs = {}, []
@@ -84,3 +92,9 @@ def test_struct_values(spark):
     out = settle(df, F.col("k"), [F.col("seq")], F.col("is_left"), F.struct("seq", "k"))
     found = {(r.key, r.left and r.left.seq, r.right and r.right.seq) for r in out.collect()}
     assert found == {("a", 1, 2), ("b", None, 3)}
+
+
+def test_merged_partitions(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    rows = [("a" if i % 3 else "b", i, i % 2 == 0) for i in range(500)]
+    assert run(spark, rows) == fold(rows)

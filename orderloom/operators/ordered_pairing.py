@@ -17,17 +17,22 @@ batch, so memory does not depend on the length of a key.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderloom.session import checkpoint_dir
 
+# The functions below travel to the executors whole, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 STARTS = (None, True, False)  # open row before a partition: none, left, right
 
 

@@ -1,8 +1,12 @@
 """The per-partition steps of ordered pairing under any way of cutting the rows."""
 
+import subprocess
+import sys
+
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import cloudpickle
 
 from orderloom.operators import ordered_pairing as op
 from test_ordered_pairing import fold
@@ -58,3 +62,14 @@ def test_any_cut_gives_the_same(drawn, cuts, batch_size):
     rows = sorted((key, seq, left) for seq, (key, left) in enumerate(drawn))
     chunks = sorted([0, len(rows), *[c for c in cuts if c <= len(rows)]])
     assert through_partitions(rows, chunks, batch_size) == fold(rows)
+
+
+def test_functions_load_without_the_package(tmp_path):
+    """Executors need not have the package on their path."""
+    pickled = tmp_path / "functions"
+    pickled.write_bytes(cloudpickle.dumps((op._report, op._link, op._pair)))
+    load = f"import pickle; print(len(pickle.load(open({str(pickled)!r}, 'rb'))))"
+    ran = subprocess.run(
+        [sys.executable, "-c", load], cwd=tmp_path, env={}, capture_output=True, text=True, timeout=60
+    )
+    assert ran.stdout.strip() == "3", ran.stderr

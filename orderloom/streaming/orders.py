@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from orderloom.operators.counters import counter_row, metric_lines
-from orderloom.operators.events import event_feed
+from orderloom.operators.counters import STAGE_METRICS, counter_row, metric_lines
+from orderloom.operators.events import create_order_responses, event_feed
 from orderloom.plans.lifecycle import Lookups, all_events, all_rejects, order_facts
 from orderloom.schemas import CREATE
 from orderloom.sinks.tables import append_events, write_batch, write_lines
@@ -32,6 +32,14 @@ class OrderTables:
     def rejects(self) -> str:
         return f"{self.root}/rejects"
 
+    @property
+    def responses(self) -> str:
+        return f"{self.root}/responses"
+
+    @property
+    def job_metrics(self) -> str:
+        return f"{self.root}/job_metrics"
+
     @property
     def counters(self) -> str:
         return f"{self.root}/api_counters"
@@ -65,7 +73,10 @@ def process_batch(
     lookups: Lookups,
     require_success: bool = False,
 ) -> None:
-    """Runs all steps on one batch of requests and replaces that batch in every table."""
+    """Runs all steps on one batch of requests and replaces that batch in every table.
+
+    The counts of events come out of the write that stores them, so they cost no extra job.
+    """
     spark = requests.sparkSession
     started = time.time()
     if batch_id > 0:
@@ -73,14 +84,25 @@ def process_batch(
     else:
         requests = requests.dropDuplicates(["request_id"])
     facts = order_facts(requests, lookups, require_success).persist()
+    observed = Observation()
+    counts = [
+        F.count_if(F.col("event_name") == event).alias(metric)
+        for metric, event in STAGE_METRICS.items()
+    ]
     try:
-        observed = Observation()
-        created = F.count_if(F.col("event_name") == CREATE).alias("created")
-        append_events(all_events(facts).observe(observed, created), tables.events, batch_id)
+        append_events(all_events(facts).observe(observed, *counts), tables.events, batch_id)
         write_batch(all_rejects(facts), tables.rejects, batch_id)
+        write_batch(create_order_responses(facts), tables.responses, batch_id)
     finally:
         facts.unpersist()
-    orders = observed.get.get("created", 0)
+    metrics = {metric: observed.get.get(metric, 0) for metric in STAGE_METRICS}
+    write_batch(
+        spark.createDataFrame(list(metrics.items()), "metric string, n bigint"),
+        tables.job_metrics,
+        batch_id,
+    )
+    # All requests of a batch arrive and complete with it, so each takes the batch's time.
+    orders = metrics["COP.completions"]
     elapsed = int((time.time() - started) * 1000)
     row = [(orders, orders, orders * elapsed)]
     totals = spark.createDataFrame(row, "IN bigint, OK bigint, ELAPSED bigint")

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orderloom.operators.counters import stage_metrics
+from orderloom.operators.events import create_order_responses
 from orderloom.plans.lifecycle import all_events, current_view, order_facts
 from orderloom.schemas import CREATE, CREDIT, EVENT_COLUMNS, RESERVE
 from orderloom.sinks.tables import append_events, write_batch
@@ -52,6 +54,10 @@ def test_stream_equals_batch_and_drops_repeats(spark, requests, lookups, tmp_pat
     assert stored.select("batch_id").distinct().count() == 2
     counted = orders.counters(spark, store).first()
     assert (counted.IN, counted.OK, counted.FAIL, counted.COMPLETE) == (400, 400, 0, 400)
+    responses = spark.read.parquet(store.responses)
+    assert rows(responses, "request_id", "order_number") == rows(create_order_responses(requests))
+    metrics = spark.read.parquet(store.job_metrics).groupBy("metric").agg(F.sum("n").alias("n"))
+    assert rows(metrics, "metric", "n") == rows(stage_metrics(stored), "metric", "n")
     lines = [r.value for r in spark.read.text(store.metrics).collect()]
     assert any(line.startswith("order.create.IN 400 ") for line in lines)
 

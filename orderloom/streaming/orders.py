@@ -53,17 +53,25 @@ class OrderTables:
         return f"{self.root}/checkpoints/orders"
 
 
+def one_per_id(requests: DataFrame) -> DataFrame:
+    """Each request id once. Of deliveries that differ the smallest is kept, so that a task or
+    a batch that runs again keeps the same one."""
+    fields = [c for c in requests.columns if c != "request_id"]
+    kept = requests.groupBy("request_id").agg(F.min(F.struct(*fields)).alias("kept"))
+    return kept.select("request_id", "kept.*")
+
+
 def drop_known(requests: DataFrame, stored: DataFrame, batch_id: int) -> DataFrame:
     """Requests with an id that no earlier batch has stored, each id once.
 
     Of the stored table only the order numbers of Create events are read. A semi join first
-    cuts them down to the ids of this batch, which are few enough to broadcast, so the history
-    is scanned but not shuffled.
+    cuts them down to the ids of this batch; while those are under the broadcast threshold the
+    history is scanned but not shuffled.
     """
     known = event_feed(stored, CREATE).filter(F.col("batch_id") < batch_id)
     known = known.select(F.col("do_key").alias("request_id"))
     again = known.join(requests.select("request_id"), "request_id", "left_semi")
-    return requests.dropDuplicates(["request_id"]).join(again, "request_id", "left_anti")
+    return one_per_id(requests.join(again, "request_id", "left_anti"))
 
 
 def process_batch(
@@ -82,7 +90,7 @@ def process_batch(
     if batch_id > 0:
         requests = drop_known(requests, read_events(spark, tables.events), batch_id)
     else:
-        requests = requests.dropDuplicates(["request_id"])
+        requests = one_per_id(requests)
     facts = order_facts(requests, lookups, require_success).persist()
     observed = Observation()
     counts = [

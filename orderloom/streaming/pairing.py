@@ -67,8 +67,9 @@ def pair_in_arrival_order(
 
     Batch ``n`` writes its pairs to ``path/pairs`` and what is then open to ``path/open``, both
     in the folder of ``n``. An open row is the first row its key has in the next batch, so each
-    batch is the batch operator over the last open rows and the new ones: a hot key is split
-    over partitions here too, and a retried batch starts from the same open rows.
+    batch is the batch operator over the new rows and the open rows of their keys: a hot key is
+    split over partitions here too, and a retried batch starts from the same open rows. Open
+    rows of other keys are copied to the new folder without being sorted again.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
@@ -77,14 +78,20 @@ def pair_in_arrival_order(
             key.alias("key"), is_left.alias("is_left"), value.alias("value"),
             F.struct(*order).alias("order"),
         )
+        untouched = None
         if batch_id > 0:
-            rows = _earlier(batch.sparkSession, rows, f"{path}/open/batch_id={batch_id - 1}")
+            opened = _opened(batch.sparkSession, rows, f"{path}/open/batch_id={batch_id - 1}")
+            keys = rows.select("key").distinct()
+            untouched = opened.join(keys, "key", "left_anti").drop("order")
+            rows = rows.unionByName(opened.join(keys, "key", "left_semi"))
         settled = settle(
             rows, F.col("key"), [F.col("order")], F.col("is_left"), F.col("value")
         ).persist()
         try:
             write_batch(paired(settled), f"{path}/pairs", batch_id)
-            write_batch(_open_rows(settled), f"{path}/open", batch_id)
+            still = _open_rows(settled)
+            still = still if untouched is None else still.unionByName(untouched)
+            write_batch(still, f"{path}/open", batch_id)
         finally:
             settled.unpersist()
 
@@ -102,18 +109,21 @@ def _open_rows(settled: DataFrame) -> DataFrame:
     return rows.select("key", F.col("open_left").alias("is_left"), value.alias("value"))
 
 
-def _earlier(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
-    """New rows after the rows open before them."""
-    value, order = rows.schema["value"].dataType, rows.schema["order"].dataType
-    key = rows.schema["key"].dataType
-    fields = [("key", key), ("is_left", T.BooleanType()), ("value", value)]
-    schema = T.StructType([T.StructField(name, kind) for name, kind in fields])
+def _opened(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
+    """Rows left open before, shaped like ``rows`` and ordered ahead of them."""
+    order = rows.schema["order"].dataType
+    schema = T.StructType(
+        [
+            T.StructField("key", rows.schema["key"].dataType),
+            T.StructField("is_left", T.BooleanType()),
+            T.StructField("value", rows.schema["value"].dataType),
+        ]
+    )
     before = [
         (F.lit(0) if f.name == "later" else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in order
     ]
-    carried = spark.read.schema(schema).parquet(path)
-    return carried.withColumn("order", F.struct(*before)).unionByName(rows)
+    return spark.read.schema(schema).parquet(path).withColumn("order", F.struct(*before))
 
 
 def read_pairs(spark: SparkSession, path: str, key, value) -> DataFrame:

@@ -12,6 +12,8 @@ from orderloom.plans import catalog
 from orderloom.plans.lifecycle import all_events, lifecycle_summary, order_facts
 from orderloom.sources import tables
 from orderloom.sources.event_store import read_events
+from orderloom.sources.requests import read_requests
+from orderloom.streaming.orders import drop_known
 
 
 def plan_of(df):
@@ -77,6 +79,19 @@ def test_filters_reach_the_scan(spark, small):
     assert "PushedFilters: [Or(IsNull(event_type)" in plan_of(unknown)
 
 
+def test_repeats_are_found_without_shuffling_the_history(spark, small, tmp_path):
+    arrived = str(tmp_path / "requests")
+    tables.requests(spark, small).write.parquet(arrived)
+    stored = read_events(spark, catalog.store_path(spark, small))
+    fresh = drop_known(read_requests(spark, arrived), stored, 1)
+    plan = plan_of(fresh)
+    assert "LeftSemi, BuildRight" in plan and "LeftAnti" in plan
+    scan = next(line for line in plan.splitlines() if "FileScan" in line and "do_key" in line)
+    assert re.search(r"FileScan parquet \[do_key#\d+,batch_id#\d+L,event_name#\d+\]", scan)
+    assert plan.count("Exchange hashpartitioning") == 1  # the batch's own ids
+    assert fresh.count() == 0
+
+
 class _Context:
     """Stand-in for the context of a session that is not local."""
 

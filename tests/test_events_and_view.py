@@ -1,5 +1,6 @@
 """Event rows, the fold into the order view, and last value per key."""
 
+import random
 from decimal import Decimal
 
 import pytest
@@ -76,6 +77,52 @@ def test_event_without_effect_needs_no_order(spark):
     assert view.view_rejects(events).count() == 0
 
 
+def applied(events):
+    """Brute force: the orders after applying events one by one, and the keys that failed."""
+    orders, failed = {}, set()
+    sets = {
+        CREATE: ("account_number", "item_number", "location", "quantity"),
+        PRICE: ("item_number", "location", "quantity", "amount"),
+        RESERVE: ("quantity",),
+        PULL: ("quantity",),
+    }
+    for e in sorted(events, key=lambda e: (e["do_key"], e["sequence"])):
+        key, name = e["do_key"], e["event_name"]
+        if name == CREATE:
+            orders.setdefault(key, {})
+        elif name in sets and key not in orders:
+            failed.add(key)
+        if name in sets and key in orders:
+            orders[key].update({c: e.get(c) for c in sets[name]})
+    columns = ("account_number", "item_number", "location", "amount", "quantity")
+    return {(k, *[o.get(c) for c in columns]) for k, o in orders.items() if k not in failed}, failed
+
+
+def test_fold_of_random_logs(spark):
+    rng = random.Random(3)
+    log = []
+    for order in range(300):
+        names = rng.choices(list(EVENT_TYPES), k=rng.randrange(1, 9))
+        if rng.random() < 0.7:
+            names.insert(0, CREATE)
+        for sequence, name in enumerate(names):
+            row = {"do_key": f"o{order}", "sequence": sequence, "event_name": name}
+            for field in EVENT_TYPES[name].fields:
+                row[field] = {
+                    "quantity": rng.randrange(9),
+                    "amount": Decimal(rng.randrange(999)).scaleb(-2).quantize(Decimal("0.01")),
+                    "approved": True,
+                }.get(field, f"{field}{rng.randrange(5)}")
+                if rng.random() < 0.2:
+                    row[field] = None
+            log.append(row)
+    events = literal_events(spark, log).repartition(5)
+    orders, failed = applied(log)
+    assert {*view_of(events)} == orders
+    assert {r.do_key for r in view.view_rejects(events).collect()} == failed
+    assert len(failed) > 10
+
+
 def test_one_very_long_chain(spark):
     """One order with most of all events still gives one right row."""
     long = spark.range(20000).select(

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from orderloom.operators.counters import stage_metrics
 from orderloom.operators.events import create_order_responses
 from orderloom.plans.lifecycle import all_events, current_view, order_facts
-from orderloom.schemas import CREATE, CREDIT, EVENT_COLUMNS, RESERVE
+from orderloom.schemas import CREATE, CREDIT, EVENT_COLUMNS, REQUEST, RESERVE
 from orderloom.sinks.tables import append_events, write_batch
 from orderloom.sources import tables
 from orderloom.sources.event_store import read_events, replay_events, replay_feed
@@ -73,6 +73,32 @@ def test_retried_batch_changes_nothing(spark, requests, lookups, tmp_path):
     assert rows(read_events(spark, store.events), *EVENT_COLUMNS, "batch_id") == once
 
 
+def test_restart_after_a_failed_batch(spark, requests, lookups, tmp_path, monkeypatch):
+    """A batch that fails after its events are stored is run again without trace."""
+    arriving, store = str(tmp_path / "in"), orders.OrderTables(str(tmp_path / "out"))
+    requests.limit(60).write.parquet(arriving)
+
+    def broken(*_):
+        raise RuntimeError("lost the rejects")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(orders, "write_batch", broken)
+        with pytest.raises(Exception, match="lost the rejects"):
+            run(spark, arriving, store, lookups)
+    run(spark, arriving, store, lookups)
+    stored = read_events(spark, store.events)
+    facts = order_facts(requests.limit(60), lookups)
+    assert rows(stored, *EVENT_COLUMNS) == rows(all_events(facts), *EVENT_COLUMNS)
+    assert orders.counters(spark, store).first().IN == 60
+
+
+def test_deliveries_that_differ(spark):
+    rows_in = [("r1", "b", "i", "l", 2), ("r1", "a", "i", "l", 9), ("r2", None, "i", "l", 1)]
+    for order in (rows_in, rows_in[::-1]):
+        kept = orders.one_per_id(spark.createDataFrame(order, REQUEST).repartition(3))
+        assert rows(kept) == [("r1", "a", "i", "l", 9), ("r2", None, "i", "l", 1)]
+
+
 def test_batch_without_requests(spark, requests, lookups, tmp_path):
     store = orders.OrderTables(str(tmp_path))
     orders.process_batch(requests.limit(0), 0, store, lookups)

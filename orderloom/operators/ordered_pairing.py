@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,18 +37,36 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 STARTS = (None, True, False)  # open row before a partition: none, left, right
 
 
+@dataclass(frozen=True)
+class Settled:
+    """Result of ``settle`` as rows of ``(key, left, right, open_left)``.
+
+    ``open_left`` is null for a pair. For a row still open at the end it tells the row's side,
+    and the other side's value is null.
+    """
+
+    inside: DataFrame  # pairs, and rows open whose key ends inside a partition
+    at_ends: DataFrame  # rows open where a partition ends and their key with it
+
+    def pairs(self) -> DataFrame:
+        return self.inside.filter(F.col("open_left").isNull()).select("key", "left", "right")
+
+    def open_rows(self) -> DataFrame:
+        inside = self.inside.filter(F.col("open_left").isNotNull())
+        return inside.unionByName(self.at_ends)
+
+
 def settle(
     events: DataFrame,
     key: Column,
     order_by: list[Column],
     is_left: Column,
     value: Column,
-) -> DataFrame:
-    """Pairs and open rows of every key as ``(key, left, right, open_left)``.
+) -> Settled:
+    """Pairs and open rows of every key.
 
-    ``open_left`` is null for a pair; for a row still open at the end it tells the row's side,
-    and the other side's value is null. ``order_by`` must order the rows of a key totally.
-    Rows without key or side are left out.
+    ``order_by`` must order the rows of a key totally. Rows without key or side are left out.
+    Sorting and linking run here; the pairing itself when the result is used.
     """
     checkpoint_dir(events.sparkSession)
     order = {f"order_{i}": column for i, column in enumerate(order_by)}
@@ -96,29 +115,21 @@ def settle(
         ]
     )
     # Three rows per partition meet in one task; their number does not grow with the data.
-    links = staged.mapInArrow(_report, report).groupBy().applyInArrow(_link, link)
+    links = staged.mapInArrow(_report, report).groupBy().applyInArrow(_link, link).checkpoint()
     starts = links.filter(F.col("chunk") >= 0).select(
         "chunk",
         F.col("open_left").alias("start_left"),
         F.col("open_value").alias("start_value"),
     )
-    inside = staged.join(F.broadcast(starts), "chunk", "left").mapInArrow(_pair, settled)
-    # Rows open where a partition ends and whose key does not go on in the next one.
     at_ends = links.filter(F.col("chunk") < 0).select(
         F.col("open_key").alias("key"),
         F.when(F.col("open_left"), F.col("open_value")).alias("left"),
         F.when(~F.col("open_left"), F.col("open_value")).alias("right"),
         "open_left",
     )
-    return inside.unionByName(at_ends)
-
-
-def paired(settled: DataFrame) -> DataFrame:
-    return settled.filter(F.col("open_left").isNull()).select("key", "left", "right")
-
-
-def still_open(settled: DataFrame) -> DataFrame:
-    return settled.filter(F.col("open_left").isNotNull()).select("key", "left", "right")
+    # At most one row per partition is broadcast.
+    inside = staged.join(F.broadcast(starts), "chunk", "left").mapInArrow(_pair, settled)
+    return Settled(inside, at_ends)
 
 
 class _Runs:

@@ -86,8 +86,10 @@ def view_rejects(events: DataFrame) -> DataFrame:
 
 
 def latest_per_key(rows: DataFrame, key: str, *order_by: str) -> DataFrame:
-    """Last row of each key. ``order_by`` must order the rows of a key totally."""
-    values = [c for c in rows.columns if c != key]
-    order = F.struct(*order_by) if len(order_by) > 1 else F.col(order_by[0])
-    last = rows.groupBy(key).agg(F.max_by(F.struct(*values), order).alias("last"))
-    return last.select(key, "last.*")
+    """Last row of each key by ``order_by``.
+
+    The remaining columns follow in the comparison, so equal positions still give one answer.
+    """
+    rest = [c for c in rows.columns if c != key and c not in order_by]
+    last = rows.groupBy(key).agg(F.max(F.struct(*order_by, *rest)).alias("last"))
+    return last.select(*[key if c == key else f"last.{c}" for c in rows.columns])

@@ -87,24 +87,22 @@ def create_order_responses(spark: SparkSession, folder: str) -> DataFrame:
     return events.create_order_responses(tables.requests(spark, folder))
 
 
-def _priced(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def price_lookup_events(spark: SparkSession, folder: str) -> DataFrame:
     created = events.create_order_events(tables.requests(spark, folder))
-    return created, stages.price_lookup(created, tables.prices(spark, folder)).events
+    priced = stages.price_lookup(created, tables.prices(spark, folder)).events
+    return _ordered(priced, "item_number", "location", "quantity", _cents(name="price_cents"))
 
 
-def price_lookup_events(spark: SparkSession, folder: str) -> DataFrame:
-    _, priced = _priced(spark, folder)
-    return _ordered(priced, "item_number", "location", "quantity", _cents(name="price_cents"))
+def _enriched(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored PriceLookup events with the view folded from the same store."""
+    priced = read_feed(spark, store_path(spark, folder), PRICE)
+    return stages.enrich(priced, view.order_view(_stored(spark, folder))).events
 
 
 def enriched_price_events(spark: SparkSession, folder: str) -> DataFrame:
-    created, priced = _priced(spark, folder)
-    current = view.order_view(created.unionByName(priced))
-    enriched = stages.enrich(priced, current).events
     account = F.col("order.account_number").alias("account_number")
-    return _ordered(
-        enriched, "item_number", "location", "quantity", _cents(name="price_cents"), account
-    )
+    price = _cents(name="price_cents")
+    return _ordered(_enriched(spark, folder), "item_number", "location", "quantity", price, account)
 
 
 def credit_check_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -129,12 +127,6 @@ def price_requests(spark: SparkSession, folder: str) -> DataFrame:
     return _ordered(stages.price_requests(created), "item_number")
 
 
-def _enriched(spark: SparkSession, folder: str) -> DataFrame:
-    """Stored PriceLookup events with the view folded from the same store."""
-    priced = read_feed(spark, store_path(spark, folder), PRICE)
-    return stages.enrich(priced, view.order_view(_stored(spark, folder))).events
-
-
 def balance_requests(spark: SparkSession, folder: str) -> DataFrame:
     return _ordered(stages.balance_requests(_enriched(spark, folder)), "account_number")
 
@@ -364,12 +356,12 @@ def _ids(pairs: DataFrame) -> DataFrame:
 
 def pair_clicks_purchases(spark: SparkSession, folder: str) -> DataFrame:
     settled = ordered_pairing.settle(**_clicks(tables.table(spark, folder, "events")))
-    return _ids(ordered_pairing.paired(settled))
+    return _ids(settled.pairs())
 
 
 def pending_clicks_purchases(spark: SparkSession, folder: str) -> DataFrame:
     settled = ordered_pairing.settle(**_clicks(tables.table(spark, folder, "events")))
-    return _ids(ordered_pairing.still_open(settled))
+    return _ids(settled.open_rows())
 
 
 # Streams, run to the end of what has arrived

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from orderloom.operators.ordered_pairing import paired, settle
+from orderloom.operators.ordered_pairing import settle
 from orderloom.sinks.tables import write_batch
 
 
@@ -84,16 +84,15 @@ def pair_in_arrival_order(
             keys = rows.select("key").distinct()
             untouched = opened.join(keys, "key", "left_anti").drop("order")
             rows = rows.unionByName(opened.join(keys, "key", "left_semi"))
-        settled = settle(
-            rows, F.col("key"), [F.col("order")], F.col("is_left"), F.col("value")
-        ).persist()
+        settled = settle(rows, F.col("key"), [F.col("order")], F.col("is_left"), F.col("value"))
+        settled.inside.persist()
         try:
-            write_batch(paired(settled), f"{path}/pairs", batch_id)
-            still = _open_rows(settled)
+            write_batch(settled.pairs(), f"{path}/pairs", batch_id)
+            still = _with_value(settled.open_rows())
             still = still if untouched is None else still.unionByName(untouched)
             write_batch(still, f"{path}/open", batch_id)
         finally:
-            settled.unpersist()
+            settled.inside.unpersist()
 
     return (
         events.writeStream.foreachBatch(each)
@@ -103,10 +102,9 @@ def pair_in_arrival_order(
     )
 
 
-def _open_rows(settled: DataFrame) -> DataFrame:
+def _with_value(opened: DataFrame) -> DataFrame:
     value = F.when(F.col("open_left"), F.col("left")).otherwise(F.col("right"))
-    rows = settled.filter(F.col("open_left").isNotNull())
-    return rows.select("key", F.col("open_left").alias("is_left"), value.alias("value"))
+    return opened.select("key", F.col("open_left").alias("is_left"), value.alias("value"))
 
 
 def _opened(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:

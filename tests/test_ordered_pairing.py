@@ -31,10 +31,10 @@ def fold(rows):
 
 def run(spark, rows):
     df = spark.createDataFrame(rows, "k string, seq bigint, is_left boolean").repartition(4)
-    out = settle(df, F.col("k"), [F.col("seq")], F.col("is_left"), F.col("seq")).collect()
-    pairs = sorted((r.key, r.left, r.right) for r in out if r.open_left is None)
-    pending = sorted(((r.key, r.left, r.right) for r in out if r.open_left is not None), key=str)
-    return pairs, pending
+    settled = settle(df, F.col("k"), [F.col("seq")], F.col("is_left"), F.col("seq"))
+    pairs = sorted((r.key, r.left, r.right) for r in settled.pairs().collect())
+    pending = [(r.key, r.left, r.right) for r in settled.open_rows().collect()]
+    return pairs, sorted(pending, key=str)
 
 
 def sides(letters):
@@ -89,9 +89,9 @@ def test_alternating_hot_key_small_batches(spark):
 def test_struct_values(spark):
     rows = [("a", 1, True), ("a", 2, False), ("b", 3, False)]
     df = spark.createDataFrame(rows, "k string, seq bigint, is_left boolean")
-    out = settle(df, F.col("k"), [F.col("seq")], F.col("is_left"), F.struct("seq", "k"))
-    found = {(r.key, r.left and r.left.seq, r.right and r.right.seq) for r in out.collect()}
-    assert found == {("a", 1, 2), ("b", None, 3)}
+    settled = settle(df, F.col("k"), [F.col("seq")], F.col("is_left"), F.struct("seq", "k"))
+    assert [(r.left.seq, r.right.k) for r in settled.pairs().collect()] == [(1, "a")]
+    assert [(r.left, r.right.seq) for r in settled.open_rows().collect()] == [(None, 3)]
 
 
 def test_merged_partitions(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from orderloom.operators import events as ev
 from orderloom.operators import pairing, stages
 from orderloom.operators.lookup import lookup_join
-from orderloom.operators.ordered_pairing import paired, settle, still_open
+from orderloom.operators.ordered_pairing import settle
 from orderloom.operators.view import order_view
 from orderloom.plans.lifecycle import Lookups, all_events, all_rejects, current_view, order_facts
 from orderloom.schemas import BALANCES, CREDIT, EVENT_COLUMNS, PAYMENT, PRICES, PULL, REQUEST, RESERVE, SHIP, STOCK
@@ -145,11 +145,11 @@ def test_pairing_by_join_equals_ordered_pairing(requests, lookups):
         left.withColumn("l", F.lit(True)).unionByName(right.withColumn("l", F.lit(False))),
         F.col("do_key"), [F.col("sequence")], F.col("l"), F.col("sequence"),
     )
-    assert rows(paired(settled), "key") == rows(pairing.pair(left, right), "do_key")
+    assert rows(settled.pairs(), "key") == rows(pairing.pair(left, right), "do_key")
     pending = pairing.missing_side(pairing.pending_pairs(left, right))
     side = F.when(F.col("left").isNull(), "left").otherwise("right")
-    assert rows(still_open(settled).select("key", side)) == rows(pending)
-    assert paired(settled).count() + still_open(settled).count() == (
+    assert rows(settled.open_rows().select("key", side)) == rows(pending)
+    assert settled.pairs().count() + settled.open_rows().count() == (
         left.select("do_key").union(right.select("do_key")).distinct().count()
     )
 

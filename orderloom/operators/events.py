@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderloom.functions.ids import order_number
@@ -29,14 +29,16 @@ def event_columns(name: str, do_key: Column, payload: Mapping[str, Column]) -> l
 
 
 def create_order_events(requests: DataFrame) -> DataFrame:
-    """One Create event per request, numbered from the request id."""
+    """One Create event per request that has an id, which numbers the order."""
     payload = {f: F.col(f) for f in EVENT_TYPES[CREATE].fields}
-    return requests.select(*event_columns(CREATE, order_number(F.col("request_id")), payload))
+    numbered = requests.filter(F.col("request_id").isNotNull())
+    return numbered.select(*event_columns(CREATE, order_number(F.col("request_id")), payload))
 
 
 def create_order_responses(requests: DataFrame) -> DataFrame:
     """What each caller gets back: its request id and the new order number."""
-    return requests.select("request_id", order_number(F.col("request_id")).alias("order_number"))
+    numbered = requests.filter(F.col("request_id").isNotNull())
+    return numbered.select("request_id", order_number(F.col("request_id")).alias("order_number"))
 
 
 def event_feed(events: DataFrame, name: str) -> DataFrame:
@@ -109,7 +111,7 @@ def register_event_view(events: DataFrame, name: str = "order_events") -> None:
     events.createOrReplaceTempView(name)
 
 
-def create_event_table(spark, name: str, path: str) -> None:
+def create_event_table(spark: SparkSession, name: str, path: str) -> None:
     """Exposes the stored event folder to SQL as a table, with whatever it holds now."""
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in STORED_EVENT.fields)
     spark.sql(

@@ -11,12 +11,14 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orderloom.functions.ids import order_number
 from orderloom.functions.money import cents_to_price, covers, extended_amount, to_cents
-from orderloom.operators.events import event_columns, hydrate
+from orderloom.operators.events import create_order_events, event_columns, hydrate
 from orderloom.operators.lookup import lookup_join
-from orderloom.schemas import CREDIT, EVENT_TYPES, PAYMENT, PRICE, PULL, RESERVE, SHIP
+from orderloom.schemas import CREATE, CREDIT, EVENT_TYPES, PAYMENT, PRICE, PULL, RESERVE, SHIP
 
 # Reasons on rejected rows.
+NO_ID = "no request id"
 NO_PRICE = "no price for item"
 NO_ORDER = "no order in view"
 NO_ACCOUNT = "no balance for account"
@@ -49,6 +51,13 @@ def stock_failure(on_hand: Column, quantity: Column) -> Column:
     return F.when(~enough, F.lit(INSUFFICIENT))
 
 
+def create_order(requests: DataFrame) -> StageResult:
+    """Requests to Create events; a request without id cannot be numbered."""
+    rows = requests.withColumn("do_key", order_number(F.col("request_id")))
+    missing = _rejects(rows.filter(F.col("do_key").isNull()), CREATE, NO_ID)
+    return StageResult(create_order_events(requests), missing)
+
+
 def price_requests(created: DataFrame) -> DataFrame:
     return created.select("do_key", "item_number")
 

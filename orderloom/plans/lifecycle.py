@@ -17,7 +17,7 @@ from orderloom.functions.ids import order_number
 from orderloom.functions.money import cents_to_amount, cents_to_price, covers_cents
 from orderloom.operators.events import event_columns
 from orderloom.operators.lookup import lookup_join
-from orderloom.operators.stages import NO_ACCOUNT, NO_PRICE, NO_STOCK, stock_failure
+from orderloom.operators.stages import NO_ACCOUNT, NO_ID, NO_PRICE, NO_STOCK, stock_failure
 from orderloom.schemas import (
     BALANCES,
     CREATE,
@@ -57,8 +57,8 @@ def order_facts(
 ) -> DataFrame:
     """One row per request with everything its events need.
 
-    ``priced``, ``credited``, ``reserved``, ``paid`` and ``shipped`` tell how far the order
-    got. By default denials and shortages do not stop it; ``require_success`` stops them.
+    ``created``, ``priced``, ``credited``, ``reserved``, ``paid`` and ``shipped`` tell how far
+    the order got; a request without id is not created. By default denials and shortages do not stop it; ``require_success`` stops them.
     """
     rows = requests.withColumn("do_key", order_number(F.col("request_id")))
     for name, (schema, keys) in LOOKUP_TABLES.items():
@@ -71,9 +71,11 @@ def order_facts(
     cents = F.col("price_cents") * F.col("quantity")
     approved = covers_cents(F.col("balance"), cents)
     failure = stock_failure(F.col("on_hand"), F.col("quantity"))
-    priced, has_account, has_stock = (
+    created = F.col("do_key").isNotNull()
+    has_price, has_account, has_stock = (
         F.col(f"has_{name}") for name in LOOKUP_TABLES
     )
+    priced = created & has_price
     paid = priced & has_account & has_stock
     if require_success:
         paid = paid & F.coalesce(approved, F.lit(False)) & failure.isNull()
@@ -88,6 +90,7 @@ def order_facts(
         cents.alias("amount_cents"),
         approved.alias("approved"),
         failure.alias("stock_failure"),
+        created.alias("created"),
         priced.alias("priced"),
         (priced & has_account).alias("credited"),
         (priced & has_stock).alias("reserved"),
@@ -98,6 +101,7 @@ def order_facts(
 
 # Column that tells whether an order has an event of the type.
 REACHED = {
+    CREATE: "created",
     PRICE: "priced",
     CREDIT: "credited",
     RESERVE: "reserved",
@@ -121,45 +125,50 @@ def _payload(name: str) -> dict[str, Column]:
 
 def events_of_type(facts: DataFrame, name: str) -> DataFrame:
     """Events of one type."""
-    rows = facts if name == CREATE else facts.filter(F.col(REACHED[name]))
-    return rows.select(*event_columns(name, F.col("do_key"), _payload(name)))
+    return facts.filter(F.col(REACHED[name])).select(*event_columns(name, F.col("do_key"), _payload(name)))
 
 
 def all_events(facts: DataFrame) -> DataFrame:
     """Events of every type in one pass over the facts."""
-    rows = []
-    for name in EVENT_TYPES:
-        event = F.struct(*event_columns(name, F.col("do_key"), _payload(name)))
-        rows.append(event if name == CREATE else F.when(F.col(REACHED[name]), event))
-    return _spread(facts, rows)
+    rows = [
+        F.when(
+            F.col(REACHED[name]),
+            F.struct(*event_columns(name, F.col("do_key"), _payload(name))),
+        )
+        for name in EVENT_TYPES
+    ]
+    return _spread(facts, rows, "event_name")
 
 
-def _spread(facts: DataFrame, rows: list[Column]) -> DataFrame:
-    """One output row per non-null struct; dropping them after ``inline`` keeps codegen."""
-    return facts.select(F.inline(F.array(*rows))).filter(F.col("do_key").isNotNull())
+def _spread(facts: DataFrame, rows: list[Column], always_set: str) -> DataFrame:
+    """One output row per struct that is not null.
+
+    Null structs become null rows, found by a field that is always set; dropping them after
+    ``inline`` keeps the plan in generated code, which filtering the array would not.
+    """
+    return facts.select(F.inline(F.array(*rows))).filter(F.col(always_set).isNotNull())
 
 
 def all_rejects(facts: DataFrame) -> DataFrame:
-    """Orders that lacked a lookup row, with the step that needed it."""
+    """Requests without id and orders that lacked a lookup row, with the step that needed it."""
 
     def reject(name: str, reason: str) -> Column:
         stage = F.lit(EVENT_TYPES[name].short_name)
         return F.struct(F.col("do_key"), stage.alias("stage"), F.lit(reason).alias("reason"))
 
-    priced = F.col("priced")
-    return _spread(
-        facts,
-        [
-            F.when(~priced, reject(PRICE, NO_PRICE)),
-            F.when(priced & ~F.col("credited"), reject(CREDIT, NO_ACCOUNT)),
-            F.when(priced & ~F.col("reserved"), reject(RESERVE, NO_STOCK)),
-        ],
-    )
+    created, priced = F.col("created"), F.col("priced")
+    rows = [
+        F.when(~created, reject(CREATE, NO_ID)),
+        F.when(created & ~priced, reject(PRICE, NO_PRICE)),
+        F.when(priced & ~F.col("credited"), reject(CREDIT, NO_ACCOUNT)),
+        F.when(priced & ~F.col("reserved"), reject(RESERVE, NO_STOCK)),
+    ]
+    return _spread(facts, rows, "stage")
 
 
 def current_view(facts: DataFrame) -> DataFrame:
     """The order view straight from the facts, equal to folding all their events."""
-    return facts.select(
+    return facts.filter("created").select(
         F.col("do_key").alias("order_number"),
         "account_number",
         "item_number",
@@ -171,7 +180,7 @@ def current_view(facts: DataFrame) -> DataFrame:
 
 def lifecycle_summary(facts: DataFrame) -> DataFrame:
     """Outcome per order: what was approved, reserved and shipped, and the amount."""
-    return facts.select(
+    return facts.filter("created").select(
         F.col("do_key").alias("order_number"),
         F.col("approved"),
         (F.col("reserved") & F.col("stock_failure").isNull()).alias("reserved"),

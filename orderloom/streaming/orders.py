@@ -54,11 +54,16 @@ class OrderTables:
 
 
 def one_per_id(requests: DataFrame) -> DataFrame:
-    """Each request id once. Of deliveries that differ the smallest is kept, so that a task or
-    a batch that runs again keeps the same one."""
+    """Each request id once, and all requests without id, which are rejected later.
+
+    Of deliveries that differ the smallest is kept, so that a task or a batch that runs again
+    keeps the same one.
+    """
+    has_id = F.col("request_id").isNotNull()
     fields = [c for c in requests.columns if c != "request_id"]
-    kept = requests.groupBy("request_id").agg(F.min(F.struct(*fields)).alias("kept"))
-    return kept.select("request_id", "kept.*")
+    kept = requests.filter(has_id).groupBy("request_id")
+    kept = kept.agg(F.min(F.struct(*fields)).alias("kept")).select("request_id", "kept.*")
+    return kept.unionByName(requests.filter(~has_id))
 
 
 def drop_known(requests: DataFrame, stored: DataFrame, batch_id: int) -> DataFrame:

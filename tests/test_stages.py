@@ -9,7 +9,18 @@ from orderloom.operators.lookup import lookup_join
 from orderloom.operators.ordered_pairing import settle
 from orderloom.operators.view import order_view
 from orderloom.plans.lifecycle import Lookups, all_events, all_rejects, current_view, order_facts
-from orderloom.schemas import BALANCES, CREDIT, EVENT_COLUMNS, PAYMENT, PRICES, PULL, REQUEST, RESERVE, SHIP, STOCK
+from orderloom.schemas import (
+    BALANCES,
+    CREDIT,
+    EVENT_COLUMNS,
+    PAYMENT,
+    PRICES,
+    PULL,
+    REQUEST,
+    RESERVE,
+    SHIP,
+    STOCK,
+)
 from orderloom.sources import tables
 
 REQUESTS = [
@@ -21,6 +32,8 @@ REQUESTS = [
     ("no-stock", "rich", "item", "away", 1),
     ("no-both", "ghost", "item", "away", 1),
     ("null-item", "rich", None, "here", 1),
+    (None, "rich", "item", "here", 1),
+    (None, "broke", "odd", "away", 2),
 ]
 
 
@@ -40,7 +53,7 @@ def lookups(spark):
 
 def step_by_step(requests, lookups):
     """Every stage from the feed of the one before, as separate jobs would run."""
-    created = ev.create_order_events(requests)
+    created, rejects = stages.create_order(requests)
     priced = stages.price_lookup(created, lookups.prices)
     enriched = stages.enrich(priced.events, order_view(created.unionByName(priced.events)))
     credit = stages.credit_check(enriched.events, lookups.balances)
@@ -51,7 +64,7 @@ def step_by_step(requests, lookups):
     payment = stages.collect_payment(first)
     pull = stages.pull_inventory(first, lookups.stock)
     second = pairing.pair(stages.side_of(payment, PAYMENT), stages.side_of(pull.events, PULL))
-    events, rejects = created, priced.rejects
+    events, rejects = created, rejects.unionByName(priced.rejects)
     for more in (priced.events, credit.events, reserve.events, payment, pull.events):
         events = events.unionByName(more)
     events = events.unionByName(stages.ship_order(second))
@@ -90,6 +103,8 @@ def test_rejects_and_denials(requests, lookups):
         ("no-price", "PriceLookup", stages.NO_PRICE),
         ("no-stock", "ReserveInventory", stages.NO_STOCK),
         ("null-item", "PriceLookup", stages.NO_PRICE),
+        (None, "CreateOrder", stages.NO_ID),
+        (None, "CreateOrder", stages.NO_ID),
     ]
     shipped = ev.event_feed(all_events(facts), SHIP)
     assert rows(shipped, "do_key") == [("ok",), ("poor",), ("short",)]

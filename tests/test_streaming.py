@@ -92,11 +92,15 @@ def test_restart_after_a_failed_batch(spark, requests, lookups, tmp_path, monkey
     assert orders.counters(spark, store).first().IN == 60
 
 
-def test_deliveries_that_differ(spark):
+def test_deliveries_that_differ_or_lack_an_id(spark):
     rows_in = [("r1", "b", "i", "l", 2), ("r1", "a", "i", "l", 9), ("r2", None, "i", "l", 1)]
+    rows_in += [(None, "a", "i", "l", 1)] * 2
     for order in (rows_in, rows_in[::-1]):
         kept = orders.one_per_id(spark.createDataFrame(order, REQUEST).repartition(3))
-        assert rows(kept) == [("r1", "a", "i", "l", 9), ("r2", None, "i", "l", 1)]
+        assert rows(kept) == [
+            ("r1", "a", "i", "l", 9), ("r2", None, "i", "l", 1),
+            (None, "a", "i", "l", 1), (None, "a", "i", "l", 1),
+        ]
 
 
 def test_batch_without_requests(spark, requests, lookups, tmp_path):

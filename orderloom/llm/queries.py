@@ -7,25 +7,64 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from orderloom.llm import quality
+from orderloom.llm.common import fold
 from orderloom.llm.html_text import extract_text
+from orderloom.llm.pii import pseudonymise
 from orderloom.llm.token_counts import count_tokens
+from orderloom.llm.warc import round_trip
+
+PII_KEY = b"orderloom: replace by a secret key"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = quality.score(docs.select("doc_id", "text"), quality.fit(docs, table(spark, folder, "labels")))
+    return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted")
+
+
 def op5_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return extract_text(table(spark, folder, "pages"))
 
 
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return round_trip(table(spark, folder, "pages"))
+
+
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pseudonymise(docs, PII_KEY)
+
+
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_quality": op4_quality,
     "op5_main_text": op5_main_text,
+    "op6_warc": op6_warc,
+    "op7_pii": op7_pii,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages
+        ), f AS (SELECT payload, min(page_id) AS first FROM p GROUP BY payload)
+        SELECT p.page_id, strlen(p.payload) AS payload_bytes,
+            array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                1 + ((('0x' || substr(h, 1 + 5 * (i // 4)::BIGINT, 5))::BIGINT >> (5 * (3 - i % 4))::BIGINT) & 31), 1)), '')
+                AS payload_digest,
+            CASE WHEN p.page_id = f.first THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN p.page_id <> f.first THEN f.first END AS refers_to
+        FROM p JOIN f USING (payload)
+    """,
+}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from orderloom.llm import quality
 from orderloom.llm.common import fold
 from orderloom.llm.html_text import extract_text
+from orderloom.llm.jaccard import similar_groups
 from orderloom.llm.pii import pseudonymise
 from orderloom.llm.token_counts import count_tokens
 from orderloom.llm.warc import round_trip
@@ -42,6 +43,10 @@ def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pseudonymise(docs, PII_KEY)
 
 
+def op9_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_groups(table(spark, folder, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_main_text": op5_main_text,
     "op6_warc": op6_warc,
     "op7_pii": op7_pii,
+    "op9_jaccard": op9_jaccard,
     "op10_token_counts": op10_token_counts,
 }
 
@@ -67,4 +73,30 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN p.page_id <> f.first THEN f.first END AS refers_to
         FROM p JOIN f USING (payload)
     """,
+    "op9_jaccard": """
+        WITH RECURSIVE split AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+            FROM documents
+        ), sets AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5
+                THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle
+            FROM split
+        ), sizes AS (
+            SELECT d.doc_id, count(s.shingle) AS n FROM documents d LEFT JOIN sets s USING (doc_id) GROUP BY 1
+        ), overlaps AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared
+            FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
+        ), links AS (
+            SELECT x, y FROM overlaps JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+            WHERE 100 * shared >= 75 * (p.n + q.n - shared)
+        ), reach(doc_id, other) AS (
+            SELECT doc_id, doc_id FROM documents
+            UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.other
+        )
+        SELECT s.doc_id, s.n AS n_shingles, min(r.other) AS component_id,
+            (SELECT count(*) FROM links WHERE x = s.doc_id) AS n_links
+        FROM sizes s JOIN reach r USING (doc_id) GROUP BY s.doc_id, s.n
+    """,
 }

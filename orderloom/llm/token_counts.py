@@ -5,8 +5,7 @@ ones with their numbers of tokens, which is broadcast and bounded by ``frequent`
 misses there is looked up in a cache that lives as long as the Python worker, and encoded with the
 tokenizer itself when it is new. No pre-token is shuffled, so no pre-token can be a hot key.
 
-The table only saves time: it is fitted on the first ``sample_docs`` texts, and any table gives the
-same counts. Texts with special strings or with characters from U+0250 on go to the tokenizer whole.
+The table only saves time: it is fitted on a bounded sample, and any table gives the same counts. Texts with special strings or with characters from U+0250 on go to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -26,6 +25,7 @@ from orderloom.llm.common import slices, worker_cache
 from orderloom.llm.pretokens import split
 
 CACHE_ENTRIES = 400_000
+SAMPLE_CHARS = 4000
 
 
 def _tokenizer(definition: str):
@@ -82,28 +82,23 @@ def _lengths(tokenizer, vocabulary: pa.Array, words: pa.Array, sizes: np.ndarray
     return out
 
 
-def frequent_table(docs: DataFrame, definition: str, text: str, sample_docs: int, frequent: int) -> tuple[list, list]:
-    """Pre-tokens that are frequent in a bounded sample, with their numbers of tokens."""
+def frequent_table(docs: DataFrame, tokenizer, text: str, sample_docs: int, frequent: int) -> tuple[list, list]:
+    """Pre-tokens that are frequent in a bounded sample, with their numbers of tokens.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: Counter = Counter()
-        for batch in batches:
-            for part in slices(batch.column(0)):
-                vocabulary, ids, starts, odd = split(part)
-                for row in odd:
-                    ids[starts[row] : starts[row + 1]] = -1
-                times = np.bincount(ids[ids >= 0], minlength=len(vocabulary))
-                seen = np.flatnonzero(times)
-                totals.update(dict(zip(vocabulary.take(pa.array(seen)).to_pylist(), times[seen].tolist())))
-                if len(totals) > 8 * frequent:
-                    totals = Counter(dict(totals.most_common(4 * frequent)))
-        words = [w for w, n in totals.most_common(frequent) if n > 1]
-        sizes = _encode(_tokenizer(definition), [w.decode() for w in words])
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(sizes, pa.int64())], ["word", "size"])
-
-    rows = docs.select(F.col(text).cast("string").alias("text")).limit(sample_docs)
-    table = rows.coalesce(1).mapInArrow(count, "word binary, size bigint").toArrow()
-    return table["word"].to_pylist()[:frequent], table["size"].to_pylist()[:frequent]
+    The driver takes the first ``sample_docs`` rows, which reads no further than needed, and no more
+    than ``SAMPLE_CHARS`` characters of each.
+    """
+    rows = docs.select(F.substring(F.col(text).cast("string"), 1, SAMPLE_CHARS).alias("text")).take(sample_docs)
+    totals: Counter = Counter()
+    for part in slices(pa.array([r["text"] for r in rows], pa.string())):
+        vocabulary, ids, starts, odd = split(part)
+        for row in odd:
+            ids[starts[row] : starts[row + 1]] = -1
+        times = np.bincount(ids[ids >= 0], minlength=len(vocabulary))
+        seen = np.flatnonzero(times)
+        totals.update(dict(zip(vocabulary.take(pa.array(seen)).to_pylist(), times[seen].tolist())))
+    words = [w for w, n in totals.most_common(frequent) if n > 1]
+    return words, _encode(tokenizer, [w.decode() for w in words])
 
 
 def count_tokens(
@@ -129,7 +124,7 @@ def count_tokens(
     definition = "" if pieces else raw.decode()
     plain = not pieces and _splits_alike(json.loads(definition))
     special = [] if pieces else [t["content"].encode() for t in json.loads(definition).get("added_tokens", [])]
-    words, sizes = frequent_table(docs, definition, text, sample_docs, frequent) if plain else ([], [])
+    words, sizes = frequent_table(docs, _tokenizer(definition), text, sample_docs, frequent) if plain else ([], [])
     shared = spark.sparkContext.broadcast((raw if pieces else definition, words, sizes))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -167,3 +167,22 @@ def mix(values: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def pack_planes(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers as compressed byte planes; small values take little room."""
+    planes = values.astype(np.uint32).view(np.uint8).reshape(len(values), 4).T
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def unpack_planes(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view(np.uint32).ravel()
+
+
+def by_frequency(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """New ids, the most frequent first, and the old id of each new one."""
+    old = np.argsort(-np.bincount(ids, minlength=size), kind="stable")
+    new = np.empty(size, np.int64)
+    new[old] = np.arange(size)
+    return new[ids], old

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from orderloom.llm import quality
+from orderloom.llm import lm, quality
 from orderloom.llm.common import fold
 from orderloom.llm.html_text import extract_text
 from orderloom.llm.jaccard import similar_groups
@@ -24,6 +24,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score(table(spark, folder, "documents"))
+
+
 def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     scored = quality.score(docs.select("doc_id", "text"), quality.fit(docs, table(spark, folder, "labels")))
@@ -52,6 +56,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_lm": op2_lm,
     "op4_quality": op4_quality,
     "op5_main_text": op5_main_text,
     "op6_warc": op6_warc,
@@ -85,11 +90,11 @@ ORACLE_SQL: dict[str, str] = {
             FROM split
         ), sizes AS (
             SELECT d.doc_id, count(s.shingle) AS n FROM documents d LEFT JOIN sets s USING (doc_id) GROUP BY 1
-        ), overlaps AS (
+        ), meets AS (
             SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared
             FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
         ), links AS (
-            SELECT x, y FROM overlaps JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+            SELECT x, y FROM meets JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
             WHERE 100 * shared >= 75 * (p.n + q.n - shared)
         ), reach(doc_id, other) AS (
             SELECT doc_id, doc_id FROM documents

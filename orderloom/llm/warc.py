@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import shared_folder
+from orderloom.llm.common import shared_folder, stored
 
+BROADCAST_ROWS = 500_000
 END = "\r\n\r\n"
 _BASE32HEX, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -69,14 +70,17 @@ def write_archives(
         F.col(url).cast("string").alias("url"),
         F.coalesce(F.col(markup).cast("string"), F.lit("")).alias("payload"),
     ).withColumn("digest", payload_digest(F.col("payload")))
-    repeated = (
+    repeated = stored(
         rows.filter(F.octet_length("payload") >= min_bytes)
         .groupBy("digest")
         .agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1 and first is not null")
-        .select("digest", "first")
+        .select("digest", "first"),
+        "repeated",
     )
-    rows = rows.join(repeated, "digest", "left")
+    # While few digests are repeated, they go to the payloads rather than the payloads to them.
+    few = repeated.count() <= BROADCAST_ROWS
+    rows = rows.join(F.broadcast(repeated) if few else repeated, "digest", "left")
     size = F.octet_length("payload")
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     http = F.concat(

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderloom.llm import bpe, lm, quality
+from orderloom.llm.ann import nearest
 from orderloom.llm.common import fold
+from orderloom.llm.decontaminate import contaminated
 from orderloom.llm.html_text import extract_text
 from orderloom.llm.jaccard import similar_groups
 from orderloom.llm.pii import pseudonymise
@@ -39,6 +41,10 @@ def op2_lm(spark: SparkSession, folder: str) -> DataFrame:
     return lm.score(table(spark, folder, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     scored = quality.score(docs.select("doc_id", "text"), quality.fit(docs, table(spark, folder, "labels")))
@@ -58,6 +64,10 @@ def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pseudonymise(docs, PII_KEY)
 
 
+def op8_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return similar_groups(table(spark, folder, "documents"))
 
@@ -69,10 +79,12 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_lm": op2_lm,
+    "op3_decontamination": op3_decontamination,
     "op4_quality": op4_quality,
     "op5_main_text": op5_main_text,
     "op6_warc": op6_warc,
     "op7_pii": op7_pii,
+    "op8_neighbours": op8_neighbours,
     "op9_jaccard": op9_jaccard,
     "op10_token_counts": op10_token_counts,
 }

@@ -115,7 +115,10 @@ def gradients(w: Weights, texts: list[np.ndarray], labels: np.ndarray) -> tuple[
     owner = np.repeat(np.arange(len(texts)), n)
     mean, least, most = np.split(d_features, 3, axis=1)
     _, low, high = np.split(features, 3, axis=1)
-    d_hidden = (mean / n[:, None])[owner] + least[owner] * (hidden == low[owner]) + most[owner] * (hidden == high[owner])
+    d_hidden = (mean / n[:, None])[owner]
+    for slope, edge in ((least, low), (most, high)):  # chunks that overlap often share the least or largest
+        at = hidden == edge[owner]
+        d_hidden += slope[owner] * at / np.add.reduceat(at, starts, dtype=np.int64)[owner]
     d_max = (d_hidden * (1 - hidden**2)).astype(np.float32)
     winner = np.where(later, second[:, None], first[:, None])
     column = np.broadcast_to(np.arange(FILTERS), winner.shape)
@@ -142,8 +145,10 @@ def gradients(w: Weights, texts: list[np.ndarray], labels: np.ndarray) -> tuple[
     }, loss
 
 
-def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 8, batch: int = 32, rate: float = 3e-3, seed: int = 7) -> Weights:
-    """Adam on the log loss; texts of like length share a batch. One class or no rows: its share."""
+def train(
+    texts: list[np.ndarray], labels: np.ndarray, steps: int = 1000, batch: int = 32, rate: float = 3e-3, seed: int = 7
+) -> Weights:
+    """About ``steps`` steps of Adam on the log loss; texts of like length share a batch. One class or no rows: its share."""
     rng = np.random.default_rng(seed)
     w = start(rng)
     if len(labels) == 0 or labels.min() == labels.max():
@@ -154,6 +159,7 @@ def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 8, batch: i
     first, second, turn = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(3))
     turn = 0
     n_batches = -(-len(texts) // batch)
+    epochs = -(-steps // n_batches)
     for epoch in range(epochs):
         order = np.argsort(sizes * rng.uniform(0.5, 2, len(sizes)), kind="stable")
         for part in rng.permutation(n_batches):

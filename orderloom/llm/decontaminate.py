@@ -1,7 +1,8 @@
 """Finds passages of benchmark items in documents, verbatim or reworded, by latent semantic retrieval.
 
-The columns of the matrix are the benchmark's words, with TF-IDF weights from counts over all passages
-of all documents; the rows are passages of documents. A passage's energy is the sum of its squared
+The columns of the matrix are the benchmark's words, with TF-IDF weights (the square of the IDF, which
+sets rare words off) from counts over all passages of all documents; the rows are passages of documents.
+A passage's energy is the sum of its squared
 weights. One with under a fixed share of the weakest item's energy can match no item and is a zero row.
 
 1. Every text becomes the numbers of the benchmark words in it. Passages are counted for the IDF.
@@ -180,15 +181,53 @@ def _sketch(weights: np.ndarray, least: float, seed: int = 5):
                     part = rows[low : low + 4096]
                     row, column = np.nonzero(part >= 0)
                     word = part[row, column]
-                    value = weights[word]
+                    if not len(row):
+                        continue
+                    value = weights[word][:, None]
+                    cuts = np.flatnonzero(np.diff(row, prepend=-1))  # entries are in order of rows
                     product = np.zeros((len(part), width))
-                    np.add.at(product, row, value[:, None] * random[word])
-                    np.add.at(total, word, value[:, None] * product[row])
+                    product[row[cuts]] = np.add.reduceat(value * random[word], cuts)
+                    order = np.argsort(word, kind="stable")
+                    cuts = np.flatnonzero(np.diff(word[order], prepend=-1))
+                    total[word[order][cuts]] += np.add.reduceat((value * product[row])[order], cuts)
         yield _chunks(total)
 
     return sketch
 
 
+def _compared(block: Block, pieces: list[np.ndarray], hits: list[np.ndarray], likeness: list[np.ndarray]) -> Iterator[tuple]:
+    """Each text and piece found, with the comparison of a range of words around each best window.
+
+    Windows of a text and a piece come by falling cosine; one that starts within a window's length of
+    an earlier one lies in the range compared there.
+    """
+    text, piece, low, high = np.concatenate(hits, axis=1)
+    cosine = np.concatenate(likeness)
+    order = np.lexsort((-cosine, text, piece))
+    last, starts, table = (-1, -1), [], np.zeros(0, bool)
+    for k in order.tolist():
+        key = (int(text[k]), int(piece[k]))
+        own = pieces[key[1]]
+        if key != last:
+            if key[1] != last[1]:
+                table = np.zeros(max(int(own.max()) + 1, len(table)) + 1, bool)
+                table[own] = True  # the last place stays false: other words, and numbers beyond
+            last, starts = key, []
+        at = int(low[k])
+        if any(abs(at - s) <= len(own) for s in starts):
+            continue
+        starts.append(at)
+        begin = int(block.starts[key[0]])
+        start, end = max(at - len(own), begin), min(int(high[k]) + len(own), int(block.ends[key[0]]))
+        region = block.words[start:end]
+        region = region[table[np.minimum(region, len(table) - 1)]]  # other words are in no common sequence
+        if len(region) < LIKELY * len(own):
+            continue
+        tail = own[-max(3, len(own) // 5) :]
+        common, answer = lcs_length(own, region) / len(own), lcs_length(tail, region) / len(tail)
+        yield key, (float(cosine[k]), common, answer, start - begin, end - begin)
+
+
 def _search(items: Items, weights: np.ndarray, latent: np.ndarray, names: list[str], kinds: list[pa.DataType]):
     sizes = np.array([window_size(len(p)) for p in items.pieces])
     energy = np.array([(weights[p] ** 2).sum() for p in items.pieces])
@@ -201,6 +240,7 @@ def _search(items: Items, weights: np.ndarray, latent: np.ndarray, names: list[s
             for texts, planes in zip(batch.column(0), batch.column(1)):
                 block = Block(texts.as_py(), planes.as_py())
                 found: dict[tuple[int, int], tuple] = {}
+                hits, likeness = [np.zeros((4, 0), np.int64)], [np.zeros(0)]
                 mass = np.concatenate([[0], np.cumsum(_energy(weights, block.words))])
                 n = block.ends - block.starts
                 for size in np.unique(sizes):
@@ -226,20 +266,13 @@ def _search(items: Items, weights: np.ndarray, latent: np.ndarray, names: list[s
                         vectors /= np.maximum(np.sqrt((vectors**2).sum(axis=1)), 1e-12)[:, None]
                         cosine = vectors @ inner[mine].T
                         hit = (cosine >= COSINE) & (held[at][:, None] >= ENERGY * energy[mine][None] * (1 - 1e-9))
-                        for a, b in zip(*np.nonzero(hit)):
-                            piece, window = int(mine[b]), at[a]
-                            key = (int(text[window]), piece)
-                            best = found.get(key)
-                            if best and (best[1] >= SURE and best[2] >= ANSWER or best[0] >= cosine[a, b] and best[1] >= SURE):
-                                continue
-                            own = items.pieces[piece]
-                            start = max(int(low[window]) - len(own), int(block.starts[key[0]]))
-                            end = min(int(high[window]) + len(own), int(block.ends[key[0]]))
-                            region = block.words[start:end]
-                            tail = own[-max(3, len(own) // 5) :]
-                            new = (float(cosine[a, b]), lcs_length(own, region) / len(own), lcs_length(tail, region) / len(tail), start - int(block.starts[key[0]]), end - int(block.starts[key[0]]))
-                            if not best or new[1:3] > best[1:3]:
-                                found[key] = new
+                        a, b = np.nonzero(hit)
+                        hits.append(np.stack([text[at[a]], mine[b], low[at[a]], high[at[a]]]))
+                        likeness.append(cosine[a, b])
+                for (row, piece), new in _compared(block, items.pieces, hits, likeness):
+                    key = (row, piece)
+                    if key not in found or new[1:3] > found[key][1:3]:
+                        found[key] = new
                 kept = {k: v for k, v in found.items() if v[1] >= SURE or v[1] >= LIKELY and v[2] >= ANSWER}
                 if kept:
                     ids = block.texts["id"].combine_chunks().take(pa.array([t for t, _ in kept]))
@@ -298,7 +331,7 @@ def _find(rows: DataFrame, items: Items, schema: T.StructType) -> DataFrame:
     state = stored(rows.mapInArrow(_number(vocabulary), "texts binary, words binary, counts binary, passages bigint"), "numbers")
     seen = _summed(state.select("counts", "passages").mapInArrow(_total, "chunk bigint, sums binary"), 1)[:, 0]
     counts, n = (seen[:-1], seen[-1]) if len(seen) else (np.zeros(len(vocabulary)), 0.0)
-    weights = np.log((1 + n) / (1 + counts)) + 1e-3
+    weights = np.log((1 + n) / (1 + counts)) ** 2 + 1e-3
     least = ENERGY * min((weights[p] ** 2).sum() for p in items.pieces)
     blocks = state.select("texts", "words")
     sums = _summed(blocks.mapInArrow(_sketch(weights, least), "chunk bigint, sums binary"), RANK + OVERSAMPLE)

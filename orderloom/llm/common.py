@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import sys
 import types
-import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -19,15 +18,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orderloom.session import new_folder
+
 SLICE_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """Fresh path below ``spark.checkpoint.dir``, the folder all executors share."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return f"{folder.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    """Fresh path in the folder of ``spark.checkpoint.dir``, which all executors share."""
+    return new_folder(spark, purpose)
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:

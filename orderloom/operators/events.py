@@ -8,18 +8,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.functions.ids import order_number
+from orderloom.functions.ids import correlation_id, order_number
 from orderloom.functions.text import event_line
 from orderloom.schemas import CREATE, EVENT, EVENT_COLUMNS, EVENT_TYPES, STORED_EVENT
 
 
-def event_columns(name: str, do_key: Column, payload: Mapping[str, Column]) -> list[Column]:
+def event_columns(
+    name: str, do_key: Column, payload: Mapping[str, Column], event_time: Column
+) -> list[Column]:
     """Columns of one event row in the shape all types share."""
     event_type = EVENT_TYPES[name]
     given = {
         "do_key": do_key,
         "sequence": F.lit(event_type.sequence),
         "event_name": F.lit(name),
+        "event_time": event_time,
         **{field: payload[field] for field in event_type.fields},
     }
     return [
@@ -32,13 +35,19 @@ def create_order_events(requests: DataFrame) -> DataFrame:
     """One Create event per request that has an id, which numbers the order."""
     payload = {f: F.col(f) for f in EVENT_TYPES[CREATE].fields}
     numbered = requests.filter(F.col("request_id").isNotNull())
-    return numbered.select(*event_columns(CREATE, order_number(F.col("request_id")), payload))
+    number = order_number(F.col("request_id"))
+    return numbered.select(*event_columns(CREATE, number, payload, F.col("arrived_ms")))
 
 
 def create_order_responses(requests: DataFrame) -> DataFrame:
-    """What each caller gets back: its request id and the new order number."""
+    """What each caller gets back: its request id, the new order number, and the handling's id."""
     numbered = requests.filter(F.col("request_id").isNotNull())
-    return numbered.select("request_id", order_number(F.col("request_id")).alias("order_number"))
+    number = order_number(F.col("request_id"))
+    return numbered.select(
+        "request_id",
+        number.alias("order_number"),
+        correlation_id(number, F.lit(CREATE)).alias("correlation_id"),
+    )
 
 
 def event_feed(events: DataFrame, name: str) -> DataFrame:
@@ -46,9 +55,18 @@ def event_feed(events: DataFrame, name: str) -> DataFrame:
     return events.filter(F.col("event_name") == name)
 
 
-def subscribe_order_created(events: DataFrame, from_offset: int = 0) -> DataFrame:
-    """Notifications for Create events at or after an offset."""
-    return event_feed(events, CREATE).filter(F.col("sequence") >= from_offset).select(
+def subscribe_order_created(events: DataFrame, from_ms: int | None = None) -> DataFrame:
+    """Notifications for Create events, from an offset in the feed on.
+
+    The offset is an event time in epoch milliseconds, so it means the same whatever batches the
+    events were stored in; events without a time precede every offset. On the stored table it is
+    compared with the time ranges of the files before they are read. ``read_events(after=...)``
+    leaves out whole batches that a subscriber has seen.
+    """
+    feed = event_feed(events, CREATE)
+    if from_ms is not None:
+        feed = feed.filter(F.col("event_time") >= from_ms)
+    return feed.select(
         F.col("do_key").alias("order_number"),
         "account_number",
         "item_number",
@@ -59,14 +77,14 @@ def subscribe_order_created(events: DataFrame, from_offset: int = 0) -> DataFram
 
 def hydrate(events: DataFrame, name: str, *keep: str) -> DataFrame:
     """Typed rows of one event type: its key columns and the fields it fills."""
-    columns = ("do_key", "sequence", *EVENT_TYPES[name].fields, *keep)
+    columns = ("do_key", "sequence", "event_time", *EVENT_TYPES[name].fields, *keep)
     return event_feed(events, name).select(*columns)
 
 
 def dehydrate(typed: DataFrame, name: str, *keep: str) -> DataFrame:
     """Typed rows of one event type back in the shared shape."""
     payload = {f: F.col(f) for f in EVENT_TYPES[name].fields}
-    return typed.select(*event_columns(name, F.col("do_key"), payload), *keep)
+    return typed.select(*event_columns(name, F.col("do_key"), payload, F.col("event_time")), *keep)
 
 
 def unknown_events(
@@ -111,11 +129,17 @@ def register_event_view(events: DataFrame, name: str = "order_events") -> None:
     events.createOrReplaceTempView(name)
 
 
-def create_event_table(spark: SparkSession, name: str, path: str) -> None:
-    """Exposes the stored event folder to SQL as a table, with whatever it holds now."""
+def create_event_table(spark: SparkSession, name: str, attempts: Iterable[str], path: str) -> None:
+    """Exposes the committed attempts of a stored event folder to SQL as a table."""
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in STORED_EVENT.fields)
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
-        f"PARTITIONED BY (batch_id, event_name) LOCATION '{path}'"
+        f"PARTITIONED BY (attempt, event_name) LOCATION '{path}'"
     )
-    spark.sql(f"MSCK REPAIR TABLE {name}")
+    parts = [
+        f"PARTITION (attempt = '{attempt}', event_name = '{event}')"
+        for attempt in attempts
+        for event in EVENT_TYPES
+    ]
+    for low in range(0, len(parts), 700):
+        spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS {' '.join(parts[low : low + 700])}")

@@ -47,6 +47,7 @@ class Settled:
 
     inside: DataFrame  # pairs, and rows open whose key ends inside a partition
     at_ends: DataFrame  # rows open where a partition ends and their key with it
+    unusable: DataFrame  # (key, is_left, value, reason) of rows that cannot be paired
 
     def pairs(self) -> DataFrame:
         return self.inside.filter(F.col("open_left").isNull()).select("key", "left", "right")
@@ -65,17 +66,21 @@ def settle(
 ) -> Settled:
     """Pairs and open rows of every key.
 
-    ``order_by`` must order the rows of a key totally. Rows without key or side are left out.
+    ``order_by`` must order the rows of a key totally. Rows without key or side are unusable.
     Sorting and linking run here; the pairing itself when the result is used.
     """
     checkpoint_dir(events.sparkSession)
     order = {f"order_{i}": column for i, column in enumerate(order_by)}
-    rows = events.select(
+    given = events.select(
         key.alias("key"),
         is_left.alias("is_left"),
         value.alias("value"),
         *[column.alias(name) for name, column in order.items()],
-    ).filter(F.col("key").isNotNull() & F.col("is_left").isNotNull())
+    )
+    usable = F.col("key").isNotNull() & F.col("is_left").isNotNull()
+    reason = F.when(F.col("key").isNull(), "no key").otherwise("no side")
+    unusable = given.filter(~usable).select("key", "is_left", "value", reason.alias("reason"))
+    rows = given.filter(usable)
     # The two passes must see the same partitions, so they read one checkpointed copy: range
     # bounds come from sampling and would differ if the exchange were computed twice. Adaptive
     # execution may merge neighbouring small partitions, which keeps the order.
@@ -129,7 +134,7 @@ def settle(
     )
     # At most one row per partition is broadcast.
     inside = staged.join(F.broadcast(starts), "chunk", "left").mapInArrow(_pair, settled)
-    return Settled(inside, at_ends)
+    return Settled(inside, at_ends, unusable)
 
 
 class _Runs:

@@ -71,7 +71,7 @@ def price_lookup(created: DataFrame, prices: DataFrame) -> StageResult:
         "quantity": F.col("quantity"),
         "amount": cents_to_price(F.col("price_cents")),
     }
-    columns = event_columns(PRICE, F.col("do_key"), payload)
+    columns = event_columns(PRICE, F.col("do_key"), payload, F.col("event_time"))
     return _split(rows, "hit", PRICE, columns, NO_PRICE)
 
 
@@ -93,7 +93,7 @@ def balance_requests(enriched: DataFrame) -> DataFrame:
 
 def credit_check(enriched: DataFrame, balances: DataFrame) -> StageResult:
     """Enriched PriceLookup events to CreditCheck events; a denial is an event too."""
-    orders = enriched.select("do_key", "order.*")
+    orders = enriched.select("do_key", "event_time", "order.*")
     rows = lookup_join(orders, balances, ["account_number"], "hit")
     amount = extended_amount(F.col("unit_price"), F.col("quantity"))
     payload = {
@@ -101,7 +101,7 @@ def credit_check(enriched: DataFrame, balances: DataFrame) -> StageResult:
         "amount": amount,
         "approved": covers(F.col("balance"), amount),
     }
-    columns = event_columns(CREDIT, F.col("do_key"), payload)
+    columns = event_columns(CREDIT, F.col("do_key"), payload, F.col("event_time"))
     return _split(rows, "hit", CREDIT, columns, NO_ACCOUNT)
 
 
@@ -111,7 +111,7 @@ def reserve_requests(enriched: DataFrame) -> DataFrame:
 
 def reserve_inventory(enriched: DataFrame, stock: DataFrame) -> StageResult:
     """Enriched PriceLookup events to ReserveInventory events; a shortage is an event too."""
-    return _take_stock(enriched.select("do_key", "order.*"), stock, RESERVE)
+    return _take_stock(enriched.select("do_key", "event_time", "order.*"), stock, RESERVE)
 
 
 def payment_requests(credit_reserve: DataFrame) -> DataFrame:
@@ -126,7 +126,8 @@ def payment_requests(credit_reserve: DataFrame) -> DataFrame:
 def collect_payment(credit_reserve: DataFrame) -> DataFrame:
     """Credit and reservation pairs to CollectPayment events; the new balance is not used."""
     payload = {"account_number": F.col("left.account_number"), "amount": F.col("left.amount")}
-    return credit_reserve.select(*event_columns(PAYMENT, F.col("do_key"), payload))
+    time = F.col("left.event_time")
+    return credit_reserve.select(*event_columns(PAYMENT, F.col("do_key"), payload, time))
 
 
 def pull_requests(credit_reserve: DataFrame) -> DataFrame:
@@ -136,14 +137,15 @@ def pull_requests(credit_reserve: DataFrame) -> DataFrame:
 def pull_inventory(credit_reserve: DataFrame, stock: DataFrame) -> StageResult:
     """Credit and reservation pairs to PullInventory events."""
     fields = ("account_number", "item_number", "location", "quantity")
-    orders = credit_reserve.select("do_key", *[f"right.{f}" for f in fields])
+    orders = credit_reserve.select("do_key", "right.event_time", *[f"right.{f}" for f in fields])
     return _take_stock(orders, stock, PULL)
 
 
 def ship_order(payment_pull: DataFrame) -> DataFrame:
     """Payment and pull pairs to ShipOrder events, all fields from the pull."""
     payload = {f: F.col(f"right.{f}") for f in EVENT_TYPES[SHIP].fields}
-    return payment_pull.select(*event_columns(SHIP, F.col("do_key"), payload))
+    time = F.col("right.event_time")
+    return payment_pull.select(*event_columns(SHIP, F.col("do_key"), payload, time))
 
 
 def succeeded(credit_reserve: DataFrame) -> DataFrame:
@@ -157,7 +159,7 @@ def pulled(payment_pull: DataFrame) -> DataFrame:
 
 
 def side_of(events: DataFrame, name: str) -> DataFrame:
-    """Feed of one type as a pairing side: order key and that type's fields."""
+    """Feed of one type as a pairing side: order key, time and that type's fields."""
     return hydrate(events, name).drop("sequence")
 
 
@@ -170,4 +172,5 @@ def _take_stock(orders: DataFrame, stock: DataFrame, name: str) -> StageResult:
         "quantity": F.col("quantity"),
         "description": stock_failure(F.col("on_hand"), F.col("quantity")),
     }
-    return _split(rows, "hit", name, event_columns(name, F.col("do_key"), payload), NO_STOCK)
+    columns = event_columns(name, F.col("do_key"), payload, F.col("event_time"))
+    return _split(rows, "hit", name, columns, NO_STOCK)

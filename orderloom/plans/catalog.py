@@ -19,6 +19,8 @@ from orderloom.plans import lifecycle
 from orderloom.schemas import (
     CREATE,
     CREDIT,
+    EVENT,
+    EVENT_COLUMNS,
     EVENT_TYPES,
     PAYMENT,
     PRICE,
@@ -27,21 +29,24 @@ from orderloom.schemas import (
     SHIP,
 )
 from orderloom.session import new_folder
-from orderloom.sinks.tables import append_events, write_batch
+from orderloom.sinks import batches
+from orderloom.sinks.tables import append_events, drop_events_up_to
 from orderloom.sources import tables
-from orderloom.sources.event_store import read_events, read_feed, replay_events, replay_feed
+from orderloom.sources.event_store import follow, read_events, read_feed
 from orderloom.sources.requests import stream_requests
-from orderloom.streaming.orders import OrderTables, run_orders
-from orderloom.streaming.pairing import pair_in_arrival_order, pair_streams, read_pairs
-from orderloom.streaming.view import maintain_view, read_view
+from orderloom.streaming import orders
+from orderloom.streaming.pairing import Pairing, pairing_rows
+from orderloom.streaming.view import MaintainedView
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 METRIC_EPOCH_MS = 1_700_000_000_123
+SUBSCRIBE_FROM_MS = 893_000_000_000
 KNOWN_USER_EVENTS = ("click", "purchase", "signup", "view")
 ALL_FILES_NOW = {"availableNow": True}
 
-_stores: dict[tuple[str, str], str] = {}
+# Event stores written in this session, by what wrote them and data folder.
+_stores: dict[tuple[str, str, str], str] = {}
 
 
 def _facts(spark: SparkSession, folder: str, **options) -> DataFrame:
@@ -49,16 +54,23 @@ def _facts(spark: SparkSession, folder: str, **options) -> DataFrame:
     return lifecycle.order_facts(requests, tables.lookups(spark, folder), **options)
 
 
-def store_path(spark: SparkSession, folder: str) -> str:
-    """Folder of the stored events of a data folder, written on first use."""
-    key = (spark.sparkContext.applicationId, folder)
+def _once(spark: SparkSession, folder: str, purpose: str, fill: Callable[[str], None]) -> str:
+    """A fresh shared folder, filled on first use in a session."""
+    key = (spark.sparkContext.applicationId, folder, purpose)
     if key not in _stores:
-        path = new_folder(spark, "order-events")
-        append_events(lifecycle.all_events(_facts(spark, folder)), path, 0)
+        path = new_folder(spark, purpose)
+        fill(path)
         _stores[key] = path
     return _stores[key]
 
 
+def store_path(spark: SparkSession, folder: str) -> str:
+    """Root of the stored events of a data folder, written on first use."""
+    return _once(
+        spark, folder, "order-events", lambda path: append_events(lifecycle.all_events(_facts(spark, folder)), path)
+    )
+
+
 def _stored(spark: SparkSession, folder: str) -> DataFrame:
     return read_events(spark, store_path(spark, folder))
 
@@ -80,7 +92,7 @@ def order_requests(spark: SparkSession, folder: str) -> DataFrame:
 
 def create_order_events(spark: SparkSession, folder: str) -> DataFrame:
     created = events.create_order_events(tables.requests(spark, folder))
-    return created.select("do_key", "sequence", "event_name", *EVENT_TYPES[CREATE].fields)
+    return created.select("do_key", "sequence", "event_name", "event_time", *EVENT_TYPES[CREATE].fields)
 
 
 def create_order_responses(spark: SparkSession, folder: str) -> DataFrame:
@@ -206,21 +218,16 @@ def shippable_orders(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def order_rejects(spark: SparkSession, folder: str) -> DataFrame:
-    lookups = tables.partial_lookups(spark, folder)
-    facts = lifecycle.order_facts(tables.requests(spark, folder), lookups)
+    """Orders without line items ask for no item, which no lookup has."""
+    requests = tables.requests(spark, folder, "right")
+    facts = lifecycle.order_facts(requests, tables.lookups(spark, folder))
     return _ordered(lifecycle.all_rejects(facts), "stage", "reason")
 
 
 def pending_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    lookups = tables.partial_lookups(spark, folder)
-    requests = tables.requests(spark, folder)
-
-    def side(name: str, **not_needed: None) -> DataFrame:
-        facts = lifecycle.order_facts(requests, lookups._replace(**not_needed))
-        return stages.side_of(lifecycle.events_of_type(facts, name), name)
-
-    credit, reserve = side(CREDIT, stock=None), side(RESERVE, balances=None)
-    return pairing.missing_side(pairing.pending_pairs(credit, reserve))
+    """Orders placed against first shipments; an order without line items waits for its own."""
+    sides = tables.placed(spark, folder), tables.shipped(spark, folder)
+    return pairing.missing_side(pairing.pending_pairs(*sides, "o_orderkey"), "o_orderkey")
 
 
 def order_lifecycle(spark: SparkSession, folder: str) -> DataFrame:
@@ -246,7 +253,7 @@ def order_view(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def order_view_as_of(spark: SparkSession, folder: str) -> DataFrame:
-    return _view_columns(view.order_view_as_of(_stored(spark, folder), 1))
+    return _view_columns(view.order_view_as_of(_stored(spark, folder), 4))
 
 
 def order_view_direct(spark: SparkSession, folder: str) -> DataFrame:
@@ -256,9 +263,16 @@ def order_view_direct(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def view_rejects(spark: SparkSession, folder: str) -> DataFrame:
-    """A log replayed from the second event on: no order in it was ever created."""
-    later = _stored(spark, folder).filter(F.col("sequence") >= 2)
-    return _ordered(view.view_rejects(later), "stage", "reason")
+    """The log with a reservation for each whole order, under a number nobody created."""
+    given = {
+        "do_key": F.col("o_orderkey"),
+        "sequence": F.lit(EVENT_TYPES[RESERVE].sequence),
+        "event_name": F.lit(RESERVE),
+    }
+    columns = [given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in EVENT]
+    strays = tables.table(spark, folder, "orders").select(*columns)
+    log = _stored(spark, folder).select(*EVENT_COLUMNS).unionByName(strays)
+    return _ordered(view.view_rejects(log), "stage", "reason")
 
 
 def order_descriptions(spark: SparkSession, folder: str) -> DataFrame:
@@ -272,7 +286,7 @@ def event_feed_by_type(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def subscribe_order_created(spark: SparkSession, folder: str) -> DataFrame:
-    return events.subscribe_order_created(_stored(spark, folder), 0)
+    return events.subscribe_order_created(_stored(spark, folder), SUBSCRIBE_FROM_MS)
 
 
 def _hydrate(name: str) -> Query:
@@ -342,7 +356,7 @@ def unknown_events(spark: SparkSession, folder: str) -> DataFrame:
 def _clicks(rows: DataFrame) -> dict:
     """What the pairing operators take: clicks are left, purchases right, users the keys."""
     return {
-        "events": rows.filter(F.col("event_type").isin("click", "purchase")),
+        "rows": rows.filter(F.col("event_type").isin("click", "purchase")),
         "key": F.col("user_id"),
         "order_by": [F.col("ts"), F.col("event_id")],
         "is_left": F.col("event_type") == "click",
@@ -354,70 +368,164 @@ def _ids(pairs: DataFrame) -> DataFrame:
     return pairs.select("key", F.col("left").alias("left_id"), F.col("right").alias("right_id"))
 
 
+def _settled(spark: SparkSession, folder: str) -> ordered_pairing.Settled:
+    clicks = _clicks(tables.table(spark, folder, "events"))
+    return ordered_pairing.settle(clicks.pop("rows"), **clicks)
+
+
 def pair_clicks_purchases(spark: SparkSession, folder: str) -> DataFrame:
-    settled = ordered_pairing.settle(**_clicks(tables.table(spark, folder, "events")))
+    settled = _settled(spark, folder)
     return _ids(settled.pairs())
 
 
 def pending_clicks_purchases(spark: SparkSession, folder: str) -> DataFrame:
-    settled = ordered_pairing.settle(**_clicks(tables.table(spark, folder, "events")))
+    settled = _settled(spark, folder)
     return _ids(settled.open_rows())
 
 
 # Streams, run to the end of what has arrived
 
 
+def _run_orders(spark: SparkSession, root: str, folder: str, arriving: str, **options) -> None:
+    """Streams the requests of one folder into the store at ``root``, as a run of its own."""
+    lookups = tables.saved_lookups(tables.lookups(spark, folder), f"{arriving}-lookups")
+    requests = stream_requests(spark, arriving, files_per_batch=4)
+    query = orders.run_orders(
+        requests, root, lambda: lookups, f"{arriving}-checkpoint", ALL_FILES_NOW, **options
+    )
+    query.awaitTermination()
+
+
+def _log_columns(spark: SparkSession, root: str) -> DataFrame:
+    stored = read_events(spark, root)
+    return stored.select(
+        "do_key", "sequence", "event_name", "event_time", _cents(), "approved", "description"
+    )
+
+
 def stream_order_events(spark: SparkSession, folder: str) -> DataFrame:
     root = new_folder(spark, "orders")
-    arriving = f"{root}/requests"
-    tables.requests(spark, folder).write.parquet(arriving)
-    store = OrderTables(root)
-    requests = stream_requests(spark, arriving, files_per_batch=4)
-    lookups = tables.saved_lookups(tables.lookups(spark, folder), f"{root}/lookups")
-    run_orders(requests, store, lambda: lookups, ALL_FILES_NOW).awaitTermination()
-    stored = read_events(spark, store.events)
-    return stored.select("do_key", "sequence", "event_name", _cents(), "approved", "description")
+    tables.requests(spark, folder).write.parquet(f"{root}-requests")
+    _run_orders(spark, root, folder, f"{root}-requests")
+    return _log_columns(spark, root)
+
+
+def _two_runs(spark: SparkSession, folder: str) -> str:
+    """Store that two streams wrote, each with half of the requests and its own checkpoint."""
+
+    def fill(root: str) -> None:
+        requests = tables.requests(spark, folder)
+        for half in (0, 1):
+            arriving = f"{root}-requests-{half}"
+            requests.filter(F.crc32(F.col("request_id").cast("binary")) % 2 == half).write.parquet(arriving)
+            _run_orders(spark, root, folder, arriving)
+
+    return _once(spark, folder, "two-runs", fill)
+
+
+def stream_two_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return _log_columns(spark, _two_runs(spark, folder))
+
+
+def _repeated(spark: SparkSession, folder: str) -> str:
+    """Store of a stream that every request reaches twice, in batches of its own each time."""
+
+    def fill(root: str) -> None:
+        requests = tables.requests(spark, folder)
+        for _ in range(2):
+            requests.write.mode("append").parquet(f"{root}-requests")
+        _run_orders(spark, root, folder, f"{root}-requests", clock=lambda: METRIC_EPOCH_MS)
+
+    return _once(spark, folder, "repeated", fill)
+
+
+def stream_repeated_requests(spark: SparkSession, folder: str) -> DataFrame:
+    return _log_columns(spark, _repeated(spark, folder))
+
+
+def stream_api_counters(spark: SparkSession, folder: str) -> DataFrame:
+    return orders.counters(spark, _repeated(spark, folder))
+
+
+def retained_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events of orders with odd numbers, after those of even ones were stored and given up."""
+
+    def fill(root: str) -> None:
+        stored = _stored(spark, folder)
+        number = F.split("do_key", "-")[0].cast("bigint")
+        for half in (0, 1):
+            append_events(stored.filter(number % 2 == half), root, "load", half)
+        drop_events_up_to(spark, root, 1)
+
+    root = _once(spark, folder, "retained", fill)
+    return read_events(spark, root).select("do_key", "sequence", "event_name")
 
 
 def stream_order_view(spark: SparkSession, folder: str) -> DataFrame:
-    root = new_folder(spark, "view")
-    stored = replay_events(spark, store_path(spark, folder))
-    checkpoint = f"{root}/checkpoint"
-    maintain_view(stored, f"{root}/view", checkpoint, ALL_FILES_NOW).awaitTermination()
-    return _view_columns(read_view(spark, f"{root}/view"))
+    root, store = new_folder(spark, "view"), _two_runs(spark, folder)
+    kept = MaintainedView(spark, root)
+    follow(
+        spark, store, kept.handle, f"{root}-checkpoint", ALL_FILES_NOW, commits_per_batch=2
+    ).awaitTermination()
+    return _view_columns(kept.view())
 
 
 def stream_combo_credit_reserve(spark: SparkSession, folder: str) -> DataFrame:
-    root, store = new_folder(spark, "combo"), store_path(spark, folder)
-    sides = [stages.side_of(replay_feed(spark, store, n), n) for n in (CREDIT, RESERVE)]
-    pairs = _ordered(
-        pair_streams(*sides, "do_key"),
+    root, store = new_folder(spark, "combo"), _two_runs(spark, folder)
+    fields = ("amount", "approved", "description")
+    kept = Pairing(spark, root, EVENT["do_key"].dataType, T.StructType([EVENT[f] for f in fields]))
+
+    def handle(rows: DataFrame, run: str, batch_id: int) -> None:
+        sides = rows.filter(F.col("event_name").isin(CREDIT, RESERVE))
+        is_left = F.col("event_name") == CREDIT
+        value = F.struct(*[F.col(f) for f in fields])
+        kept.handle(pairing_rows(sides, F.col("do_key"), [F.col("sequence")], is_left, value), run, batch_id)
+
+    follow(
+        spark, store, handle, f"{root}-checkpoint", ALL_FILES_NOW, commits_per_batch=2
+    ).awaitTermination()
+    return kept.pairs().select(
+        F.col("key").alias("order_number"),
         _cents("left.amount"),
         F.col("left.approved").alias("approved"),
         "right.description",
     )
-    query = (
-        pairs.writeStream.foreachBatch(lambda rows, n: write_batch(rows, f"{root}/pairs", n))
-        .option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(**ALL_FILES_NOW)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(pairs.schema).parquet(f"{root}/pairs").drop("batch_id")
+
+
+def _clicks_in_batches(spark: SparkSession, folder: str) -> Pairing:
+    """User events stored in four batches, in the order of time, and paired as they are followed."""
+
+    def pairing_at(root: str) -> Pairing:
+        return Pairing(spark, f"{root}-pairs", T.LongType(), T.LongType())
+
+    def fill(root: str) -> None:
+        rows = tables.table(spark, folder, "events")
+        seconds = F.unix_micros(F.col("ts").cast("timestamp"))
+        cuts = rows.agg(F.percentile_approx(seconds, [0.25, 0.5, 0.75])).first()[0] or []
+        quarter = F.lit(0)
+        for cut in cuts:
+            quarter = quarter + (seconds > cut).cast("int")
+        for batch in range(len(cuts) + 1):
+            batches.append(rows.filter(quarter == batch), root, "user_events", "load", batch)
+
+        def handle(new: DataFrame, run: str, batch_id: int) -> None:
+            pairing_at(root).handle(pairing_rows(**_clicks(new)), run, batch_id)
+
+        follow(
+            spark, root, handle, f"{root}-checkpoint", ALL_FILES_NOW, "user_events", rows.schema, 1
+        ).awaitTermination()
+
+    return pairing_at(_once(spark, folder, "clicks", fill))
 
 
 def stream_pair_clicks_purchases(spark: SparkSession, folder: str) -> DataFrame:
-    root = new_folder(spark, "pairs")
-    # All files in one batch, as their order of arrival is not the order of events. The braces
-    # make the path a pattern, which lets it name a single file.
-    arriving = spark.readStream.schema(tables.TABLES["events"]).parquet(
-        f"{folder}/{{events.parquet}}"
-    )
-    checkpoint = f"{root}/checkpoint"
-    pair_in_arrival_order(
-        **_clicks(arriving), path=root, checkpoint=checkpoint, trigger=ALL_FILES_NOW
-    ).awaitTermination()
-    return _ids(read_pairs(spark, root, T.LongType(), T.LongType()))
+    return _ids(_clicks_in_batches(spark, folder).pairs())
+
+
+def stream_pending_clicks_purchases(spark: SparkSession, folder: str) -> DataFrame:
+    waiting = _clicks_in_batches(spark, folder).open_rows()
+    left, right = F.when(F.col("is_left"), F.col("value")), F.when(~F.col("is_left"), F.col("value"))
+    return waiting.select("key", left.alias("left_id"), right.alias("right_id"))
 
 
 QUERIES: dict[str, Query] = {
@@ -462,10 +570,15 @@ QUERIES: dict[str, Query] = {
         unknown_events,
         pair_clicks_purchases,
         pending_clicks_purchases,
+        retained_events,
         stream_order_events,
+        stream_two_runs,
+        stream_repeated_requests,
+        stream_api_counters,
         stream_order_view,
         stream_combo_credit_reserve,
         stream_pair_clicks_purchases,
+        stream_pending_clicks_purchases,
     )
 }
 HYDRATED = {

@@ -58,7 +58,8 @@ def order_facts(
     """One row per request with everything its events need.
 
     ``created``, ``priced``, ``credited``, ``reserved``, ``paid`` and ``shipped`` tell how far
-    the order got; a request without id is not created. By default denials and shortages do not stop it; ``require_success`` stops them.
+    the order got; a request without id is not created. By default denials and shortages do not
+    stop it; ``require_success`` stops them. All events of an order carry its arrival time.
     """
     rows = requests.withColumn("do_key", order_number(F.col("request_id")))
     for name, (schema, keys) in LOOKUP_TABLES.items():
@@ -86,6 +87,7 @@ def order_facts(
         "item_number",
         "location",
         "quantity",
+        F.col("arrived_ms").alias("event_time"),
         "price_cents",
         cents.alias("amount_cents"),
         approved.alias("approved"),
@@ -125,7 +127,8 @@ def _payload(name: str) -> dict[str, Column]:
 
 def events_of_type(facts: DataFrame, name: str) -> DataFrame:
     """Events of one type."""
-    return facts.filter(F.col(REACHED[name])).select(*event_columns(name, F.col("do_key"), _payload(name)))
+    columns = event_columns(name, F.col("do_key"), _payload(name), F.col("event_time"))
+    return facts.filter(F.col(REACHED[name])).select(*columns)
 
 
 def all_events(facts: DataFrame) -> DataFrame:
@@ -133,7 +136,7 @@ def all_events(facts: DataFrame) -> DataFrame:
     rows = [
         F.when(
             F.col(REACHED[name]),
-            F.struct(*event_columns(name, F.col("do_key"), _payload(name))),
+            F.struct(*event_columns(name, F.col("do_key"), _payload(name), F.col("event_time"))),
         )
         for name in EVENT_TYPES
     ]

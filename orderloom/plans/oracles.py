@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orderloom.plans.catalog import HYDRATED, METRIC_EPOCH_MS
+from orderloom.plans.catalog import HYDRATED, METRIC_EPOCH_MS, SUBSCRIBE_FROM_MS
 from orderloom.schemas import (
     CREATE,
     CREDIT,
@@ -15,26 +15,23 @@ from orderloom.schemas import (
 )
 
 
-def _lookups(prices: str = "true", balances: str = "true", stock: str = "true") -> str:
-    return f"""
+_ORDER = """
 requests AS (
   SELECT l_orderkey || '-' || l_partkey || '-' || l_suppkey AS request_id,
          'A' || o_custkey AS account_number, 'I' || l_partkey AS item_number,
-         'L' || l_suppkey AS location, CAST(sum(l_quantity) AS INTEGER) AS quantity
+         'L' || l_suppkey AS location, CAST(sum(l_quantity) AS INTEGER) AS quantity,
+         epoch_ms(o_orderdate) AS arrived_ms
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  GROUP BY l_orderkey, l_partkey, l_suppkey, o_custkey),
+  GROUP BY l_orderkey, l_partkey, l_suppkey, o_custkey, o_orderdate),
 prices AS (
-  SELECT * FROM (
-    SELECT 'I' || p_partkey AS item_number,
-           CAST(CAST(p_retailprice AS DECIMAL(10,2)) * 100 AS BIGINT) AS price_cents FROM part)
-  WHERE {prices}),
+  SELECT 'I' || p_partkey AS item_number,
+         CAST(CAST(p_retailprice AS DECIMAL(10,2)) * 100 AS BIGINT) AS price_cents FROM part),
 balances AS (
   SELECT 'A' || c_custkey AS account_number, CAST(trunc(c_acctbal) AS BIGINT) AS balance
-  FROM customer WHERE {balances}),
+  FROM customer),
 stock AS (
   SELECT 'I' || l_partkey AS item_number, 'L' || l_suppkey AS location, p_size AS on_hand
-  FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) JOIN part ON l_partkey = p_partkey
-  WHERE {stock}),
+  FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) JOIN part ON l_partkey = p_partkey),
 priced AS (
   SELECT request_id AS do_key, r.*, price_cents, price_cents * quantity AS amount_cents
   FROM requests r JOIN prices USING (item_number)),
@@ -55,12 +52,8 @@ pull AS (
 ship AS (
   SELECT do_key, item_number, location, quantity FROM payment JOIN pull USING (do_key))"""
 
-
-_ORDER = _lookups()
-_PARTIAL = _lookups("price_cents < 99000", "c_acctbal >= 0", "p_size > 5")
-
 _LOG = f"""{_ORDER},
-log AS (
+chain AS (
   SELECT request_id AS do_key, CAST(1 AS BIGINT) AS sequence, '{CREATE}' AS event_name,
          account_number, item_number, location, quantity,
          CAST(NULL AS BIGINT) AS amount_cents, CAST(NULL AS BOOLEAN) AS approved,
@@ -76,7 +69,9 @@ log AS (
   UNION ALL SELECT do_key, 6, '{PULL}', account_number, item_number, location, quantity, NULL,
          NULL, description FROM pull
   UNION ALL SELECT do_key, 7, '{SHIP}', NULL, item_number, location, quantity, NULL,
-         NULL, NULL FROM ship)"""
+         NULL, NULL FROM ship),
+log AS (
+  SELECT c.*, arrived_ms AS event_time FROM chain c JOIN requests ON request_id = do_key)"""
 
 
 def _view(where: str) -> str:
@@ -143,9 +138,30 @@ _PAIRS = f"""{_STEPS}
 SELECT user_id AS key, left_id, right_id FROM steps WHERE left_id IS NOT NULL"""
 
 
+_PENDING = f"""{_STEPS}
+SELECT user_id AS key, CASE WHEN open_left THEN open_id END AS left_id,
+       CASE WHEN NOT open_left THEN open_id END AS right_id
+FROM steps WHERE open_left IS NOT NULL
+  AND rn = (SELECT max(rn) FROM numbered n WHERE n.user_id = steps.user_id)"""
+
+_WHOLE_LOG = f"""WITH {_LOG}
+SELECT do_key, sequence, event_name, event_time, amount_cents, approved, description FROM log"""
+
+
 def _hydrated(name: str) -> str:
     fields = ["amount_cents" if f == "amount" else f for f in EVENT_TYPES[name].fields]
-    return f"WITH {_LOG} SELECT do_key, sequence, {', '.join(fields)} FROM log WHERE event_name = '{name}'"
+    columns = ", ".join(("do_key", "sequence", "event_time", *fields))
+    return f"WITH {_LOG} SELECT {columns} FROM log WHERE event_name = '{name}'"
+
+
+def _unfit() -> str:
+    """Rows that set a column their type does not have, which typed decoding loses."""
+    columns = ("item_number", "location", "account_number", "amount", "quantity", "approved", "description")
+    tests = []
+    for name, event_type in EVENT_TYPES.items():
+        others = ["amount_cents" if c == "amount" else c for c in columns if c not in event_type.fields]
+        tests.append(f"(event_name = '{name}' AND coalesce({', '.join(f'CAST({c} AS VARCHAR)' for c in others)}) IS NOT NULL)")
+    return " OR ".join(tests)
 
 
 ORACLE_SQL: dict[str, str] = {
@@ -158,10 +174,11 @@ LEFT JOIN credit c ON c.do_key = r.request_id LEFT JOIN reserve v ON v.do_key =
 LEFT JOIN ship s ON s.do_key = r.request_id""",
     "order_requests": f"WITH {_ORDER} SELECT * FROM requests",
     "create_order_events": f"""WITH {_LOG}
-SELECT do_key, sequence, event_name, account_number, item_number, location, quantity
+SELECT do_key, sequence, event_name, event_time, account_number, item_number, location, quantity
 FROM log WHERE sequence = 1""",
     "create_order_responses": f"""WITH {_ORDER}
-SELECT request_id, request_id AS order_number FROM requests""",
+SELECT request_id, request_id AS order_number,
+       sha256(request_id || '|{CREATE}') AS correlation_id FROM requests""",
     "price_lookup_events": f"""WITH {_ORDER}
 SELECT do_key AS order_number, item_number, location, quantity, price_cents FROM priced""",
     "enriched_price_events": f"""WITH {_ORDER}
@@ -201,25 +218,25 @@ SELECT do_key AS order_number, item_number, location, quantity FROM ship""",
 SELECT do_key AS order_number, r.item_number, r.location, r.quantity
 FROM credit JOIN reserve r USING (do_key) JOIN pull q USING (do_key)
 WHERE approved AND r.description IS NULL AND q.description IS NULL""",
-    "order_rejects": f"""WITH {_PARTIAL}
-SELECT request_id AS order_number, 'PriceLookup' AS stage, 'no price for item' AS reason
-FROM requests WHERE request_id NOT IN (SELECT do_key FROM priced)
-UNION ALL SELECT do_key, 'CreditCheck', 'no balance for account'
-FROM priced WHERE do_key NOT IN (SELECT do_key FROM credit)
-UNION ALL SELECT do_key, 'ReserveInventory', 'no stock row for item and location'
-FROM priced WHERE do_key NOT IN (SELECT do_key FROM reserve)""",
-    "pending_pairs": f"""WITH {_PARTIAL}
-SELECT coalesce(c.do_key, r.do_key) AS key,
-       CASE WHEN c.do_key IS NULL THEN 'left' ELSE 'right' END AS missing_side
-FROM credit c FULL JOIN reserve r ON c.do_key = r.do_key
-WHERE c.do_key IS NULL OR r.do_key IS NULL""",
+    "order_rejects": """
+SELECT CAST(o_orderkey AS VARCHAR) AS order_number, 'PriceLookup' AS stage, 'no price for item' AS reason
+FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""",
+    "pending_pairs": """
+SELECT coalesce(o_orderkey, l_orderkey) AS key,
+       CASE WHEN o_orderkey IS NULL THEN 'left' ELSE 'right' END AS missing_side
+FROM orders FULL JOIN (SELECT DISTINCT l_orderkey FROM lineitem) ON o_orderkey = l_orderkey
+WHERE o_orderkey IS NULL OR l_orderkey IS NULL""",
     "order_view": _view("true"),
-    "order_view_as_of": _view("sequence <= 1"),
+    "order_view_as_of": _view("sequence <= 4"),
     "order_view_direct": _view("true"),
-    "view_rejects": f"""WITH {_LOG}
-SELECT DISTINCT do_key AS order_number, 'OrderView' AS stage,
-       'changed before it was created' AS reason
-FROM log WHERE sequence IN (2, 4, 6)""",
+    "view_rejects": f"""WITH {_LOG}, both_logs AS (
+  SELECT do_key, sequence FROM log
+  UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 4 FROM orders),
+bounds AS (
+  SELECT do_key, min(sequence) FILTER (sequence = 1) AS created,
+         min(sequence) FILTER (sequence IN (2, 4, 6)) AS used FROM both_logs GROUP BY do_key)
+SELECT do_key AS order_number, 'OrderView' AS stage, 'changed before it was created' AS reason
+FROM bounds WHERE used IS NOT NULL AND (created IS NULL OR created >= used)""",
     "order_descriptions": f"""WITH {_ORDER}
 SELECT request_id AS order_number, 'Order ' || request_id || ' I:' || item_number || ' L:'
        || location || ' A:' || account_number || ' Q:' || quantity AS line
@@ -228,7 +245,7 @@ FROM requests""",
 SELECT do_key, sequence, account_number, amount_cents, approved FROM log WHERE sequence = 3""",
     "subscribe_order_created": f"""WITH {_LOG}
 SELECT do_key AS order_number, account_number, item_number, location, quantity
-FROM log WHERE event_name = '{CREATE}' AND sequence >= 0""",
+FROM log WHERE event_name = '{CREATE}' AND event_time >= {SUBSCRIBE_FROM_MS}""",
     "event_descriptions": f"""WITH {_LOG}, lines AS (
 SELECT do_key AS order_number, sequence, CASE sequence
   WHEN 1 THEN 'CreateOrderEvent for order ' || do_key || ' I:' || coalesce(item_number, 'null')
@@ -241,7 +258,8 @@ SELECT do_key AS order_number, sequence, CASE sequence
 FROM log)
 SELECT * FROM lines WHERE line IS NOT NULL""",
     "event_roundtrip": f"""WITH {_LOG}
-SELECT event_name, count(*) AS n_in, CAST(0 AS BIGINT) AS n_mismatch FROM log GROUP BY event_name""",
+SELECT event_name, count(*) AS n_in, count(*) FILTER ({_unfit()}) AS n_mismatch
+FROM log GROUP BY event_name""",
     "event_store_counts": f"WITH {_LOG} SELECT event_name, count(*) AS n FROM log GROUP BY event_name",
     "stage_metrics": f"""WITH {_LOG}
 SELECT metric, count(do_key) AS n
@@ -265,17 +283,19 @@ FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, ev
 SELECT event_id, event_type FROM events
 WHERE event_type IS NULL OR event_type NOT IN ('click', 'purchase', 'signup', 'view')""",
     "pair_clicks_purchases": _PAIRS,
-    "pending_clicks_purchases": f"""{_STEPS}
-SELECT user_id AS key, CASE WHEN open_left THEN open_id END AS left_id,
-       CASE WHEN NOT open_left THEN open_id END AS right_id
-FROM steps WHERE open_left IS NOT NULL
-  AND rn = (SELECT max(rn) FROM numbered n WHERE n.user_id = steps.user_id)""",
-    "stream_order_events": f"""WITH {_LOG}
-SELECT do_key, sequence, event_name, amount_cents, approved, description FROM log""",
+    "pending_clicks_purchases": _PENDING,
+    "retained_events": f"""WITH {_LOG} SELECT do_key, sequence, event_name FROM log
+WHERE CAST(split_part(do_key, '-', 1) AS BIGINT) % 2 = 1""",
+    **dict.fromkeys(("stream_order_events", "stream_two_runs", "stream_repeated_requests"), _WHOLE_LOG),
+    "stream_api_counters": f"""WITH {_ORDER}, totals AS (
+  SELECT count(*) AS n, CAST(sum({METRIC_EPOCH_MS} - arrived_ms) AS BIGINT) AS elapsed FROM requests)
+SELECT 2 * n AS "IN", n AS "OK", CAST(0 AS BIGINT) AS "FAIL", n AS "COMPLETE",
+       elapsed AS "ELAPSED", CAST(elapsed AS DOUBLE) / nullif(n, 0) AS "LATENCY_OK" FROM totals""",
     "stream_order_view": _view("true"),
     "stream_combo_credit_reserve": f"""WITH {_ORDER}
 SELECT do_key AS order_number, amount_cents, approved, description
 FROM credit JOIN reserve USING (do_key)""",
     "stream_pair_clicks_purchases": _PAIRS,
+    "stream_pending_clicks_purchases": _PENDING,
     **{key: _hydrated(name) for key, name in HYDRATED.items()},
 }

@@ -10,13 +10,13 @@ UNIT_PRICE = T.DecimalType(10, 2)
 AMOUNT = T.DecimalType(21, 2)  # decimal(10,2) * int
 
 # Event names as they are stored, with their place in an order's chain.
-CREATE = "OrderService:CreateOrderEvent"
-PRICE = "OrderService:PriceLookupEvent"
-CREDIT = "OrderService:CreditCheckEvent"
-RESERVE = "OrderService:ReserveInventoryEvent"
-PAYMENT = "OrderService:CollectPaymentEvent"
-PULL = "OrderService:PullInventoryEvent"
-SHIP = "OrderService:ShipOrderEvent"
+CREATE = "CreateOrderEvent"
+PRICE = "PriceLookupEvent"
+CREDIT = "CreditCheckEvent"
+RESERVE = "ReserveInventoryEvent"
+PAYMENT = "CollectPaymentEvent"
+PULL = "PullInventoryEvent"
+SHIP = "ShipOrderEvent"
 
 
 @dataclass(frozen=True)
@@ -27,7 +27,7 @@ class EventType:
 
     @property
     def short_name(self) -> str:
-        return self.name.split(":")[1].removesuffix("Event")
+        return self.name.removesuffix("Event")
 
 
 EVENT_TYPES: dict[str, EventType] = {
@@ -52,6 +52,7 @@ REQUEST = T.StructType(
         T.StructField("item_number", T.StringType()),
         T.StructField("location", T.StringType()),
         T.StructField("quantity", T.IntegerType()),
+        T.StructField("arrived_ms", T.LongType()),  # epoch milliseconds
     ]
 )
 
@@ -73,8 +74,8 @@ EVENT = T.StructType(
 )
 EVENT_COLUMNS = tuple(EVENT.fieldNames())
 
-# The stored table adds the batch that wrote the row; it is a partition column.
-STORED_EVENT = T.StructType([*EVENT.fields, T.StructField("batch_id", T.LongType())])
+# The stored table adds the attempt that wrote the row; it is a partition column.
+STORED_EVENT = T.StructType([*EVENT.fields, T.StructField("attempt", T.StringType())])
 
 ORDER_VIEW = T.StructType(
     [

@@ -1,4 +1,4 @@
-"""Tables written one batch at a time, so that a retried batch replaces itself."""
+"""Event append, keyed upsert, retention, text lines and discard, on tables kept by batch."""
 
 from __future__ import annotations
 
@@ -7,55 +7,81 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderloom.operators.view import latest_per_key
-from orderloom.schemas import EVENT_COLUMNS
+from orderloom.schemas import EVENT, EVENT_COLUMNS
+from orderloom.sinks import batches
 
+EVENTS = "events"
 
-def append_events(events: DataFrame, path: str, batch_id: int) -> None:
-    """Adds one batch of events, in a folder per event type."""
-    _write_batch(events.select(*EVENT_COLUMNS), path, batch_id, "event_name")
 
+def append_events(events: DataFrame, root: str, run: str = "load", batch_id: int = 0) -> bool:
+    """Adds one batch of events, in a folder per event type; False if it is there already."""
+    rows = clustered(events.select(*EVENT_COLUMNS))
+    return batches.append(rows, root, EVENTS, run, batch_id, "event_name")
 
-def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Adds one batch of rows to a table kept by batch."""
-    _write_batch(rows, path, batch_id)
 
+def clustered(events: DataFrame) -> DataFrame:
+    """Events of a type together in few files, whatever the number of tasks that made them.
 
-def _write_batch(rows: DataFrame, path: str, batch_id: int, *partition_by: str) -> None:
-    rows.write.mode("overwrite").partitionBy(*partition_by).parquet(_folder(path, batch_id))
+    The exchange is split where a type is large, so no type waits for one task.
+    """
+    return events.hint("rebalance", "event_name")
 
 
-def upsert(rows: DataFrame, path: str, batch_id: int) -> None:
+def compact_events(spark: SparkSession, root: str) -> None:
+    batches.compact(spark, root, EVENTS, EVENT, clustered, ("event_name",))
+
+
+def drop_events_up_to(spark: SparkSession, root: str, position: int) -> None:
+    """Retention of events only: accepted requests, counters and metrics keep all batches."""
+    batches.retain(spark, root, EVENTS, position)
+
+
+def upsert(rows: DataFrame, root: str, run: str, batch_id: int, table: str = "latest") -> bool:
     """Adds new values for keys; ``read_upserts`` gives the last one of each."""
-    write_batch(rows, path, batch_id)
+    return batches.append(rows, root, table, run, batch_id)
+
+
+def read_upserts(
+    spark: SparkSession, root: str, schema: T.StructType, key: str, table: str = "latest"
+) -> DataFrame:
+    """Last written row of each key, in the given schema.
 
+    Reads what was written since the last ``compact_upserts`` and that snapshot.
+    """
+    return newest(_ranked(spark, root, schema, table), schema, key)
 
-def read_upserts(spark: SparkSession, path: str, schema: T.StructType, key: str) -> DataFrame:
-    """Last written row of each key, in the given schema."""
-    with_batch = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-    rows = spark.read.schema(with_batch).parquet(path)
-    return latest_per_key(rows, key, "batch_id").select(*schema.fieldNames())
 
+def compact_upserts(
+    spark: SparkSession, root: str, schema: T.StructType, key: str, table: str = "latest"
+) -> None:
+    """Replaces all batches by one with the last row of each key."""
+    batches.compact(
+        spark, root, table, schema, lambda _: read_upserts(spark, root, schema, key, table)
+    )
 
-def drop_batches_before(spark: SparkSession, path: str, batch_id: int) -> None:
-    """Retention: deletes the folders of older batches."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(path)
-    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for entry in files.globStatus(hadoop.Path(root, "batch_id=*")):
-        if int(entry.getPath().getName().split("=")[1]) < batch_id:
-            files.delete(entry.getPath(), True)
+
+def _ranked(spark: SparkSession, root: str, schema: T.StructType, table: str) -> DataFrame:
+    """Rows with the position of the batch that wrote them."""
+    marked = T.StructType([*schema.fields, T.StructField("attempt", T.StringType())])
+    places = batches.attempts(spark, root, table)
+    rows = batches.read(spark, root, table, marked, [attempt for _, attempt in places])
+    order = spark.createDataFrame(places, "position bigint, attempt string")
+    return rows.join(F.broadcast(order), "attempt").drop("attempt")
+
+
+def newest(rows: DataFrame, schema: T.StructType, key: str) -> DataFrame:
+    return latest_per_key(rows, key, "position").select(*schema.fieldNames())
 
 
 def write_lines(lines: DataFrame, path: str, column: str = "line") -> None:
-    """Text file sink, one row per line; a line's own closing break is not doubled."""
+    """Text file sink, one row per line; a line's own closing break is not doubled.
+
+    The folder is a new one: what an earlier run wrote is never replaced.
+    """
     text = F.regexp_replace(F.col(column), "\n$", "").alias("value")
-    lines.select(text).write.mode("overwrite").text(path)
+    lines.select(text).write.mode("errorifexists").text(path)
 
 
 def discard(rows: DataFrame) -> None:
     """Runs the plan and drops the rows."""
     rows.write.format("noop").mode("overwrite").save()
-
-
-def _folder(path: str, batch_id: int) -> str:
-    return f"{path}/batch_id={batch_id}"

@@ -1,37 +1,55 @@
-"""Reading the stored events: whole, by type, and as a replayed stream."""
+"""Reading the stored events: whole, by type, from a position, and batch by batch as a stream."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from orderloom.operators.events import event_feed
 from orderloom.schemas import EVENT_COLUMNS, STORED_EVENT
+from orderloom.sinks import batches
+from orderloom.sinks.tables import EVENTS
+from orderloom.streaming.runs import start
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """All stored events with their batch; filters on type and batch prune folders."""
-    return spark.read.schema(STORED_EVENT).parquet(path)
+def read_events(spark: SparkSession, root: str, after: int = 0) -> DataFrame:
+    """All committed events, or those committed after a position; a filter on type prunes folders."""
+    return batches.read(spark, root, EVENTS, STORED_EVENT, after=after)
 
 
-def read_feed(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return event_feed(read_events(spark, path), name).select(*EVENT_COLUMNS)
+def read_feed(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return event_feed(read_events(spark, root), name).select(*EVENT_COLUMNS)
 
 
-def replay_events(
-    spark: SparkSession, path: str, files_per_batch: int = 1000, rewritten: bool = False
-) -> DataFrame:
-    """Stream of stored events from the oldest, for a query with a new checkpoint.
+def follow(
+    spark: SparkSession,
+    root: str,
+    handle: Callable[[DataFrame, str, int], None],
+    checkpoint: str,
+    trigger: dict | None = None,
+    table: str = EVENTS,
+    schema: T.StructType = STORED_EVENT,
+    commits_per_batch: int = 1000,
+) -> StreamingQuery:
+    """Stream of a stored table from the oldest batch: ``handle(rows, run, batch_id)``.
 
-    A batch that was retried has its files rewritten, and a stream may see both versions. Set
-    ``rewritten`` to drop the second: it keeps every event key in state.
+    The stream follows the commit log, so it sees each batch once, whole, and lists no other
+    folders. A batch that retention or compaction has replaced is read as long as its files exist.
     """
-    events = (
-        spark.readStream.schema(STORED_EVENT)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(path)
+    batches.open_store(spark, root)
+    log = (
+        spark.readStream.schema(batches.COMMIT)
+        .option("maxFilesPerTrigger", commits_per_batch)
+        .parquet(f"{root}/commits")
     )
-    return events.dropDuplicates(["do_key", "sequence"]) if rewritten else events
 
+    def each(commits: DataFrame, run: str, batch_id: int) -> None:
+        own = F.array_contains("tables", table) & (F.size("replaces") == 0)
+        new = commits.filter(own).orderBy("position").select("attempt").collect()
+        handle(batches.read(spark, root, table, schema, [r["attempt"] for r in new]), run, batch_id)
 
-def replay_feed(spark: SparkSession, path: str, name: str, **options) -> DataFrame:
-    return event_feed(replay_events(spark, path, **options), name)
+    return start(log, each, checkpoint, trigger)

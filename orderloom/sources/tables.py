@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.plans.lifecycle import Lookups
+from orderloom.operators.lookup import most_copies
+from orderloom.plans.lifecycle import LOOKUP_TABLES, Lookups
 
 # Columns used here; a given schema spares the scan of every file's footer.
 TABLES = {
@@ -28,10 +29,10 @@ def _labelled(prefix: str, key: str) -> Column:
     return F.concat(F.lit(prefix), F.col(key).cast("string"))
 
 
-def requests(spark: SparkSession, folder: str) -> DataFrame:
-    """One order request per order, part and supplier.
+def requests(spark: SparkSession, folder: str, how: str = "inner") -> DataFrame:
+    """One order request per order, part and supplier, which arrives on the order's date.
 
-    Line items are summed before the join with orders, so an order with very many lines is
+    With ``how="right"`` an order without line items makes a request that names no item. Line items are summed before the join with orders, so an order with very many lines is
     combined on the map side and its requests spread over the shuffle by all three keys.
     """
     lines = (
@@ -39,13 +40,14 @@ def requests(spark: SparkSession, folder: str) -> DataFrame:
         .groupBy("l_orderkey", "l_partkey", "l_suppkey")
         .agg(F.sum("l_quantity").cast("int").alias("quantity"))
     )
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey").alias("request_id"),
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), how).select(
+        F.concat_ws("-", "o_orderkey", "l_partkey", "l_suppkey").alias("request_id"),
         _labelled("A", "o_custkey").alias("account_number"),
         _labelled("I", "l_partkey").alias("item_number"),
         _labelled("L", "l_suppkey").alias("location"),
         "quantity",
+        _epoch_ms(F.col("o_orderdate")).alias("arrived_ms"),
     )
 
 
@@ -59,24 +61,28 @@ def lookups(spark: SparkSession, folder: str) -> Lookups:
     )
 
 
-def partial_lookups(spark: SparkSession, folder: str) -> Lookups:
-    """Lookups with gaps: no price from 990 on, no balance in debt, no stock of small parts."""
-    full = lookups(spark, folder)
-    return full._replace(
-        prices=full.prices.filter(F.col("price_cents") < 99_000),
-        balances=balances(table(spark, folder, "customer").filter(F.col("c_acctbal") >= 0)),
-        stock=full.stock.filter(F.col("on_hand") > 5),
-    )
-
-
 def saved_lookups(full: Lookups, path: str) -> Lookups:
-    """The lookups written once and read back, for a stream that joins them in every batch."""
+    """One version of the lookups, written and checked once, for a stream that joins them in
+    every batch: the joins then need not look for repeated keys again."""
     read = {}
-    for name in ("prices", "balances", "stock"):
+    for name, (_, keys) in LOOKUP_TABLES.items():
         rows = getattr(full, name)
         rows.write.parquet(f"{path}/{name}")
         read[name] = rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/{name}")
-    return full._replace(**read)
+        if name in full.check and most_copies(read[name], keys).first()["copies"] > 1:
+            raise ValueError(f"lookup by {', '.join(keys)} has a repeated key")
+    return full._replace(**read, check=())
+
+
+def placed(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as one side of a pairing."""
+    return table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+
+
+def shipped(spark: SparkSession, folder: str) -> DataFrame:
+    """First shipment of each order that has line items, as the other side."""
+    lines = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey"))
+    return lines.agg(F.min("l_shipdate").alias("shipped"))
 
 
 def prices(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,152 +1,176 @@
-"""Order lifecycle over a request stream, one idempotent micro-batch at a time."""
+"""Order lifecycle over a request stream, one micro-batch at a time, each stored exactly once."""
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from orderloom.operators.counters import STAGE_METRICS, counter_row, metric_lines
-from orderloom.operators.events import create_order_responses, event_feed
-from orderloom.plans.lifecycle import Lookups, all_events, all_rejects, order_facts
-from orderloom.schemas import CREATE
-from orderloom.sinks.tables import append_events, write_batch, write_lines
-from orderloom.sources.event_store import read_events
+from orderloom.operators.events import create_order_responses
+from orderloom.plans.lifecycle import REACHED, Lookups, all_events, all_rejects, order_facts
+from orderloom.schemas import CREATE, EVENT_COLUMNS, EVENT_TYPES, REJECT, REQUEST
+from orderloom.sinks import batches
+from orderloom.sinks.tables import EVENTS, clustered
+from orderloom.streaming.runs import start
 
+# Tables below the root of a deployment, beside the events.
+ACCEPTED, REJECTS, RESPONSES = "accepted", "rejects", "responses"
+JOB_METRICS, COUNTS, METRICS = "job_metrics", "api_counts", "metrics"
+RESPONSE = "request_id string, order_number string, correlation_id string"
+JOB_METRIC = "metric string, n bigint"
+COUNT = "IN bigint, OK bigint, ELAPSED bigint"
+METRIC = "epoch_ms bigint, name string, value string, line string"
 
-@dataclass(frozen=True)
-class OrderTables:
-    """Folders of one deployment, all under one shared root."""
+DIFFERS = "differs from the request accepted under its id"
+_PAYLOAD = [c for c in REQUEST.fieldNames() if c not in ("request_id", "arrived_ms")]
 
-    root: str
 
-    @property
-    def events(self) -> str:
-        return f"{self.root}/order_events"
+def _schema(ddl: str) -> T.StructType:
+    return T.StructType.fromDDL(ddl)
 
-    @property
-    def rejects(self) -> str:
-        return f"{self.root}/rejects"
 
-    @property
-    def responses(self) -> str:
-        return f"{self.root}/responses"
+def now_ms() -> int:
+    return int(time.time() * 1000)
 
-    @property
-    def job_metrics(self) -> str:
-        return f"{self.root}/job_metrics"
 
-    @property
-    def counters(self) -> str:
-        return f"{self.root}/api_counters"
+def accept(deliveries: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests to handle, and rejects for deliveries that differ from the one that counts.
 
-    @property
-    def metrics(self) -> str:
-        return f"{self.root}/metric_lines"
-
-    @property
-    def checkpoint(self) -> str:
-        return f"{self.root}/checkpoints/orders"
-
-
-def one_per_id(requests: DataFrame) -> DataFrame:
-    """Each request id once, and all requests without id, which are rejected later.
-
-    Of deliveries that differ the smallest is kept, so that a task or a batch that runs again
-    keeps the same one.
+    The rule is the same within and across batches: the first accepted request of an id stands. In
+    one batch that is the one that arrived first, and of those the smallest. An equal delivery is a
+    repeat and leaves no trace; one without id counts each time and is rejected by the chain.
+    ``known`` are the requests accepted before; only those with an id of this batch are kept.
     """
     has_id = F.col("request_id").isNotNull()
-    fields = [c for c in requests.columns if c != "request_id"]
-    kept = requests.filter(has_id).groupBy("request_id")
-    kept = kept.agg(F.min(F.struct(*fields)).alias("kept")).select("request_id", "kept.*")
-    return kept.unionByName(requests.filter(~has_id))
-
-
-def drop_known(requests: DataFrame, stored: DataFrame, batch_id: int) -> DataFrame:
-    """Requests with an id that no earlier batch has stored, each id once.
-
-    Of the stored table only the order numbers of Create events are read. A semi join first
-    cuts them down to the ids of this batch; while those are under the broadcast threshold the
-    history is scanned but not shuffled.
-    """
-    known = event_feed(stored, CREATE).filter(F.col("batch_id") < batch_id)
-    known = known.select(F.col("do_key").alias("request_id"))
-    again = known.join(requests.select("request_id"), "request_id", "left_semi")
-    return one_per_id(requests.join(again, "request_id", "left_anti"))
+    # Payloads that differ are few, so the ids of a batch come together as one row each.
+    distinct = deliveries.filter(has_id).groupBy("request_id", *_PAYLOAD).agg(F.min("arrived_ms").alias("arrived_ms"))
+    order = F.struct(F.coalesce("arrived_ms", F.lit(2**63 - 1)).alias("at"), *_PAYLOAD, "arrived_ms")
+    first = distinct.groupBy("request_id").agg(F.min(order).alias("first"))
+    old = known.join(first.select("request_id"), "request_id", "left_semi")
+    old = old.select("request_id", F.struct(*_PAYLOAD).alias("old"))
+    judged = first.join(old, "request_id", "left")
+    new = judged.filter(F.col("old").isNull()).select("request_id", *[f"first.{c}" for c in _PAYLOAD], "first.arrived_ms")
+    standing = judged.select("request_id", F.coalesce("old", F.struct(*[f"first.{c}" for c in _PAYLOAD])).alias("stands"))
+    odd = distinct.join(standing, "request_id").filter(~F.struct(*_PAYLOAD).eqNullSafe(F.col("stands")))
+    rejects = odd.select(
+        F.col("request_id").alias("do_key"),
+        F.lit(EVENT_TYPES[CREATE].short_name).alias("stage"),
+        F.lit(DIFFERS).alias("reason"),
+    )
+    return new.select(*REQUEST.fieldNames()).unionByName(deliveries.filter(~has_id)), rejects
 
 
 def process_batch(
-    requests: DataFrame,
+    deliveries: DataFrame,
+    root: str,
+    run: str,
     batch_id: int,
-    tables: OrderTables,
     lookups: Lookups,
     require_success: bool = False,
-) -> None:
-    """Runs all steps on one batch of requests and replaces that batch in every table.
+    clock: Callable[[], int] = now_ms,
+) -> bool:
+    """Runs all steps on one batch of deliveries and commits all its tables together.
 
-    The counts of events come out of the write that stores them, so they cost no extra job.
+    A batch that its run has committed before is left as it is. IN counts deliveries, OK the orders
+    made, and ELAPSED adds up the time of each from its request's arrival to the end of the batch.
     """
-    spark = requests.sparkSession
-    started = time.time()
-    if batch_id > 0:
-        requests = drop_known(requests, read_events(spark, tables.events), batch_id)
-    else:
-        requests = one_per_id(requests)
+    spark = deliveries.sparkSession
+    if batches.is_committed(spark, root, run, batch_id):
+        return False
+    batch = batches.Batch(spark, root, run, batch_id)
+    deliveries = deliveries.select(*REQUEST.fieldNames())
+    known = batches.read(spark, root, ACCEPTED, REQUEST)
+    requests, differing = accept(deliveries, known)
     facts = order_facts(requests, lookups, require_success).persist()
-    observed = Observation()
+    created = F.col("created")
     counts = [
-        F.count_if(F.col("event_name") == event).alias(metric)
-        for metric, event in STAGE_METRICS.items()
+        *[F.count_if(F.col(REACHED[event])).alias(metric) for metric, event in STAGE_METRICS.items()],
+        F.count_if(created).alias("orders"),
+        F.count_if(created & F.col("event_time").isNotNull()).alias("timed"),
+        F.coalesce(F.sum(F.when(created, F.col("event_time"))), F.lit(0)).alias("arrived"),
     ]
     try:
-        append_events(all_events(facts).observe(observed, *counts), tables.events, batch_id)
-        write_batch(all_rejects(facts), tables.rejects, batch_id)
-        write_batch(create_order_responses(facts), tables.responses, batch_id)
+        batch.write(clustered(all_events(facts).select(*EVENT_COLUMNS)), EVENTS, "event_name")
+        batch.write(all_rejects(facts).unionByName(differing).select(*REJECT.fieldNames()), REJECTS)
+        accepted = facts.filter("created").select(
+            "request_id", "account_number", "item_number", "location", "quantity", F.col("event_time").alias("arrived_ms")
+        )
+        batch.write(create_order_responses(accepted), RESPONSES)
+        batch.write(accepted, ACCEPTED)
+        seen = facts.agg(*counts).first().asDict()
     finally:
         facts.unpersist()
-    metrics = {metric: observed.get.get(metric, 0) for metric in STAGE_METRICS}
-    write_batch(
-        spark.createDataFrame(list(metrics.items()), "metric string, n bigint"),
-        tables.job_metrics,
-        batch_id,
-    )
-    # All requests of a batch arrive and complete with it, so each takes the batch's time.
-    orders = metrics["COP.completions"]
-    elapsed = int((time.time() - started) * 1000)
-    row = [(orders, orders, orders * elapsed)]
-    totals = spark.createDataFrame(row, "IN bigint, OK bigint, ELAPSED bigint")
-    write_batch(totals, tables.counters, batch_id)
+    metrics = [(metric, seen[metric]) for metric in STAGE_METRICS]
+    batch.write(spark.createDataFrame(metrics, JOB_METRIC).coalesce(1), JOB_METRICS)
+    orders, delivered, stop = seen["orders"], deliveries.count(), clock()
+    elapsed = seen["timed"] * stop - seen["arrived"]
+    row = spark.createDataFrame([(delivered, orders, elapsed)], COUNT).coalesce(1)
+    batch.write(row, COUNTS)
+    totals = counters(spark, root, row)
+    snapshot = metric_lines(totals, stop).select(F.lit(stop).cast("bigint").alias("epoch_ms"), "name", "value", "line")
+    batch.write(snapshot.coalesce(1), METRICS)
+    batch.commit()
+    return True
 
 
 def run_orders(
     requests: DataFrame,
-    tables: OrderTables,
+    root: str,
     lookups: Callable[[], Lookups],
+    checkpoint: str,
     trigger: dict | None = None,
     require_success: bool = False,
+    clock: Callable[[], int] = now_ms,
 ) -> StreamingQuery:
-    """Starts the stream. ``lookups`` is called for every batch, so it can be current."""
-    spark = requests.sparkSession
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        process_batch(batch, batch_id, tables, lookups(), require_success)
-        stamp = int(time.time() * 1000)
-        write_lines(metric_lines(counters(spark, tables), stamp), tables.metrics)
-
-    return (
-        requests.writeStream.foreachBatch(each)
-        .option("checkpointLocation", tables.checkpoint)
-        .trigger(**(trigger or {"processingTime": "5 seconds"}))
-        .start()
+    """Starts the stream. ``lookups`` is called for every batch, so it can be current.
+
+    Pass lookups whose keys are checked already (``saved_lookups``): a batch then joins each table
+    once and scans none to check it.
+    """
+    return start(
+        requests,
+        lambda rows, run, n: process_batch(rows, root, run, n, lookups(), require_success, clock),
+        checkpoint,
+        trigger,
     )
 
 
-def counters(spark: SparkSession, tables: OrderTables) -> DataFrame:
-    """API counters over all batches; each batch adds its own row."""
-    rows = spark.read.schema("IN bigint, OK bigint, ELAPSED bigint").parquet(tables.counters)
-    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("IN", "OK", "ELAPSED")]
-    return counter_row(rows.agg(*sums))
+def compact_orders(spark: SparkSession, root: str) -> None:
+    """Puts the small files of many batches together; readers and streams go on as before."""
+    for table, schema in ((ACCEPTED, REQUEST), (REJECTS, REJECT), (RESPONSES, _schema(RESPONSE))):
+        batches.compact(spark, root, table, schema)
+    batches.compact(spark, root, COUNTS, _schema(COUNT), lambda rows: rows.agg(*_sums()))
+
+
+def _sums() -> list:
+    return [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("IN", "OK", "ELAPSED")]
+
+
+def counters(spark: SparkSession, root: str, more: DataFrame | None = None) -> DataFrame:
+    """API counters over all batches, whatever retention did to the events."""
+    rows = batches.read(spark, root, COUNTS, _schema(COUNT))
+    rows = rows if more is None else rows.unionByName(more)
+    return counter_row(rows.agg(*_sums()))
+
+
+def rejects(spark: SparkSession, root: str) -> DataFrame:
+    return batches.read(spark, root, REJECTS, REJECT)
+
+
+def responses(spark: SparkSession, root: str) -> DataFrame:
+    return batches.read(spark, root, RESPONSES, _schema(RESPONSE))
+
+
+def job_metrics(spark: SparkSession, root: str) -> DataFrame:
+    rows = batches.read(spark, root, JOB_METRICS, _schema(JOB_METRIC))
+    return rows.groupBy("metric").agg(F.sum("n").alias("n"))
+
+
+def metric_series(spark: SparkSession, root: str) -> DataFrame:
+    """The snapshots of all batches, each with its time."""
+    return batches.read(spark, root, METRICS, _schema(METRIC))

@@ -1,32 +1,49 @@
-"""Order view and last values kept up to date from a stream."""
+"""Order view kept up to date batch by batch."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
 
-from orderloom.operators.view import fold, view_rows
-from orderloom.schemas import ORDER_VIEW
-from orderloom.sinks.tables import read_upserts, upsert
+from orderloom.operators.view import as_state, fold_states, reject_rows, state_schema, unfold, view_rows
+from orderloom.sinks import batches
+from orderloom.sinks.tables import compact_upserts, read_upserts
 
+STATES = "states"
+COMPACT_EVERY = 50
 
-def maintain_view(
-    events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
-) -> StreamingQuery:
-    """Folds a stream of events and writes the orders each batch changed.
 
-    The state is the view itself, one row per order; with many orders run it on the RocksDB
-    state store (``spark.sql.streaming.stateStore.providerClass``).
+class MaintainedView:
+    """The fold's state of each order, in a store of its own, from which view and rejects follow.
+
+    A batch folds its events, joins the states of the orders it touches, and writes those orders
+    anew. An order whose log turns out malformed later leaves the view then, since the view is read
+    from the last state of each order. Every ``COMPACT_EVERY`` batches the last states become one
+    snapshot, which bounds what a reader has to fold.
     """
-    return (
-        fold(events).writeStream.outputMode("update")
-        .foreachBatch(lambda batch, batch_id: upsert(view_rows(batch), path, batch_id))
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"processingTime": "5 seconds"}))
-        .start()
-    )
-
-
-def read_view(spark: SparkSession, path: str) -> DataFrame:
-    """Current view: the last written row of each order."""
-    return read_upserts(spark, path, ORDER_VIEW, "order_number")
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root, self.schema = spark, root, state_schema()
+
+    def handle(self, events: DataFrame, run: str, batch_id: int) -> bool:
+        if batches.is_committed(self.spark, self.root, run, batch_id):
+            return False
+        new = fold_states(as_state(events)).persist()
+        try:
+            old = self.states().join(new.select("do_key"), "do_key", "left_semi")
+            batches.append(fold_states(new.unionByName(old)), self.root, STATES, run, batch_id)
+        finally:
+            new.unpersist()
+        if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
+            compact_upserts(self.spark, self.root, self.schema, "do_key", STATES)
+        return True
+
+    def states(self) -> DataFrame:
+        return read_upserts(self.spark, self.root, self.schema, "do_key", STATES)
+
+    def view(self) -> DataFrame:
+        """Current view: one row of each well-formed order."""
+        return view_rows(unfold(self.states()))
+
+    def rejects(self) -> DataFrame:
+        """Orders that were changed before they were created."""
+        return reject_rows(unfold(self.states()))

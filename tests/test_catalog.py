@@ -12,7 +12,7 @@ def con(small):
     return connect(small)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, small, con, name):
     sql = contract.oracle_sql()
     assert differences(spark, con, contract.queries()[name], sql[name], small) == ""

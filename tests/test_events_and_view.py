@@ -20,6 +20,7 @@ from orderloom.schemas import (
 )
 from orderloom.sources.requests import literal_events
 
+# Plain example values, one event of each type.
 CHAIN = [
     {"event_name": CREATE, "account_number": "2", "item_number": "3", "location": "4", "quantity": 5},
     {"event_name": PRICE, "item_number": "2", "location": "3", "quantity": 4, "amount": Decimal("5.67")},
@@ -141,6 +142,8 @@ def test_one_very_long_chain(spark):
 def test_round_trip_and_mismatch(spark):
     clean = {r.event_name: (r.n_in, r.n_mismatch) for r in ev.round_trip_mismatches(chain(spark)).collect()}
     assert clean == {name: (1, 0) for name in EVENT_TYPES}
+    timed = ev.round_trip_mismatches(chain(spark, [{**row, "event_time": 7} for row in CHAIN]))
+    assert {r.n_mismatch for r in timed.collect()} == {0}
     # A Ship event has no account, so one that carries it does not survive typed encoding.
     odd = chain(spark, [*CHAIN[:6], {**CHAIN[6], "account_number": "x"}])
     found = {r.event_name: r.n_mismatch for r in ev.round_trip_mismatches(odd).collect()}
@@ -153,15 +156,19 @@ def test_feed_subscription_and_unknown(spark):
     assert ev.subscribe_order_created(events).columns == [
         "order_number", "account_number", "item_number", "location", "quantity",
     ]
-    assert ev.subscribe_order_created(events, from_offset=1).count() == 1
-    assert ev.subscribe_order_created(events, from_offset=2).count() == 0
+    timed = events.withColumn("event_time", F.col("sequence") * 10)
+    later = timed.unionByName(timed.withColumn("event_time", F.col("event_time") + 500))
+    assert ev.subscribe_order_created(later).count() == 2
+    assert ev.subscribe_order_created(later, from_ms=510).count() == 1
+    assert ev.subscribe_order_created(later, from_ms=511).count() == 0
+    assert ev.subscribe_order_created(events, from_ms=0).count() == 0  # no time, before any offset
     assert sorted(r.sequence for r in ev.unknown_events(events).collect()) == [8, 9]
 
 
 def test_hydrated_columns(spark):
     for name, event_type in EVENT_TYPES.items():
         typed = ev.hydrate(chain(spark), name)
-        assert typed.columns == ["do_key", "sequence", *event_type.fields]
+        assert typed.columns == ["do_key", "sequence", "event_time", *event_type.fields]
         assert typed.count() == 1
 
 

@@ -13,7 +13,7 @@ from orderloom.plans.lifecycle import all_events, lifecycle_summary, order_facts
 from orderloom.sources import tables
 from orderloom.sources.event_store import read_events
 from orderloom.sources.requests import read_requests
-from orderloom.streaming.orders import drop_known
+from orderloom.streaming.orders import accept
 
 
 def plan_of(df):
@@ -79,17 +79,33 @@ def test_filters_reach_the_scan(spark, small):
     assert "PushedFilters: [Or(IsNull(event_type)" in plan_of(unknown)
 
 
-def test_repeats_are_found_without_shuffling_the_history(spark, small, tmp_path):
-    arrived = str(tmp_path / "requests")
+def test_a_batch_reads_the_accepted_requests_once_and_no_lookup_twice(spark, small, tmp_path):
+    """Ids of the batch go to the history, which is not shuffled; checked lookups are scanned once."""
+    arrived, kept = str(tmp_path / "requests"), str(tmp_path / "accepted")
     tables.requests(spark, small).write.parquet(arrived)
-    stored = read_events(spark, catalog.store_path(spark, small))
-    fresh = drop_known(read_requests(spark, arrived), stored, 1)
-    plan = plan_of(fresh)
-    assert "LeftSemi, BuildRight" in plan and "LeftAnti" in plan
-    scan = next(line for line in plan.splitlines() if "FileScan" in line and "do_key" in line)
-    assert re.search(r"FileScan parquet \[do_key#\d+,batch_id#\d+L,event_name#\d+\]", scan)
-    assert plan.count("Exchange hashpartitioning") == 1  # the batch's own ids
-    assert fresh.count() == 0
+    read_requests(spark, arrived).write.parquet(kept)
+    new, rejects = accept(read_requests(spark, arrived).limit(50).cache(), read_requests(spark, kept))
+    assert new.count() == 0 and rejects.count() == 0
+    plan = plan_of(new)
+    assert "LeftSemi, BuildRight" in plan
+    lookups = tables.saved_lookups(tables.lookups(spark, small), str(tmp_path / "lookups"))
+    assert lookups.check == ()
+    plan = plan_of(order_facts(read_requests(spark, arrived), lookups))
+    for column in ("price_cents", "balance", "on_hand"):
+        assert len(re.findall(rf"ReadSchema: struct<[^>\n]*{column}", plan)) == 1
+    assert "Subquery" not in plan
+
+
+def test_saved_lookups_reject_a_repeated_key(spark, small, tmp_path):
+    lookups = tables.lookups(spark, small)
+    doubled = lookups._replace(prices=lookups.prices.union(lookups.prices.limit(1)))
+    with pytest.raises(ValueError, match="item_number"):
+        tables.saved_lookups(doubled, str(tmp_path / "lookups"))
+
+
+def test_subscription_offset_is_pushed_to_the_files(spark, small):
+    feed = catalog.QUERIES["subscribe_order_created"](spark, small)
+    assert "GreaterThanOrEqual(event_time" in plan_of(feed)
 
 
 class _Context:

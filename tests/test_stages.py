@@ -21,19 +21,20 @@ from orderloom.schemas import (
     SHIP,
     STOCK,
 )
+from conftest import gappy_lookups
 from orderloom.sources import tables
 
 REQUESTS = [
-    ("ok", "rich", "item", "here", 2),
-    ("poor", "broke", "item", "here", 2),
-    ("short", "rich", "item", "here", 99),
-    ("no-price", "rich", "odd", "here", 1),
-    ("no-account", "ghost", "item", "here", 1),
-    ("no-stock", "rich", "item", "away", 1),
-    ("no-both", "ghost", "item", "away", 1),
-    ("null-item", "rich", None, "here", 1),
-    (None, "rich", "item", "here", 1),
-    (None, "broke", "odd", "away", 2),
+    ("ok", "rich", "item", "here", 2, 1000),
+    ("poor", "broke", "item", "here", 2, 1000),
+    ("short", "rich", "item", "here", 99, 1000),
+    ("no-price", "rich", "odd", "here", 1, 1000),
+    ("no-account", "ghost", "item", "here", 1, 1000),
+    ("no-stock", "rich", "item", "away", 1, 1000),
+    ("no-both", "ghost", "item", "away", 1, 1000),
+    ("null-item", "rich", None, "here", 1, 1000),
+    (None, "rich", "item", "here", 1, None),
+    (None, "broke", "odd", "away", 2, None),
 ]
 
 
@@ -87,7 +88,7 @@ def test_stages_agree_with_one_pass(requests, lookups):
 
 def test_stages_agree_with_one_pass_on_data(spark, small):
     requests = tables.requests(spark, small)
-    lookups = tables.partial_lookups(spark, small)
+    lookups = gappy_lookups(spark, small)
     facts = order_facts(requests, lookups)
     events, rejects = step_by_step(requests, lookups)
     assert rows(events, *EVENT_COLUMNS) == rows(all_events(facts), *EVENT_COLUMNS)

@@ -7,6 +7,7 @@ from orderloom.operators import counters
 from orderloom.operators import events as ev
 from orderloom.plans.lifecycle import all_events, events_of_type, order_facts
 from orderloom.schemas import CREATE, CREDIT, EVENT_TYPES, REQUEST
+from orderloom.sinks import batches
 from orderloom.sinks import tables as sink
 from orderloom.sources import tables
 from orderloom.sources.event_store import read_events, read_feed
@@ -21,35 +22,67 @@ def facts(spark, small):
 @pytest.fixture(scope="module")
 def store(spark, facts, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("store") / "events")
-    sink.append_events(all_events(facts), path, 0)
+    sink.append_events(all_events(facts), path)
     return path
 
 
-def test_retried_batch_replaces_itself(spark, facts, tmp_path):
+def test_a_committed_batch_is_written_once(spark, facts, tmp_path):
+    path, n = str(tmp_path / "events"), facts.count()
+    assert [sink.append_events(all_events(facts), path, "a", b) for b in (0, 1, 1)] == [True, True, False]
+    assert read_events(spark, path).count() == 2 * 7 * n
+    # Another run with the same numbers adds its batches and touches no other's.
+    assert sink.append_events(events_of_type(facts, CREATE), path, "b", 0)
+    assert read_events(spark, path).count() == 2 * 7 * n + n
+    assert read_events(spark, path, after=2).count() == n
+    assert [p for p, _ in batches.attempts(spark, path, sink.EVENTS)] == [1, 2, 3]
+
+
+def test_a_failed_attempt_is_never_read(spark, facts, tmp_path):
+    path, n = str(tmp_path / "events"), facts.count()
+    sink.append_events(all_events(facts), path, "a", 0)
+    reader = read_events(spark, path)
+    lost = batches.Batch(spark, path, "a", 1)
+    lost.write(all_events(facts), sink.EVENTS, "event_name")  # ends before its commit
+    assert read_events(spark, path).count() == 7 * n
+    sink.append_events(events_of_type(facts, CREATE), path, "a", 1)
+    assert read_events(spark, path).count() == 8 * n
+    assert reader.count() == 7 * n  # a reader keeps the batches it started with
+
+
+def test_compaction_keeps_rows_and_order(spark, facts, tmp_path):
+    path, n = str(tmp_path / "events"), facts.count()
+    for batch in range(3):
+        sink.append_events(events_of_type(facts, CREATE), path, "a", batch)
+    sink.compact_events(spark, path)
+    assert [p for p, _ in batches.attempts(spark, path, sink.EVENTS)] == [3]
+    assert read_events(spark, path).count() == 3 * n
+    batches.vacuum(spark, path, sink.EVENTS)
+    assert read_events(spark, path).count() == 3 * n
+    assert not sink.append_events(events_of_type(facts, CREATE), path, "a", 1)
+    sink.append_events(all_events(facts), path, "a", 3)
+    assert read_feed(spark, path, CREATE).count() == 4 * n
+
+
+def test_nothing_stored_reads_as_nothing(spark, tmp_path):
     path = str(tmp_path / "events")
-    for batch in (0, 1, 1):
-        sink.append_events(all_events(facts), path, batch)
-    assert read_events(spark, path).count() == 2 * 7 * facts.count()
-    # A retry that has fewer types leaves nothing of the first attempt behind.
-    sink.append_events(events_of_type(facts, CREATE), path, 1)
-    counts = read_events(spark, path).groupBy("batch_id").count().collect()
-    assert sorted((r.batch_id, r["count"]) for r in counts) == [
-        (0, 7 * facts.count()), (1, facts.count()),
-    ]
+    assert read_events(spark, path).count() == 0
+    sink.append_events(read_events(spark, path), path)
+    assert read_events(spark, path).count() == 0
 
 
 def test_feed_reads_one_folder_and_its_columns(spark, store):
     feed = ev.hydrate(read_events(spark, store), CREDIT)
     plan = feed._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(event_name" in plan
-    assert "ReadSchema: struct<do_key:string,sequence:bigint,account_number:string,amount" in plan
+    assert "ReadSchema: struct<do_key:string,sequence:bigint,event_time:bigint,account_number:string,amount" in plan
     assert read_feed(spark, store, CREDIT).select("event_name").distinct().count() == 1
 
 
 def test_store_as_sql_table(spark, store, facts):
     spark.sql("DROP TABLE IF EXISTS kept_events")
-    ev.create_event_table(spark, "kept_events", store)
-    ev.create_event_table(spark, "kept_events", store)
+    for _ in range(2):
+        known = [attempt for _, attempt in batches.attempts(spark, store, sink.EVENTS)]
+        ev.create_event_table(spark, "kept_events", known, f"{store}/{sink.EVENTS}")
     found = spark.sql("SELECT event_name, count(*) AS n FROM kept_events GROUP BY event_name")
     assert {r.event_name: r.n for r in found.collect()} == dict.fromkeys(EVENT_TYPES, facts.count())
     spark.sql("DROP TABLE kept_events")
@@ -58,23 +91,29 @@ def test_store_as_sql_table(spark, store, facts):
 def test_retention(spark, facts, tmp_path):
     path = str(tmp_path / "events")
     for batch in (0, 1, 2):
-        sink.append_events(events_of_type(facts, CREATE), path, batch)
-    sink.drop_batches_before(spark, path, 2)
-    assert [r.batch_id for r in read_events(spark, path).select("batch_id").distinct().collect()] == [2]
+        sink.append_events(events_of_type(facts, CREATE), path, "a", batch)
+    sink.drop_events_up_to(spark, path, 2)
+    sink.drop_events_up_to(spark, path, 2)
+    batches.vacuum(spark, path, sink.EVENTS)
+    assert [p for p, _ in batches.attempts(spark, path, sink.EVENTS)] == [3]
+    assert read_events(spark, path).count() == facts.count()
 
 
 def test_upserts_keep_the_last_value(spark, tmp_path):
     path = str(tmp_path / "latest")
     schema = spark.createDataFrame([], "k string, v int").schema
     for batch, rows in enumerate([[("a", 1), ("b", 1)], [("a", 2)], [("a", None)]]):
-        sink.upsert(spark.createDataFrame(rows, schema), path, batch)
-    found = sink.read_upserts(spark, path, schema, "k").collect()
-    assert sorted((r.k, r.v) for r in found) == [("a", None), ("b", 1)]
-    assert schema.fieldNames() == ["k", "v"]
+        sink.upsert(spark.createDataFrame(rows, schema), path, "a", batch)
+    assert not sink.upsert(spark.createDataFrame([("a", 9)], schema), path, "a", 1)
+    for _ in range(2):
+        found = sink.read_upserts(spark, path, schema, "k").collect()
+        assert sorted((r.k, r.v) for r in found) == [("a", None), ("b", 1)]
+        sink.compact_upserts(spark, path, schema, "k")
+    assert batches.read(spark, path, "latest", schema).count() == 2
 
 
 def test_requests_from_json(spark, tmp_path):
-    row = ("r1", "Acct_42", "Item_10101", "Area51", 10)
+    row = ("r1", "Acct_42", "Item_10101", "Area51", 10, 1_700_000_000_000)
     spark.createDataFrame([row], REQUEST).write.json(str(tmp_path / "in"))
     assert tuple(read_requests(spark, str(tmp_path / "in"), "json").first()) == row
 

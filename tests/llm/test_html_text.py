@@ -1,0 +1,52 @@
+"""Main text of pages."""
+
+import html
+import re
+
+import pytest
+
+from cases import LONG, sorted_rows
+from orderloom.llm.html_text import extract_text, main_text
+
+PAGES = [
+    ("<html><head><title>x</title></head><body><div id='menu'><a href=1>A</a></div><div class='content'><h1>T &amp; t</h1>"
+     "<p>One \n two<div class=ad>buy</div><p>three <a href=x>link</a> four</div><section class='comments'><p>hey</p></section>"
+     "<div class='site-footer'>(c)</div>", "T & t\nOne two\nthree link four"),
+    ("<body><header><h1>Site</h1></header><main><article><header><h1>Title</h1></header><p>a<p>b<ul><li>x<li>y</ul>"
+     "<table><tr><td>1<td>2</table></article><aside>no</aside></main><form>f</form>", "Title\na\nb\nx\ny\n1\n2"),
+    ("<article><p>Yes.</p><script>var a = '<p>no</p>';</script><p>Of.</p><style>p{}</style><!-- <p>no</p> --><p>It.</p></article>", "Yes.\nOf.\nIt."),
+    ("<nav>" + "<a>home</a>" * 40 + "</nav><article><p>short</p></article><footer>" + "imprint " * 40 + "</footer>", "short"),
+    ("plain < text &lt;b&gt;", "plain < text <b>"),
+    ("<p>a<b>b</b>c<br>d</p>", "abc d"),
+    ("<p>a<!-- never closed", "a"),
+    ("<script>never closed", ""),
+    ("", ""),
+    (None, ""),
+    ("   \n ", ""),
+]
+
+
+@pytest.mark.parametrize("page, text", PAGES)
+def test_pages(page, text):
+    assert main_text(page) == text
+
+
+def test_rows(spark):
+    rows = [(k, f"u{k}", page, "clash") for k, (page, _) in enumerate(PAGES)]
+    rows += [(None, None, "<p>x</p>", "clash"), (0, "u0", PAGES[0][0], "clash"), (99, "u", f"<article><p>{LONG}</p></article>", "clash")]
+    got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string").repartition(3))
+    want = [(k, f"u{k}", text, len(text)) for k, (_, text) in enumerate(PAGES)]
+    want += [(None, None, "x", 1), (0, "u0", PAGES[0][1], len(PAGES[0][1])), (99, "u", LONG.strip(), len(LONG.strip()))]
+    assert sorted_rows(got) == sorted(want, key=repr)
+    assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_pages_of_the_table(spark, small):
+    """The blocks between the article's tags, cut out by hand."""
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    got = {r.page_id: r.text for r in extract_text(pages).collect()}
+    for page in pages.collect():
+        inner = page.html[page.html.index("<article>") + 9 : page.html.index("</article>")]
+        blocks = re.sub(r"</?b>|<br>", " ", inner)
+        blocks = (" ".join(html.unescape(b).split()) for b in re.split(r"<[^>]*>", blocks))
+        assert got[page.page_id] == "\n".join(b for b in blocks if b)

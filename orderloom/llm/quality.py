@@ -26,6 +26,7 @@ STEP, REACH, DEPTH, FILTERS = 3, 3, 8, 48
 SEGMENT = 64  # filter positions of half a chunk, 192 bytes
 SPAN = STEP * SEGMENT
 BLOCK = 2048  # segments computed at once
+_AFTER = STEP * (REACH - 1)  # bytes that a filter reads past its own step
 
 Weights = dict[str, np.ndarray]
 
@@ -42,8 +43,8 @@ def start(rng: np.random.Generator) -> Weights:
 
 
 def padded(text: np.ndarray) -> np.ndarray:
-    """Bytes filled up with zeros to whole segments, one at least."""
-    n = max(1, -(-len(text) // SPAN)) * SPAN
+    """Bytes filled up with zeros to whole segments, with room for a filter to run out."""
+    n = -(-(len(text) + _AFTER) // SPAN) * SPAN
     return np.concatenate([text, np.zeros(n - len(text), np.uint8)])
 
 
@@ -57,17 +58,18 @@ def responses(w: Weights, data: np.ndarray, follow: np.ndarray) -> np.ndarray:
     return out.reshape(-1, SEGMENT, FILTERS)
 
 
-_AFTER = STEP * (REACH - 1)
-
-
-def segment_maxima(w: Weights, data: np.ndarray) -> np.ndarray:
-    """Largest response of each filter in each segment of padded texts."""
+def segment_maxima(w: Weights, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Largest response of each filter in each segment of padded texts of so many segments."""
     out = []
+    final = np.zeros(len(data) // SPAN, bool)
+    final[np.cumsum(counts) - 1] = True
     for low in range(0, len(data), BLOCK * SPAN):
         high = min(len(data), low + BLOCK * SPAN)
         follow = data[high : high + _AFTER]
         follow = np.concatenate([follow, np.zeros(_AFTER - len(follow), np.uint8)])
-        out.append(responses(w, data[low:high], follow).max(axis=1))
+        found = responses(w, data[low:high], follow)
+        found[final[low // SPAN : high // SPAN], 1 - REACH :] = -np.inf  # these would see the next text
+        out.append(found.max(axis=1))
     return np.concatenate(out)
 
 
@@ -89,8 +91,9 @@ def pooled(chunks: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def probabilities(w: Weights, texts: list[np.ndarray]) -> np.ndarray:
     blocks = [padded(t) for t in texts]
-    maxima = segment_maxima(w, np.concatenate(blocks))
-    first, second, starts = chunks_of(np.array([len(b) // SPAN for b in blocks]))
+    counts = np.array([len(b) // SPAN for b in blocks])
+    maxima = segment_maxima(w, np.concatenate(blocks), counts)
+    first, second, starts = chunks_of(counts)
     hidden = np.tanh(np.maximum(maxima[first], maxima[second]) + w["bias"])
     logit = pooled(hidden, starts).astype(np.float64) @ w["out"].astype(np.float64) + float(w["level"][0])
     return 1 / (1 + np.exp(-logit))
@@ -99,10 +102,12 @@ def probabilities(w: Weights, texts: list[np.ndarray]) -> np.ndarray:
 def gradients(w: Weights, texts: list[np.ndarray], labels: np.ndarray) -> tuple[Weights, float]:
     blocks = [padded(t) for t in texts]
     data = np.concatenate(blocks)
+    counts = np.array([len(b) // SPAN for b in blocks])
     raw = responses(w, data, np.zeros(_AFTER, np.uint8))
+    raw[np.cumsum(counts) - 1, 1 - REACH :] = -np.inf  # these would see the next text
     place = raw.argmax(axis=1)
     maxima = np.take_along_axis(raw, place[:, None, :], 1)[:, 0]
-    first, second, starts = chunks_of(np.array([len(b) // SPAN for b in blocks]))
+    first, second, starts = chunks_of(counts)
     later = maxima[second] > maxima[first]
     hidden = np.tanh(np.where(later, maxima[second], maxima[first]) + w["bias"])
     features = pooled(hidden, starts)

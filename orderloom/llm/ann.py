@@ -238,6 +238,8 @@ def nearest(
                 yield pa.RecordBatch.from_arrays([pa.array(group[order][cuts]), *one.columns, lists], ["group", "query_id", "vector", "cells"])
 
     asking = rows.filter("asks").groupBy(F.col("id").alias("query_id")).agg(F.min("vector").alias("vector"))
+    # Few queries, but much work each, so they must not be put together in few tasks.
+    asking = asking.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "query_id")
     asked = asking.mapInArrow(visit, "group bigint, query_id bigint, vector array<double>, cells array<bigint>")
     dealt = located.select("cell", "vector", "ids", F.xxhash64("vector")).mapInArrow(
         deal, "group bigint, cell bigint, vector array<double>, ids array<bigint>"

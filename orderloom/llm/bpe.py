@@ -28,10 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderloom.llm.common import by_frequency, hashes, mix, pack, pack_planes, slices, unpack, unpack_planes
+from orderloom.llm.common import by_frequency, hashes, mix, pack, pack_planes, pack_skewed, release, short_batches, slices, unpack, unpack_planes, unpack_skewed
 from orderloom.llm.pretokens import split
 
 TABLE_SIZE = 1 << 16
+BLOCK_TOKENS = 6_000_000
+CHUNK_TOKENS = 1 << 18
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -136,34 +138,67 @@ def _ranges(tags: np.ndarray, ranges: int) -> np.ndarray:
 _ASK = pa.schema([("deal", pa.int64()), ("block", pa.int64()), ("data", pa.binary())])
 
 
+class _Texts:
+    """Texts of a block as they gather: slices split one by one, their words numbered together."""
+
+    def __init__(self):
+        self.ids, self.counts, self.tokens, self.words = [], [], [], []
+
+    def add(self, ids: pa.Array, starts: np.ndarray, tokens: np.ndarray, vocabulary: pa.Array) -> None:
+        self.ids.append(ids.take(pa.array(range(len(ids)))))  # a copy: a slice would keep the whole batch
+        self.counts.append(np.diff(starts))
+        self.tokens.append(tokens.astype(np.int32))
+        self.words.append(vocabulary)
+
+    def __len__(self) -> int:
+        return sum(map(len, self.tokens))
+
+    def block(self) -> tuple[pa.Table, np.ndarray, pa.Array]:
+        """Ids and counts of the texts, numbers of their words, and the words, most frequent first."""
+        encoded = pa.concat_arrays(self.words).dictionary_encode()
+        numbers, shift = np.asarray(encoded.indices), np.cumsum([0, *map(len, self.words)])
+        tokens = np.concatenate([numbers[low + t] for low, t in zip(shift, self.tokens)])
+        tokens, old = by_frequency(tokens, len(encoded.dictionary))
+        texts = pa.table({"id": pa.concat_arrays(self.ids), "n": np.concatenate(self.counts)})
+        return texts, tokens, encoded.dictionary.take(pa.array(old))
+
+
 def _ask(pattern: str, ranges: int):
+    def rows(task: int, turn: int, texts: pa.Table, tokens: np.ndarray, vocabulary: pa.Array) -> pa.RecordBatch:
+        tags = (hashes(vocabulary) >> np.uint64(48)).astype(np.uint16)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, texts.schema) as writer:
+            writer.write_table(texts)
+        fields = [sink.getvalue().to_pybytes(), pack(tags), pack_skewed(tokens)]
+        payload = np.array([len(x) for x in fields], np.uint32).tobytes() + b"".join(fields)
+        # A block read again after a loss has the same number only if it has the same content.
+        block = xxhash.xxh3_64_intdigest(payload, seed=task << 32 | turn) >> 1
+        out = [(ranges + block % (1 << 40), block, payload)]
+        where = _ranges(tags, ranges)
+        order = np.argsort(where, kind="stable")
+        cuts = np.flatnonzero(np.diff(where[order], prepend=-1))
+        sorted_words = vocabulary.take(pa.array(order))
+        for low, high in zip(cuts, np.append(cuts[1:], len(order))):
+            words = pa.concat_arrays([sorted_words.slice(low, high - low)])
+            out.append((int(where[order[low]]), block, _pack_words(words)))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ASK)], schema=_ASK)
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, turn = TaskContext.get().partitionId(), 0
         compiled = regex.compile(pattern)
+        held = _Texts()
         for batch in batches:
             for part in slices(batch.column(1)):
-                turn += 1
-                vocabulary, ids, starts, _ = split(part, compiled)
-                tokens, old = by_frequency(ids, len(vocabulary))
-                vocabulary = vocabulary.take(pa.array(old))
-                tags = (hashes(vocabulary) >> np.uint64(48)).astype(np.uint16)
-                texts = pa.table({"id": batch.column(0).slice(part.first, part.last - part.first), "n": np.diff(starts)})
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, texts.schema) as writer:
-                    writer.write_table(texts)
-                fields = [sink.getvalue().to_pybytes(), pack(tags), pack_planes(tokens)]
-                payload = np.array([len(x) for x in fields], np.uint32).tobytes() + b"".join(fields)
-                # A block read again after a loss has the same number only if it has the same content.
-                block = xxhash.xxh3_64_intdigest(payload, seed=task << 32 | turn) >> 1
-                out = [(ranges + block % (1 << 40), block, payload)]
-                where = _ranges(tags, ranges)
-                order = np.argsort(where, kind="stable")
-                cuts = np.flatnonzero(np.diff(where[order], prepend=-1))
-                sorted_words = vocabulary.take(pa.array(order))
-                for low, high in zip(cuts, np.append(cuts[1:], len(order))):
-                    words = pa.concat_arrays([sorted_words.slice(low, high - low)])
-                    out.append((int(where[order[low]]), block, _pack_words(words)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ASK)], schema=_ASK)
+                vocabulary, tokens, starts, _ = split(part, compiled)
+                held.add(batch.column(0).slice(part.first, part.last - part.first), starts, tokens, vocabulary)
+                if len(held) >= BLOCK_TOKENS:
+                    turn += 1
+                    yield rows(task, turn, *held.block())
+                    held = _Texts()
+        if held.ids:
+            yield rows(task, turn + 1, *held.block())
+        held = _Texts()
+        release()
 
     return ask
 
@@ -220,6 +255,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 data = len(packed).to_bytes(4, "little") + packed + pack_planes(flat[_spread(starts[at], n)])
                 out.append((ask["block"].as_py(), deal.as_py(), data, _pack_words(pa.concat_arrays([decoded.take(pa.array(at))]))))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ANSWER)], schema=_ANSWER)
+        release()
 
 
 def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -227,44 +263,72 @@ def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(lengths.sum()) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
 
 
+class _Strings:
+    """Strings of numbers or bytes, of which texts are strung together."""
+
+    def __init__(self, place: np.ndarray, lengths: np.ndarray, flat: np.ndarray):
+        self.flat, self.size, self.start = flat, np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        self.size[place], self.start[place] = lengths, np.cumsum(lengths) - lengths
+
+    def of(self, tokens: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The strings of the tokens in a row, and where each text starts and ends."""
+        n = self.size[tokens]
+        ends = np.concatenate([[0], np.cumsum(n)])[borders]
+        return self.flat[_spread(self.start[tokens], n)], ends.astype(np.int32)
+
+
 def _assemble(ranges: int, id_column: str):
-    def assemble(table: pa.Table) -> pa.Table:
-        """The texts of a block: ids and decoded bytes of their words, one after another."""
-        deals = table["deal"].to_numpy()
-        order = np.argsort(deals, kind="stable")
-        payload = [table["data"][int(k)].as_py() for k in order if deals[k] >= ranges]
+    def texts_of(rows: list[tuple[int, bytes, bytes | None]]) -> Iterator[pa.RecordBatch]:
+        """The texts of a block, some ``CHUNK_TOKENS`` tokens at a time (one text at least)."""
+        payload = [data for deal, data, _ in rows if deal >= ranges]
         if len(payload) != 1:
             raise RuntimeError("a block was read anew with other content; run the job again")
         sizes = np.frombuffer(payload[0], np.uint32, 3)
         ends = 12 + np.cumsum(sizes)
         texts, tags, tokens = (payload[0][e - s : e] for e, s in zip(ends, sizes))
-        texts, tokens = pa.ipc.open_stream(texts).read_all(), unpack_planes(tokens).astype(np.int64)
+        texts, tokens = pa.ipc.open_stream(texts).read_all().combine_chunks(), unpack_skewed(tokens)
         place = np.argsort(_ranges(unpack(tags, np.uint16), ranges), kind="stable")
-        counts, ids, pieces = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)], []
-        for k in order:
-            if deals[k] < ranges:
-                data = table["data"][int(k)].as_py()
+        counts, ids, pieces = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)], [pa.array([], pa.binary())]
+        for deal, data, words in sorted(rows, key=lambda r: r[0]):
+            if deal < ranges:
                 cut = 4 + int.from_bytes(data[:4], "little")
                 counts.append(unpack_planes(data[4:cut]))
                 ids.append(unpack_planes(data[cut:]))
-                pieces.append(_unpack_words(table["pieces"][int(k)].as_py()))
-        per_text = texts["n"].to_numpy()
-
-        def strung(lengths: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            size, start = np.zeros((2, len(place)), np.int64)
-            size[place], start[place] = lengths, np.cumsum(lengths) - lengths
-            n = size[tokens]
-            borders = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(per_text)])]
-            return flat[_spread(start[tokens], n)], borders.astype(np.int32)
-
-        values, id_ends = strung(np.concatenate(counts).astype(np.int64), np.concatenate(ids))
-        joined = pa.concat_arrays(pieces) if pieces else pa.array([], pa.binary())
-        offsets = np.frombuffer(joined.buffers()[1], np.int32, len(joined) + 1) if len(joined) else np.zeros(1, np.int32)
-        data = np.frombuffer(joined.buffers()[2], np.uint8) if len(joined) and joined.buffers()[2] else np.zeros(0, np.uint8)
-        raw, byte_ends = strung(np.diff(offsets).astype(np.int64), data)
-        decoded = pa.Array.from_buffers(pa.binary(), len(per_text), [None, pa.py_buffer(byte_ends.tobytes()), pa.py_buffer(raw.tobytes())])
-        lists = pa.ListArray.from_arrays(pa.array(id_ends), pa.array(values.astype(np.int32)))
-        return pa.table([texts["id"].combine_chunks(), lists, decoded], [id_column, "ids", "decoded"])
+                pieces.append(_unpack_words(words))
+        joined = pa.concat_arrays(pieces)
+        offsets = np.frombuffer(joined.buffers()[1], np.int32, len(joined) + 1)
+        raw = joined.buffers()[2]
+        numbers = _Strings(place, np.concatenate(counts).astype(np.int64), np.concatenate(ids))
+        letters = _Strings(place, np.diff(offsets).astype(np.int64), np.frombuffer(raw, np.uint8) if raw else np.zeros(0, np.uint8))
+        borders = np.concatenate([[0], np.cumsum(texts["n"].to_numpy())])
+        names, first = texts["id"].combine_chunks(), 0
+        if isinstance(names, pa.ChunkedArray):
+            names = names.chunk(0) if names.num_chunks else pa.array([], names.type)
+        while first < len(texts):
+            last = int(np.searchsorted(borders, borders[first] + CHUNK_TOKENS, side="right")) - 1
+            last = min(len(texts), max(first + 1, last))
+            part, own = tokens[borders[first] : borders[last]], borders[first : last + 1] - borders[first]
+            values, id_ends = numbers.of(part, own)
+            data, byte_ends = letters.of(part, own)
+            lists = pa.ListArray.from_arrays(pa.array(id_ends), pa.array(values.view(np.int32)))
+            decoded = pa.Array.from_buffers(pa.binary(), last - first, [None, pa.py_buffer(byte_ends.tobytes()), pa.py_buffer(data.tobytes())])
+            yield pa.RecordBatch.from_arrays([names.slice(first, last - first), lists, decoded], [id_column, "ids", "decoded"])
+            first = last
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in order of blocks; one block at a time is held."""
+        current, held = None, []
+        for batch in batches:
+            for block, deal, data, words in zip(*(batch.column(k) for k in range(4))):
+                if held and block.as_py() != current:
+                    yield from texts_of(held)
+                    held = []
+                current = block.as_py()
+                held.append((deal.as_py(), data.as_py(), words.as_py()))
+        if held:
+            yield from texts_of(held)
+        held = []
+        release()
 
     return assemble
 
@@ -282,11 +346,13 @@ def round_trip(
     Each match of the pattern is encoded by itself, without special tokens. A null text counts as
     empty and gives no ids and no bytes; a null id stays null, repeated rows stay repeated, other
     columns are ignored, and an empty table gives no rows. The fold takes time in the square of a
-    word's length, which matters from some ten thousand bytes without a break on. ``ranges`` (four for
-    each shuffle partition) sets how finely distinct words are dealt out.
+    word's length, which matters from some ten thousand bytes without a break on. ``ranges`` (one for
+    each shuffle partition) sets how finely distinct words are dealt out. The session's Arrow batches
+    are lowered to 2,000 rows.
     """
+    short_batches(docs.sparkSession)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = ranges or 4 * partitions
+    ranges = ranges or partitions
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).cast("string").alias("text"))
     asked = rows.mapInArrow(_ask(pattern, ranges), "deal bigint, block bigint, data binary")
     # A fixed number of partitions: few data, but much work, must not be put together in few tasks.
@@ -313,4 +379,4 @@ def round_trip(
             T.StructField("decoded", T.BinaryType()),
         ]
     )
-    return answers.repartition(partitions, "block").groupBy("block").applyInArrow(_assemble(ranges, id_column), schema)
+    return answers.repartition(partitions, "block").sortWithinPartitions("block").mapInArrow(_assemble(ranges, id_column), schema)

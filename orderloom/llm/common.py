@@ -7,6 +7,7 @@ over the bytes of the whole slice, not text by text.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Iterator
@@ -69,6 +70,22 @@ def unpack_sorted(data: bytes, dtype=np.uint64) -> np.ndarray:
     return np.cumsum(steps, dtype=dtype)
 
 
+def short_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Lowers the rows of an Arrow batch, so that batches of long texts stay some megabytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, rows)
+
+
+def release() -> None:
+    """Gives freed memory back to the system, as a Python worker outlives its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own counsel
+        pass
+
+
 class Slice(NamedTuple):
     """Rows ``first`` to ``last`` of a batch; their texts are ``data[offsets[i]:offsets[i + 1]]``."""
 
@@ -137,10 +154,9 @@ def words(part: Slice) -> Words:
     opens[1:] &= ~inside[:-1]
     borders = part.offsets[:-1][part.offsets[:-1] < part.offsets[1:]]
     opens[borders] = inside[borders]
-    data = LOWER[part.data][inside]
+    starts = np.searchsorted(np.flatnonzero(opens), part.offsets)
+    data = LOWER[part.data[inside]]
     first = np.flatnonzero(opens[inside])
-    begun = np.concatenate([[0], np.cumsum(opens)])
-    starts = begun[part.offsets]
     array = byte_strings(data, np.concatenate([first, [len(data)]]) if len(first) else np.zeros(1, np.int64))
     encoded = array.dictionary_encode()
     ids = np.asarray(encoded.indices.to_numpy(zero_copy_only=False), np.int32) if len(first) else np.zeros(0, np.int32)
@@ -178,6 +194,20 @@ def unpack_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view(np.uint32).ravel()
 
 
+def pack_skewed(values: np.ndarray) -> bytes:
+    """Unsigned integers of which most are under 255: one byte each, and the others apart."""
+    large = values >= 255
+    small = zstandard.ZstdCompressor(level=3).compress(np.minimum(values, 255).astype(np.uint8).tobytes())
+    return len(small).to_bytes(4, "little") + small + pack_planes(values[large] - 255)
+
+
+def unpack_skewed(data: bytes) -> np.ndarray:
+    cut = 4 + int.from_bytes(data[:4], "little")
+    values = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[4:cut]), np.uint8).astype(np.uint32)
+    values[values == 255] = unpack_planes(data[cut:]) + 255
+    return values
+
+
 def by_frequency(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """New ids, the most frequent first, and the old id of each new one."""
     old = np.argsort(-np.bincount(ids, minlength=size), kind="stable")

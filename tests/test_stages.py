@@ -210,3 +210,13 @@ def test_hot_key_is_split(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("name", ["left", "right"])
+def test_a_repeated_key_fails_the_pairing(spark, name):
+    once = spark.createDataFrame([("a", 1), ("b", 2)], "do_key string, v int")
+    sides = {"left": once, "right": once, name: once.union(once.limit(1))}
+    for paired in (pairing.pair(**sides), pairing.pending_pairs(**sides)):
+        with pytest.raises(Exception, match=f"the {name} side has a repeated do_key"):
+            paired.collect()
+    assert pairing.pair(once, once).count() == 2

@@ -28,12 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderloom.llm.common import by_frequency, hashes, mix, pack, pack_planes, pack_skewed, release, short_batches, slices, unpack, unpack_planes, unpack_skewed
+from orderloom.llm.common import by_frequency, hashes, mix, pack_planes, pack_skewed, release, short_batches, slices, unpack_planes, unpack_skewed
 from orderloom.llm.pretokens import split
 
 TABLE_SIZE = 1 << 16
 BLOCK_TOKENS = 6_000_000
 CHUNK_TOKENS = 1 << 18
+SPLIT_BYTES = 4 << 20  # split at once
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -131,8 +132,9 @@ def _unpack_words(blob: bytes) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
 
 
-def _ranges(tags: np.ndarray, ranges: int) -> np.ndarray:
-    return (mix(tags.astype(np.uint64)) % np.uint64(ranges)).astype(np.int64)
+def _ranges(words: np.ndarray, ranges: int) -> np.ndarray:
+    """Hash range of each word, from its hash."""
+    return (mix(words) % np.uint64(ranges)).astype(np.int64)
 
 
 _ASK = pa.schema([("deal", pa.int64()), ("block", pa.int64()), ("data", pa.binary())])
@@ -165,16 +167,15 @@ class _Texts:
 
 def _ask(pattern: str, ranges: int):
     def rows(task: int, turn: int, texts: pa.Table, tokens: np.ndarray, vocabulary: pa.Array) -> pa.RecordBatch:
-        tags = (hashes(vocabulary) >> np.uint64(48)).astype(np.uint16)
+        where = _ranges(hashes(vocabulary), ranges)
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, texts.schema) as writer:
             writer.write_table(texts)
-        fields = [sink.getvalue().to_pybytes(), pack(tags), pack_skewed(tokens)]
+        fields = [sink.getvalue().to_pybytes(), pack_planes(where), pack_skewed(tokens)]
         payload = np.array([len(x) for x in fields], np.uint32).tobytes() + b"".join(fields)
         # A block read again after a loss has the same number only if it has the same content.
         block = xxhash.xxh3_64_intdigest(payload, seed=task << 32 | turn) >> 1
         out = [(ranges + block % (1 << 40), block, payload)]
-        where = _ranges(tags, ranges)
         order = np.argsort(where, kind="stable")
         cuts = np.flatnonzero(np.diff(where[order], prepend=-1))
         sorted_words = vocabulary.take(pa.array(order))
@@ -188,13 +189,14 @@ def _ask(pattern: str, ranges: int):
         compiled = regex.compile(pattern)
         held = _Texts()
         for batch in batches:
-            for part in slices(batch.column(1)):
+            for part in slices(batch.column(1), SPLIT_BYTES):
                 vocabulary, tokens, starts, _ = split(part, compiled)
                 held.add(batch.column(0).slice(part.first, part.last - part.first), starts, tokens, vocabulary)
                 if len(held) >= BLOCK_TOKENS:
                     turn += 1
                     yield rows(task, turn, *held.block())
                     held = _Texts()
+            release()
         if held.ids:
             yield rows(task, turn + 1, *held.block())
         held = _Texts()
@@ -285,9 +287,9 @@ def _assemble(ranges: int, id_column: str):
             raise RuntimeError("a block was read anew with other content; run the job again")
         sizes = np.frombuffer(payload[0], np.uint32, 3)
         ends = 12 + np.cumsum(sizes)
-        texts, tags, tokens = (payload[0][e - s : e] for e, s in zip(ends, sizes))
+        texts, where, tokens = (payload[0][e - s : e] for e, s in zip(ends, sizes))
         texts, tokens = pa.ipc.open_stream(texts).read_all().combine_chunks(), unpack_skewed(tokens)
-        place = np.argsort(_ranges(unpack(tags, np.uint16), ranges), kind="stable")
+        place = np.argsort(unpack_planes(where), kind="stable")
         counts, ids, pieces = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)], [pa.array([], pa.binary())]
         for deal, data, words in sorted(rows, key=lambda r: r[0]):
             if deal < ranges:
@@ -348,9 +350,9 @@ def round_trip(
     columns are ignored, and an empty table gives no rows. The fold takes time in the square of a
     word's length, which matters from some ten thousand bytes without a break on. ``ranges`` (one for
     each shuffle partition) sets how finely distinct words are dealt out. The session's Arrow batches
-    are lowered to 2,000 rows.
+    are lowered to 1,000 rows.
     """
-    short_batches(docs.sparkSession)
+    short_batches(docs.sparkSession, 1000)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = ranges or partitions
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).cast("string").alias("text"))

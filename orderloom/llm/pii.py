@@ -10,14 +10,23 @@ or a word in capitals beside one hides nothing. A permuted value that would make
 run the one to be found is permuted on, so that undoing finds the same parts; such a value, one in ten
 of those with a rival part, differs from its pseudonym elsewhere. Runs of more than ``WALKED`` values
 are not permuted on.
+
+In the local part of an address, letters and digits are exchanged within their script and case;
+combining marks stay, and so does a character that is alone of its kind. Dates are those from 1900 to
+2099, alone or followed by T and a time, which stays; others are left as they are. A value that the
+permutation leaves as it was is not counted.
 """
 
 from __future__ import annotations
 
 import datetime
+import functools
 import hashlib
 import math
 import re
+import sys
+import unicodedata
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -68,6 +77,23 @@ ALPHABETS = (
     "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ",
 )
 _PLACE = {c: (a, k) for a in ALPHABETS for k, c in enumerate(a)}
+
+
+@functools.cache
+def _scripts() -> dict[str, tuple[str, int]]:
+    """Every other letter and digit with the alphabet of its script and case, and its place there."""
+    alphabets = defaultdict(list)
+    for c in map(chr, range(sys.maxunicode + 1)):
+        kind = unicodedata.category(c)
+        if kind[0] in "LN" and c not in _PLACE and c.isalnum():
+            alphabets[*unicodedata.name(c, "?").split()[:2], kind].append(c)  # as HANGUL SYLLABLE, GREEK SMALL
+    return {c: (a, k) for a in map("".join, alphabets.values()) if len(a) > 1 for k, c in enumerate(a)}
+
+
+def _place(c: str) -> tuple[str, int] | None:
+    return _PLACE.get(c) or (None if c.isascii() else _scripts().get(c))
+
+
 HEX = ("0123456789abcdef", "0123456789ABCDEF")
 
 
@@ -183,7 +209,7 @@ def _secret(f: Feistel, text: str) -> str | None:
 
 def _email(f: Feistel, text: str) -> str | None:
     local, _, domain = text.rpartition("@")
-    return _spelled(f, local, [_PLACE.get(c) for c in local], "email") + "@" + domain
+    return _spelled(f, local, [_place(c) for c in local], "email") + "@" + domain
 
 
 # How cards are printed, and the lengths of IBANs by country.
@@ -285,7 +311,7 @@ def _replaced(f: Feistel, text: str, ranges: list[tuple[int, int]], holds: Calla
 # The written forms looked for.
 DETECTORS: tuple[tuple[str, re.Pattern, Callable], ...] = (
     ("secret", re.compile(r"(?<!\w)(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?!\w)"), _secret),
-    ("date", re.compile(r"(?<![\w./-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\w/-]|\.\d)"), _date),
+    ("date", re.compile(r"(?<![\w./-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?:(?=[Tt]\d{2})|(?![\w/-]|\.\d))"), _date),
     ("social", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), _social),
     ("ipv4", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"), _address),
     ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])"), _phone),
@@ -333,7 +359,8 @@ def pseudonymous(text: str, f: Feistel) -> tuple[str, list[str]]:
     for start, end, kind, new in sorted(taken):
         if start >= done:
             out += [text[done:start], new]
-            kinds.append(kind)
+            if new != text[start:-end]:
+                kinds.append(kind)
             done = -end
     return "".join([*out, text[done:]]), kinds
 

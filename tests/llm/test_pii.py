@@ -1,6 +1,7 @@
 """Pseudonyms: permutations, validation, formats and links."""
 
 import re
+import unicodedata
 
 import pytest
 
@@ -93,6 +94,41 @@ def test_neighbours_hide_nothing(text, values):
         assert pii.pseudonymous(new, pii.Feistel(key, inverse=True))[0] == text
 
 
+@pytest.mark.parametrize("local", ["иван.Петров", "νίκος", "漢字仮名", "łukasz.żak", "김철수", "अमन7", "محمد", "José"])
+def test_addresses_in_any_script(local):
+    text = f"an {local}@example.com"
+    new, kinds = pii.pseudonymous(text, pii.Feistel(KEY))
+    assert kinds == ["email"] and new.endswith("@example.com") and len(new) == len(text)
+    changed = new[3 : 3 + len(local)]
+    assert all(a == b for a, b in zip(changed, local) if not a.isalnum())
+    # No letter stays as it was but by chance: in the larger scripts none, in the Latin alphabet few.
+    assert sum(a == b for a, b in zip(changed, local) if a.isalnum()) <= len(local) // 4
+    script = lambda c: unicodedata.name(c).split()[0]
+    assert [script(c) for c in changed] == [script(c) for c in local]
+    assert pii.pseudonymous(new, pii.Feistel(KEY, inverse=True)) == (text, ["email"])
+
+
+def test_unchanged_is_not_counted():
+    same = [c for c in "abcdefghijklmnopqrstuvwxyz" for k in range(40) if _same(c, k)]
+    assert same
+    assert pii.pseudonymous("\u00aa._@x.org", pii.Feistel(KEY)) == ("\u00aa._@x.org", [])
+
+
+def _same(c, k):
+    f = pii.Feistel(b"%d" % k)
+    new, kinds = pii.pseudonymous(f"{c}@x.org", f)
+    assert kinds == (["email"] if new != f"{c}@x.org" else [])
+    return not kinds
+
+
+@pytest.mark.parametrize("tail", ["T10:30", "T10:30:00Z", "t10:30:00.5+01:00", "T1030Z"])
+def test_timestamps(tail):
+    new, kinds = pii.pseudonymous(f"at 2024-01-15{tail}, on", pii.Feistel(KEY))
+    assert kinds == ["date"] and "2024-01-15" not in new
+    assert re.fullmatch(r"at \d{4}-\d\d-\d\d" + re.escape(tail) + ", on", new)
+    assert pii.pseudonymous(new, pii.Feistel(KEY, inverse=True))[0] == f"at 2024-01-15{tail}, on"
+
+
 def test_lists_of_numbers_stay():
     for text in ("1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20", "x4111111111111111", "4111 1111 1111 1111x", "1.4111111111111111"):
         assert pii.pseudonymous(text, pii.Feistel(KEY)) == (text, [])

@@ -1,8 +1,13 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-Markup is stripped in one pass over the page: scripts, styles and comments go, boilerplate containers
-(menus, headers, footers, sidebars, notices, adverts, forms, reader comments) leave blank lines, and
-each block of text becomes a line with its length outside links. The lengths are summed over windows
+Markup is stripped in one pass over the page: scripts, styles and comments go, boilerplate elements
+(nav, header, footer, aside and the like) leave blank lines, and each block of text becomes a line with
+its length outside links. A form, or a class, id, role or label that speaks of menus, sidebars, adverts,
+reader comments and so on, only proposes to drop an element. It stays if the page has its article or
+main element nowhere else, or over half of the text outside links (of a list of reader comments, all);
+one named by a word that text is written about as well (search, legal, related) stays, too, if it is
+prose of a quarter of the rest. Names as has-sidebar, entry-header or related-work propose nothing.
+The lengths are summed over windows
 of ``WINDOW`` lines. Text starts where the sum surges from nothing and ends where it dives to nothing.
 Of the stretches between surge and dive those are kept that hold an ``article`` or ``main`` element
 or, on pages without one, those at least a quarter as heavy as the heaviest.
@@ -30,7 +35,7 @@ _TOKEN = re.compile(
     r"|[^<]+|<",
     re.S | re.I,
 )
-_HINT = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_HINT = re.compile(r"(?<![\w-])(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 # Element names and words of class, id and role attributes.
@@ -39,56 +44,148 @@ _INLINE = frozenset(
     "small span strike strong sub sup time tt u var wbr".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_NOISE = frozenset("nav header footer aside form menu dialog button fieldset head".split())
-_NOISE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo "
-    "cookie cookies copyright disqus footer form header legal login masthead menu modal nav navbar navigation newsletter "
-    "notice notification outbrain pagination pager popup promo promoted promotion recommended related replies respond search "
-    "share sharing sidebar signup skip social sponsor sponsored subscribe taboola teaser toolbar widget complementary".split()
+_NOISE = frozenset("nav header footer aside menu dialog button fieldset head".split())
+# Words that name boilerplate beside any other word, and those that do so only beside each other and neutral words.
+_STRONG = frozenset(
+    "advert adverts advertisement advertising breadcrumb breadcrumbs comments contentinfo cookie cookies disqus footer "
+    "masthead nav navbar navigation newsletter outbrain pagination pager popup sidebar signup sponsored taboola".split()
 )
+_WEAK = frozenset(
+    "ad ads banner complementary consent copyright login modal notification promo promoted promotion recommended replies "
+    "respond sharing skip sponsor subscribe teaser toolbar widget".split()
+)
+_TOPICS = frozenset("comment form header legal menu notice related search share social".split())
+_NOISE_WORDS = _STRONG | _WEAK | _TOPICS
+_COMMENTS = frozenset("comment comments disqus replies respond".split())
+_PARTS = frozenset("menu nav navbar navigation header masthead footer contentinfo sidebar breadcrumb breadcrumbs".split()) | _COMMENTS
+_NEUTRAL = frozenset(
+    "area article articles bar block body bottom box btn button buttons center column contact container content div entry foot "
+    "global google group holder home icons inline inner item items left leaderboard link links list lists main media mobile module "
+    "outer page panel post posts primary right row secondary section site slot small stories sub text to top unit user web "
+    "website wrap wrapper".split()
+)
+_MODIFIERS = frozenset("has no non not with without".split())
+_OF_TEXT = frozenset("article body content entry main post section text".split())  # their headers are titles
+_BLOCKS = frozenset(
+    "p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption".split()
+)
+PROSE = 80  # characters outside links
 _MAIN = frozenset(["article", "main"])
 _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
-def _noisy(name: str, attributes: str, inside: bool) -> bool:
-    if name in _NOISE and not (name == "header" and inside):
-        return True
+def _hint(name: str, attributes: str, inside: bool) -> frozenset[str]:
+    """The words for which an element is proposed for removal; none for most elements."""
+    if name == "form":
+        return frozenset(["form", "ad"])  # not by a word that may be a topic
     if not attributes or name in ("html", "body", "article", "main") or re.fullmatch(r"h[1-6]", name):
-        return False
+        return frozenset()
+    words: set[str] = set()
     for found in _HINT.finditer(attributes):
-        for word in _PART.findall(found[1] or found[2] or found[3] or ""):
-            if word.lower() in _NOISE_WORDS:
-                return True
-    return False
+        value = found[2] or found[3] or found[4] or ""
+        label = found[1].lower() == "aria-label"
+        for one in [value] if label else value.split():
+            parts = [w.lower() for w in _PART.findall(one) if not w.isdigit()]
+            noise = _NOISE_WORDS.intersection(parts)
+            if not noise or _MODIFIERS.intersection(parts):
+                continue
+            if "header" in noise and (inside or _OF_TEXT.intersection(parts)):
+                noise -= {"header"}
+            plain = all(w in _NOISE_WORDS or w in _NEUTRAL for w in parts)
+            words |= noise if plain else (frozenset() if label else noise & _STRONG)
+    return frozenset(words)
 
 
 class Line:
-    __slots__ = ("text", "weight", "main")
+    __slots__ = ("text", "weight", "main", "inside", "container")
 
-    def __init__(self, text: str, weight: int, main: bool):
+    def __init__(self, text: str, weight: int, main: bool, inside: tuple[int, ...] = (), container: int = 0):
         self.text, self.weight, self.main = text, weight, main
+        self.inside, self.container = inside, container  # proposals it lies in, and the element its block lies in
+
+
+class Gap:
+    """Place where an element begins or ends: parts text if it is not an interruption within one container."""
+
+    __slots__ = ("proposal", "parts", "main", "container")
+
+    def __init__(self, proposal: int, parts: bool, main: bool, container: int):
+        self.proposal, self.parts, self.main, self.container = proposal, parts, main, container
+
+
+def _dropped(rows: list[Line | Gap], proposals: list[tuple[frozenset[str], bool]]) -> set[int]:
+    """Proposals that are followed, outer ones first."""
+    size = len(proposals) + 1  # the last place is the page
+    lines, weights, mains = ([0] * size for _ in range(3))  # of all lines in each proposal
+    direct: list[list[Line]] = [[] for _ in range(size)]
+    parents = [-1] * size
+    for x in rows:
+        if isinstance(x, Line):
+            direct[x.inside[-1] if x.inside else -1].append(x)
+            for parent, k in zip((-1, *x.inside), x.inside):
+                parents[k] = parent
+                lines[k] += 1
+                weights[k] += x.weight
+                mains[k] += x.main
+    free, free_main, main = 0, 0, False  # lines in no proposal but those that are not followed
+
+    def add(found: list[Line]) -> None:
+        nonlocal free, free_main, main
+        free += sum(x.weight for x in found)
+        free_main += sum(x.weight for x in found if x.main)
+        main = main or any(x.main for x in found)
+
+    add(direct[-1])
+    dropped: set[int] = set()
+    for k, (words, in_main) in enumerate(proposals):
+        if not lines[k] or parents[k] in dropped:
+            dropped.add(k)
+            continue
+        rest = free_main if main else free
+        if main and not in_main:
+            holds = False
+        elif words <= _COMMENTS:
+            holds = not rest
+        else:
+            holds = weights[k] > rest or not main and mains[k] > 0
+        if words <= _TOPICS - {"comment"} and (in_main or not main):
+            holds = holds or weights[k] >= PROSE and 4 * weights[k] >= rest
+        if holds:
+            add(direct[k])
+        else:
+            dropped.add(k)
+    return dropped
 
 
 def lines(page: str) -> list[Line]:
     """Blocks of text in page order; blank lines stand for what was removed."""
-    out: list[Line] = []
+    out: list[Line | Gap] = []
     open_tags: list[str] = []
+    numbers: list[int] = []  # of the open elements
     noise_at = None  # depth of the boilerplate element that hides what follows
-    mains = links = 0
+    proposals: list[tuple[frozenset[str], bool]] = []
+    proposed: list[tuple[int, int]] = []  # depth and number of the open ones
+    mains = links = count = 0
     parts: list[str] = []
     linked: list[str] = []
 
+    def container() -> int:
+        for name, number in zip(reversed(open_tags), reversed(numbers)):
+            if name not in _INLINE and name not in _BLOCKS:
+                return number
+        return 0
+
     def end_block() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             hidden = len(" ".join(html.unescape("".join(linked)).split()))
-            out.append(Line(text, max(0, len(text) - hidden) if hidden else len(text), mains > 0))
+            weight = max(0, len(text) - hidden) if hidden else len(text)
+            out.append(Line(text, weight, mains > 0, tuple(k for _, k in proposed), container()))
         parts.clear()
         linked.clear()
 
-    def blank() -> None:
-        # Inside an article one blank line does not part the text; elsewhere a whole window does.
-        out.extend(Line("", 0, mains > 0) for _ in range(1 if mains else WINDOW))
+    def blank(proposal: int = -1, parting: bool = True) -> None:
+        out.append(Gap(proposal, parting, mains > 0, container()))
 
     def leave(depth: int) -> None:
         nonlocal noise_at, mains, links
@@ -97,12 +194,17 @@ def lines(page: str) -> list[Line]:
                 mains -= name in _MAIN
                 links -= name == "a"
         gone = open_tags[depth:]
-        del open_tags[depth:]
+        del open_tags[depth:], numbers[depth:]
+        while proposed and proposed[-1][0] >= depth:
+            _, k = proposed.pop()
+            if noise_at is None or noise_at >= depth:
+                blank(k, bool(proposals[k][0] & _PARTS))
         if noise_at is not None and len(open_tags) <= noise_at:
             noise_at = None
-            blank()
+            if gone[0] not in _INLINE:
+                blank()
         elif noise_at is None and any(name in _MAIN for name in gone) and not mains:
-            blank()
+            out.append(Gap(-1, True, False, -1))
 
     for token in _TOKEN.finditer(page):
         name = token["name"]
@@ -135,21 +237,46 @@ def lines(page: str) -> list[Line]:
                     leave(depth)
                     break
         if noise_at is None:
-            if _noisy(name, token["attributes"], mains > 0):
+            hint = _hint(name, token["attributes"], mains > 0)
+            if name in _NOISE and not (name == "header" and mains):
                 noise_at = len(open_tags)
-                if name in _INLINE:
-                    parts.append(" ")
-                else:
-                    blank()
-            elif name in _MAIN:
-                if not mains:
-                    blank()
-                mains += 1
-            elif name == "a":
-                links += 1
+                blank()
+            elif hint and name in _INLINE:  # within a line, which goes on behind it
+                noise_at = len(open_tags)
+                parts.append(" ")
+            else:
+                if hint:
+                    proposed.append((len(open_tags), len(proposals)))
+                    blank(len(proposals), bool(hint & _PARTS))
+                    proposals.append((hint, mains > 0))
+                if name in _MAIN:
+                    if not mains:
+                        out.append(Gap(-1, True, False, -1))
+                    mains += 1
+                elif name == "a":
+                    links += 1
+        count += 1
         open_tags.append(name)
+        numbers.append(count)
     if noise_at is None:
         end_block()
+    return _laid_out(out, _dropped(out, proposals) if proposals else set())
+
+
+def _laid_out(rows: list[Line | Gap], dropped: set[int]) -> list[Line]:
+    """The lines that stay. What went leaves a blank line where it only interrupts a text, or else a whole window."""
+    out: list[Line] = []
+    gaps: list[Gap] = []
+    for row in rows:
+        if isinstance(row, Gap):
+            if row.proposal < 0 or row.proposal in dropped:
+                gaps.append(row)
+        elif not dropped.intersection(row.inside):
+            if gaps:
+                parts = any(not g.main for g in gaps)
+                out.extend(Line("", 0, gaps[0].main) for _ in range(WINDOW if parts else 1))
+                gaps = []
+            out.append(row)
     return out
 
 

@@ -31,6 +31,29 @@ def test_pages(page, text):
     assert main_text(page) == text
 
 
+PROSE = "Words of the text that stand here for a paragraph of an article. " * 5
+
+
+@pytest.mark.parametrize(
+    "name", ["content has-sidebar", "with-comments", "no-nav", "long-form", "entry-header", "related-work", "search-methods", "social-history", "content-sidebar-wrap", "page-with-footer"]
+)
+@pytest.mark.parametrize("page", ["<div class='{}'>{}</div>", "<article><div class='{}'>{}</div></article>", "<main><p>One.</p><section id='{}'>{}</section></main>"])
+def test_names_that_hide_nothing(name, page):
+    whole = main_text(page.format(name.replace(" ", "_") if "id=" in page else name, f"<h2>Head</h2><p>{PROSE}</p><p>End.</p>"))
+    assert whole.endswith(f"Head\n{PROSE.strip()}\nEnd.")
+
+
+def test_elements_that_hold_the_text():
+    body = f"<p>{PROSE}</p>"
+    assert main_text(f"<div class=sidebar-left><main>{body}</main><div class=related><article>No</article></div></div>") == PROSE.strip()
+    assert main_text(f"<form id=aspnetForm><div class=navbar><a>x</a></div>{body}</form>") == PROSE.strip()
+    assert main_text(f"<article>{body}<section id=search><p>{PROSE}</p></section></article>") == f"{PROSE.strip()}\n{PROSE.strip()}"
+    comments = f"<ol class=comment-list><li><article>{PROSE * 9}</article></ol>"
+    assert main_text(f"<main>{body}{comments}</main>") == PROSE.strip()
+    assert main_text(f"<div>{body}</div><div class='post-comments'>{PROSE * 9}</div>") == PROSE.strip()
+    assert main_text(f"<article>{body}<p>a <span class=ad>buy</span> b</p></article>") == f"{PROSE.strip()}\na b"
+
+
 def test_rows(spark):
     rows = [(k, f"u{k}", page, "clash") for k, (page, _) in enumerate(PAGES)]
     rows += [(None, None, "<p>x</p>", "clash"), (0, "u0", PAGES[0][0], "clash"), (99, "u", f"<article><p>{LONG}</p></article>", "clash")]

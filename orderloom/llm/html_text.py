@@ -273,7 +273,9 @@ def _laid_out(rows: list[Line | Gap], dropped: set[int]) -> list[Line]:
                 gaps.append(row)
         elif not dropped.intersection(row.inside):
             if gaps:
-                parts = any(not g.main for g in gaps)
+                # In an article, and where the blocks before and after lie in the element that held what went, text goes on.
+                before = out[-1].container if out else -1
+                parts = any(g.parts and not g.main and not before == row.container == g.container for g in gaps)
                 out.extend(Line("", 0, gaps[0].main) for _ in range(WINDOW if parts else 1))
                 gaps = []
             out.append(row)

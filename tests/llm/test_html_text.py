@@ -54,6 +54,19 @@ def test_elements_that_hold_the_text():
     assert main_text(f"<article>{body}<p>a <span class=ad>buy</span> b</p></article>") == f"{PROSE.strip()}\na b"
 
 
+@pytest.mark.parametrize("removed", ["<div class=ad>buy</div>", "<form>your name</form>", "<aside>note</aside>", "<div class=ad>buy</div>" * 4, "<div class=promo>x</div><nav>y</nav>"])
+@pytest.mark.parametrize("page", ["<div class=content>{}</div>", "<body>{}</body>", "<body><div id=page><div class=text>{}</div></div></body>"])
+def test_removed_elements_do_not_part_a_text(removed, page):
+    inner = f"<h1>T</h1>{removed}" + f"<p>{PROSE * 9}</p>" * 4 + f"{removed}<p>{PROSE}</p>{removed}<p>end</p>"
+    want = ["T", *[(PROSE * 9).strip()] * 4, PROSE.strip(), "end"]
+    assert main_text("<nav><a>home</a></nav>" + page.format(inner) + "<footer>(c)</footer>") == "\n".join(want)
+
+
+def test_adverts_between_sections():
+    page = f"<div class=content><section><p>{PROSE * 20}</p><p>x</p></section><div class=ad>buy</div><section><p>end</p></section></div>"
+    assert main_text(page) == f"{(PROSE * 20).strip()}\nx\nend"
+
+
 def test_rows(spark):
     rows = [(k, f"u{k}", page, "clash") for k, (page, _) in enumerate(PAGES)]
     rows += [(None, None, "<p>x</p>", "clash"), (0, "u0", PAGES[0][0], "clash"), (99, "u", f"<article><p>{LONG}</p></article>", "clash")]

@@ -270,14 +270,15 @@ def _search(items: Items, weights: np.ndarray, latent: np.ndarray, names: list[s
                         hits.append(np.stack([text[at[a]], mine[b], low[at[a]], high[at[a]]]))
                         likeness.append(cosine[a, b])
                 for (row, piece), new in _compared(block, items.pieces, hits, likeness):
-                    key = (row, piece)
+                    key, (_, common, answer, _, _) = (row, piece), new
+                    if common < SURE and not (common >= LIKELY and answer >= ANSWER):
+                        continue  # another range may hold less of the item, but its answer
                     if key not in found or new[1:3] > found[key][1:3]:
                         found[key] = new
-                kept = {k: v for k, v in found.items() if v[1] >= SURE or v[1] >= LIKELY and v[2] >= ANSWER}
-                if kept:
-                    ids = block.texts["id"].combine_chunks().take(pa.array([t for t, _ in kept]))
-                    columns = [ids, pa.array([items.numbers[p] for _, p in kept], kinds[1])]
-                    columns += [pa.array(c, pa.float64() if k < 3 else pa.int64()) for k, c in enumerate(zip(*kept.values()))]
+                if found:
+                    ids = block.texts["id"].combine_chunks().take(pa.array([t for t, _ in found]))
+                    columns = [ids, pa.array([items.numbers[p] for _, p in found], kinds[1])]
+                    columns += [pa.array(c, pa.float64() if k < 3 else pa.int64()) for k, c in enumerate(zip(*found.values()))]
                     yield pa.RecordBatch.from_arrays(columns, names)
 
     return search
@@ -296,7 +297,8 @@ def contaminated(
     Columns: the ids of both; cosine, in the latent space; common, the share of the item's words in
     the longest common subsequence; answer, that share for the item's last fifth; first_word and
     last_word, the range of words compared. A pair is reported if common is at least 0.7, or at least
-    0.5 with an answer share of 0.8. Words are in lower case (A-Z), parted by white space.
+    0.5 with an answer share of 0.8, in one range at least; the best such range is given. Words are in
+    lower case (A-Z), parted by white space.
 
     Null and empty texts hold nothing and are nothing to look for; items of under five words are left
     out as too short to tell; items of over 64 words are looked for in pieces, and the best piece

@@ -41,6 +41,17 @@ def test_verbatim_reworded_and_partial(spark, benchmark):
     assert got[13, 1].answer == 1.0
 
 
+def test_range_by_rule_beside_a_larger_one(spark):
+    words = [f"w{k}" for k in range(40)]
+    larger = " ".join(words[:21] + words[36:])  # 0.625 of the item, half of its end: not by the rule
+    by_rule = " ".join(words[18:])  # 0.55 of it, with its end
+    apart = " x" * 300 + " "
+    rows = [(1, larger), (2, by_rule), (3, larger + apart + by_rule), (4, by_rule + apart + larger)]
+    got = found(texts(spark, rows), spark.createDataFrame([(1, " ".join(words))], "item_id long, text string"))
+    assert set(got) == {(2, 1), (3, 1), (4, 1)}
+    assert all((r.common, r.answer) == (0.55, 1.0) for r in got.values())
+
+
 def test_long_item_in_pieces(spark):
     rng = random.Random(1)
     words = [f"w{k}" for k in range(500)]

@@ -16,8 +16,10 @@ from orderloom.llm.decontaminate import contaminated
 from orderloom.llm.html_text import extract_text
 from orderloom.llm.jaccard import similar_groups
 from orderloom.llm.pii import pseudonymise
+from orderloom.llm.spelling import spelling_groups
 from orderloom.llm.token_counts import count_tokens
 from orderloom.llm.warc import round_trip
+from orderloom.llm.whitening import whitened
 
 PII_KEY = b"orderloom: replace by a secret key"
 
@@ -76,6 +78,14 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitened(table(spark, folder, "embeddings"))
+
+
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_groups(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_lm": op2_lm,
@@ -87,6 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": op8_neighbours,
     "op9_jaccard": op9_jaccard,
     "op10_token_counts": op10_token_counts,
+    "op11_whitening": op11_whitening,
+    "op12_spelling": op12_spelling,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -128,4 +140,45 @@ ORACLE_SQL: dict[str, str] = {
             (SELECT count(*) FROM links WHERE x = s.doc_id) AS n_links
         FROM sizes s JOIN reach r USING (doc_id) GROUP BY s.doc_id, s.n
     """,
+    "op12_spelling": """
+        WITH RECURSIVE tbl AS (
+            SELECT list_transform(range(256), lambda b: list_reduce(
+                list_prepend(b, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t
+        ), runs AS (
+            SELECT coalesce(doc_id::VARCHAR, '') AS name, translate(unnest(regexp_extract_all(coalesce(text, ''),
+                '[A-Za-z\\x{00C0}-\\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+            FROM documents
+        ), counted AS (
+            SELECT run, name, hex(encode(name || ':' || run)) AS x, count(*) AS k FROM runs WHERE length(run) >= 7 GROUP BY 1, 2
+        ), hashed AS (
+            SELECT run, k, xor(4294967295, list_reduce(
+                list_prepend(4294967295, list_transform(range(length(x) // 2),
+                    lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+                lambda c, b: xor(c // 256, t[1 + xor(c % 256, b)]))) AS h
+            FROM counted, tbl
+        ), words AS (
+            SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word,
+                sum(k)::BIGINT AS n
+            FROM hashed GROUP BY 1 HAVING sum(k) >= 2 AND length(word) >= 7
+        ), cuts AS (
+            SELECT word, n, i, substr(word, 1, i - 1) AS l, substr(word, i + 1) AS r
+            FROM words, unnest(range(1, 1 + length(word))) AS u(i)
+        ), near AS (
+            SELECT a.word AS a, b.word AS b, b.n AS n FROM cuts a JOIN cuts b ON a.l = b.l AND a.r = b.r AND a.i = b.i AND a.word <> b.word
+            UNION SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON w.word = c.l || c.r
+            UNION SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON w.word = c.l || c.r
+        ), best AS (
+            SELECT a, count(*) AS n_near, max(n) AS top, min(CASE WHEN n = m THEN b END) AS b
+            FROM (SELECT *, max(n) OVER (PARTITION BY a) AS m FROM near) GROUP BY a
+        ), formed AS (
+            SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * n THEN b END AS form,
+                CASE WHEN top >= 10 * n THEN top END AS form_n
+            FROM words LEFT JOIN best ON a = word
+        ), chain(word, root) AS (
+            SELECT word, word FROM formed
+            UNION SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NOT NULL
+        )
+        SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n
+        FROM formed f JOIN chain c ON c.word = f.word JOIN formed g ON g.word = c.root AND g.form IS NULL
+    """,
 }

@@ -1,0 +1,126 @@
+"""Whitening against whole numbers and a direct covariance."""
+
+from fractions import Fraction
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from orderloom.llm import whitening
+from orderloom.llm.whitening import whitened
+
+SCHEMA = "vec_id long, embedding array<float>, component int, n string"
+
+
+def frame(spark, vectors, ids=None):
+    ids = range(len(vectors)) if ids is None else ids
+    return spark.createDataFrame([(i, None if v is None else [x if x is None else float(x) for x in v], 7, "clash") for i, v in zip(ids, vectors)], SCHEMA).repartition(3)
+
+
+def brute(vectors):
+    """n, x - S/n as rationals, and the covariance matrix, each entry the nearest double."""
+    x = np.floor(64 * np.asarray(vectors, np.float32).astype(np.float64)).astype(np.int64) + 1_000_000
+    n, size = x.shape
+    total = [int(s) for s in x.sum(axis=0)]
+    z = [[n * int(v) - s for v, s in zip(row, total)] for row in x]
+    cov = [[float(Fraction(sum(r[i] * r[j] for r in z), n**3)) for j in range(size)] for i in range(size)]
+    return n, z, np.array(cov)
+
+
+def check(rows, vectors, ids=None, components=32):
+    n, z, cov = brute(vectors)
+    values, axes = np.linalg.eigh(cov)
+    values, axes = values[::-1], axes[:, ::-1]
+    k = min(components, len(values))
+    assert len(rows) == n * k
+    got = {}
+    for r in rows:
+        got.setdefault(r.vec_id, {})[r.component] = r
+    for i, row in zip(range(n) if ids is None else ids, z):
+        mine = got[i]
+        assert sorted(mine) == list(range(1, k + 1))
+        assert {r.n for r in mine.values()} == {n} and {r.deviation for r in mine.values()} == {sum(v * v for v in row)}
+        for c, r in mine.items():
+            assert r.explained == pytest.approx(values[c - 1] / np.trace(cov), rel=1e-9)
+    centred = np.array(z, float) / n
+    for c in range(1, k + 1):
+        white = np.array([got[i][c].whitened for i in (range(n) if ids is None else ids)])
+        want = centred @ axes[:, c - 1] / np.sqrt(values[c - 1])
+        assert np.abs(white - want * np.sign(white @ want)).max() < 1e-8
+    errors = {r.identity_error for r in rows}
+    assert len(errors) == 1 and errors.pop() < 1e-9
+
+
+def test_small_table(spark):
+    rng = np.random.default_rng(1)
+    vectors = (rng.normal(size=(60, 5)) * [5, 3, 2, 1, 0.5] + [100, 0, -7, 0, 3]).astype(np.float32)
+    check(whitened(frame(spark, vectors)).collect(), vectors)
+    check(whitened(frame(spark, vectors), components=2).collect(), vectors, components=2)
+
+
+def test_the_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    vectors = np.stack(df.toArrow()["embedding"].to_numpy())
+    check(whitened(df).collect(), vectors, df.toArrow()["vec_id"].to_pylist())
+
+
+def test_values_far_off_and_many_bits(spark, monkeypatch):
+    """Means of 10^9 beside a spread of a few units; squares beyond 64 bits."""
+    rng = np.random.default_rng(2)
+    vectors = np.stack([1e9 + 64 * rng.integers(0, 9, 40), rng.normal(size=40), -3e9 + 1024.0 * rng.integers(0, 3, 40)], axis=1)
+    vectors = vectors.astype(np.float32)
+    n, z, cov = brute(vectors)
+    centre = whitening.Centre(n, 3, np.zeros(3, np.int64), [0, 0, 0])
+    x = np.floor(64 * vectors.astype(np.float64)).astype(np.int64) + 1_000_000
+    i, j = whitening.places(3)
+    want = [sum((int(r[a]) + (int(r[b]) if a != b else 0)) ** 2 for r in x) for a, b in zip(i, j)]
+    assert whitening.pair_squares(x).tolist() == want and max(want) > 2**63
+    total = [int(s) for s in x.sum(axis=0)]
+    centre = centre._replace(rest=total)
+    assert np.array_equal(whitening.covariance(centre, {(int(a), int(b)): w for a, b, w in zip(i, j, want)}), cov)
+    rows = whitened(frame(spark, vectors)).collect()
+    assert {r.vec_id: r.deviation for r in rows} == {k: sum(v * v for v in row) if sum(v * v for v in row) < 2**63 else None for k, row in enumerate(z)}
+
+
+def test_odd_rows(spark):
+    rng = np.random.default_rng(3)
+    good = rng.normal(size=(9, 3)).astype(np.float32)
+    odd = [None, [], [1.0, None, 2.0], [1.0, float("nan"), 2.0], [float("inf"), 0.0, 0.0], [1e20, 0.0, 0.0], [1.0, 2.0]]
+    ids = [*range(9), None, 5]
+    vectors = [*good, good[0], good[5]]  # a row without id, a row that comes twice
+    rows = whitened(frame(spark, [*vectors, *odd], [*ids, *range(20, 20 + len(odd))])).collect()
+    assert len(rows) == 11 * 3 and {r.n for r in rows} == {11}
+    assert sum(r.vec_id is None for r in rows) == 3 and sum(r.vec_id == 5 for r in rows) == 6
+    same = {}
+    for r in rows:
+        same.setdefault((r.vec_id, r.component), set()).add(tuple(r))
+    assert all(len(s) == 1 for s in same.values())
+    assert {tuple(r)[1:] for r in rows if r.vec_id is None} == {tuple(r)[1:] for r in rows if r.vec_id == 0}
+
+
+def test_without_variance(spark):
+    """One row, equal rows, a dimension that depends on others."""
+    for vectors in ([[1.0, 2.0]], [[1.0, 2.0]] * 4):
+        rows = whitened(frame(spark, vectors)).collect()
+        assert len(rows) == 2 * len(vectors)
+        assert {(r.deviation, r.whitened, r.explained, r.identity_error) for r in rows} == {(0, None, 0.0, None)}
+    rng = np.random.default_rng(4)
+    two = rng.integers(-50, 50, size=(30, 2)).astype(np.float32)
+    rows = whitened(frame(spark, np.concatenate([two, two[:, :1] + two[:, 1:]], axis=1))).collect()
+    assert {r.component for r in rows if r.whitened is None} == {3}
+    assert {r.identity_error for r in rows}.pop() < 1e-9
+    assert abs(sum({r.component: r.explained for r in rows}.values()) - 1) < 1e-12
+
+
+def test_a_row_does_not_depend_on_its_neighbours(spark):
+    rng = np.random.default_rng(5)
+    df = frame(spark, rng.normal(size=(50, 8)).astype(np.float32))
+    first = whitened(df).select("vec_id", "component", F.col("whitened")).collect()
+    again = whitened(df.repartition(7)).select("vec_id", "component", F.col("whitened")).collect()
+    assert sorted(first) == sorted(again)
+
+
+def test_empty_table(spark):
+    got = whitened(frame(spark, []))
+    assert got.count() == 0
+    assert [f"{f.name} {f.dataType.simpleString()}" for f in got.schema] == whitening._OUT.split(", ")

@@ -16,6 +16,7 @@ from orderloom.llm.decontaminate import contaminated
 from orderloom.llm.html_text import extract_text
 from orderloom.llm.jaccard import similar_groups
 from orderloom.llm.pii import pseudonymise
+from orderloom.llm.repeats import without_repeats
 from orderloom.llm.spelling import spelling_groups
 from orderloom.llm.token_counts import count_tokens
 from orderloom.llm.warc import round_trip
@@ -86,6 +87,17 @@ def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_groups(table(spark, folder, "documents"))
 
 
+def op13_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    found = without_repeats(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"),
+        F.size("removed").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_lm": op2_lm,
@@ -99,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
     "op11_whitening": op11_whitening,
     "op12_spelling": op12_spelling,
+    "op13_repeats": op13_repeats,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -181,4 +194,30 @@ ORACLE_SQL: dict[str, str] = {
         SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n
         FROM formed f JOIN chain c ON c.word = f.word JOIN formed g ON g.word = c.root AND g.form IS NULL
     """,
+    "op13_repeats": """
+        WITH d AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents
+        ), blocks AS (
+            SELECT doc_id, o, substr(x, 2 * o + 1, 2198) AS y FROM d, unnest(range(0, n, 1000)) AS u(o)
+        ), windows AS (
+            SELECT doc_id, o + i AS i, substr(y, 2 * i + 1, 200) AS w
+            FROM blocks, unnest(range(least(1000, length(y) // 2 - 99))) AS u(i)
+        ), repeats AS (
+            SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before
+            FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS k FROM windows) WHERE k > 1
+        ), spans AS (
+            SELECT doc_id, min(i) AS a, max(i) + 100 AS b
+            FROM (SELECT doc_id, i, sum(CASE WHEN i <= before + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM repeats)
+            GROUP BY doc_id, g
+        ), pieces AS (
+            SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS open FROM spans
+        ), found AS (
+            SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS b,
+                string_agg(substr(x, 2 * open + 1, 2 * (a - open)), '' ORDER BY a) AS kept
+            FROM pieces JOIN d USING (doc_id) GROUP BY doc_id
+        )
+        SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+            sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(b, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN found USING (doc_id)
+    """,
 }

@@ -8,12 +8,12 @@ megabytes. The work then has these steps, each a Spark stage:
    sends its distinct anchors to hash ranges; these tell it which ones occur again, and how often.
 2. Shards. Runs whose anchor occurs again become strings (run and its last window). A slice keeps each
    distinct string once, for its earliest place; the windows of the other places are repeats in any case.
-   Strings go to groups by anchor, those of a group to a few shards by slice, and the task of a shard
-   builds the Burrows-Wheeler transform of its strings.
+   Strings go to groups by anchor, those of a group to a few shards by content, and the task of a shard
+   builds the Burrows-Wheeler transform of its distinct strings.
 3. Merge. The task of a group merges its shards' transforms by refining their interleave: rows in the
-   order of their first h bytes, read through the transforms, give the order by h + 4 bytes, as the
-   transforms give the four bytes before each suffix. No suffix is compared or sorted again. Where rows
-   part in a round shows their common prefix; rows that have not parted after 100 bytes are the
+   order of their first h bytes, read through the transforms, give the order by h + 5 bytes, as the
+   transforms give the five bytes before each suffix. No suffix is compared or sorted again. The round in
+   which a row parts from all others gives its common prefix; rows still together after 100 bytes are the
    intervals of a repeated window, and of each interval all places but the earliest are repeats.
 4. Removal. Slices get their answers and drop the bytes that repeats cover.
 
@@ -27,6 +27,7 @@ ranges and groups follows from the size of the input.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -37,15 +38,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import mix, pack, pack_skewed, pack_sorted, release, shared_folder, slices, unpack, unpack_skewed, unpack_sorted
+from orderloom.llm.common import mix, pack, pack_skewed, pack_sorted, release, slices, stored, unpack, unpack_skewed, unpack_sorted
 
 WINDOW, ANCHOR, INNER = 100, 50, 98
 RUN = 64  # windows of a string at most
-STEP = 4  # bytes that one round of the merge goes on
-SHARDS = 8
-FREQUENT = 4096  # occurrences of an anchor whose runs are cut again
-SLICE = 4 << 20
-GROUP = 1 << 19  # bytes of a group's strings, if none of them were equal
+STEP = 5  # bytes that one round of the merge goes on
+SHARDS = 4
+FREQUENT = 1 << 14  # occurrences of an anchor whose runs are cut again
+SLICE = 16 << 20
+GROUP = 1 << 20  # bytes of a group's strings, if none of them were equal
 BLOCK = 1 << 20  # windows hashed at a time
 
 NO_ID = np.iinfo(np.int64).min  # a null id comes before all others
@@ -95,15 +96,21 @@ def _sliding(least_or_most: np.ufunc, values: np.ndarray, width: int) -> np.ndar
     return least_or_most(values[: len(values) - (width - span)], values[width - span :]) if span < width else values
 
 
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    """Least hashes crowd at the low end; mixed, they fill all ranges alike. 48 bits tell them apart."""
+    return mix(hashes) & ~np.uint64(0xFFFF)
+
+
 def anchored_runs(data: np.ndarray, offsets: np.ndarray, size: int, places: bool = False) -> Runs:
     """Runs of all windows of the texts that lie between the offsets, in order."""
     n, width = len(data), WINDOW - size + 1
     if n < WINDOW:
         return Runs(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-    steps = np.zeros(n + 1, np.int32)  # texts that end within the window, or begin again
-    np.add.at(steps, np.maximum(offsets[:-1], offsets[1:] - WINDOW + 1), 1)
-    np.add.at(steps, offsets[1:], -1)
-    whole = np.cumsum(steps[:-1]) == 0
+    places_of = np.unique(offsets)
+    steps = np.zeros(n + 1, np.int8)  # 1 where a text's last windows would pass its end, -1 behind it
+    steps[np.maximum(places_of[:-1], places_of[1:] - WINDOW + 1)] += 1
+    steps[places_of[1:]] -= 1
+    whole = np.cumsum(steps[:-1], dtype=np.int8) == 0
     longest = min(BLOCK, n) + WINDOW
     powers, inverse = _powers(_BASE, longest), _powers(pow(_BASE, -1, 2**64), longest)
     parts: list[Runs] = []
@@ -127,8 +134,7 @@ def anchored_runs(data: np.ndarray, offsets: np.ndarray, size: int, places: bool
             chosen = hashes[_sliding(np.maximum, around, width) == hashes]
         parts.append(Runs(first + low, np.minimum(RUN, np.repeat(count, pieces) - RUN * at), anchor, chosen))
     found = Runs(*(np.concatenate(c) for c in zip(*parts)))
-    # Least hashes crowd at the low end; mixed, they fill all ranges alike.
-    return found._replace(anchor=mix(found.anchor), places=mix(found.places))
+    return found._replace(anchor=_mixed(found.anchor), places=_mixed(found.places))
 
 
 def _part_of(anchors: np.ndarray, parts: int) -> np.ndarray:
@@ -154,30 +160,48 @@ def _of(names: str) -> tuple[str, pa.Schema]:
     return ", ".join(f"{n} {kinds[k][0]}" for n, k in fields), pa.schema([(n, kinds[k][1]) for n, k in fields])
 
 
-_PART, _PART_ARROW = _of("kind:s slice:l range:l ids:b offsets:b data:b")
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one by one; a batch may hold many slices."""
+    for batch in batches:
+        for k in range(len(batch)):
+            yield batch.slice(k, 1).to_pylist()[0]
+        release()
+
+
+_SLICE, _SLICE_ARROW = _of("slice:l ids:b offsets:b data:b")
+
+
+def _slice_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of each slice as one row."""
+    task, turn = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        for part in slices(batch.column(1), SLICE):
+            some = batch.column(0).slice(part.first, part.last - part.first)
+            name, turn = task << 32 | turn, turn + 1
+            null = np.packbits(np.asarray(some.is_null()))
+            ids = np.asarray(some.fill_null(NO_ID), np.int64)
+            held = len(null).to_bytes(8, "little") + null.tobytes() + pack(ids)
+            data = zstandard.ZstdCompressor(level=4).compress(part.data.tobytes())
+            yield _batch([(name, held, pack(part.offsets), data)], _SLICE_ARROW)
+        release()
 
 
-def _slice_up(ranges: int):
-    def slice_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The texts of each slice as one row, and its distinct anchors with their counts by hash range."""
-        task, turn = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for part in slices(batch.column(1), SLICE):
-                some = batch.column(0).slice(part.first, part.last - part.first)
-                name, turn = task << 32 | turn, turn + 1
-                null = np.packbits(np.asarray(some.is_null()))
-                ids = np.asarray(some.fill_null(NO_ID), np.int64)
-                held = len(null).to_bytes(8, "little") + null.tobytes() + pack(ids)
-                yield _batch([("text", name, None, held, pack(part.offsets), pack(part.data))], _PART_ARROW)
-                anchors, counts = np.unique(anchored_runs(part.data, part.offsets, ANCHOR, places=True).places, return_counts=True)
-                rows = [
-                    ("anchors", name, r, None, pack_skewed(counts[low:high]), pack_sorted(anchors[low:high]))
-                    for r, low, high in _cuts(_part_of(anchors, ranges))
-                ]
-                yield _batch(rows, _PART_ARROW)
-            release()
+_ANCHOR, _ANCHOR_ARROW = _of("range:l slice:l counts:b anchors:b")
 
-    return slice_up
+
+def _anchors(ranges: int):
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A slice's distinct anchors with the number of their places, by hash range."""
+        for row in _each(batches):
+            _, _, offsets, data = _texts(row["ids"], row["offsets"], row["data"])
+            found, counts = np.unique(anchored_runs(data, offsets, ANCHOR, places=True).places, return_counts=True)
+            rows = [
+                (r, row["slice"], pack_skewed(counts[low:high]), pack_sorted(found[low:high]))
+                for r, low, high in _cuts(_part_of(found, ranges))
+            ]
+            yield _batch(rows, _ANCHOR_ARROW)
+
+    return anchors
 
 
 _FLAG, _FLAG_ARROW = _of("slice:l range:l repeated:l flags:b")
@@ -185,8 +209,8 @@ _FLAG, _FLAG_ARROW = _of("slice:l range:l repeated:l flags:b")
 
 def _flag(table: pa.Table) -> pa.Table:
     """For each slice's anchors of a hash range: 0 if it occurs once in all, 1 if again, 2 if very often."""
-    anchors = [unpack_sorted(x.as_py()) for x in table["data"]]
-    counts = np.concatenate([unpack_skewed(x.as_py()) for x in table["offsets"]]).astype(np.int64)
+    anchors = [unpack_sorted(x.as_py()) for x in table["anchors"]]
+    counts = np.concatenate([unpack_skewed(x.as_py()) for x in table["counts"]]).astype(np.int64)
     _, place = np.unique(np.concatenate(anchors), return_inverse=True)
     total = np.bincount(place, counts)[place]
     flags = (total > 1).astype(np.uint8) + (total > FREQUENT)
@@ -204,21 +228,26 @@ def _texts(ids: bytes, offsets: bytes, data: bytes) -> tuple[np.ndarray, np.ndar
     return unpack(ids[8 + n :], np.int64), null, places, unpack(data, np.uint8)
 
 
-_CUT, _CUT_ARROW = _of("kind:s slice:l deal:l name:l start:b data:b")
-
+class Strings(NamedTuple):
+    """Where the candidate windows of a slice stand, and its distinct strings by group.
 
-def _cut(groups: int):
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The strings of each slice for each group and shard, and where in the slice they stand."""
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield _strings(row, groups)
-            release()
+    For each run: its start in the slice, its windows, the string it equals, whether it is the string's
+    earliest place. For each string: its text, group, windows, and the document and place of the earliest.
+    """
 
-    return cut
+    start: np.ndarray
+    count: np.ndarray
+    number: np.ndarray
+    first: np.ndarray
+    texts: list[bytes]
+    group: np.ndarray
+    windows: np.ndarray
+    doc: np.ndarray
+    within: np.ndarray
 
 
-def _strings(row: dict, groups: int) -> pa.RecordBatch:
+def _strings(row: dict, groups: int) -> Strings:
+    """The runs of a slice whose anchors occur again, by the answers of the hash ranges."""
     ids, _, offsets, data = _texts(row["ids"], row["offsets"], row["data"])
     runs = anchored_runs(data, offsets, ANCHOR)
     _, place = np.unique(runs.anchor, return_inverse=True)  # the slice's anchors, in the order they were sent
@@ -251,42 +280,64 @@ def _strings(row: dict, groups: int) -> pa.RecordBatch:
         elif (d, w) < (doc[first[number]], within[first[number]]):
             first[number] = k
     first = np.array(first, np.int64)
-    local = np.stack([start, count, numbers, first[numbers] == np.arange(len(start))]) if len(start) else np.zeros((4, 0), np.int64)
-    rows = [("local", row["slice"], None, None, None, pack(local.astype(np.int64)))]
-    shard = (row["slice"] ^ row["slice"] >> 32) % SHARDS
-    texts = list(known)
-    for g, low, high in _cuts(group[first]):
-        head = np.stack([count[first[low:high]], doc[first[low:high]], within[first[low:high]]])
-        strings = zstandard.ZstdCompressor(level=1).compress(b"".join(t for _, t in texts[low:high]))
-        rows.append(("strings", row["slice"], g * SHARDS + shard, g, pack(head), strings))
-    return _batch(rows, _CUT_ARROW)
+    is_first = first[numbers] == np.arange(len(start)) if len(start) else np.zeros(0, bool)
+    return Strings(start, count, numbers, is_first, [t for _, t in known], group[first], count[first], doc[first], within[first])
+
+
+_CUT, _CUT_ARROW = _of("deal:l name:l slice:l head:b strings:b")
+
+
+def _cut(groups: int):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The strings of each slice for each shard of each group; equal strings meet in one shard."""
+        for row in _each(batches):
+            s = _strings(row, groups)
+            deal = s.group * SHARDS + np.array([zlib.crc32(t) % SHARDS for t in s.texts], np.int64)
+            order, rows = np.argsort(deal, kind="stable"), []
+            for d, low, high in _cuts(deal[order]):
+                some = order[low:high]
+                head = np.stack([some, s.windows[some], s.doc[some], s.within[some]])
+                strings = zstandard.ZstdCompressor(level=3).compress(b"".join(s.texts[k] for k in some))
+                rows.append((d, d // SHARDS, row["slice"], pack(head), strings))
+            yield _batch(rows, _CUT_ARROW)
+
+    return cut
 
 
 def transform(strings: list[bytes]) -> np.ndarray:
     """Burrows-Wheeler transform of strings, each with an end mark of its own.
 
     The symbol before each suffix, in the order of the suffixes: 0 for the mark, else the byte plus one.
+    Suffixes are ordered by their first bytes, then those that are equal so far by twice as many.
     """
     chars = np.frombuffer(b"".join(s + b"\0" for s in strings), np.uint8).astype(np.uint16) + np.uint16(1)
     lengths = np.array([len(s) + 1 for s in strings], np.int64)
-    ends = np.cumsum(lengths) - 1
+    ends, n = np.cumsum(lengths) - 1, len(chars)
     chars[ends] = 0
-    left = np.repeat(ends, lengths) - np.arange(len(chars))  # bytes up to the mark
-    key = np.zeros(len(chars), np.uint64)
-    padded = np.append(chars, np.zeros(7, np.uint16)).astype(np.uint64)
+    left = np.repeat(ends, lengths) - np.arange(n)  # bytes up to the mark
+    key, padded = np.zeros(n, np.uint64), np.append(chars, np.zeros(7, np.uint16)).astype(np.uint64)
     for k in range(7):
-        ahead = padded[k : k + len(chars)]
-        key = key << np.uint64(9) | np.where(left >= k, ahead, np.uint64(0))
-    reach, n = 7, len(chars)
+        key = key << np.uint64(9) | np.where(left >= k, padded[k : k + n], np.uint64(0))
+    order, places = np.argsort(key), np.arange(n)
+    fresh = np.append(True, np.diff(key[order]) != 0)
+    rank, reach = np.empty(n, np.int64), 7
+    rank[order] = np.maximum.accumulate(np.where(fresh, places, 0))
     while True:
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.append(0, ranked[1:] != ranked[:-1]))
-        if reach >= lengths.max() or rank[order[-1]] == n - 1:
+        equal = ~(fresh & np.append(fresh[1:], True))
+        places, rows = places[equal], order[places[equal]]
+        if not len(rows):
             break
-        beyond = np.where(left >= reach, np.append(rank[reach:], np.zeros(min(reach, n), np.int64))[:n] + 1, 0)
-        key = (rank * (n + 1) + beyond).astype(np.uint64)
+        done = reach >= lengths.max()
+        # What follows the bytes that are equal; in the end, which string it is.
+        beyond = rows if done else np.where(left[rows] >= reach, rank[np.minimum(rows + reach, n - 1)] + 1, 0)
+        key = (rank[rows] << 32 | beyond).astype(np.uint64)
+        turn = np.argsort(key)
+        rows, key = rows[turn], key[turn]
+        order[places] = rows
+        if done:
+            break
+        fresh = np.append(True, np.diff(key) != 0)
+        rank[rows] = places[np.maximum.accumulate(np.where(fresh, np.arange(len(rows)), 0))]
         reach *= 2
     before = np.append(chars[-1:], chars[:-1])  # at a string's first byte: the mark of the one before
     return before[order]
@@ -299,11 +350,9 @@ def _shard(table: pa.Table) -> pa.Table:
     """The transform of a shard's distinct strings, their earliest places, and who asks for them."""
     numbers: dict[bytes, int] = {}
     doc, within, members = [], [], []
-    for slice_, head, data in zip(table["slice"].to_pylist(), table["start"], table["data"]):
-        count, docs, starts = unpack(head.as_py(), np.int64).reshape(3, -1)
-        raw = zstandard.ZstdDecompressor().decompress(data.as_py())
-        low = 0
-        for c, d, w in zip(count.tolist(), docs.tolist(), starts.tolist()):
+    for slice_, head, data in zip(table["slice"].to_pylist(), table["head"], table["strings"]):
+        raw, low = zstandard.ZstdDecompressor().decompress(data.as_py()), 0
+        for k, c, d, w in unpack(head.as_py(), np.int64).reshape(4, -1).T.tolist():
             string = raw[low : low + c + WINDOW - 1]
             low += len(string)
             number = numbers.setdefault(string, len(doc))
@@ -312,7 +361,7 @@ def _shard(table: pa.Table) -> pa.Table:
                 within.append(w)
             elif (d, w) < (doc[number], within[number]):
                 doc[number], within[number] = d, w
-            members.append((slice_, number, c, d, w))
+            members.append((slice_, k, number, c, d, w))
     symbols = transform(list(numbers))
     marks = np.flatnonzero(symbols == 0)
     one = (table["name"][0].as_py(), pack(marks), pack((symbols - 1).astype(np.uint8)), pack(np.array([doc, within])), pack(np.array(members, np.int64)))
@@ -332,16 +381,15 @@ class Shard(NamedTuple):
 def read_back(symbols: np.ndarray) -> Shard:
     """Walks all strings of a transform from their marks to their first bytes, side by side."""
     n, m = len(symbols), int((symbols == 0).sum())
-    longer = np.empty(n, np.int64)
-    longer[np.argsort(symbols, kind="stable")] = np.arange(n)
-    string, left, lengths = np.empty(n, np.int64), np.empty(n, np.int64), np.zeros(m, np.int64)
+    longer = np.empty(n, np.int32)
+    longer[np.argsort(symbols, kind="stable")] = np.arange(n, dtype=np.int32)
+    string, left, lengths = np.empty(n, np.int32), np.empty(n, np.int32), np.zeros(m, np.int64)
     row, name, steps = np.arange(m), np.arange(m), 0
     while len(row):
         string[row], left[row] = name, steps
-        first = symbols[row] == 0
-        lengths[name[first]] = steps
-        longer[row[first]] = name[first]  # around to the string's own mark
-        row, name, steps = longer[row[~first]], name[~first], steps + 1
+        on = symbols[row] != 0
+        lengths[name[~on]] = steps
+        row, name, steps = longer[row[on]], name[on], steps + 1
     return Shard(symbols, longer, string, left, lengths)
 
 
@@ -349,38 +397,54 @@ def _stable_order(codes: np.ndarray) -> np.ndarray:
     """Order by small integers; equal ones stay as they are. By counting, 16 bits at a time."""
     order = np.argsort(codes.astype(np.uint16), kind="stable")
     if len(codes) and int(codes.max()) >= 1 << 16:
-        order = order[np.argsort((codes[order] >> 16).astype(np.uint16), kind="stable")]
+        order = order[np.argsort((codes >> 16).astype(np.uint16)[order], kind="stable")]
     return order
 
 
-def merge(shards: list[Shard], depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Interleave of the shards' rows by their first ``depth`` bytes.
+class Merged(NamedTuple):
+    """Rows that share at least the depth with another, in order; their intervals; each row's common prefix.
 
-    Rows, numbered through all shards, in their order; the interval of each place, whose rows share the
-    depth; and the round in which a place parted from the one before it, 0 if it never did: their common
-    prefix is between STEP * (round - 1) and STEP * round - 1 bytes.
+    Rows are numbered through all shards. Rows of one interval share the depth. ``common`` has, for every
+    row, how many bytes it shares with some other, in whole steps.
+    """
+
+    rows: np.ndarray
+    interval: np.ndarray
+    common: np.ndarray
+
+
+def merge(shards: list[Shard], depth: int = WINDOW) -> Merged:
+    """Interleave of the shards' rows by their first ``depth`` bytes, a step longer with each round.
+
+    The rows in the order of h bytes are read in turn; the bytes before each are dealt out in their order,
+    which gives the order of the longer suffixes. A row that shares its h bytes with no other drops out,
+    as nothing longer can meet another either, and so does a suffix that has no byte before it.
     """
     base = np.cumsum([0, *(len(s.symbols) for s in shards)])
-    symbols = np.concatenate([s.symbols for s in shards]).astype(np.uint64)
-    longer = np.concatenate([s.longer + b for s, b in zip(shards, base)])
-    code, jump = np.zeros(len(symbols), np.uint64), np.arange(len(symbols))
+    symbols = np.concatenate([s.symbols for s in shards])
+    longer = np.concatenate([s.longer + np.int32(b) for s, b in zip(shards, base)])
+    string_length = np.concatenate([s.lengths[s.string] for s in shards])
+    before = string_length - np.concatenate([s.left for s in shards])  # bytes of the string before the suffix
+    code, jump = np.zeros(len(symbols), np.uint64), np.arange(len(symbols), dtype=np.int32)
     for k in range(STEP):
-        code |= symbols[jump] << np.uint64(9 * k)
-        jump = longer[jump]
+        code |= (symbols[jump].astype(np.uint64) - np.uint64(1)) << np.uint64(8 * k)
+        jump = np.where(before > k, longer[jump], jump)
+    code[before < STEP] = 0
     code = np.unique(code, return_inverse=True)[1].astype(np.uint32)
-    rows = np.arange(len(symbols))
-    interval, parted, many = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64), 1
+    open_ = before >= STEP
+    rows, interval = np.arange(len(symbols), dtype=np.int32), np.zeros(len(symbols), np.int32)
+    common = np.zeros(len(symbols), np.int32)
     for turn in range(1, depth // STEP + 1):
+        on = open_[rows]
+        rows, interval = rows[on], interval[on]
         step = code[rows]
         order = _stable_order(step)
-        step, old = step[order], interval[order]
-        fresh = np.append(True, (step[1:] != step[:-1]) | (old[1:] != old[:-1])) if len(rows) else np.zeros(0, bool)
-        rows, interval = jump[rows[order]], np.cumsum(fresh) - 1
-        parted[fresh & (parted == 0)] = turn
-        if fresh.sum() == many:
-            break  # no interval was split, so none will be
-        many = fresh.sum()
-    return rows, interval, parted
+        step, old, rows = step[order], interval[order], jump[rows[order]]
+        fresh = np.append(True, (step[1:] != step[:-1]) | (old[1:] != old[:-1]))[: len(rows)]
+        shared = ~(fresh & np.append(fresh[1:], True)[: len(rows)])
+        rows, interval = rows[shared], np.cumsum(fresh, dtype=np.int32)[shared]
+        common[rows] = turn * STEP
+    return Merged(rows, interval, common)
 
 
 def repeated_windows(shards: list[Shard], doc: np.ndarray, within: np.ndarray) -> np.ndarray:
@@ -393,17 +457,17 @@ def repeated_windows(shards: list[Shard], doc: np.ndarray, within: np.ndarray) -
     string = np.concatenate([s.string + b for s, b in zip(shards, base)])
     left = np.concatenate([s.left for s in shards])
     rows, interval, _ = merge(shards)
-    windows = left[rows] >= WINDOW
-    rows, interval = rows[windows], interval[windows]
-    owner, place = string[rows], lengths[string[rows]] - left[rows]
-    low = np.flatnonzero(np.diff(interval, prepend=-1))
-    size = np.diff(np.append(low, len(rows)))
-    docs, starts = doc[owner], within[owner] + place
-    least = np.repeat(np.minimum.reduceat(docs, low), size)
-    earliest = np.repeat(np.minimum.reduceat(np.where(docs == least, starts, np.iinfo(np.int64).max), low), size)
     counts = lengths - WINDOW + 1
     found = np.zeros(counts.sum(), bool)
-    found[(np.cumsum(counts) - counts)[owner] + place] = (docs != least) | (starts != earliest)
+    if len(rows):
+        owner = string[rows]
+        place = lengths[owner] - left[rows]
+        low = np.flatnonzero(np.diff(interval, prepend=-1))
+        size = np.diff(np.append(low, len(rows)))
+        docs, starts = doc[owner], within[owner] + place
+        least = np.repeat(np.minimum.reduceat(docs, low), size)
+        earliest = np.repeat(np.minimum.reduceat(np.where(docs == least, starts, np.iinfo(np.int64).max), low), size)
+        found[(np.cumsum(counts) - counts)[owner] + place] = (docs != least) | (starts != earliest)
     return found
 
 
@@ -424,16 +488,15 @@ def _merge(table: pa.Table) -> pa.Table:
         symbols[unpack(row["marks"], np.int64)] = 0
         shards.append(read_back(symbols))
         places.append(unpack(row["docs"], np.int64).reshape(2, -1))
-        asked = unpack(row["members"], np.int64).reshape(-1, 5).copy()
-        asked[:, 1] += base
+        asked = unpack(row["members"], np.int64).reshape(-1, 6).copy()
+        asked[:, 2] += base
         members.append(asked)
         base += len(shards[-1].lengths)
     doc, within = np.concatenate(places, axis=1)
     found = repeated_windows(shards, doc, within)
     counts = np.concatenate([s.lengths for s in shards]) - WINDOW + 1
-    slice_, number, count, d, w = np.concatenate(members).T
-    order = np.argsort(slice_, kind="stable")
-    slice_, number, count, d, w = (x[order] for x in (slice_, number, count, d, w))
+    members = np.concatenate(members)
+    slice_, _, number, count, d, w = members[np.lexsort((members[:, 1], members[:, 0]))].T
     mask = found[_spread((np.cumsum(counts) - counts)[number], count)]
     mask |= np.repeat((d != doc[number]) | (w != within[number]), count)  # the same string stands earlier
     ends = np.append(0, np.cumsum(count))
@@ -449,38 +512,37 @@ _OUT = "doc_id bigint, n_bytes bigint, removed array<struct<start: bigint, end:
 _OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("removed", SPAN), ("kept", pa.binary())])
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            yield _removed(row)
-        release()
+def _remove(groups: int):
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            yield _removed(row, groups)
+
+    return remove
 
 
-def _removed(row: dict) -> pa.RecordBatch:
+def _removed(row: dict, groups: int) -> pa.RecordBatch:
+    s = _strings(row, groups)
     ids, null, offsets, data = _texts(row["ids"], row["offsets"], row["data"])
-    start, count, number, is_first = unpack(row["local"], np.int64).reshape(4, -1)
-    masks = [np.unpackbits(unpack(a["mask"], np.uint8), count=a["n"]) for a in row["answers"] or []]
+    masks = [np.unpackbits(unpack(a["mask"], np.uint8), count=a["n"]) for a in row["masks"] or []]
     masks = np.concatenate([np.zeros(0, np.uint8), *masks])
-    counts = np.zeros(int(number.max()) + 1 if len(number) else 0, np.int64)
-    counts[number] = count
-    low = (np.cumsum(counts) - counts)[number]
-    repeat = masks[_spread(low, count)].astype(bool) | np.repeat(is_first == 0, count)
-    begins = _spread(start, count)[repeat]
+    low = (np.cumsum(s.windows) - s.windows)[s.number]
+    repeat = masks[_spread(low, s.count)].astype(bool) | np.repeat(~s.first, s.count)
+    begins = _spread(s.start, s.count)[repeat]
     steps = np.zeros(len(data) + 1, np.int8)
     steps[begins] += 1
     steps[begins + WINDOW] -= 1
-    covered = np.cumsum(steps[:-1], dtype=np.int32) > 0
+    covered = np.cumsum(steps[:-1], dtype=np.int8) > 0  # by a hundred windows at most
     # Spans open at a covered byte behind one that is not, or at a text's first byte; no window crosses texts.
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
-    opens = np.flatnonzero(covered & (np.append(True, ~covered[:-1]) | edge[:-1]))
-    closes = np.flatnonzero(covered & (np.append(~covered[1:], True) | edge[1:])) + 1
+    opens = np.flatnonzero(covered & (np.append(True, ~covered[:-1])[: len(data)] | edge[:-1]))
+    closes = np.flatnonzero(covered & (np.append(~covered[1:], True)[: len(data)] | edge[1:])) + 1
     spans = np.searchsorted(opens, offsets)
     shift = np.repeat(offsets[:-1], np.diff(spans))
     removed = pa.ListArray.from_arrays(
         pa.array(spans, pa.int32()), pa.StructArray.from_arrays([pa.array(opens - shift), pa.array(closes - shift)], fields=list(SPAN.value_type))
     )
-    kept_at = np.append(0, np.cumsum(~covered))[offsets]
+    kept_at = offsets - np.append(0, np.cumsum(closes - opens))[spans]
     kept = pa.Array.from_buffers(
         pa.binary(), len(ids), [None, pa.py_buffer(kept_at.astype(np.int32).tobytes()), pa.py_buffer(data[~covered].tobytes())]
     )
@@ -504,26 +566,13 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text).alias("text"))
     ranges = 4 * max(1, rows.rdd.getNumPartitions())
 
-    def kept(df: DataFrame, purpose: str) -> DataFrame:
-        path = shared_folder(spark, purpose)
-        df.write.partitionBy(*(["kind"] if "kind" in df.columns else [])).option("compression", "none").parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    parts = kept(rows.mapInArrow(_slice_up(ranges), _PART), "slices")
-    texts = parts.filter("kind = 'text'").select("slice", "ids", "offsets", "data")
-    anchors = parts.filter("kind = 'anchors'").select("slice", "range", "offsets", "data")
-    flags = kept(anchors.groupBy("range").applyInArrow(_flag, _FLAG), "anchors")
+    texts = stored(rows.mapInArrow(_slice_up, _SLICE), "slices")
+    flags = stored(texts.mapInArrow(_anchors(ranges), _ANCHOR).groupBy("range").applyInArrow(_flag, _FLAG), "anchors")
     again = flags.agg(F.sum("repeated")).first()[0] or 0
     groups = int(max(1, min(2**31, again * (WINDOW + 26) // GROUP)))
-
-    def answered(df: DataFrame, *columns: str) -> DataFrame:
-        return df.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("answers"))
-
-    asked = texts.join(answered(flags, "range", "flags"), "slice", "left")
-    cut = kept(asked.mapInArrow(_cut(groups), _CUT), "strings")
-    strings = cut.filter("kind = 'strings'").select("slice", "deal", "name", "start", "data")
-    shards = strings.groupBy("deal").applyInArrow(_shard, _SHARD)
-    masks = kept(shards.groupBy("name").applyInArrow(_merge, _MASK), "masks")
-    local = cut.filter("kind = 'local'").select("slice", F.col("data").alias("local"))
-    found = texts.join(local, "slice").join(answered(masks, "name", "n", "mask"), "slice", "left")
-    return found.mapInArrow(_remove, _OUT).select(F.col("doc_id"), "n_bytes", "removed", "kept")
+    answers = flags.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("range", "flags"))).alias("answers"))
+    asked = texts.join(answers, "slice", "left")
+    shards = asked.mapInArrow(_cut(groups), _CUT).groupBy("deal").applyInArrow(_shard, _SHARD)
+    masks = stored(shards.groupBy("name").applyInArrow(_merge, _MASK), "masks")
+    masked = masks.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("name", "n", "mask"))).alias("masks"))
+    return asked.join(masked, "slice", "left").mapInArrow(_remove(groups), _OUT)

@@ -1,6 +1,7 @@
 """Removal of repeated passages against a direct search, and the transforms against sorted suffixes."""
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -141,23 +142,20 @@ def test_transform(strings):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(STRINGS, min_size=1, max_size=4))
 def test_merge(parts):
-    """Rows of all shards in the order of their first 8 bytes, intervals and common prefixes."""
+    """Rows of all shards that share 10 bytes, in order; their intervals; everybody's common prefix in steps."""
     shards = [read_back(transform(p)) for p in parts]
-    rows, interval, parted = merge(shards, 8)
+    rows, interval, common = merge(shards, 10)
     every = [s for p in parts for s in p]
     base = np.cumsum([0, *map(len, parts)])
     string = np.concatenate([s.string + b for s, b in zip(shards, base)])
     left = np.concatenate([s.left for s in shards])
+    suffix = [every[i][len(every[i]) - k :] for i, k in zip(string, left)]
 
-    def around(row):
-        s = every[string[row]] + b"$"
-        symbols = [x + 1 for x in s[:-1]] + [0]
-        at = len(s) - 1 - left[row]
-        return tuple((symbols[at:] + symbols[:at] + symbols)[:8]) if len(s) >= 8 else tuple((symbols[at:] + 8 * symbols)[:8])
-
-    heads = [around(r) for r in rows]
-    assert heads == sorted(heads) and sorted(rows) == list(range(len(left)))
-    for k in range(1, len(heads)):
-        assert (interval[k] == interval[k - 1]) == (heads[k] == heads[k - 1])
-        common = next((j for j in range(8) if heads[k][j] != heads[k - 1][j]), 8)
-        assert parted[k] == (0 if common == 8 else common // repeats.STEP + 1)
+    def sharing(depth):
+        heads = Counter(x[:depth] for x in suffix if len(x) >= depth)
+        return [len(x) >= depth and heads[x[:depth]] > 1 for x in suffix]
+
+    heads = [suffix[r][:10] for r in rows]
+    assert heads == sorted(heads) and sorted(rows) == [r for r, s in enumerate(sharing(10)) if s]
+    assert all((interval[k] == interval[k - 1]) == (heads[k] == heads[k - 1]) for k in range(1, len(heads)))
+    assert common.tolist() == [repeats.STEP * (a + b) for a, b in zip(sharing(5), sharing(10))]

@@ -6,8 +6,8 @@ its pivots. One edit spoils one pivot at most. So of two words one edit apart, t
 whose prefix ends first hold a bigram of the other's prefix, and as the edit lies on one side of that
 bigram, everything on its other side is the same: the bigram stands at the same place counted from the
 front or from the back, and the text from there through the bigram is equal. Pivots and prefix bigrams
-are joined by that text, lengths that differ by more than one are left out, and each meeting is
-verified by its edit distance inside the join.
+are joined by that text (with half of the rest, if it is short), lengths that differ by more than one
+are left out, and each meeting is verified by its edit distance inside the join.
 
 Words of over 64 characters, in which one bigram may stand at any number of places, are joined by the
 half that an edit leaves alone.
@@ -31,6 +31,7 @@ LETTERS = "A-Za-zÀ-ÿ"
 MIN_LENGTH, MIN_COUNT, LOSS, RATIO = 7, 2, 31, 10
 
 ORDINARY = 64  # characters of an ordinary word
+TELLING = 6  # characters that tell words apart well enough
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -80,20 +81,40 @@ def prefix_and_pivots(word: str, order: dict[str, tuple[int, int]]) -> tuple[lis
     return prefix, pair, last
 
 
+def meeting_keys(word: str, at: int, pivotal: bool) -> list[str]:
+    """What another word has to share with this one if an edit leaves the bigram at this place alone.
+
+    The text from one end of the word through the bigram is the same in both. If it is short, the rest is
+    halved, and one half is the same, too; a pivot asks for the halves of words of each possible length.
+    """
+    keys = []
+    for side, same, rest in (("<", word[: at + 2], word[at + 2 :]), (">", word[at:], word[:at])):
+        if len(same) >= TELLING:
+            keys.append(side + same)
+            continue
+        for other in (-1, 0, 1) if pivotal else (0,):
+            size = len(rest) + other
+            if size >= 0:
+                half = size // 2
+                head = f"{side}{len(word) + other}{same}"
+                keys += [f"{head}<{rest[:half]}", f"{head}>{rest[max(0, len(rest) - (size - half)) :]}"]
+    return keys
+
+
 def _index(order: dict[str, tuple[int, int]], pivotal: bool):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each side on which a word's pivots, or its prefix bigrams, can meet another word."""
+        """A row for each key by which a word's pivots, or its prefix bigrams, can meet another word."""
         for batch in batches:
-            at, sides, last = [], [], []
+            at, keys, last = [], [], []
             for row, word in enumerate(batch.column(0).to_pylist()):
                 prefix, pivots, end = prefix_and_pivots(word, order)
-                for i in pivots if pivotal else prefix:
-                    sides += ["<" + word[: i + 2], ">" + word[i:]]
-                    at += [row, row]
-                    last += [end, end]
+                mine = {k for i in (pivots if pivotal else prefix) for k in meeting_keys(word, i, pivotal)}
+                keys += mine
+                at += [row] * len(mine)
+                last += [end] * len(mine)
             rows = batch.take(pa.array(at, pa.int64()))
-            columns = [*rows.columns, pa.array(sides, pa.string()), pa.array(last, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["word", "n", "side", "last"])
+            columns = [*rows.columns, pa.array(keys, pa.string()), pa.array(last, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["word", "n", "key", "last"])
 
     return index
 
@@ -108,11 +129,11 @@ def _pivotal(words: DataFrame) -> DataFrame:
     order = gram_order(words)
 
     def part(pivotal: bool, name: str) -> DataFrame:
-        rows = words.select("word", "n").mapInArrow(_index(order, pivotal), "word string, n bigint, side string, last int")
-        return rows.select(F.xxhash64("side").alias("side"), *(F.col(c).alias(f"{name}_{c}") for c in ("word", "n", "last")))
+        rows = words.select("word", "n").mapInArrow(_index(order, pivotal), "word string, n bigint, key string, last int")
+        return rows.select(F.xxhash64("key").alias("key"), *(F.col(c).alias(f"{name}_{c}") for c in ("word", "n", "last")))
 
     meets = (F.col("a_last") <= F.col("b_last")) & _one_edit(F.col("a_word"), F.col("b_word"))
-    return part(True, "a").join(part(False, "b"), "side").filter(meets)
+    return part(True, "a").join(part(False, "b"), "key").filter(meets)
 
 
 def _by_halves(words: DataFrame) -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.functions.ids import correlation_id, order_number
 from orderloom.functions.text import event_line
-from orderloom.schemas import CREATE, EVENT, EVENT_COLUMNS, EVENT_TYPES, STORED_EVENT
+from orderloom.schemas import CREATE, EVENT, EVENT_COLUMNS, EVENT_TYPES
 
 
 def event_columns(
@@ -127,19 +127,3 @@ def round_trip_mismatches(events: DataFrame) -> DataFrame:
 def register_event_view(events: DataFrame, name: str = "order_events") -> None:
     """Exposes events to SQL under ``name`` for this session."""
     events.createOrReplaceTempView(name)
-
-
-def create_event_table(spark: SparkSession, name: str, attempts: Iterable[str], path: str) -> None:
-    """Exposes the committed attempts of a stored event folder to SQL as a table."""
-    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in STORED_EVENT.fields)
-    spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
-        f"PARTITIONED BY (attempt, event_name) LOCATION '{path}'"
-    )
-    parts = [
-        f"PARTITION (attempt = '{attempt}', event_name = '{event}')"
-        for attempt in attempts
-        for event in EVENT_TYPES
-    ]
-    for low in range(0, len(parts), 700):
-        spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS {' '.join(parts[low : low + 700])}")

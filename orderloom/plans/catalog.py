@@ -6,6 +6,7 @@ and data folder, into the shared folder, and read it back like any other consume
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,10 +31,12 @@ from orderloom.schemas import (
 )
 from orderloom.session import new_folder
 from orderloom.sinks import batches
-from orderloom.sinks.tables import append_events, drop_events_up_to
+from orderloom.sinks.numbering import append_numbered
+from orderloom.sinks.tables import EVENTS, append_events, compact_events, drop_events_up_to, keep_last_events
 from orderloom.sources import tables
 from orderloom.sources.event_store import follow, read_events, read_feed
 from orderloom.sources.requests import stream_requests
+from orderloom.sources.sql_table import sync_event_table
 from orderloom.streaming import orders
 from orderloom.streaming.pairing import Pairing, pairing_rows
 from orderloom.streaming.view import MaintainedView
@@ -44,6 +47,9 @@ METRIC_EPOCH_MS = 1_700_000_000_123
 SUBSCRIBE_FROM_MS = 893_000_000_000
 KNOWN_USER_EVENTS = ("click", "purchase", "signup", "view")
 ALL_FILES_NOW = {"availableNow": True}
+KEEP_EVENTS = 20_000
+# Orders of every second and fourth number, and how much less they cost in the later batches.
+LATER_PRICES = ((2, "1.00"), (4, "0.50"))
 
 # Event stores written in this session, by what wrote them and data folder.
 _stores: dict[tuple[str, str, str], str] = {}
@@ -461,6 +467,107 @@ def retained_events(spark: SparkSession, folder: str) -> DataFrame:
     return read_events(spark, root).select("do_key", "sequence", "event_name")
 
 
+def _part(column: str, parts: int) -> Column:
+    return F.split(column, "-")[0].cast("bigint") % parts
+
+
+def _thirds(spark: SparkSession, folder: str, root: str) -> None:
+    """Three batches of events by order number."""
+    for third in range(3):
+        append_events(_stored(spark, folder).filter(_part("do_key", 3) == third), root, "load", third)
+
+
+def _reworked(spark: SparkSession, folder: str) -> str:
+    """Store that gave up its first third, then put the others together, and deleted what that replaced."""
+
+    def fill(root: str) -> None:
+        _thirds(spark, folder, root)
+        drop_events_up_to(spark, root, 1)
+        compact_events(spark, root)
+        batches.vacuum(spark, root, EVENTS)
+
+    return _once(spark, folder, "reworked", fill)
+
+
+def sql_events_after_rework(spark: SparkSession, folder: str) -> DataFrame:
+    """SQL access to a store whose name was made at its first batch, and followed the log since."""
+    name = f"events_{uuid.uuid4().hex}"
+
+    def fill(root: str) -> None:
+        _thirds(spark, folder, root)
+        sync_event_table(spark, name, root)
+        drop_events_up_to(spark, root, 1)
+        sync_event_table(spark, name, root)
+        compact_events(spark, root)
+        sync_event_table(spark, name, root)
+        batches.vacuum(spark, root, EVENTS)
+
+    fill(new_folder(spark, "sql-events"))
+    return spark.sql(f"SELECT do_key, sequence, event_name FROM {name}")
+
+
+def stream_after_rework(spark: SparkSession, folder: str) -> DataFrame:
+    """What a new follower copies from a store after retention, compaction and deletion."""
+    store, root = _reworked(spark, folder), new_folder(spark, "copy")
+    follow(
+        spark, store, lambda rows, run, n: append_events(rows, root, run, n), f"{root}-checkpoint", ALL_FILES_NOW,
+        commits_per_batch=2,
+    ).awaitTermination()
+    return read_events(spark, root).select("do_key", "sequence", "event_name")
+
+
+def stream_subscribe_order_created(spark: SparkSession, folder: str) -> DataFrame:
+    """The subscription as a stream that starts at an event time."""
+    store, root = _reworked(spark, folder), new_folder(spark, "subscribed")
+    follow(
+        spark, store, lambda rows, run, n: append_events(events.event_feed(rows, CREATE), root, run, n),
+        f"{root}-checkpoint", ALL_FILES_NOW, from_ms=SUBSCRIBE_FROM_MS,
+    ).awaitTermination()
+    return events.subscribe_order_created(read_events(spark, root))
+
+
+def last_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Retention by number: the batches that hold the last ``KEEP_EVENTS`` events."""
+
+    def fill(root: str) -> None:
+        _thirds(spark, folder, root)
+        keep_last_events(spark, root, KEEP_EVENTS)
+
+    return read_events(spark, _once(spark, folder, "last-events", fill)).select("do_key", "sequence", "event_name")
+
+
+def _numbered(spark: SparkSession, folder: str) -> str:
+    """Store that numbers events itself, fed by a stream: all events, then lower prices, then others again."""
+
+    def fill(root: str) -> None:
+        everything = _stored(spark, folder).select(*EVENT_COLUMNS)
+        prices = everything.filter(F.col("event_name") == PRICE)
+        append_events(everything, f"{root}-source", "load", 0)
+        for batch, (parts, less) in enumerate(LATER_PRICES, 1):
+            changed = prices.filter(_part("do_key", parts) == 0).withColumns(
+                {
+                    "event_time": F.col("event_time") + 1000 * batch,
+                    "amount": (F.col("amount") - F.lit(less).cast("decimal(5,2)")).cast(EVENT["amount"].dataType),
+                }
+            )
+            append_events(changed, f"{root}-source", "load", batch)
+        follow(
+            spark, f"{root}-source", lambda rows, run, n: append_numbered(rows, root, run, n), f"{root}-checkpoint",
+            ALL_FILES_NOW, commits_per_batch=1,
+        ).awaitTermination()
+
+    return _once(spark, folder, "numbered", fill)
+
+
+def stream_numbered_events(spark: SparkSession, folder: str) -> DataFrame:
+    return read_events(spark, _numbered(spark, folder)).select("do_key", "sequence", "event_name", "event_time", _cents())
+
+
+def stream_numbered_view(spark: SparkSession, folder: str) -> DataFrame:
+    """The view with the price that came last, though it is the lower one."""
+    return _view_columns(view.order_view(read_events(spark, _numbered(spark, folder))))
+
+
 def stream_order_view(spark: SparkSession, folder: str) -> DataFrame:
     root, store = new_folder(spark, "view"), _two_runs(spark, folder)
     kept = MaintainedView(spark, root)
@@ -571,6 +678,12 @@ QUERIES: dict[str, Query] = {
         pair_clicks_purchases,
         pending_clicks_purchases,
         retained_events,
+        last_events,
+        sql_events_after_rework,
+        stream_after_rework,
+        stream_subscribe_order_created,
+        stream_numbered_events,
+        stream_numbered_view,
         stream_order_events,
         stream_two_runs,
         stream_repeated_requests,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orderloom.plans.catalog import HYDRATED, METRIC_EPOCH_MS, SUBSCRIBE_FROM_MS
+from orderloom.plans.catalog import HYDRATED, KEEP_EVENTS, LATER_PRICES, METRIC_EPOCH_MS, SUBSCRIBE_FROM_MS
 from orderloom.schemas import (
     CREATE,
     CREDIT,
@@ -74,18 +74,30 @@ log AS (
   SELECT c.*, arrived_ms AS event_time FROM chain c JOIN requests ON request_id = do_key)"""
 
 
-def _view(where: str) -> str:
-    """Each column from the last event that sets it, nulls included."""
+# Price events that came again later, and all events numbered in the order of arrival.
+_LATER = f"""arrivals AS (
+  SELECT 0 AS batch, * FROM log{"".join(f"""
+  UNION ALL SELECT {batch}, * REPLACE (event_time + {1000 * batch} AS event_time,
+         amount_cents - CAST(100 * CAST('{less}' AS DECIMAL(5,2)) AS BIGINT) AS amount_cents)
+  FROM log WHERE sequence = 2 AND CAST(split_part(do_key, '-', 1) AS BIGINT) % {parts} = 0"""
+  for batch, (parts, less) in enumerate(LATER_PRICES, 1))}),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY do_key ORDER BY batch, event_time, sequence) AS number FROM arrivals)"""
+
+
+def _view(where: str, more: str = "", source: str = "log") -> str:
+    """Each column from the last event that sets it, nulls included; ``number`` is their order, if there is one."""
+    order = "number" if source == "numbered" else "sequence"
 
     def last(column: str, *sequences: int) -> str:
         setters = ", ".join(map(str, sequences))
-        return f"arg_max_null({column}, sequence) FILTER (sequence IN ({setters}))"
+        return f"arg_max_null({column}, {order}) FILTER (sequence IN ({setters}))"
 
-    return f"""WITH {_LOG}
+    return f"""WITH {_LOG}{more}
 SELECT do_key AS order_number, {last("account_number", 1)} AS account_number,
        {last("item_number", 1, 2)} AS item_number, {last("location", 1, 2)} AS location,
        {last("amount_cents", 2)} AS price_cents, {last("quantity", 1, 2, 4, 6)} AS quantity
-FROM log WHERE {where} GROUP BY do_key"""
+FROM {source} WHERE {where} GROUP BY do_key"""
 
 
 _MONEY = "(amount_cents // 100) || '.' || lpad(CAST(amount_cents % 100 AS VARCHAR), 2, '0')"
@@ -286,6 +298,23 @@ WHERE event_type IS NULL OR event_type NOT IN ('click', 'purchase', 'signup', 'v
     "pending_clicks_purchases": _PENDING,
     "retained_events": f"""WITH {_LOG} SELECT do_key, sequence, event_name FROM log
 WHERE CAST(split_part(do_key, '-', 1) AS BIGINT) % 2 = 1""",
+    **dict.fromkeys(
+        ("sql_events_after_rework", "stream_after_rework"),
+        f"""WITH {_LOG} SELECT do_key, sequence, event_name FROM log
+WHERE CAST(split_part(do_key, '-', 1) AS BIGINT) % 3 <> 0""",
+    ),
+    "last_events": f"""WITH {_LOG}, thirds AS (
+  SELECT *, CAST(split_part(do_key, '-', 1) AS BIGINT) % 3 AS third FROM log),
+newer AS (
+  SELECT third, sum(count(*)) OVER (ORDER BY third DESC) - count(*) AS n FROM thirds GROUP BY third)
+SELECT do_key, sequence, event_name FROM thirds JOIN newer USING (third) WHERE n < {KEEP_EVENTS}""",
+    "stream_subscribe_order_created": f"""WITH {_LOG}
+SELECT do_key AS order_number, account_number, item_number, location, quantity
+FROM log WHERE event_name = '{CREATE}' AND event_time >= {SUBSCRIBE_FROM_MS}
+AND CAST(split_part(do_key, '-', 1) AS BIGINT) % 3 <> 0""",
+    "stream_numbered_events": f"""WITH {_LOG}, {_LATER}
+SELECT do_key, number AS sequence, event_name, event_time, amount_cents FROM numbered""",
+    "stream_numbered_view": _view("true", f", {_LATER}", "numbered"),
     **dict.fromkeys(("stream_order_events", "stream_two_runs", "stream_repeated_requests"), _WHOLE_LOG),
     "stream_api_counters": f"""WITH {_ORDER}, totals AS (
   SELECT count(*) AS n, CAST(sum({METRIC_EPOCH_MS} - arrived_ms) AS BIGINT) AS elapsed FROM requests)

@@ -8,7 +8,10 @@ never read, and a reader sees all tables of a batch or none.
 A batch is named by its run and its number in the run. Two runs on one root cannot touch each other's
 batches, and a batch of a run that is already committed is not written again. One writer per run.
 
-Compaction and retention add rows to the log that replace attempts; files go only with ``vacuum``.
+Compaction and retention add rows to the log that replace attempts; files go only with ``vacuum``. A
+compacted table keeps each row's first attempt as its ``origin``, so that what a batch wrote can be read
+wherever compactions have put it (``read_origins``). The log also has each batch's row counts and last
+event time, seen by the pass that writes it, so retention and offsets need not read the rows.
 """
 
 from __future__ import annotations
@@ -17,10 +20,11 @@ import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_BY_TABLE = T.MapType(T.StringType(), T.LongType())
 COMMIT = T.StructType(
     [
         T.StructField("run", T.StringType()),
@@ -29,6 +33,8 @@ COMMIT = T.StructType(
         T.StructField("attempt", T.StringType()),
         T.StructField("tables", T.ArrayType(T.StringType())),
         T.StructField("replaces", T.ArrayType(T.StringType())),  # attempts no longer read
+        T.StructField("sizes", _BY_TABLE),  # rows written to each table
+        T.StructField("latest", _BY_TABLE),  # last event time of the tables that have one
     ]
 )
 
@@ -66,13 +72,21 @@ class Batch:
     def __init__(self, spark: SparkSession, root: str, run: str, batch_id: int):
         self.spark, self.root, self.run, self.batch_id = spark, root, run, batch_id
         self.attempt, self.tables = uuid.uuid4().hex, []
+        self.sizes, self.latest = {}, {}
 
     def path(self, table: str) -> str:
         self.tables.append(table)
         return f"{self.root}/{table}/attempt={self.attempt}"
 
     def write(self, rows: DataFrame, table: str, *partition_by: str) -> None:
-        rows.write.mode("errorifexists").partitionBy(*partition_by).parquet(self.path(table))
+        seen, wanted = Observation(), [F.count(F.lit(1)).alias("n")]
+        if "event_time" in rows.columns:
+            wanted.append(F.max("event_time").alias("latest"))
+        watched = rows.observe(seen, *wanted)
+        watched.write.mode("errorifexists").partitionBy(*partition_by).parquet(self.path(table))
+        self.sizes[table] = seen.get["n"]
+        if seen.get.get("latest") is not None:
+            self.latest[table] = seen.get["latest"]
 
     def commit(self, replaces: Iterable[str] = (), position: int | None = None, empty: bool = False) -> None:
         """Makes the batch visible; an ``empty`` one only replaces others."""
@@ -80,7 +94,7 @@ class Batch:
             last = commits(self.spark, self.root).agg(F.max("position")).first()[0]
             position = 1 + (last or 0)
         attempt = None if empty else self.attempt
-        row = (self.run, self.batch_id, position, attempt, self.tables, list(replaces))
+        row = (self.run, self.batch_id, position, attempt, self.tables, list(replaces), self.sizes, self.latest)
         self.spark.createDataFrame([row], COMMIT).coalesce(1).write.mode("append").parquet(_log(self.root))
 
 
@@ -95,26 +109,30 @@ def append(rows: DataFrame, root: str, table: str, run: str, batch_id: int, *par
     return True
 
 
+def _live(rows: list) -> list:
+    """Commits of a table that count, oldest first; commits at the same position by run."""
+    gone = {a for r in rows for a in r["replaces"]}
+    # Of two commits of one batch, by writers that broke the rule, the first counts.
+    first: dict[tuple, object] = {}
+    for r in sorted((r for r in rows if r["attempt"] and r["attempt"] not in gone), key=_order):
+        first.setdefault((r["run"], r["batch_id"]), r)
+    return list(first.values())
+
+
+def _order(commit) -> tuple:
+    return commit["position"], commit["run"], commit["attempt"]
+
+
+def _commits_of(spark: SparkSession, root: str, table: str) -> list:
+    return commits(spark, root).filter(F.array_contains("tables", table)).collect()
+
+
 def attempts(spark: SparkSession, root: str, table: str, after: int = 0) -> list[tuple[int, str]]:
     """``(position, attempt)`` of the batches of a table that count, oldest first.
 
     One entry for each batch since the last compaction; ``after`` leaves out batches up to a position.
     """
-    rows = commits(spark, root).filter(F.array_contains("tables", table)).collect()
-    gone = {a for r in rows for a in r["replaces"]}
-    found = {
-        r["attempt"]: r["position"]
-        for r in rows
-        if r["attempt"] and r["attempt"] not in gone
-    }
-    # Of two commits of one batch, by writers that broke the rule, the first counts.
-    first: dict[tuple, tuple[int, str]] = {}
-    for r in rows:
-        if r["attempt"] in found:
-            entry = (r["position"], r["attempt"])
-            key = (r["run"], r["batch_id"])
-            first[key] = min(entry, first.get(key, entry))
-    return sorted(entry for entry in first.values() if entry[0] > after)
+    return [(r["position"], r["attempt"]) for r in _live(_commits_of(spark, root, table)) if r["position"] > after]
 
 
 def read(
@@ -129,6 +147,35 @@ def read(
     return rows.select(*schema.fieldNames())
 
 
+def read_origins(
+    spark: SparkSession, root: str, table: str, schema: T.StructType, wanted: Iterable[str]
+) -> DataFrame:
+    """What the named attempts wrote, as far as it still counts.
+
+    An attempt that compactions have replaced is read from where its rows are now; one that retention
+    gave up has none. ``schema`` may not name ``attempt``.
+    """
+    log = _commits_of(spark, root, table)
+    live = {r["attempt"] for r in _live(log)}
+    follows = {a: r["attempt"] for r in log for a in r["replaces"]}
+    in_place, moved = [], {}
+    for attempt in wanted:
+        at = attempt
+        while at in follows:
+            at = follows[at]
+        if at == attempt and at in live:
+            in_place.append(at)
+        elif at in live:
+            moved.setdefault(at, []).append(attempt)
+    rows = read(spark, root, table, schema, in_place)
+    if moved:
+        marked = T.StructType([*schema.fields, T.StructField("origin", T.StringType())])
+        origins = [a for attempts_ in moved.values() for a in attempts_]
+        compacted = read(spark, root, table, marked, moved).filter(F.col("origin").isin(origins))
+        rows = rows.unionByName(compacted.select(*schema.fieldNames()))
+    return rows
+
+
 def compact(
     spark: SparkSession,
     root: str,
@@ -136,12 +183,22 @@ def compact(
     schema: T.StructType,
     combine: Callable[[DataFrame], DataFrame] | None = None,
     partition_by: tuple[str, ...] = (),
+    keep_origin: bool = False,
 ) -> None:
-    """Rewrites a table's batches as one; ``combine`` may drop rows that no longer count."""
+    """Rewrites a table's batches as one; ``combine`` may drop rows that no longer count.
+
+    With ``keep_origin`` each row remembers the attempt that first wrote it, which streams that follow
+    the table need.
+    """
     old = attempts(spark, root, table)
     if len(old) < 2:
         return
-    rows = read(spark, root, table, schema)
+    if keep_origin:
+        marks = [T.StructField(name, T.StringType()) for name in ("attempt", "origin")]
+        rows = read(spark, root, table, T.StructType([*schema.fields, *marks]))
+        rows = rows.withColumn("origin", F.coalesce("origin", "attempt")).drop("attempt")
+    else:
+        rows = read(spark, root, table, schema)
     batch = Batch(spark, root, f"compact {table}", old[-1][0])
     batch.write(rows if combine is None else combine(rows), table, *partition_by)
     batch.commit([attempt for _, attempt in old], position=old[-1][0])
@@ -156,6 +213,19 @@ def retain(spark: SparkSession, root: str, table: str, after: int) -> None:
         batch.commit([attempt for _, attempt in old], position=old[-1][0], empty=True)
 
 
+def position_before_last(spark: SparkSession, root: str, table: str, rows: int) -> int:
+    """The position up to which a table's batches can go so that its last ``rows`` rows stay.
+
+    Batches go whole, so up to one batch more than asked for stays; the counts are in the log.
+    """
+    newer = 0
+    for commit in reversed(_live(_commits_of(spark, root, table))):
+        if newer >= rows:
+            return commit["position"]
+        newer += commit["sizes"][table]
+    return 0
+
+
 def vacuum(spark: SparkSession, root: str, table: str) -> None:
     """Deletes the files of attempts that a commit has replaced. Needs a classic session."""
     log = commits(spark, root).collect()

@@ -28,7 +28,7 @@ def clustered(events: DataFrame) -> DataFrame:
 
 
 def compact_events(spark: SparkSession, root: str) -> None:
-    batches.compact(spark, root, EVENTS, EVENT, clustered, ("event_name",))
+    batches.compact(spark, root, EVENTS, EVENT, clustered, ("event_name",), keep_origin=True)
 
 
 def drop_events_up_to(spark: SparkSession, root: str, position: int) -> None:
@@ -36,6 +36,11 @@ def drop_events_up_to(spark: SparkSession, root: str, position: int) -> None:
     batches.retain(spark, root, EVENTS, position)
 
 
+def keep_last_events(spark: SparkSession, root: str, n: int) -> None:
+    """Retention by number: the last ``n`` events stay, and the rest of the batch that holds the first of them."""
+    drop_events_up_to(spark, root, batches.position_before_last(spark, root, EVENTS, n))
+
+
 def upsert(rows: DataFrame, root: str, run: str, batch_id: int, table: str = "latest") -> bool:
     """Adds new values for keys; ``read_upserts`` gives the last one of each."""
     return batches.append(rows, root, table, run, batch_id)
@@ -63,7 +68,7 @@ def compact_upserts(
 def _ranked(spark: SparkSession, root: str, schema: T.StructType, table: str) -> DataFrame:
     """Rows with the position of the batch that wrote them."""
     marked = T.StructType([*schema.fields, T.StructField("attempt", T.StringType())])
-    places = batches.attempts(spark, root, table)
+    places = [(k, attempt) for k, (_, attempt) in enumerate(batches.attempts(spark, root, table))]
     rows = batches.read(spark, root, table, marked, [attempt for _, attempt in places])
     order = spark.createDataFrame(places, "position bigint, attempt string")
     return rows.join(F.broadcast(order), "attempt").drop("attempt")

@@ -1,17 +1,22 @@
 """Event store, batch tables, counters and text sinks."""
 
+import shutil
+from functools import reduce
+
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.operators import counters
 from orderloom.operators import events as ev
 from orderloom.plans.lifecycle import all_events, events_of_type, order_facts
-from orderloom.schemas import CREATE, CREDIT, EVENT_TYPES, REQUEST
+from orderloom.schemas import CREATE, CREDIT, EVENT_TYPES, PRICE, PULL, REQUEST, RESERVE, SHIP
 from orderloom.sinks import batches
 from orderloom.sinks import tables as sink
 from orderloom.sources import tables
-from orderloom.sources.event_store import read_events, read_feed
+from orderloom.sources.event_store import follow, read_events, read_feed
 from orderloom.sources.requests import read_requests
+from orderloom.sources.sql_table import drop_event_table, sync_event_table
 
 
 @pytest.fixture(scope="module")
@@ -19,6 +24,12 @@ def facts(spark, small):
     return order_facts(tables.requests(spark, small), tables.lookups(spark, small)).cache()
 
 
+@pytest.fixture(scope="module")
+def few(spark, facts):
+    rows = facts.orderBy("request_id").limit(40).collect()
+    return spark.createDataFrame(rows, facts.schema).cache()
+
+
 @pytest.fixture(scope="module")
 def store(spark, facts, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("store") / "events")
@@ -78,14 +89,141 @@ def test_feed_reads_one_folder_and_its_columns(spark, store):
     assert read_feed(spark, store, CREDIT).select("event_name").distinct().count() == 1
 
 
-def test_store_as_sql_table(spark, store, facts):
-    spark.sql("DROP TABLE IF EXISTS kept_events")
-    for _ in range(2):
-        known = [attempt for _, attempt in batches.attempts(spark, store, sink.EVENTS)]
-        ev.create_event_table(spark, "kept_events", known, f"{store}/{sink.EVENTS}")
-    found = spark.sql("SELECT event_name, count(*) AS n FROM kept_events GROUP BY event_name")
-    assert {r.event_name: r.n for r in found.collect()} == dict.fromkeys(EVENT_TYPES, facts.count())
-    spark.sql("DROP TABLE kept_events")
+def sql_counts(spark, name):
+    return {r.event_name: r.n for r in spark.sql(f"SELECT event_name, count(*) AS n FROM {name} GROUP BY event_name").collect()}
+
+
+def counts(events):
+    return {r["event_name"]: r["count"] for r in events.groupBy("event_name").count().collect()}
+
+
+def test_sql_name_follows_the_log(spark, few, tmp_path):
+    """After append, retention, compaction and deletion, the name shows just what ``read_events`` reads."""
+    root, name = str(tmp_path / "events"), "followed_events"
+    sync_event_table(spark, name, root)
+    assert spark.table(name).count() == 0
+    for batch, types in enumerate(([CREATE], [CREATE, CREDIT], [CREDIT, PRICE], [PRICE])):
+        rows = reduce(DataFrame.unionByName, [events_of_type(few, t) for t in types])
+        sink.append_events(rows, root, "a", batch)
+        sync_event_table(spark, name, root)
+        assert sql_counts(spark, name) == counts(read_events(spark, root))
+    sink.drop_events_up_to(spark, root, 1)
+    sync_event_table(spark, name, root)
+    assert sql_counts(spark, name) == counts(read_events(spark, root)) == dict.fromkeys((CREATE,), few.count()) | dict.fromkeys((CREDIT, PRICE), 2 * few.count())
+    sink.compact_events(spark, root)
+    sync_event_table(spark, name, root)
+    batches.vacuum(spark, root, sink.EVENTS)
+    sync_event_table(spark, name, root)
+    assert sql_counts(spark, name) == counts(read_events(spark, root))
+    assert spark.sql(f"SHOW PARTITIONS {name}_files").count() == len(EVENT_TYPES)
+    drop_event_table(spark, name)
+    assert read_events(spark, root).count() == 5 * few.count()
+
+
+def test_sql_name_never_shows_rows_twice(spark, few, tmp_path):
+    """Between the steps of a change of the store, a query sees it as it was."""
+    root, name = str(tmp_path / "events"), "steady_events"
+    for batch in (0, 1):
+        sink.append_events(events_of_type(few, CREATE), root, "a", batch)
+    sync_event_table(spark, name, root)
+    sink.compact_events(spark, root)
+    assert spark.table(name).count() == 2 * few.count()  # not yet told of the compaction
+    sync_event_table(spark, name, root)
+    assert spark.table(name).count() == 2 * few.count()
+    drop_event_table(spark, name)
+
+
+def followed(spark, root, checkpoint, **options):
+    """Events a follower gets now, as (order, type) pairs, in order."""
+    got = []
+
+    def handle(rows, run, batch_id):
+        got.extend((r.do_key, r.event_name) for r in rows.collect())
+
+    follow(spark, root, handle, checkpoint, {"availableNow": True}, **options).awaitTermination()
+    return sorted(got)
+
+
+def pairs(events):
+    return sorted((r.do_key, r.event_name) for r in events.collect())
+
+
+def test_new_follower_gets_what_a_reader_gets(spark, few, tmp_path):
+    """After compaction, after retention, after both, and when the replaced files are gone."""
+    root = str(tmp_path / "events")
+    for batch, name in enumerate((CREATE, PRICE, CREDIT, SHIP)):
+        sink.append_events(events_of_type(few, name), root, "a", batch)
+    steps = [
+        lambda: sink.drop_events_up_to(spark, root, 1),
+        lambda: sink.compact_events(spark, root),
+        lambda: batches.vacuum(spark, root, sink.EVENTS),
+        lambda: sink.append_events(events_of_type(few, PULL), root, "a", 4),
+        lambda: sink.compact_events(spark, root),
+        lambda: batches.vacuum(spark, root, sink.EVENTS),
+        lambda: sink.drop_events_up_to(spark, root, 5),
+    ]
+    for k, step in enumerate([lambda: None, *steps]):
+        step()
+        assert followed(spark, root, str(tmp_path / f"new-{k}"), commits_per_batch=2) == pairs(read_events(spark, root))
+
+
+def test_follower_that_lags_behind(spark, few, tmp_path):
+    """It gets each batch once: from the compaction that has it, or not at all if it was given up."""
+    root, checkpoint = str(tmp_path / "events"), str(tmp_path / "checkpoint")
+    kinds = (CREATE, PRICE, CREDIT, SHIP, PULL)
+    for batch, name in enumerate(kinds[:2]):
+        sink.append_events(events_of_type(few, name), root, "a", batch)
+    first = followed(spark, root, checkpoint)
+    assert first == pairs(read_events(spark, root))
+    for batch, name in enumerate(kinds[2:4], 2):
+        sink.append_events(events_of_type(few, name), root, "a", batch)
+    sink.compact_events(spark, root)
+    sink.append_events(events_of_type(few, kinds[4]), root, "a", 4)
+    sink.compact_events(spark, root)  # twice over
+    batches.vacuum(spark, root, sink.EVENTS)
+    later = followed(spark, root, checkpoint)
+    assert {name for _, name in later} == set(kinds[2:]) and len(later) == 3 * few.count()
+    sink.append_events(events_of_type(few, RESERVE), root, "a", 5)
+    sink.drop_events_up_to(spark, root, 6)
+    batches.vacuum(spark, root, sink.EVENTS)
+    assert followed(spark, root, checkpoint) == []
+
+
+def test_follower_from_a_time(spark, few, tmp_path):
+    """It skips what ended before its time without reading it, and starts within a batch."""
+    root = str(tmp_path / "events")
+    for batch in range(3):
+        rows = events_of_type(few, CREATE).withColumn("event_time", F.lit(1000 * batch) + F.crc32(F.col("do_key").cast("binary")) % 1000)
+        sink.append_events(rows.withColumn("event_time", F.col("event_time").cast("bigint")), root, "a", batch)
+    sink.append_events(events_of_type(few, PRICE).withColumn("event_time", F.lit(None).cast("bigint")), root, "a", 3)
+    want = read_events(spark, root).filter("event_time >= 1500")
+    assert 0 < want.count() < 2 * few.count()
+    want = pairs(want)
+    first = batches.attempts(spark, root, sink.EVENTS)[0][1]
+    shutil.rmtree(f"{root}/{sink.EVENTS}/attempt={first}")
+    assert followed(spark, root, str(tmp_path / "checkpoint"), from_ms=1500) == want
+
+
+def test_retention_by_number(spark, few, tmp_path):
+    n = few.count()
+    for keep, left in ((0, 0), (1, 1), (n, 1), (n + 1, 2), (3 * n, 3), (100 * n, 4)):
+        root = str(tmp_path / f"keep-{keep}")
+        for batch in range(4):
+            sink.append_events(events_of_type(few, CREATE), root, "a", batch)
+        sink.keep_last_events(spark, root, keep)
+        assert [p for p, _ in batches.attempts(spark, root, sink.EVENTS)] == [1, 2, 3, 4][4 - left :]
+    log = batches.commits(spark, root).collect()
+    assert [r.sizes[sink.EVENTS] for r in log] == [n] * 4
+
+
+def test_commits_at_one_position(spark, tmp_path):
+    """Two runs that commit at once share a position; their order is the same for every reader."""
+    root, schema = str(tmp_path / "latest"), spark.createDataFrame([], "k string, v int").schema
+    for run, value in (("b", 2), ("a", 9)):
+        batch = batches.Batch(spark, root, run, 0)
+        batch.write(spark.createDataFrame([("x", value)], schema), "latest")
+        batch.commit(position=1)
+    assert [r.v for r in sink.read_upserts(spark, root, schema, "k").collect()] == [2]
 
 
 def test_retention(spark, facts, tmp_path):

@@ -49,13 +49,17 @@ def padded(text: np.ndarray) -> np.ndarray:
 
 
 def responses(w: Weights, data: np.ndarray, follow: np.ndarray) -> np.ndarray:
-    """Filter responses (segment, position, filter) of whole segments; follow: the bytes after them."""
+    """Filter responses (segment, position, filter) of whole segments; follow: the bytes after them.
+
+    Each segment is a product of its own: products of other shapes, and other places in them, may round
+    differently, and a text's score would depend on the texts beside it.
+    """
     rows = w["bytes"][np.concatenate([data, follow])].reshape(-1, STEP * DEPTH)
     n = len(data) // STEP
-    out = rows[:n] @ w["filters"][0]
+    out = np.matmul(rows[:n].reshape(-1, SEGMENT, STEP * DEPTH), w["filters"][0])
     for k in range(1, REACH):
-        out += rows[k : n + k] @ w["filters"][k]
-    return out.reshape(-1, SEGMENT, FILTERS)
+        out += np.matmul(rows[k : n + k].reshape(-1, SEGMENT, STEP * DEPTH), w["filters"][k])
+    return out
 
 
 def segment_maxima(w: Weights, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -95,7 +99,9 @@ def probabilities(w: Weights, texts: list[np.ndarray]) -> np.ndarray:
     maxima = segment_maxima(w, np.concatenate(blocks), counts)
     first, second, starts = chunks_of(counts)
     hidden = np.tanh(np.maximum(maxima[first], maxima[second]) + w["bias"])
-    logit = pooled(hidden, starts).astype(np.float64) @ w["out"].astype(np.float64) + float(w["level"][0])
+    logit = np.full(len(texts), float(w["level"][0]))
+    for feature, weight in zip(pooled(hidden, starts).T.astype(np.float64), w["out"].astype(np.float64)):
+        logit += feature * weight  # one after another, whatever the number of texts
     return 1 / (1 + np.exp(-logit))
 
 

@@ -80,3 +80,15 @@ def test_held_out_accuracy(spark):
     right = sum(r.predicted == r.quality for r in held_out) / len(held_out)
     assert right > 0.9
     assert sum(r.predicted == 0 and r.quality == 1 for r in held_out) <= 0.03 * len(held_out)
+
+
+def test_a_text_scores_alike_in_any_company():
+    """Alone, repeated, among others, at any place: the same score to the last bit."""
+    rng = np.random.default_rng(12)
+    weights = quality.start(rng)
+    all_texts = [rng.integers(0, 256, size).astype(np.uint8) for size in [0, 1, 186, 187, 191, 192, 500, 5000, 120_000, *rng.integers(0, 3000, 60)]]
+    alone = [quality.probabilities(weights, [t])[0] for t in all_texts]
+    assert quality.probabilities(weights, all_texts).tolist() == alone
+    for _ in range(20):
+        some = rng.integers(0, len(all_texts), int(rng.integers(1, 40)))
+        assert quality.probabilities(weights, [all_texts[k] for k in some]).tolist() == [alone[k] for k in some]

@@ -6,10 +6,12 @@ same writing. The permutation depends on the key and the format only, so equal v
 every document without any table being shared, and the holder of the key can undo it.
 
 Cards and IBANs are looked for in every part of a run of groups, so an expiry date, a running number
-or a word in capitals beside one hides nothing. A permuted value that would make another part of its
-run the one to be found is permuted on, so that undoing finds the same parts; such a value, one in ten
-of those with a rival part, differs from its pseudonym elsewhere. Runs of more than ``WALKED`` values
-are not permuted on.
+or a word in capitals beside one hides nothing. The value alone gives its pseudonym, whatever stands
+beside it. Undoing reads a run by the same rules; where a pseudonym and a number beside it happen to
+read as another value that comes first (one in ten of those that could), that one is undone instead.
+
+A date becomes another that is read in the same order and has day and month in the same number of
+digits. Long runs of hexadecimal digits are permuted whole, in parts of ``PART`` digits.
 
 In the local part of an address, letters and digits are exchanged within their script and case;
 combining marks stay, and so does a character that is alone of its kind. Dates are those from 1900 to
@@ -19,6 +21,7 @@ permutation leaves as it was is not counted.
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import functools
 import hashlib
@@ -45,8 +48,12 @@ class Feistel:
         self.key, self.inverse = hashlib.blake2b(key).digest()[:64], inverse
 
     def _noise(self, tweak: str, turn: int, half: int, base: int) -> int:
-        message = f"{tweak}|{base}|{turn}|{half}".encode()
-        return int.from_bytes(hashlib.blake2b(message, key=self.key).digest(), "big") % base
+        """A keyed number below the base, from as many digests as it takes to fill it and 128 bits more."""
+        width = base.bit_length() // 8 + 1
+        message = f"{tweak}|{width}|{turn}|".encode() + base.to_bytes(width, "big") + half.to_bytes(width, "big")
+        blocks = -(-(width + 16) // 64)
+        noise = b"".join(hashlib.blake2b(message, key=self.key, salt=k.to_bytes(16, "big")).digest() for k in range(blocks))
+        return int.from_bytes(noise, "big") % base
 
     def permute(self, value: int, size: int, tweak: str) -> int:
         if size < 2:
@@ -183,28 +190,49 @@ def _iban(f: Feistel, text: str) -> str:
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
+@functools.cache
+def _days(order: str, widths: tuple[int, int]) -> list[int]:
+    """Days that are read in this order if day and month are written in so many digits.
+
+    A date is read day first where it can be, so month first are those of days past the twelfth.
+    """
+    fits = dict(zip(order.replace("y", ""), widths))
+    days = map(datetime.date.fromordinal, range(FIRST_DAY, LAST_DAY + 1))
+    return [
+        day.toordinal()
+        for day in days
+        if (order != "mdy" or day.day > 12) and (fits["d"] == 2 or day.day < 10) and (fits["m"] == 2 or day.month < 10)
+    ]
+
+
 def _date(f: Feistel, text: str) -> str | None:
+    """Another date of the same order, its day and month in the same number of digits."""
     a, mark, b, _, c = re.split(r"([-/.])", text)
-    orders = ("ymd",) if len(a) == 4 else ("dmy", "mdy")
-    for order in orders:
-        parts = dict(zip(order, (int(a), int(b), int(c))))
+    for order in ("ymd",) if len(a) == 4 else ("dmy", "mdy"):
+        written = dict(zip(order, (a, b, c)))
         try:
-            day = datetime.date(parts["y"], parts["m"], parts["d"]).toordinal()
+            day = datetime.date(int(written["y"]), int(written["m"]), int(written["d"])).toordinal()
         except ValueError:
             continue
         if FIRST_DAY <= day <= LAST_DAY:
-            new = datetime.date.fromordinal(FIRST_DAY + f.permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, f"date{order}"))
-            padded = 1 if any(len(x) == 1 for x in (a, b, c)) else 2
-            part = {"y": f"{new.year:04}", "m": f"{new.month:0{padded}}", "d": f"{new.day:0{padded}}"}
-            return mark.join(part[x] for x in order)
+            widths = tuple(len(written[x]) for x in order if x != "y")
+            days = _days(order, widths)
+            place = f.permute(bisect.bisect_left(days, day), len(days), f"date{order}{widths}")
+            new = datetime.date.fromordinal(days[place])
+            part = {"y": new.year, "m": new.month, "d": new.day}
+            return mark.join(f"{part[x]:0{len(written[x])}}" for x in order)
     return None
 
 
+PART = 512  # characters of a long run that are permuted as one number
+
+
 def _secret(f: Feistel, text: str) -> str | None:
     alphabet = HEX[text.upper() == text]
     if not all(c in alphabet for c in text) or len(set(text)) < 6:
         return None
-    return _spelled(f, text, [(alphabet, alphabet.index(c)) for c in text], "hex")
+    parts = [text[k : k + PART] for k in range(0, len(text), PART)]
+    return "".join(_spelled(f, part, [(alphabet, alphabet.index(c)) for c in part], f"hex{k or ''}") for k, part in enumerate(parts))
 
 
 def _email(f: Feistel, text: str) -> str | None:
@@ -224,7 +252,6 @@ IBAN_LENGTHS = {
     }.items()
     for country in countries.split()
 }
-WALKED = 8
 _GROUP = re.compile(r"(?<!\w)\d+(?!\w)")
 _CODE = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?= ?[A-Z0-9])")
 _PIECE = re.compile(r" ?[A-Z0-9]+")
@@ -283,29 +310,11 @@ def _ibans(text: str, low: int, high: int) -> list[tuple[int, int]]:
 def _replaced(f: Feistel, text: str, ranges: list[tuple[int, int]], holds: Callable, permuter: Callable) -> Iterator[tuple[int, int, str]]:
     """The ranges that hold a value and overlap no earlier one that does, with the new values."""
     low, high = min(a for a, _ in ranges), max(b for _, b in ranges)
-    old = text[low:high]
-
-    def values(run: str) -> list[tuple[int, int]]:
-        taken, covered = [], bytearray(len(run))
-        for a, b in ranges:
-            a, b = a - low, b - low
-            if 1 not in covered[a:b] and holds(run[a:b]):
-                taken.append((a, b))
-                covered[a:b] = bytes([1]) * (b - a)
-        return taken
-
-    taken = values(old)
-    new = old
-    while taken:
-        parts, done = [], 0
-        for a, b in sorted(taken):
-            parts += [new[done:a], permuter(f, new[a:b])]
-            done = b
-        new = "".join([*parts, new[done:]])
-        if len(taken) > WALKED or values(new) == taken:
-            break
-    for a, b in taken:
-        yield low + a, low + b, new[a:b]
+    covered = bytearray(high - low)
+    for a, b in ranges:
+        if 1 not in covered[a - low : b - low] and holds(text[a:b]):
+            covered[a - low : b - low] = bytes([1]) * (b - a)
+            yield a, b, permuter(f, text[a:b])
 
 
 # The written forms looked for.

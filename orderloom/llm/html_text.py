@@ -18,6 +18,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,15 +27,12 @@ from pyspark.sql import types as T
 
 WINDOW = 3
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|canvas|title|textarea|select)\b"
-    r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*>"
-    r"|[^<]+|<",
-    re.S | re.I,
-)
+_RAW = frozenset("script style noscript template svg math iframe object canvas title textarea select".split())
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW}
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+# Attributes as they mostly are, through the end of the tag; anything else is read step by step.
+_USUAL = re.compile(r"(?:\s++[^\s\"'>/=]++(?:=(?:\"[^\"]*+\"|[^\s\"'>]++))?+)*+\s*+/?>")
+_SPACE, _ATTRIBUTE, _EQUALS, _UNQUOTED = (re.compile(x) for x in (r"[\s/]*+", r"=?[^\s/>=]*+", r"\s*+=\s*+", r"[^\s>]*+"))
 _HINT = re.compile(r"(?<![\w-])(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -74,6 +72,81 @@ _MAIN = frozenset(["article", "main"])
 _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
+class Token(NamedTuple):
+    """Text, or a tag: its name, whether it closes, and its attributes as written."""
+
+    text: str
+    name: str | None = None
+    close: bool = False
+    attributes: str = ""
+
+
+def _tag_end(page: str, at: int, last: dict[str, int]) -> int:
+    """Place of the ``>`` that ends a tag whose name ends at a place; -1 if the page ends first.
+
+    Quotes hold a value only where one begins, so that the one in ``title=it's`` is a letter. A quote
+    that nothing closes is a letter, too. ``last`` has each quote's last place.
+    """
+    usual = _USUAL.match(page, at)
+    if usual:
+        return usual.end() - 1
+    while True:
+        at = _SPACE.match(page, at).end()
+        if at >= len(page):
+            return -1
+        if page[at] == ">":
+            return at
+        at = _ATTRIBUTE.match(page, at).end()
+        equals = _EQUALS.match(page, at)
+        if equals:
+            at = equals.end()
+            quote = page[at : at + 1]
+            if quote in last and at < last[quote]:
+                at = page.find(quote, at + 1) + 1
+            else:
+                at = _UNQUOTED.match(page, at).end()
+
+
+def tokens(page: str) -> Iterator[Token]:
+    """Texts and tags in page order; comments, and elements whose content is no text, are left out.
+
+    One scan from left to right, in time that grows with the page. What nothing closes goes on to the
+    page's end, as browsers have it: a comment, a script, a tag.
+    """
+    last = {quote: page.rfind(quote) for quote in "\"'"}
+    at = 0
+    while at < len(page):
+        low = page.find("<", at)
+        if low != at:
+            low = low if low >= 0 else len(page)
+            yield Token(page[at:low])
+            at = low
+            continue
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 2)
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        close = page.startswith("/", at + 1)
+        name = _NAME.match(page, at + 1 + close)
+        if name is None:
+            if page[at + 1 : at + 2] in ("!", "?", "/"):
+                end = page.find(">", at)
+                at = end + 1 if end >= 0 else len(page)
+            else:
+                yield Token("<")
+                at += 1
+            continue
+        end = _tag_end(page, name.end(), last)
+        if end < 0:
+            return
+        at, tag = end + 1, name[0].lower()
+        if tag in _RAW and not close:
+            found = _ENDS[tag].search(page, at)
+            at = found.end() if found else len(page)
+        else:
+            yield Token("", tag, close, page[name.end() : end])
+
+
 def _hint(name: str, attributes: str, inside: bool) -> frozenset[str]:
     """The words for which an element is proposed for removal; none for most elements."""
     if name == "form":
@@ -206,28 +279,27 @@ def lines(page: str) -> list[Line]:
         elif noise_at is None and any(name in _MAIN for name in gone) and not mains:
             out.append(Gap(-1, True, False, -1))
 
-    for token in _TOKEN.finditer(page):
-        name = token["name"]
+    for token in tokens(page):
+        name = token.name
         if name is None:
-            if token["raw"] is None and (token[0][0] != "<" or len(token[0]) == 1) and noise_at is None:
-                parts.append(token[0])
+            if noise_at is None:
+                parts.append(token.text)
                 if links:
-                    linked.append(token[0])
+                    linked.append(token.text)
             continue
-        name = name.lower()
         if noise_at is None and (name not in _INLINE or name == "br"):
             if name == "br":
                 parts.append(" ")
                 continue
             end_block()
-        if token["close"]:
+        if token.close:
             if name in open_tags:
                 depth = len(open_tags) - 1 - open_tags[::-1].index(name)
                 if name in _INLINE and any(t not in _INLINE for t in open_tags[depth:]):
                     continue  # a stray closing tag across blocks
                 leave(depth)
             continue
-        if name in _VOID or token["attributes"].endswith("/") and name not in ("a", "p", "div"):
+        if name in _VOID or token.attributes.endswith("/") and name not in ("a", "p", "div"):
             continue
         for closed in _CLOSES.get(name, ()):
             depth = len(open_tags)
@@ -237,7 +309,7 @@ def lines(page: str) -> list[Line]:
                     leave(depth)
                     break
         if noise_at is None:
-            hint = _hint(name, token["attributes"], mains > 0)
+            hint = _hint(name, token.attributes, mains > 0)
             if name in _NOISE and not (name == "header" and mains):
                 noise_at = len(open_tags)
                 blank()

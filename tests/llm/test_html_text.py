@@ -1,5 +1,6 @@
 """Main text of pages."""
 
+import time
 import html
 import re
 
@@ -86,3 +87,18 @@ def test_pages_of_the_table(spark, small):
         blocks = re.sub(r"</?b>|<br>", " ", inner)
         blocks = (" ".join(html.unescape(b).split()) for b in re.split(r"<[^>]*>", blocks))
         assert got[page.page_id] == "\n".join(b for b in blocks if b)
+
+
+def test_quotes_that_hold_no_value():
+    """A quote within an unquoted value is a letter; one that nothing closes swallows no text."""
+    assert main_text("<p title=it's>First</p><p>that's</p><p>Third</p>") == "First\nthat's\nThird"
+    assert main_text('<p>One</p><p class="x>Two</p><p>Three</p>') == "One\nTwo\nThree"
+    assert main_text("<p a = \"x > y\" b='>' c=d/e>One</p><p / data-x>Two<br/>three</p>") == "One\nTwo three"
+    assert main_text("<p>a < b <- c <3</p><p>end</p>") == "a < b <- c <3\nend"
+
+
+@pytest.mark.parametrize("piece", ["<script ", '<a "', '<a b="', "<p a=", "<!--", "</", "<script>", "<title x='", "<p>a</p><!-"])
+def test_time_grows_with_the_page(piece):
+    started = time.perf_counter()
+    main_text("<p>text</p>" + piece * (1_000_000 // len(piece)))
+    assert time.perf_counter() - started < 20  # a second or so; hours if the rest were scanned at each piece

@@ -5,27 +5,31 @@ ones with their numbers of tokens, which is broadcast and bounded by ``frequent`
 misses there is looked up in a cache that lives as long as the Python worker, and encoded with the
 tokenizer itself when it is new. No pre-token is shuffled, so no pre-token can be a hot key.
 
-The table only saves time: it is fitted on a bounded sample, and any table gives the same counts. Texts with special strings or with characters from U+0250 on go to the tokenizer whole.
+The table comes from all texts. Each task keeps a summary of its pre-tokens, of ``frequent`` counts at
+most: when it grows beyond, what the least frequent ones have is taken from all, so that a pre-token is
+missing only if it is rare. Summaries are merged a few at a time in the same way, each a single row; no
+pre-token is a row of its own anywhere. Any table gives the same token counts, only sooner or later.
+Texts with special strings or with characters from U+0250 on go to the tokenizer whole.
 """
 
 from __future__ import annotations
 
 import json
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderloom.llm.common import slices, worker_cache
+from orderloom.llm.common import slices, stored, worker_cache
 from orderloom.llm.pretokens import split
 
 CACHE_ENTRIES = 400_000
-SAMPLE_CHARS = 4000
+MERGED = 16  # summaries that one task puts together
 
 
 def _tokenizer(definition: str):
@@ -82,23 +86,55 @@ def _lengths(tokenizer, vocabulary: pa.Array, words: pa.Array, sizes: np.ndarray
     return out
 
 
-def frequent_table(docs: DataFrame, tokenizer, text: str, sample_docs: int, frequent: int) -> tuple[list, list]:
-    """Pre-tokens that are frequent in a bounded sample, with their numbers of tokens.
+class Summary:
+    """Counts of the most frequent words, at most so many; none is further off than those that it left out were frequent."""
 
-    The driver takes the first ``sample_docs`` rows, which reads no further than needed, and no more
-    than ``SAMPLE_CHARS`` characters of each.
-    """
-    rows = docs.select(F.substring(F.col(text).cast("string"), 1, SAMPLE_CHARS).alias("text")).take(sample_docs)
-    totals: Counter = Counter()
-    for part in slices(pa.array([r["text"] for r in rows], pa.string())):
-        vocabulary, ids, starts, odd = split(part)
-        for row in odd:
-            ids[starts[row] : starts[row + 1]] = -1
-        times = np.bincount(ids[ids >= 0], minlength=len(vocabulary))
-        seen = np.flatnonzero(times)
-        totals.update(dict(zip(vocabulary.take(pa.array(seen)).to_pylist(), times[seen].tolist())))
-    words = [w for w, n in totals.most_common(frequent) if n > 1]
-    return words, _encode(tokenizer, [w.decode() for w in words])
+    def __init__(self, size: int):
+        self.size, self.words, self.counts = size, pa.array([], pa.binary()), np.zeros(0, np.int64)
+
+    def add(self, words: pa.Array, counts: np.ndarray) -> None:
+        both = pa.concat_arrays([self.words, words.cast(pa.binary())]).dictionary_encode()
+        totals = np.zeros(len(both.dictionary), np.int64)
+        np.add.at(totals, np.asarray(both.indices), np.concatenate([self.counts, counts]))
+        if len(totals) > self.size:
+            totals -= np.partition(totals, len(totals) - self.size - 1)[len(totals) - self.size - 1]
+        kept = np.flatnonzero(totals > 0)
+        self.words, self.counts = both.dictionary.take(pa.array(kept)), totals[kept]
+
+    def row(self, number: int) -> pa.RecordBatch:
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (self.words, pa.array(self.counts))]
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists], ["number", "words", "counts"])
+
+
+_SUMMARY = "number bigint, words array<binary>, counts array<bigint>"
+
+
+def frequent_words(docs: DataFrame, text: str, frequent: int) -> list[bytes]:
+    """About the ``frequent`` most frequent pre-tokens of all texts that occur more than once, most frequent first."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        summary = Summary(frequent)
+        for batch in batches:
+            for part in slices(batch.column(0)):
+                vocabulary, ids, starts, odd = split(part)
+                for row in odd:  # those go to the tokenizer whole
+                    ids[starts[row] : starts[row + 1]] = -1
+                times = np.bincount(ids[ids >= 0], minlength=len(vocabulary))
+                seen = np.flatnonzero(times)
+                summary.add(vocabulary.take(pa.array(seen)), times[seen])
+        yield summary.row(TaskContext.get().partitionId())
+
+    def merge(table: pa.Table) -> pa.Table:
+        summary = Summary(frequent)
+        for words, counts in zip(table["words"], table["counts"]):
+            summary.add(words.values, np.asarray(counts.values))
+        return pa.Table.from_batches([summary.row(table["number"][0].as_py() // MERGED)])
+
+    rows = stored(docs.select(F.col(text).cast("string").alias("text")).mapInArrow(tally, _SUMMARY), "summaries")
+    while rows.count() > 1:
+        rows = stored(rows.groupBy(F.floor(F.col("number") / MERGED)).applyInArrow(merge, _SUMMARY), "summaries")
+    found = rows.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select("x.words", "x.counts").filter("counts > 1")
+    return [bytes(r["words"]) for r in found.orderBy(F.desc("counts"), "words").limit(frequent).collect()]
 
 
 def count_tokens(
@@ -107,7 +143,6 @@ def count_tokens(
     id_column: str = "doc_id",
     text: str = "text",
     limit: int = 512,
-    sample_docs: int = 2000,
     frequent: int = 65_536,
 ) -> DataFrame:
     """id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of every row.
@@ -124,7 +159,8 @@ def count_tokens(
     definition = "" if pieces else raw.decode()
     plain = not pieces and _splits_alike(json.loads(definition))
     special = [] if pieces else [t["content"].encode() for t in json.loads(definition).get("added_tokens", [])]
-    words, sizes = frequent_table(docs, _tokenizer(definition), text, sample_docs, frequent) if plain else ([], [])
+    words = frequent_words(docs, text, frequent) if plain and frequent else []
+    sizes = _encode(_tokenizer(definition), [w.decode() for w in words]) if words else []
     shared = spark.sparkContext.broadcast((raw if pieces else definition, words, sizes))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

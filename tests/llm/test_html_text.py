@@ -1,8 +1,8 @@
 """Main text of pages."""
 
-import time
 import html
 import re
+import time
 
 import pytest
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderloom.llm.common import fold, slices
+from orderloom.llm.common import fold, release, slices
 
 STEP, REACH, DEPTH, FILTERS = 3, 3, 8, 48
 SEGMENT = 64  # filter positions of half a chunk, 192 bytes
@@ -259,6 +259,7 @@ def score(docs: DataFrame, weights: bytes, text: str = "text", threshold: float
             scores = np.concatenate(scores)
             more = [pa.array(scores), pa.array((scores >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names)
+            release()
 
     extra = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
     return rows.mapInArrow(mark, T.StructType([*rows.schema.fields, *extra]))

@@ -1,6 +1,5 @@
 """Removal of repeated passages against a direct search, and the transforms against sorted suffixes."""
 
-import hashlib
 from collections import Counter
 
 import numpy as np
@@ -121,7 +120,6 @@ def test_the_table(spark):
     got = without_repeats(docs).collect()
     assert {(r.doc_id, bytes(r.kept)) for r in got} == {(i, kept) for (i, _), (_, kept) in want.items()}
     assert sum(bool(r.removed) for r in got) > 5
-    assert {hashlib.sha256(r.kept).hexdigest() for r in got}
 
 
 STRINGS = st.lists(st.binary(min_size=1, max_size=30).map(lambda b: bytes(x % 3 + 253 * (x % 2) for x in b)), min_size=1, max_size=8)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderloom.llm.common import by_frequency, hashes, mix, pack_planes, pack_skewed, release, short_batches, slices, unpack_planes, unpack_skewed
+from orderloom.llm.common import by_frequency, hashes, mix, pack_planes, pack_skewed, release, short_batches, short_plans, slices, unpack_planes, unpack_skewed
 from orderloom.llm.pretokens import split
 
 TABLE_SIZE = 1 << 16
@@ -350,9 +350,11 @@ def round_trip(
     columns are ignored, and an empty table gives no rows. The fold takes time in the square of a
     word's length, which matters from some ten thousand bytes without a break on. ``ranges`` (one for
     each shuffle partition) sets how finely distinct words are dealt out. The session's Arrow batches
-    are lowered to 1,000 rows.
+    are lowered to 1,000 rows, and the printed text of its plans to 64 kB, as each print of a plan with
+    the literals takes some megabytes of the driver, and adaptive execution prints it after every stage.
     """
     short_batches(docs.sparkSession, 1000)
+    short_plans(docs.sparkSession)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = ranges or partitions
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).cast("string").alias("text"))

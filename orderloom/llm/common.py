@@ -77,6 +77,14 @@ def short_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(name, rows)
 
 
+def short_plans(spark: SparkSession, characters: int = 1 << 16) -> None:
+    """Cuts the text of plans in ``explain()`` and in the driver's events; the plans are the same."""
+    name = "spark.sql.maxPlanStringLength"
+    now = spark.conf.get(name).rstrip("b")  # the default is in bytes
+    if now.isdigit() and int(now) > characters:
+        spark.conf.set(name, characters)
+
+
 def release() -> None:
     """Gives freed memory back to the system, as a Python worker outlives its task."""
     pa.default_memory_pool().release_unused()

@@ -31,6 +31,7 @@ from orderloom.schemas import (
 )
 from orderloom.session import new_folder
 from orderloom.sinks import batches
+from orderloom.sinks.by_order import bucket_by_order, read_by_order
 from orderloom.sinks.numbering import append_numbered
 from orderloom.sinks.tables import EVENTS, append_events, compact_events, drop_events_up_to, keep_last_events
 from orderloom.sources import tables
@@ -39,11 +40,14 @@ from orderloom.sources.requests import stream_requests
 from orderloom.sources.sql_table import sync_event_table
 from orderloom.streaming import orders
 from orderloom.streaming.pairing import Pairing, pairing_rows
+from orderloom.streaming.snapshots import given_clock, run_snapshots, snapshots
+from orderloom.streaming.timers import Timers
 from orderloom.streaming.view import MaintainedView
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 METRIC_EPOCH_MS = 1_700_000_000_123
+SNAPSHOT_STEP_MS = 5_000
 SUBSCRIBE_FROM_MS = 893_000_000_000
 KNOWN_USER_EVENTS = ("click", "purchase", "signup", "view")
 ALL_FILES_NOW = {"availableNow": True}
@@ -168,9 +172,9 @@ def _credit_reserve(spark: SparkSession, folder: str) -> DataFrame:
     return pairing.pair(_side(spark, folder, CREDIT), _side(spark, folder, RESERVE))
 
 
-def combo_credit_reserve(spark: SparkSession, folder: str) -> DataFrame:
+def _credit_reserve_columns(pairs: DataFrame) -> DataFrame:
     return _ordered(
-        _credit_reserve(spark, folder),
+        pairs,
         _cents("left.amount"),
         F.col("left.approved").alias("approved"),
         "right.account_number",
@@ -181,6 +185,10 @@ def combo_credit_reserve(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def combo_credit_reserve(spark: SparkSession, folder: str) -> DataFrame:
+    return _credit_reserve_columns(_credit_reserve(spark, folder))
+
+
 def payment_requests(spark: SparkSession, folder: str) -> DataFrame:
     asked = stages.payment_requests(_credit_reserve(spark, folder))
     return asked.select("account_number", "amount_cents")
@@ -635,6 +643,78 @@ def stream_pending_clicks_purchases(spark: SparkSession, folder: str) -> DataFra
     return waiting.select("key", left.alias("left_id"), right.alias("right_id"))
 
 
+# The copy of the store that is bucketed by order
+
+
+def _by_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored events as the bucketed copy has them."""
+
+    def name(root: str) -> str:
+        return f"by_order_{root.rsplit('-', 1)[-1]}"
+
+    def fill(root: str) -> None:
+        append_events(_stored(spark, folder), root)
+        bucket_by_order(spark, name(root), root)
+
+    root = _once(spark, folder, "by-order", fill)
+    return read_by_order(spark, name(root), root)
+
+
+def combo_by_order(spark: SparkSession, folder: str) -> DataFrame:
+    """``combo_credit_reserve`` without a shuffle."""
+    stored = _by_order(spark, folder)
+    sides = [stages.side_of(events.event_feed(stored, name).select(*EVENT_COLUMNS), name) for name in (CREDIT, RESERVE)]
+    return _credit_reserve_columns(pairing.pair(*sides))
+
+
+def order_view_by_order(spark: SparkSession, folder: str) -> DataFrame:
+    """The fold without a shuffle."""
+    return _view_columns(view.order_view(_by_order(spark, folder)))
+
+
+# Timers and metrics of their own streams
+
+
+def _timers(spark: SparkSession, folder: str) -> Timers:
+    """Two thirds of the starts, then all stops, then the other starts, followed batch by batch."""
+    starts, stops = tables.api_starts(spark, folder), tables.api_stops(spark, folder)
+    unknown = F.lit(None).cast("bigint")
+    kind = starts.schema["id"].dataType
+
+    def fill(root: str) -> None:
+        late = F.col("id") % 3 == 0
+        arriving = (
+            starts.filter(~late).withColumn("stop_ms", unknown),
+            stops.select("id", unknown.alias("start_ms"), "stop_ms"),
+            starts.filter(late).withColumn("stop_ms", unknown),
+        )
+        for batch, rows in enumerate(arriving):
+            batches.append(rows, root, "timers", "load", batch)
+        follow(
+            spark, root, Timers(spark, f"{root}-open", kind).handle, f"{root}-checkpoint", ALL_FILES_NOW, "timers",
+            arriving[1].schema, 1,
+        ).awaitTermination()
+
+    return Timers(spark, f"{_once(spark, folder, 'timers', fill)}-open", kind)
+
+
+def stream_timers(spark: SparkSession, folder: str) -> DataFrame:
+    return _timers(spark, folder).counters()
+
+
+def stream_in_flight(spark: SparkSession, folder: str) -> DataFrame:
+    return _timers(spark, folder).in_flight()
+
+
+def stream_idle_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """Two snapshots, a step of the clock apart, of timers to which nothing comes."""
+    timers, root = _timers(spark, folder), new_folder(spark, "snapshots")
+    for _ in range(2):
+        ticks = given_clock(spark, METRIC_EPOCH_MS, SNAPSHOT_STEP_MS)
+        run_snapshots(ticks, timers.counters, root, f"{root}-checkpoint", ALL_FILES_NOW).awaitTermination()
+    return snapshots(spark, root)
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -692,6 +772,11 @@ QUERIES: dict[str, Query] = {
         stream_combo_credit_reserve,
         stream_pair_clicks_purchases,
         stream_pending_clicks_purchases,
+        combo_by_order,
+        order_view_by_order,
+        stream_timers,
+        stream_in_flight,
+        stream_idle_snapshots,
     )
 }
 HYDRATED = {

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from orderloom.plans.catalog import HYDRATED, KEEP_EVENTS, LATER_PRICES, METRIC_EPOCH_MS, SUBSCRIBE_FROM_MS
+from orderloom.plans.catalog import (
+    HYDRATED,
+    KEEP_EVENTS,
+    LATER_PRICES,
+    METRIC_EPOCH_MS,
+    SNAPSHOT_STEP_MS,
+    SUBSCRIBE_FROM_MS,
+)
 from orderloom.schemas import (
     CREATE,
     CREDIT,
@@ -124,6 +131,12 @@ ELSE (CASE WHEN "LATENCY_OK" < 0 THEN '-' ELSE '' END)
               ''), '0')
   || 'E' || (length(split_part(CAST(abs("LATENCY_OK") AS VARCHAR), '.', 1)) - 1) END"""
 
+_METRICS = f"""rows AS (
+  SELECT unnest(['IN', 'OK', 'FAIL', 'COMPLETE', 'LATENCY_OK']) AS short,
+         unnest([CAST("IN" AS VARCHAR), CAST("OK" AS VARCHAR), CAST("FAIL" AS VARCHAR),
+                 CAST("COMPLETE" AS VARCHAR), {_DOUBLE_TEXT}]) AS value
+  FROM counters)"""
+
 # Pairs and open rows by stepping through each user's clicks and purchases in order.
 _STEPS = """WITH RECURSIVE
 numbered AS (
@@ -201,10 +214,13 @@ SELECT do_key AS order_number, account_number, amount_cents, approved FROM credi
     "reserve_inventory_events": f"""WITH {_ORDER}
 SELECT do_key AS order_number, account_number, item_number, location, quantity, description
 FROM reserve""",
-    "combo_credit_reserve": f"""WITH {_ORDER}
+    **dict.fromkeys(
+        ("combo_credit_reserve", "combo_by_order"),
+        f"""WITH {_ORDER}
 SELECT do_key AS order_number, amount_cents, approved, r.account_number, item_number, location,
        quantity, description
 FROM credit c JOIN reserve r USING (do_key)""",
+    ),
     "price_requests": f"""WITH {_ORDER}
 SELECT request_id AS order_number, item_number FROM requests""",
     "balance_requests": f"""WITH {_ORDER}
@@ -280,11 +296,7 @@ FROM (VALUES ('COP.completions', 1), ('PLP.completions', 2), ('RIP.handleEventCa
 LEFT JOIN log ON sequence = counted GROUP BY metric""",
     "sql_event_history": f"WITH {_LOG} SELECT do_key, sequence, event_name FROM log",
     "api_counters": f"WITH {_COUNTERS} SELECT * FROM counters",
-    "metric_lines": f"""WITH {_COUNTERS}, rows AS (
-SELECT unnest(['IN', 'OK', 'FAIL', 'COMPLETE', 'LATENCY_OK']) AS short,
-       unnest([CAST("IN" AS VARCHAR), CAST("OK" AS VARCHAR), CAST("FAIL" AS VARCHAR),
-               CAST("COMPLETE" AS VARCHAR), {_DOUBLE_TEXT}]) AS value
-FROM counters)
+    "metric_lines": f"""WITH {_COUNTERS}, {_METRICS}
 SELECT 'order.create.' || short AS name, value,
        'order.create.' || short || ' ' || value || ' {METRIC_EPOCH_MS // 1000} ' || chr(10) AS line
 FROM rows""",
@@ -326,5 +338,13 @@ SELECT do_key AS order_number, amount_cents, approved, description
 FROM credit JOIN reserve USING (do_key)""",
     "stream_pair_clicks_purchases": _PAIRS,
     "stream_pending_clicks_purchases": _PENDING,
+    "order_view_by_order": _view("true"),
+    "stream_timers": f"WITH {_COUNTERS} SELECT * FROM counters",
+    "stream_in_flight": f"WITH {_COUNTERS} SELECT id, start_ms FROM starts ANTI JOIN stops USING (id)",
+    "stream_idle_snapshots": f"""WITH {_COUNTERS}, {_METRICS}, snapshots AS (
+  SELECT {METRIC_EPOCH_MS} + {SNAPSHOT_STEP_MS} * unnest([0, 1]) AS epoch_ms)
+SELECT CAST(epoch_ms AS BIGINT) AS epoch_ms, 'order.create.' || short AS name, value,
+       'order.create.' || short || ' ' || value || ' ' || (epoch_ms // 1000) || ' ' || chr(10) AS line
+FROM rows CROSS JOIN snapshots""",
     **{key: _hydrated(name) for key, name in HYDRATED.items()},
 }

@@ -20,7 +20,7 @@ import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,8 +78,13 @@ class Batch:
         self.tables.append(table)
         return f"{self.root}/{table}/attempt={self.attempt}"
 
-    def write(self, rows: DataFrame, table: str, *partition_by: str) -> None:
+    def write(
+        self, rows: DataFrame, table: str, *partition_by: str, watch: dict[str, Column] | None = None
+    ) -> dict:
+        """Writes the rows; gives what the aggregates in ``watch`` are over them, from the same pass."""
+        watch = watch or {}
         seen, wanted = Observation(), [F.count(F.lit(1)).alias("n")]
+        wanted += [value.alias(name) for name, value in watch.items()]
         if "event_time" in rows.columns:
             wanted.append(F.max("event_time").alias("latest"))
         watched = rows.observe(seen, *wanted)
@@ -87,6 +92,7 @@ class Batch:
         self.sizes[table] = seen.get["n"]
         if seen.get.get("latest") is not None:
             self.latest[table] = seen.get["latest"]
+        return {name: seen.get[name] for name in watch}
 
     def commit(self, replaces: Iterable[str] = (), position: int | None = None, empty: bool = False) -> None:
         """Makes the batch visible; an ``empty`` one only replaces others."""

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from orderloom.operators.counters import STAGE_METRICS, counter_row, metric_lines
 from orderloom.operators.events import create_order_responses
-from orderloom.plans.lifecycle import REACHED, Lookups, all_events, all_rejects, order_facts
+from orderloom.plans.lifecycle import Lookups, all_events, all_rejects, order_facts
 from orderloom.schemas import CREATE, EVENT_COLUMNS, EVENT_TYPES, REJECT, REQUEST
 from orderloom.sinks import batches
 from orderloom.sinks.tables import EVENTS, clustered
@@ -87,27 +87,23 @@ def process_batch(
     known = batches.read(spark, root, ACCEPTED, REQUEST)
     requests, differing = accept(deliveries, known)
     facts = order_facts(requests, lookups, require_success).persist()
-    created = F.col("created")
-    counts = [
-        *[F.count_if(F.col(REACHED[event])).alias(metric) for metric, event in STAGE_METRICS.items()],
-        F.count_if(created).alias("orders"),
-        F.count_if(created & F.col("event_time").isNotNull()).alias("timed"),
-        F.coalesce(F.sum(F.when(created, F.col("event_time"))), F.lit(0)).alias("arrived"),
-    ]
+    # Counted by the tasks that write, so no pass is made for them, and one that runs again counts once.
+    of_type = {metric: F.count_if(F.col("event_name") == event) for metric, event in STAGE_METRICS.items()}
+    arrivals = {"timed": F.count("arrived_ms"), "arrived": F.coalesce(F.sum("arrived_ms"), F.lit(0))}
     try:
-        batch.write(clustered(all_events(facts).select(*EVENT_COLUMNS)), EVENTS, "event_name")
+        events = clustered(all_events(facts).select(*EVENT_COLUMNS))
+        handled = batch.write(events, EVENTS, "event_name", watch=of_type)
         batch.write(all_rejects(facts).unionByName(differing).select(*REJECT.fieldNames()), REJECTS)
         accepted = facts.filter("created").select(
             "request_id", "account_number", "item_number", "location", "quantity", F.col("event_time").alias("arrived_ms")
         )
         batch.write(create_order_responses(accepted), RESPONSES)
-        batch.write(accepted, ACCEPTED)
-        seen = facts.agg(*counts).first().asDict()
+        seen = batch.write(accepted, ACCEPTED, watch=arrivals)
     finally:
         facts.unpersist()
-    metrics = [(metric, seen[metric]) for metric in STAGE_METRICS]
-    batch.write(spark.createDataFrame(metrics, JOB_METRIC).coalesce(1), JOB_METRICS)
-    orders, delivered, stop = seen["orders"], deliveries.count(), clock()
+    batch.write(spark.createDataFrame(list(handled.items()), JOB_METRIC).coalesce(1), JOB_METRICS)
+    # Deliveries are not written, only shuffled, where a task that runs again would count twice.
+    orders, delivered, stop = batch.sizes[ACCEPTED], deliveries.count(), clock()
     elapsed = seen["timed"] * stop - seen["arrived"]
     row = spark.createDataFrame([(delivered, orders, elapsed)], COUNT).coalesce(1)
     batch.write(row, COUNTS)

@@ -311,3 +311,26 @@ def test_timers_do_not_depend_on_the_session_zone(spark, small):
 def test_discard_runs_the_plan(spark):
     with pytest.raises(Exception, match="boom"):
         sink.discard(spark.range(1).select(F.raise_error(F.lit("boom"))))
+
+
+def test_a_whole_load_is_the_same_rows_without_a_shuffle(spark, facts, tmp_path, monkeypatch):
+    """Events come from the facts in the tasks that write them, which open a file for each type."""
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    whole, batch = str(tmp_path / "whole"), str(tmp_path / "batch")
+    sink.append_events(all_events(facts), batch)
+    monkeypatch.setattr(sink, "clustered", lambda events: pytest.fail("events were shuffled before the write"))
+    sink.append_events(all_events(facts), whole, gather=False)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    rows = [sorted(map(repr, read_events(spark, root).drop("attempt").collect())) for root in (whole, batch)]
+    assert rows[0] == rows[1] and len(rows[0]) == 7 * facts.count()
+
+
+def test_the_store_of_a_folder_is_not_shuffled_by_type(spark, small, monkeypatch):
+    """Neither the load nor the copies made from it."""
+    from orderloom.plans import catalog
+
+    monkeypatch.setattr(catalog, "_stores", {})
+    monkeypatch.setattr(sink, "clustered", lambda events: pytest.fail("events were shuffled before the write"))
+    for name in ("event_store_counts", "retained_events", "last_events"):
+        catalog.QUERIES[name](spark, small).count()
+    catalog._by_order(spark, small).count()

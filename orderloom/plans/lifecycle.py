@@ -45,23 +45,36 @@ class Lookups(NamedTuple):
     check: tuple[str, ...] = ("prices", "balances", "stock")
 
 
+# In the order they are joined: stock stays within the items that prices have spread the requests by.
 LOOKUP_TABLES = {
     "prices": (PRICES, ["item_number"]),
-    "balances": (BALANCES, ["account_number"]),
     "stock": (STOCK, ["item_number", "location"]),
+    "balances": (BALANCES, ["account_number"]),
 }
 
 
+# Whether rows that are spread by item are shuffled again for a join by item and location.
+ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
+
+
 def order_facts(
-    requests: DataFrame, lookups: Lookups, require_success: bool = False
+    requests: DataFrame, lookups: Lookups, require_success: bool = False, share_shuffle: bool = True
 ) -> DataFrame:
     """One row per request with everything its events need.
 
     ``created``, ``priced``, ``credited``, ``reserved``, ``paid`` and ``shipped`` tell how far
     the order got; a request without id is not created. By default denials and shortages do not
     stop it; ``require_success`` stops them. All events of an order carry its arrival time.
+
+    The requests are the wide side of every join, so they are shuffled as few times and as narrow as
+    can be: once by item for prices and stock, once by account, and numbered after that. One task then
+    streams all requests of an item; with ``share_shuffle=False`` prices and stock have a shuffle each,
+    which adaptive execution can split. This sets ``ALL_KEYS`` for the session, as Spark reads it when the
+    plan runs.
     """
-    rows = requests.withColumn("do_key", order_number(F.col("request_id")))
+    rows = requests
+    if lookups.prices is not None and lookups.stock is not None:
+        requests.sparkSession.conf.set(ALL_KEYS, str(not share_shuffle).lower())
     for name, (schema, keys) in LOOKUP_TABLES.items():
         lookup, hit = getattr(lookups, name), f"has_{name}"
         if lookup is None:
@@ -69,11 +82,12 @@ def order_facts(
             rows = rows.withColumns({**absent, hit: F.lit(False)})
         else:
             rows = lookup_join(rows, lookup, keys, hit, name in lookups.check)
+    rows = rows.withColumn("do_key", order_number(F.col("request_id")))
     cents = F.col("price_cents") * F.col("quantity")
     approved = covers_cents(F.col("balance"), cents)
     failure = stock_failure(F.col("on_hand"), F.col("quantity"))
     created = F.col("do_key").isNotNull()
-    has_price, has_account, has_stock = (
+    has_price, has_stock, has_account = (
         F.col(f"has_{name}") for name in LOOKUP_TABLES
     )
     priced = created & has_price

@@ -52,6 +52,26 @@ def test_events_and_outcomes_cost_no_shuffle_beyond_the_facts(no_broadcast, fact
     assert shuffles(all_events(facts)) == shuffles(facts) == shuffles(lifecycle_summary(facts))
 
 
+def test_requests_are_shuffled_once_for_prices_and_stock(no_broadcast, facts):
+    """By item, then by account; the number, which repeats the request's id, is added after both."""
+    plan = plan_of(lifecycle_summary(facts))
+    wide = re.findall(r"Exchange hashpartitioning\(([^)]*)\), ENSURE_REQUIREMENTS[^\n]*\n[^\n]*Project \[[^\n]*request_id", plan)
+    assert [re.sub(r"#\d+", "", keys) for keys in wide] == ["account_number, 4", "item_number, 4"]
+    assert not re.search(r"Exchange hashpartitioning\([^\n]*\n[^\n]*AS do_key", plan)
+
+
+def test_hot_items_can_have_shuffles_of_their_own(spark, small, no_broadcast):
+    """Then adaptive execution can split each join with a lookup."""
+    lookups = tables.lookups(spark, small)._replace(check=())
+    apart = lifecycle_summary(order_facts(tables.requests(spark, small), lookups, share_shuffle=False))
+    assert "Exchange hashpartitioning(item_number" in plan_of(apart)
+    more = shuffles(apart)
+    shared = lifecycle_summary(order_facts(tables.requests(spark, small), lookups))
+    assert shuffles(shared) == more - 1
+    key = ["order_number"]
+    assert apart.orderBy(key).collect() == shared.orderBy(key).collect()
+
+
 def test_view_from_events_adds_one_shuffle(no_broadcast, facts):
     assert shuffles(order_view(all_events(facts))) == shuffles(facts) + 1
 

@@ -413,12 +413,14 @@ class Merged(NamedTuple):
     common: np.ndarray
 
 
-def merge(shards: list[Shard], depth: int = WINDOW) -> Merged:
+def merge(shards: list[Shard], depth: int = WINDOW, short: bool = True) -> Merged:
     """Interleave of the shards' rows by their first ``depth`` bytes, a step longer with each round.
 
     The rows in the order of h bytes are read in turn; the bytes before each are dealt out in their order,
     which gives the order of the longer suffixes. A row that shares its h bytes with no other drops out,
-    as nothing longer can meet another either, and so does a suffix that has no byte before it.
+    as nothing longer can meet another either, and so does a suffix that has no byte before it. With
+    ``short`` off, suffixes with fewer than ``depth`` bytes before them, which drop out in some round, are left
+    out from the start: rows and intervals are the same, ``common`` counts only what meets the others.
     """
     base = np.cumsum([0, *(len(s.symbols) for s in shards)])
     symbols = np.concatenate([s.symbols for s in shards])
@@ -432,8 +434,8 @@ def merge(shards: list[Shard], depth: int = WINDOW) -> Merged:
     code[before < STEP] = 0
     code = np.unique(code, return_inverse=True)[1].astype(np.uint32)
     open_ = before >= STEP
-    rows, interval = np.arange(len(symbols), dtype=np.int32), np.zeros(len(symbols), np.int32)
-    common = np.zeros(len(symbols), np.int32)
+    rows = np.arange(len(symbols), dtype=np.int32) if short else np.flatnonzero(before >= depth).astype(np.int32)
+    interval, common = np.zeros(len(rows), np.int32), np.zeros(len(symbols), np.int32)
     for turn in range(1, depth // STEP + 1):
         on = open_[rows]
         rows, interval = rows[on], interval[on]
@@ -456,7 +458,7 @@ def repeated_windows(shards: list[Shard], doc: np.ndarray, within: np.ndarray) -
     base = np.cumsum([0, *(len(s.lengths) for s in shards)])
     string = np.concatenate([s.string + b for s, b in zip(shards, base)])
     left = np.concatenate([s.left for s in shards])
-    rows, interval, _ = merge(shards)
+    rows, interval, _ = merge(shards, short=False)
     counts = lengths - WINDOW + 1
     found = np.zeros(counts.sum(), bool)
     if len(rows):

@@ -157,3 +157,14 @@ def test_merge(parts):
     assert heads == sorted(heads) and sorted(rows) == [r for r, s in enumerate(sharing(10)) if s]
     assert all((interval[k] == interval[k - 1]) == (heads[k] == heads[k - 1]) for k in range(1, len(heads)))
     assert common.tolist() == [repeats.STEP * (a + b) for a, b in zip(sharing(5), sharing(10))]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(STRINGS, min_size=1, max_size=4))
+def test_merge_of_long_suffixes(parts):
+    """Without the suffixes that drop out in some round, what shares the depth is the same."""
+    shards = [read_back(transform(p)) for p in parts]
+    whole, long = merge(shards, 10), merge(shards, 10, short=False)
+    for a, b in ((whole.rows, long.rows), (np.diff(whole.interval) > 0, np.diff(long.interval) > 0)):
+        assert a.tolist() == b.tolist()
+    assert (long.common <= whole.common).all()

@@ -220,3 +220,18 @@ def test_a_repeated_key_fails_the_pairing(spark, name):
         with pytest.raises(Exception, match=f"the {name} side has a repeated do_key"):
             paired.collect()
     assert pairing.pair(once, once).count() == 2
+
+
+def test_the_check_of_a_pairing_costs_no_shuffle(spark):
+    once = spark.createDataFrame([("a", 1), ("b", 2), (None, 3), (None, 4)], "do_key string, v int")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for paired in (pairing.pair, pairing.pending_pairs):
+            plans = [paired(once, once, check=c)._jdf.queryExecution().executedPlan().toString() for c in (False, True)]
+            assert [p.count("Exchange") for p in plans] == [2, 2]
+            assert [p.count("+- Sort [") + p.count(":- Sort [") for p in plans] == [2, 2]
+        assert rows(pairing.pair(once, once), "do_key", "left.v", "right.v") == [("a", 1, 1), ("b", 2, 2)]
+        assert pairing.pending_pairs(once, once).count() == 4  # a null key matches nothing
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -55,6 +55,10 @@ KEEP_EVENTS = 20_000
 # Orders of every second and fourth number, and how much less they cost in the later batches.
 LATER_PRICES = ((2, "1.00"), (4, "0.50"))
 
+# A whole load goes in a part for so many line items, and in so many parts at most: what a part shuffles
+# is gone before the next one, while each part reads the tables again.
+PART_LINES, MOST_PARTS = 1 << 19, 8
+
 # Event stores written in this session, by what wrote them and data folder.
 _stores: dict[tuple[str, str, str], str] = {}
 
@@ -74,13 +78,31 @@ def _once(spark: SparkSession, folder: str, purpose: str, fill: Callable[[str],
     return _stores[key]
 
 
+def _load_parts(spark: SparkSession, folder: str) -> int:
+    """How many batches a whole load is; the files' footers have the number of line items."""
+    lines = tables.table(spark, folder, "lineitem").count()
+    return max(1, min(MOST_PARTS, lines // PART_LINES))
+
+
+def _load(spark: SparkSession, folder: str, path: str, parts: int) -> None:
+    """All events of a data folder in one batch for each part of its orders.
+
+    Lookups are saved and checked once for all parts. Events are written by order, as neighbours' numbers
+    then share most of their digits.
+    """
+    lookups = tables.lookups(spark, folder)
+    if parts > 1:
+        lookups = tables.saved_lookups(lookups, f"{path}-lookups")
+    for part in range(parts):
+        requests = tables.requests(spark, folder, part=part, parts=parts)
+        facts = lifecycle.order_facts(requests, lookups).sortWithinPartitions("do_key")
+        append_events(lifecycle.all_events(facts), path, batch_id=part, gather=False)
+
+
 def store_path(spark: SparkSession, folder: str) -> str:
     """Root of the stored events of a data folder, written on first use."""
     return _once(
-        spark,
-        folder,
-        "order-events",
-        lambda path: append_events(lifecycle.all_events(_facts(spark, folder)), path, gather=False),
+        spark, folder, "order-events", lambda path: _load(spark, folder, path, _load_parts(spark, folder))
     )
 
 

@@ -28,6 +28,12 @@ from pyspark.sql import types as T
 # Folders a task writes side by side, without sorting its rows by folder first; more folders are sorted.
 _OPEN_FOLDERS = ("spark.sql.maxConcurrentOutputFileWriters", "16")
 
+# What a write has shuffled is deleted when it ends, not when the driver next collects garbage.
+_CLEAN_UP = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+# Order numbers next to each other share digits, which only this version's encodings use; any reader knows both.
+_FORMAT = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0"}
+
 _BY_TABLE = T.MapType(T.StringType(), T.LongType())
 COMMIT = T.StructType(
     [
@@ -106,8 +112,8 @@ class Batch:
         if "event_time" in rows.columns:
             wanted.append(F.max("event_time").alias("latest"))
         watched = rows.observe(seen, *wanted)
-        writer = watched.write.mode("errorifexists").option("compression", "zstd").partitionBy(*partition_by)
-        with _set(rows.sparkSession, *_OPEN_FOLDERS):
+        writer = watched.write.mode("errorifexists").options(**_FORMAT).partitionBy(*partition_by)
+        with _set(rows.sparkSession, *_OPEN_FOLDERS), _set(rows.sparkSession, *_CLEAN_UP):
             writer.parquet(self.path(table))
         self.sizes[table] = seen.get["n"]
         if seen.get.get("latest") is not None:

@@ -29,18 +29,28 @@ def _labelled(prefix: str, key: str) -> Column:
     return F.concat(F.lit(prefix), F.col(key).cast("string"))
 
 
-def requests(spark: SparkSession, folder: str, how: str = "inner") -> DataFrame:
+def part_of_orders(key: str, part: int, parts: int) -> Column:
+    """Whether an order is of one of the parts that all orders are dealt to by a hash of their number."""
+    return F.pmod(F.xxhash64(key), F.lit(parts)) == part
+
+
+def requests(spark: SparkSession, folder: str, how: str = "inner", part: int = 0, parts: int = 1) -> DataFrame:
     """One order request per order, part and supplier, which arrives on the order's date.
 
     With ``how="right"`` an order without line items makes a request that names no item. Line items are summed before the join with orders, so an order with very many lines is
     combined on the map side and its requests spread over the shuffle by all three keys.
+
+    With ``parts`` only the requests of one part of the orders are made; those of all parts are all requests.
     """
+    lines, orders = table(spark, folder, "lineitem"), table(spark, folder, "orders")
+    if parts > 1:
+        lines = lines.filter(part_of_orders("l_orderkey", part, parts))
+        orders = orders.filter(part_of_orders("o_orderkey", part, parts))
     lines = (
-        table(spark, folder, "lineitem")
-        .groupBy("l_orderkey", "l_partkey", "l_suppkey")
+        lines.groupBy("l_orderkey", "l_partkey", "l_suppkey")
         .agg(F.sum("l_quantity").cast("int").alias("quantity"))
     )
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    orders = orders.select("o_orderkey", "o_custkey", "o_orderdate")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), how).select(
         F.concat_ws("-", "o_orderkey", "l_partkey", "l_suppkey").alias("request_id"),
         _labelled("A", "o_custkey").alias("account_number"),

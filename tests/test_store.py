@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from orderloom.operators import counters
 from orderloom.operators import events as ev
+from orderloom.plans import catalog
 from orderloom.plans.lifecycle import all_events, events_of_type, order_facts
-from orderloom.schemas import CREATE, CREDIT, EVENT_TYPES, PRICE, PULL, REQUEST, RESERVE, SHIP
+from orderloom.schemas import CREATE, CREDIT, EVENT_COLUMNS, EVENT_TYPES, PRICE, PULL, REQUEST, RESERVE, SHIP
 from orderloom.sinks import batches
 from orderloom.sinks import tables as sink
 from orderloom.sources import tables
@@ -334,3 +335,45 @@ def test_the_store_of_a_folder_is_not_shuffled_by_type(spark, small, monkeypatch
     for name in ("event_store_counts", "retained_events", "last_events"):
         catalog.QUERIES[name](spark, small).count()
     catalog._by_order(spark, small).count()
+
+
+def test_a_load_in_parts_is_the_whole_load(spark, small, tmp_path):
+    """Each part of the orders is a batch of its own."""
+    roots = [str(tmp_path / str(parts)) for parts in (1, 3)]
+    for root, parts in zip(roots, (1, 3)):
+        catalog._load(spark, small, root, parts)
+    whole, loaded = (sorted(map(tuple, read_events(spark, r).select(*EVENT_COLUMNS).collect()), key=repr) for r in roots)
+    assert loaded == whole
+    assert [len(batches.attempts(spark, r, sink.EVENTS)) for r in roots] == [1, 3]
+
+
+def test_a_large_load_goes_in_parts(spark, tmp_path, monkeypatch):
+    lines = spark.range(100).select(*[F.col("id").alias(c) for c in ("l_orderkey", "l_partkey", "l_suppkey")])
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert catalog._load_parts(spark, str(tmp_path)) == 1
+    monkeypatch.setattr(catalog, "PART_LINES", 30)
+    assert catalog._load_parts(spark, str(tmp_path)) == 3
+    monkeypatch.setattr(catalog, "PART_LINES", 2)
+    assert catalog._load_parts(spark, str(tmp_path)) == catalog.MOST_PARTS
+
+
+def test_a_write_leaves_no_shuffle_behind(spark, tmp_path):
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(k).getName() for k in range(files.size())}
+
+    batch, rows = batches.Batch(spark, str(tmp_path), "load", 0), spark.range(1000).repartition(3, "id")
+    before = shuffled()
+    batch.write(rows, "numbers")
+    assert not [f for f in shuffled() - before if f.startswith("shuffle")]
+    batch.commit()
+    assert batches.read(spark, str(tmp_path), "numbers", rows.schema).count() == 1000
+
+
+def test_order_numbers_are_stored_by_what_they_share(spark, tmp_path):
+    rows = spark.range(20_000).select(F.format_string("%012d", "id").alias("do_key")).coalesce(1)
+    batches.append(rows, str(tmp_path), "keys", "load", 0)
+    rows.write.option("compression", "zstd").parquet(str(tmp_path / "plain"))
+    size = [sum(f.stat().st_size for f in (tmp_path / name).rglob("*.parquet")) for name in ("keys", "plain")]
+    assert size[0] < size[1] / 2
+    assert batches.read(spark, str(tmp_path), "keys", rows.schema).collect() == rows.collect()

@@ -57,7 +57,7 @@ LATER_PRICES = ((2, "1.00"), (4, "0.50"))
 
 # A whole load goes in a part for so many line items, and in so many parts at most: what a part shuffles
 # is gone before the next one, while each part reads the tables again.
-PART_LINES, MOST_PARTS = 1 << 19, 8
+PART_LINES, MOST_PARTS = 1 << 19, 24
 
 # Event stores written in this session, by what wrote them and data folder.
 _stores: dict[tuple[str, str, str], str] = {}
@@ -87,16 +87,22 @@ def _load_parts(spark: SparkSession, folder: str) -> int:
 def _load(spark: SparkSession, folder: str, path: str, parts: int) -> None:
     """All events of a data folder in one batch for each part of its orders.
 
-    Lookups are saved and checked once for all parts. Events are written by order, as neighbours' numbers
-    then share most of their digits.
+    Lookups are saved and checked once for all parts. Parts are spans of order numbers and events are
+    written by order, as neighbours' numbers then share most of their digits.
     """
+
+    def write(lookups: lifecycle.Lookups, spans: list[tables.Span]) -> None:
+        for part, span in enumerate(spans):
+            requests = tables.requests(spark, folder, span=span)
+            facts = lifecycle.order_facts(requests, lookups).sortWithinPartitions("do_key")
+            append_events(lifecycle.all_events(facts), path, batch_id=part, gather=False)
+
     lookups = tables.lookups(spark, folder)
-    if parts > 1:
-        lookups = tables.saved_lookups(lookups, f"{path}-lookups")
-    for part in range(parts):
-        requests = tables.requests(spark, folder, part=part, parts=parts)
-        facts = lifecycle.order_facts(requests, lookups).sortWithinPartitions("do_key")
-        append_events(lifecycle.all_events(facts), path, batch_id=part, gather=False)
+    if parts == 1:
+        write(lookups, [(None, None)])
+    else:
+        with tables.lookups_by_item(lookups, f"{path}-lookups") as saved:
+            write(saved, tables.order_spans(spark, folder, parts))
 
 
 def store_path(spark: SparkSession, folder: str) -> str:

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderloom.operators.lookup import most_copies
 from orderloom.plans.lifecycle import LOOKUP_TABLES, Lookups
+from orderloom.sinks import batches
+
+# Bounds of order numbers, the upper one left out; the last span has no upper one.
+Span = tuple[int | None, int | None]
 
 # Columns used here; a given schema spares the scan of every file's footer.
 TABLES = {
@@ -29,23 +37,38 @@ def _labelled(prefix: str, key: str) -> Column:
     return F.concat(F.lit(prefix), F.col(key).cast("string"))
 
 
-def part_of_orders(key: str, part: int, parts: int) -> Column:
-    """Whether an order is of one of the parts that all orders are dealt to by a hash of their number."""
-    return F.pmod(F.xxhash64(key), F.lit(parts)) == part
+def order_spans(spark: SparkSession, folder: str, parts: int) -> list[Span]:
+    """Deals the orders by their numbers to parts of about as many line items."""
+    shares = [k / parts for k in range(1, parts)]
+    cuts = table(spark, folder, "lineitem").agg(F.percentile_approx("l_orderkey", shares)).first()[0]
+    ends = [None, *(cuts or []), None]
+    return list(zip(ends, ends[1:]))
+
 
+def _within(rows: DataFrame, key: str, span: Span) -> DataFrame:
+    """Rows of a span; those without a number are in the last one."""
+    low, high = span
+    number, within = F.col(key), F.lit(True)
+    if low is not None:
+        within = number >= low
+    if high is not None:
+        within &= number < high
+    elif low is not None:
+        within |= number.isNull()
+    return rows.filter(within)
 
-def requests(spark: SparkSession, folder: str, how: str = "inner", part: int = 0, parts: int = 1) -> DataFrame:
+
+def requests(spark: SparkSession, folder: str, how: str = "inner", span: Span = (None, None)) -> DataFrame:
     """One order request per order, part and supplier, which arrives on the order's date.
 
-    With ``how="right"`` an order without line items makes a request that names no item. Line items are summed before the join with orders, so an order with very many lines is
-    combined on the map side and its requests spread over the shuffle by all three keys.
+    With ``how="right"`` an order without line items makes a request that names no item. Line items are
+    summed before the join with orders, so an order with very many lines is combined on the map side and
+    its requests spread over the shuffle by all three keys.
 
-    With ``parts`` only the requests of one part of the orders are made; those of all parts are all requests.
+    With ``span`` only the requests of some orders are made; those of all of ``order_spans`` are all requests.
     """
     lines, orders = table(spark, folder, "lineitem"), table(spark, folder, "orders")
-    if parts > 1:
-        lines = lines.filter(part_of_orders("l_orderkey", part, parts))
-        orders = orders.filter(part_of_orders("o_orderkey", part, parts))
+    lines, orders = _within(lines, "l_orderkey", span), _within(orders, "o_orderkey", span)
     lines = (
         lines.groupBy("l_orderkey", "l_partkey", "l_suppkey")
         .agg(F.sum("l_quantity").cast("int").alias("quantity"))
@@ -75,11 +98,49 @@ def saved_lookups(full: Lookups, path: str) -> Lookups:
     """One version of the lookups, written and checked once, for a stream that joins them in
     every batch: the joins then need not look for repeated keys again."""
     read = {}
-    for name, (_, keys) in LOOKUP_TABLES.items():
+    for name in LOOKUP_TABLES:
         rows = getattr(full, name)
         rows.write.parquet(f"{path}/{name}")
         read[name] = rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/{name}")
-        if name in full.check and most_copies(read[name], keys).first()["copies"] > 1:
+    return _checked(full, read)
+
+
+@contextmanager
+def lookups_by_item(full: Lookups, path: str) -> Iterator[Lookups]:
+    """``saved_lookups`` for a load in parts, gone when it ends.
+
+    Prices and stock are bucketed by item, so a part's requests are shuffled to the buckets, and the whole
+    stock is not shuffled for each part. Writing and checking leave no shuffle files.
+    """
+    spark = full.prices.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    read = {}
+    try:
+        with batches.cleaned_up(spark):
+            for name, (_, keys) in LOOKUP_TABLES.items():
+                rows, saved = getattr(full, name), f"{name}_{uuid.uuid4().hex}"
+                (
+                    rows.repartition(buckets, keys[0])
+                    .sortWithinPartitions(*keys)
+                    .write.bucketBy(buckets, keys[0])
+                    .sortBy(*keys)
+                    .option("path", f"{path}/{name}")
+                    .saveAsTable(saved, format="parquet")
+                )
+                read[name] = saved
+            checked = _checked(full, {name: spark.table(saved) for name, saved in read.items()})
+        yield checked
+    finally:
+        for saved in read.values():
+            spark.sql(f"DROP TABLE {saved}")
+        batches.delete(spark, path)
+
+
+def _checked(full: Lookups, read: dict[str, DataFrame]) -> Lookups:
+    """Lookups as they were saved, which need no check for repeated keys any more."""
+    for name in full.check:
+        _, keys = LOOKUP_TABLES[name]
+        if most_copies(read[name], keys).first()["copies"] > 1:
             raise ValueError(f"lookup by {', '.join(keys)} has a repeated key")
     return full._replace(**read, check=())
 

@@ -1,5 +1,6 @@
 """Event store, batch tables, counters and text sinks."""
 
+import re
 import shutil
 from functools import reduce
 
@@ -377,3 +378,69 @@ def test_order_numbers_are_stored_by_what_they_share(spark, tmp_path):
     size = [sum(f.stat().st_size for f in (tmp_path / name).rglob("*.parquet")) for name in ("keys", "plain")]
     assert size[0] < size[1] / 2
     assert batches.read(spark, str(tmp_path), "keys", rows.schema).collect() == rows.collect()
+
+
+def test_spans_of_orders_are_all_orders_once(spark, small):
+    spans = tables.order_spans(spark, small, 3)
+    assert len(spans) == 3 and spans[0][0] is spans[-1][1] is None
+    assert all(before[1] == after[0] for before, after in zip(spans, spans[1:]))
+    parts = [tables.requests(spark, small, span=span).collect() for span in spans]
+    assert sorted(sum(parts, []), key=repr) == sorted(tables.requests(spark, small).collect(), key=repr)
+    assert max(map(len, parts)) < 2 * min(map(len, parts))
+
+
+def test_orders_without_a_number_are_in_the_last_span(spark):
+    rows = spark.createDataFrame([(1,), (5,), (5,), (9,), (None,)], "k bigint")
+    spans = [(None, 5), (5, 5), (5, None)]
+    assert [sorted(r.k or 0 for r in tables._within(rows, "k", s).collect()) for s in spans] == [[1], [], [0, 5, 5, 9]]
+    assert tables._within(rows, "k", (None, None)).count() == 5
+
+
+def test_a_part_of_a_load_does_not_shuffle_the_stock(spark, small, tmp_path):
+    """Saved prices and stock are read by item as they lie, and gone with what they shuffled when the load ends."""
+
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (files.apply(k).getName() for k in range(files.size())) if n.startswith("shuffle")}
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    before, known = shuffled(), {t.name for t in spark.catalog.listTables()}
+    try:
+        with tables.lookups_by_item(tables.lookups(spark, small), str(tmp_path / "lookups")) as saved:
+            assert not shuffled() - before
+            wanted = tables.lookups(spark, small)
+            for name in ("prices", "balances", "stock"):
+                got, full = (sorted(map(tuple, getattr(x, name).collect())) for x in (saved, wanted))
+                assert got == full
+            facts_of = order_facts(tables.requests(spark, small), saved)
+            plan = facts_of._jdf.queryExecution().executedPlan().toString()
+            assert len(re.findall(r"Exchange hashpartitioning\(item_number", plan)) == 1  # the requests
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert not (tmp_path / "lookups").exists() and {t.name for t in spark.catalog.listTables()} == known
+
+
+def test_a_load_in_parts_keeps_no_lookups(spark, small, tmp_path):
+    catalog._load(spark, small, str(tmp_path / "store"), 2)
+    assert [f.name for f in tmp_path.iterdir()] == ["store"]
+
+
+def test_saved_lookups_by_item_reject_a_repeated_key(spark, small, tmp_path):
+    full = tables.lookups(spark, small)
+    doubled = full._replace(prices=full.prices.union(full.prices.limit(1)))
+    with pytest.raises(ValueError, match="item_number"):
+        with tables.lookups_by_item(doubled, str(tmp_path / "lookups")):
+            pytest.fail("a repeated key was taken")
+    assert not (tmp_path / "lookups").exists()
+
+
+def test_columns_of_a_batch_share_pages(spark, tmp_path):
+    """Order numbers of 20,000 rows a page, the default, take more."""
+    key = F.concat_ws("-", "id", (F.xxhash64("id") % 100_000), (F.xxhash64("id", F.lit(1)) % 1000))
+    rows = spark.range(200_000).coalesce(1).select(key.alias("do_key"))
+    batches.append(rows, str(tmp_path), "keys", "load", 0)
+    plain = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0"}
+    rows.write.options(**plain).parquet(str(tmp_path / "plain"))
+    size = [sum(f.stat().st_size for f in (tmp_path / name).rglob("*.parquet")) for name in ("keys", "plain")]
+    assert size[0] < 0.97 * size[1]

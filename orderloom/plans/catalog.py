@@ -88,14 +88,15 @@ def _load(spark: SparkSession, folder: str, path: str, parts: int) -> None:
     """All events of a data folder in one batch for each part of its orders.
 
     Lookups are saved and checked once for all parts. Parts are spans of order numbers and events are
-    written by order, as neighbours' numbers then share most of their digits.
+    written by order, as neighbours' numbers then share most of their digits. A load of one part has a folder
+    for each type; with more, the seven events of an order are kept together, which takes a fraction of the disk.
     """
 
     def write(lookups: lifecycle.Lookups, spans: list[tables.Span]) -> None:
         for part, span in enumerate(spans):
             requests = tables.requests(spark, folder, span=span)
             facts = lifecycle.order_facts(requests, lookups).sortWithinPartitions("do_key")
-            append_events(lifecycle.all_events(facts), path, batch_id=part, gather=False)
+            append_events(lifecycle.all_events(facts), path, batch_id=part, gather=False, mixed=parts > 1)
 
     lookups = tables.lookups(spark, folder)
     if parts == 1:

@@ -8,6 +8,10 @@ never read, and a reader sees all tables of a batch or none.
 A batch is named by its run and its number in the run. Two runs on one root cannot touch each other's
 batches, and a batch of a run that is already committed is not written again. One writer per run.
 
+A batch's rows are in a folder for each value of the columns it is partitioned by, or, for a large one, mixed in
+files of their own (``mixed``): neighbours that share their values then take next to nothing more, while a filter
+on such a column reads all files of the batch. The attempt's name tells which; ``read`` gives the rows of both.
+
 Compaction and retention add rows to the log that replace attempts; files go only with ``vacuum``. A
 compacted table keeps each row's first attempt as its ``origin``, so that what a batch wrote can be read
 wherever compactions have put it (``read_origins``). The log also has each batch's row counts and last
@@ -19,6 +23,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -41,6 +46,20 @@ _FORMAT = {
     "parquet.writer.version": "PARQUET_2_0",
 }
 
+# Attempts whose rows are mixed have names that begin so.
+_MIXED = "mixed-"
+
+# What the row before has too, or the one some rows earlier, is left to the compression: places in a dictionary,
+# packed into bits, would hide it. These pages, unlike later versions', have the places of nulls compressed too.
+_MIXED_FORMAT = {
+    "parquet.writer.version": "PARQUET_1_0",
+    "parquet.page.size": str(4 << 20),
+    **{
+        f"parquet.enable.dictionary#{name}": "false"
+        for name in ("do_key", "item_number", "location", "account_number", "amount", "quantity")
+    },
+}
+
 _BY_TABLE = T.MapType(T.StringType(), T.LongType())
 COMMIT = T.StructType(
     [
@@ -111,9 +130,9 @@ def delete(spark: SparkSession, path: str) -> None:
 class Batch:
     """Writes the tables of one batch; nothing is visible before ``commit``."""
 
-    def __init__(self, spark: SparkSession, root: str, run: str, batch_id: int):
-        self.spark, self.root, self.run, self.batch_id = spark, root, run, batch_id
-        self.attempt, self.tables = uuid.uuid4().hex, []
+    def __init__(self, spark: SparkSession, root: str, run: str, batch_id: int, mixed: bool = False):
+        self.spark, self.root, self.run, self.batch_id, self.mixed = spark, root, run, batch_id, mixed
+        self.attempt, self.tables = f"{_MIXED if mixed else ''}{uuid.uuid4().hex}", []
         self.sizes, self.latest = {}, {}
 
     def path(self, table: str) -> str:
@@ -130,7 +149,8 @@ class Batch:
         if "event_time" in rows.columns:
             wanted.append(F.max("event_time").alias("latest"))
         watched = rows.observe(seen, *wanted)
-        writer = watched.write.mode("errorifexists").options(**_FORMAT).partitionBy(*partition_by)
+        writer = watched.write.mode("errorifexists").options(**_FORMAT)
+        writer = writer.options(**_MIXED_FORMAT) if self.mixed else writer.partitionBy(*partition_by)
         with _set(rows.sparkSession, *_OPEN_FOLDERS), cleaned_up(rows.sparkSession):
             writer.parquet(self.path(table))
         self.sizes[table] = seen.get["n"]
@@ -148,12 +168,14 @@ class Batch:
         self.spark.createDataFrame([row], COMMIT).coalesce(1).write.mode("append").parquet(_log(self.root))
 
 
-def append(rows: DataFrame, root: str, table: str, run: str, batch_id: int, *partition_by: str) -> bool:
+def append(
+    rows: DataFrame, root: str, table: str, run: str, batch_id: int, *partition_by: str, mixed: bool = False
+) -> bool:
     """Adds one batch to one table; False if the run has committed that batch before."""
     spark = rows.sparkSession
     if is_committed(spark, root, run, batch_id):
         return False
-    batch = Batch(spark, root, run, batch_id)
+    batch = Batch(spark, root, run, batch_id, mixed)
     batch.write(rows, table, *partition_by)
     batch.commit()
     return True
@@ -177,6 +199,11 @@ def _commits_of(spark: SparkSession, root: str, table: str) -> list:
     return commits(spark, root).filter(F.array_contains("tables", table)).collect()
 
 
+def is_mixed(attempt: str) -> bool:
+    """Whether an attempt has no folders by the columns of its rows."""
+    return attempt.startswith(_MIXED)
+
+
 def attempts(spark: SparkSession, root: str, table: str, after: int = 0) -> list[tuple[int, str]]:
     """``(position, attempt)`` of the batches of a table that count, oldest first.
 
@@ -190,11 +217,13 @@ def read(
 ) -> DataFrame:
     """Rows of the committed attempts, which are the only folders listed. ``schema`` may name ``attempt``."""
     chosen = list(only) if only is not None else [a for _, a in attempts(spark, root, table, after)]
-    if not chosen:
-        return spark.createDataFrame([], schema)
-    paths = [f"{root}/{table}/attempt={attempt}" for attempt in chosen]
-    rows = spark.read.schema(schema).option("basePath", f"{root}/{table}").parquet(*paths)
-    return rows.select(*schema.fieldNames())
+    rows = []
+    for some in ([a for a in chosen if not is_mixed(a)], [a for a in chosen if is_mixed(a)]):
+        if some:
+            paths = [f"{root}/{table}/attempt={attempt}" for attempt in some]
+            found = spark.read.schema(schema).option("basePath", f"{root}/{table}").parquet(*paths)
+            rows.append(found.select(*schema.fieldNames()))
+    return reduce(DataFrame.unionByName, rows) if rows else spark.createDataFrame([], schema)
 
 
 def read_origins(

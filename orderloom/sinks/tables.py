@@ -14,15 +14,20 @@ EVENTS = "events"
 
 
 def append_events(
-    events: DataFrame, root: str, run: str = "load", batch_id: int = 0, gather: bool = True
+    events: DataFrame, root: str, run: str = "load", batch_id: int = 0, gather: bool = True, mixed: bool = False
 ) -> bool:
     """Adds one batch of events, in a folder per event type; False if it is there already.
 
     ``gather=False`` spares the shuffle that makes few files of a batch, whatever its size: each task writes
     a file for each type it has. For large batches whose tasks are large, such as a whole load or a copy.
+
+    ``mixed=True`` keeps the types together, in the order in which the events come, and spares that shuffle too.
+    Where an order's events follow each other, what they share is stored about once and not with every event. For
+    loads whose size on disk matters more than that a feed of one type reads all of them.
     """
     rows = events.select(*EVENT_COLUMNS)
-    return batches.append(clustered(rows) if gather else rows, root, EVENTS, run, batch_id, "event_name")
+    rows = clustered(rows) if gather and not mixed else rows
+    return batches.append(rows, root, EVENTS, run, batch_id, "event_name", mixed=mixed)
 
 
 def clustered(events: DataFrame) -> DataFrame:

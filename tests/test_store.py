@@ -12,7 +12,7 @@ from orderloom.operators import counters
 from orderloom.operators import events as ev
 from orderloom.plans import catalog
 from orderloom.plans.lifecycle import all_events, events_of_type, order_facts
-from orderloom.schemas import CREATE, CREDIT, EVENT_COLUMNS, EVENT_TYPES, PRICE, PULL, REQUEST, RESERVE, SHIP
+from orderloom.schemas import CREATE, CREDIT, EVENT, EVENT_COLUMNS, EVENT_TYPES, PRICE, PULL, REQUEST, RESERVE, SHIP
 from orderloom.sinks import batches
 from orderloom.sinks import tables as sink
 from orderloom.sources import tables
@@ -444,3 +444,68 @@ def test_columns_of_a_batch_share_pages(spark, tmp_path):
     rows.write.options(**plain).parquet(str(tmp_path / "plain"))
     size = [sum(f.stat().st_size for f in (tmp_path / name).rglob("*.parquet")) for name in ("keys", "plain")]
     assert size[0] < 0.97 * size[1]
+
+
+def test_a_mixed_batch_takes_a_fraction_of_the_disk(spark, tmp_path):
+    """Seven events of an order that follow each other store about once what they share."""
+    n, reached = 30_000, ("created", "priced", "credited", "reserved", "paid", "shipped")
+    some = F.xxhash64("id")
+    facts = spark.range(n).coalesce(1).select(
+        F.concat_ws("-", "id", some % 100_000).alias("do_key"),
+        *[F.concat(F.lit(c), some % k).alias(c) for c, k in (("account_number", 997), ("item_number", 4999), ("location", 99))],
+        (F.col("id") % 50).cast("int").alias("quantity"),
+        *[F.lit(1).cast("bigint").alias(c) for c in ("event_time", "price_cents", "amount_cents")],
+        F.lit(None).cast("string").alias("stock_failure"),
+        F.lit(True).alias("approved"),
+        *[F.lit(True).alias(c) for c in reached],
+    )
+    for name, mixed in (("types", False), ("mixed", True)):
+        sink.append_events(all_events(facts), str(tmp_path / name), gather=False, mixed=mixed)
+    size = [sum(f.stat().st_size for f in (tmp_path / name).rglob("*.parquet")) for name in ("types", "mixed")]
+    assert size[1] < size[0] / 2
+    stored = [read_events(spark, str(tmp_path / name)).select(*EVENT_COLUMNS) for name in ("types", "mixed")]
+    assert stored[0].exceptAll(stored[1]).isEmpty() and [rows.count() for rows in stored] == [7 * n] * 2
+
+
+def test_a_large_load_keeps_an_orders_events_together(spark, small, tmp_path):
+    catalog._load(spark, small, str(tmp_path / "store"), 2)
+    assert not list((tmp_path / "store").rglob("event_name=*"))
+    file = max((tmp_path / "store" / "events").rglob("*.parquet"), key=lambda f: f.stat().st_size)
+    keys = [r.do_key for r in spark.read.parquet(str(file)).select("do_key").collect()]
+    assert len(keys) == 7 * len(set(keys)) and keys == sorted(keys)
+
+
+def test_mixed_batches_are_batches(spark, facts, tmp_path):
+    """Beside batches by type: feeds, followers, retention, the SQL name, compaction and deletion."""
+    root, events = str(tmp_path / "store"), all_events(facts)
+    halves = [events.filter(F.crc32("do_key") % 2 == half) for half in (0, 1)]
+    name = f"mixed_{tmp_path.name}".replace("-", "_")
+
+    def rows(found):
+        return sorted(map(repr, found.select(*EVENT_COLUMNS).collect()))
+
+    sync_event_table(spark, name, root)
+    for batch, half in enumerate(halves):
+        assert sink.append_events(half, root, batch_id=batch, mixed=batch == 0)
+        assert not sink.append_events(half, root, batch_id=batch, mixed=True)
+        sync_event_table(spark, name, root)
+    first, second = batches.attempts(spark, root, sink.EVENTS)
+    assert batches.is_mixed(first[1]) and not batches.is_mixed(second[1])
+    whole = rows(events)
+    assert rows(read_events(spark, root)) == rows(spark.table(name)) == whole
+    assert rows(read_events(spark, root, after=1)) == rows(halves[1])
+    assert {r.attempt for r in read_events(spark, root).select("attempt").distinct().collect()} == {first[1], second[1]}
+    assert rows(read_feed(spark, root, CREDIT)) == rows(events.filter(F.col("event_name") == CREDIT))
+    sink.compact_events(spark, root)
+    batches.vacuum(spark, root, sink.EVENTS)
+    sync_event_table(spark, name, root)
+    assert rows(read_events(spark, root)) == rows(spark.table(name)) == whole
+    origin = batches.read_origins(spark, root, sink.EVENTS, EVENT, [first[1]])
+    assert rows(origin) == rows(halves[0])
+    drop_event_table(spark, name)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(name)]
+    other = str(tmp_path / "other")
+    for batch, half in enumerate(halves):
+        sink.append_events(half, other, batch_id=batch, mixed=True)
+    sink.keep_last_events(spark, other, 1)
+    assert rows(read_events(spark, other)) == rows(halves[1])

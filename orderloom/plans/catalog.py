@@ -7,6 +7,7 @@ and data folder, into the shared folder, and read it back like any other consume
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,7 +32,7 @@ from orderloom.schemas import (
 )
 from orderloom.session import new_folder
 from orderloom.sinks import batches
-from orderloom.sinks.by_order import bucket_by_order, read_by_order
+from orderloom.sinks.by_order import KEY, append_by_order, bucket_by_order, order_table, read_by_order, read_orders
 from orderloom.sinks.numbering import append_numbered
 from orderloom.sinks.tables import EVENTS, append_events, compact_events, drop_events_up_to, keep_last_events
 from orderloom.sources import tables
@@ -78,10 +79,23 @@ def _once(spark: SparkSession, folder: str, purpose: str, fill: Callable[[str],
     return _stores[key]
 
 
+def _lines(spark: SparkSession, folder: str) -> int:
+    """The files' footers have the number of line items."""
+    return tables.table(spark, folder, "lineitem").count()
+
+
 def _load_parts(spark: SparkSession, folder: str) -> int:
-    """How many batches a whole load is; the files' footers have the number of line items."""
-    lines = tables.table(spark, folder, "lineitem").count()
-    return max(1, min(MOST_PARTS, lines // PART_LINES))
+    """How many batches a whole load is."""
+    return max(1, min(MOST_PARTS, _lines(spark, folder) // PART_LINES))
+
+
+def _order_buckets(spark: SparkSession, folder: str) -> int:
+    """Buckets of the orders of a load in parts; they grow in number with it, and not in size."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), _lines(spark, folder) // PART_LINES)
+
+
+def _order_table(root: str) -> str:
+    return f"orders_of_{zlib.crc32(root.encode())}"
 
 
 def _load(spark: SparkSession, folder: str, path: str, parts: int) -> None:
@@ -89,21 +103,21 @@ def _load(spark: SparkSession, folder: str, path: str, parts: int) -> None:
 
     Lookups are saved and checked once for all parts. Parts are spans of order numbers and events are
     written by order, as neighbours' numbers then share most of their digits. A load of one part has a folder
-    for each type; with more, the seven events of an order are kept together, which takes a fraction of the disk.
+    for each type; with more, the seven events of an order are kept together, which takes a fraction of the disk,
+    and orders are dealt to buckets.
     """
-
-    def write(lookups: lifecycle.Lookups, spans: list[tables.Span]) -> None:
-        for part, span in enumerate(spans):
-            requests = tables.requests(spark, folder, span=span)
-            facts = lifecycle.order_facts(requests, lookups).sortWithinPartitions("do_key")
-            append_events(lifecycle.all_events(facts), path, batch_id=part, gather=False, mixed=parts > 1)
-
     lookups = tables.lookups(spark, folder)
     if parts == 1:
-        write(lookups, [(None, None)])
-    else:
-        with tables.lookups_by_item(lookups, f"{path}-lookups") as saved:
-            write(saved, tables.order_spans(spark, folder, parts))
+        facts = lifecycle.order_facts(tables.requests(spark, folder), lookups).sortWithinPartitions(KEY)
+        append_events(lifecycle.all_events(facts), path, gather=False)
+        return
+    buckets, name = _order_buckets(spark, folder), _order_table(path)
+    order_table(spark, name, path, buckets)
+    with tables.lookups_by_item(lookups, f"{path}-lookups") as saved:
+        for part, span in enumerate(tables.order_spans(spark, folder, parts)):
+            facts = lifecycle.order_facts(tables.requests(spark, folder, span=span), saved)
+            facts = facts.repartition(buckets, KEY).sortWithinPartitions(KEY)
+            append_by_order(lifecycle.all_events(facts), path, name, batch_id=part)
 
 
 def store_path(spark: SparkSession, folder: str) -> str:
@@ -117,6 +131,13 @@ def _stored(spark: SparkSession, folder: str) -> DataFrame:
     return read_events(spark, store_path(spark, folder))
 
 
+def _stored_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for joins and folds by order, which need no shuffle if the load was in parts."""
+    root = store_path(spark, folder)
+    name = _order_table(root)
+    return read_orders(spark, name, root) if spark.catalog.tableExists(name) else read_events(spark, root)
+
+
 def _cents(column: str = "amount", name: str = "amount_cents") -> Column:
     return to_cents(F.col(column)).alias(name)
 
@@ -149,8 +170,9 @@ def price_lookup_events(spark: SparkSession, folder: str) -> DataFrame:
 
 def _enriched(spark: SparkSession, folder: str) -> DataFrame:
     """Stored PriceLookup events with the view folded from the same store."""
-    priced = read_feed(spark, store_path(spark, folder), PRICE)
-    return stages.enrich(priced, view.order_view(_stored(spark, folder))).events
+    stored = _stored_orders(spark, folder)
+    priced = events.event_feed(stored, PRICE).select(*EVENT_COLUMNS)
+    return stages.enrich(priced, view.order_view(stored)).events
 
 
 def enriched_price_events(spark: SparkSession, folder: str) -> DataFrame:

@@ -51,7 +51,8 @@ _MIXED = "mixed-"
 
 # What the row before has too, or the one some rows earlier, is left to the compression: places in a dictionary,
 # packed into bits, would hide it. These pages, unlike later versions', have the places of nulls compressed too.
-_MIXED_FORMAT = {
+MIXED_FORMAT = {
+    **_FORMAT,
     "parquet.writer.version": "PARQUET_1_0",
     "parquet.page.size": str(4 << 20),
     **{
@@ -140,9 +141,17 @@ class Batch:
         return f"{self.root}/{table}/attempt={self.attempt}"
 
     def write(
-        self, rows: DataFrame, table: str, *partition_by: str, watch: dict[str, Column] | None = None
+        self,
+        rows: DataFrame,
+        table: str,
+        *partition_by: str,
+        watch: dict[str, Column] | None = None,
+        into: str | None = None,
     ) -> dict:
-        """Writes the rows; gives what the aggregates in ``watch`` are over them, from the same pass."""
+        """Writes the rows; gives what the aggregates in ``watch`` are over them, from the same pass.
+
+        ``into`` names a table over this one's folder that is partitioned by attempt and says how files are written.
+        """
         watch = watch or {}
         seen, wanted = Observation(), [F.count(F.lit(1)).alias("n")]
         wanted += [value.alias(name) for name, value in watch.items()]
@@ -150,9 +159,15 @@ class Batch:
             wanted.append(F.max("event_time").alias("latest"))
         watched = rows.observe(seen, *wanted)
         writer = watched.write.mode("errorifexists").options(**_FORMAT)
-        writer = writer.options(**_MIXED_FORMAT) if self.mixed else writer.partitionBy(*partition_by)
+        writer = writer.options(**MIXED_FORMAT) if self.mixed else writer.partitionBy(*partition_by)
         with _set(rows.sparkSession, *_OPEN_FOLDERS), cleaned_up(rows.sparkSession):
-            writer.parquet(self.path(table))
+            path = self.path(table)
+            if into is None:
+                writer.parquet(path)
+            else:
+                watched.withColumn("attempt", F.lit(self.attempt)).write.insertInto(into)
+                # Without rows nothing has made the folder yet.
+                self.spark.sql(f"ALTER TABLE {into} ADD IF NOT EXISTS PARTITION (attempt = '{self.attempt}')")
         self.sizes[table] = seen.get["n"]
         if seen.get.get("latest") is not None:
             self.latest[table] = seen.get["latest"]
@@ -169,14 +184,21 @@ class Batch:
 
 
 def append(
-    rows: DataFrame, root: str, table: str, run: str, batch_id: int, *partition_by: str, mixed: bool = False
+    rows: DataFrame,
+    root: str,
+    table: str,
+    run: str,
+    batch_id: int,
+    *partition_by: str,
+    mixed: bool = False,
+    into: str | None = None,
 ) -> bool:
     """Adds one batch to one table; False if the run has committed that batch before."""
     spark = rows.sparkSession
     if is_committed(spark, root, run, batch_id):
         return False
     batch = Batch(spark, root, run, batch_id, mixed)
-    batch.write(rows, table, *partition_by)
+    batch.write(rows, table, *partition_by, into=into)
     batch.commit()
     return True
 

@@ -1,20 +1,52 @@
-"""A copy of the stored events that is bucketed by order, so that reads by order need no shuffle."""
+"""Stored events bucketed by order, as the batches are written or as a copy: reads by order need no shuffle."""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from orderloom.schemas import EVENT_COLUMNS, STORED_EVENT
 from orderloom.sinks import batches
-from orderloom.sinks.tables import EVENTS
+from orderloom.sinks.tables import EVENTS, append_events
 
 BY_ORDER = "by_order"
 KEY = "do_key"
 _HELD = "attempt string"
 
 
+def order_table(spark: SparkSession, name: str, root: str, buckets: int) -> None:
+    """Makes ``name`` a table over the mixed batches that ``append_by_order`` adds to the store."""
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in STORED_EVENT.fields)
+    options = ", ".join(f"'{option}' '{value}'" for option, value in batches.MIXED_FORMAT.items())
+    spark.sql(
+        f"CREATE TABLE {name} ({columns}) USING parquet OPTIONS ({options}) PARTITIONED BY (attempt) "
+        f"CLUSTERED BY ({KEY}) INTO {buckets} BUCKETS LOCATION '{root}/{EVENTS}'"
+    )
+
+
+def append_by_order(events: DataFrame, root: str, name: str, run: str = "load", batch_id: int = 0) -> bool:
+    """Adds a batch to the store through a table of ``order_table``, mixed; False if it is there already.
+
+    Take events that are spread by order into as many partitions as the table has buckets, as ``repartition``
+    does: each task then writes one file. Without that it writes one for each bucket it has.
+    """
+    return append_events(events, root, run, batch_id, gather=False, mixed=True, into=name)
+
+
+def read_orders(spark: SparkSession, name: str, root: str) -> DataFrame:
+    """What ``read_events`` gives, of a store that ``append_by_order`` writes.
+
+    Joins and folds by order then have no shuffle, until other batches or compactions come to the store.
+    """
+    held = {r["attempt"] for r in spark.sql(f"SHOW PARTITIONS {name}").select(F.substring_index("partition", "=", -1).alias("attempt")).collect()}
+    live = [attempt for _, attempt in batches.attempts(spark, root, EVENTS)]
+    own, others = [a for a in live if a in held], [a for a in live if a not in held]
+    rows = spark.table(name).filter(F.col("attempt").isin(own)).select(*STORED_EVENT.fieldNames())
+    return rows.unionByName(batches.read(spark, root, EVENTS, STORED_EVENT, others)) if others else rows
+
+
 def bucket_by_order(spark: SparkSession, name: str, root: str, buckets: int | None = None) -> None:
     """Makes ``name`` a table of the events that count now: a folder per type, bucketed and sorted by order.
 

@@ -14,7 +14,13 @@ EVENTS = "events"
 
 
 def append_events(
-    events: DataFrame, root: str, run: str = "load", batch_id: int = 0, gather: bool = True, mixed: bool = False
+    events: DataFrame,
+    root: str,
+    run: str = "load",
+    batch_id: int = 0,
+    gather: bool = True,
+    mixed: bool = False,
+    into: str | None = None,
 ) -> bool:
     """Adds one batch of events, in a folder per event type; False if it is there already.
 
@@ -23,11 +29,12 @@ def append_events(
 
     ``mixed=True`` keeps the types together, in the order in which the events come, and spares that shuffle too.
     Where an order's events follow each other, what they share is stored about once and not with every event. For
-    loads whose size on disk matters more than that a feed of one type reads all of them.
+    loads whose size on disk matters more than that a feed of one type reads all of them. ``into`` names a table
+    over the mixed batches to write through.
     """
     rows = events.select(*EVENT_COLUMNS)
     rows = clustered(rows) if gather and not mixed else rows
-    return batches.append(rows, root, EVENTS, run, batch_id, "event_name", mixed=mixed)
+    return batches.append(rows, root, EVENTS, run, batch_id, "event_name", mixed=mixed, into=into)
 
 
 def clustered(events: DataFrame) -> DataFrame:

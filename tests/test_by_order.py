@@ -11,7 +11,7 @@ from orderloom.operators.view import order_view
 from orderloom.plans import catalog
 from orderloom.schemas import CREDIT, EVENT_COLUMNS, RESERVE
 from orderloom.sinks import batches
-from orderloom.sinks.by_order import bucket_by_order, read_by_order
+from orderloom.sinks.by_order import append_by_order, bucket_by_order, order_table, read_by_order, read_orders
 from orderloom.sinks.tables import EVENTS, append_events, compact_events, drop_events_up_to
 from orderloom.sources.event_store import read_events
 
@@ -65,3 +65,46 @@ def test_pairs_and_fold_do_not_shuffle(spark, small):
         assert "Exchange hashpartitioning" not in checked
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_a_load_in_parts_needs_no_shuffle_by_order(spark, small, tmp_path, monkeypatch):
+    """Feeds joined with the fold read the buckets that the load wrote, with or without rows in each part."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    wanted = catalog.QUERIES["enriched_price_events"](spark, small).collect()
+    root = str(tmp_path / "store")
+    spans = catalog.tables.order_spans(spark, small, 2)
+    cut = spans[0][1]
+    monkeypatch.setattr(catalog.tables, "order_spans", lambda *_: [spans[0], (cut, cut), spans[1]])
+    catalog._load(spark, small, root, 3)
+    monkeypatch.setattr(catalog, "store_path", lambda *_: root)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("enriched_price_events", "balance_requests", "reserve_requests"):
+            plan = catalog.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    got = catalog.QUERIES["enriched_price_events"](spark, small).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, wanted))
+    assert len(batches.attempts(spark, root, EVENTS)) == 3 and read_events(spark, root).count() == 7 * len(wanted)
+
+
+def test_orders_are_read_whole_whatever_comes_to_their_store(spark, small, tmp_path):
+    root, name = str(tmp_path / "store"), f"orders_{uuid.uuid4().hex}"
+    events = catalog._stored(spark, small).select(*EVENT_COLUMNS)
+
+    def same(found, rows):
+        return found.select(*EVENT_COLUMNS).exceptAll(rows).isEmpty() and found.count() == rows.count()
+
+    halves = [events.filter(F.crc32("do_key") % 2 == half) for half in (0, 1)]
+    order_table(spark, name, root, 4)
+    try:
+        assert append_by_order(halves[0], root, name) and not append_by_order(halves[0], root, name)
+        assert same(read_orders(spark, name, root), halves[0])
+        append_events(halves[1], root, batch_id=1)
+        assert same(read_orders(spark, name, root), events) and same(read_events(spark, root), events)
+        compact_events(spark, root)
+        batches.vacuum(spark, root, EVENTS)
+        assert same(read_orders(spark, name, root), events)
+    finally:
+        spark.sql(f"DROP TABLE {name}")

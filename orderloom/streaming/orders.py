@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,8 @@ ACCEPTED, REJECTS, RESPONSES = "accepted", "rejects", "responses"
 JOB_METRICS, COUNTS, METRICS = "job_metrics", "api_counts", "metrics"
 RESPONSE = "request_id string, order_number string, correlation_id string"
 JOB_METRIC = "metric string, n bigint"
-COUNT = "IN bigint, OK bigint, ELAPSED bigint"
+# Milliseconds of tens of millions of old requests add up to more than a long holds.
+COUNT = "IN bigint, OK bigint, ELAPSED decimal(38,0)"
 METRIC = "epoch_ms bigint, name string, value string, line string"
 
 DIFFERS = "differs from the request accepted under its id"
@@ -89,7 +91,8 @@ def process_batch(
     facts = order_facts(requests, lookups, require_success).persist()
     # Counted by the tasks that write, so no pass is made for them, and one that runs again counts once.
     of_type = {metric: F.count_if(F.col("event_name") == event) for metric, event in STAGE_METRICS.items()}
-    arrivals = {"timed": F.count("arrived_ms"), "arrived": F.coalesce(F.sum("arrived_ms"), F.lit(0))}
+    arrived = F.sum(F.col("arrived_ms").cast("decimal(20,0)"))
+    arrivals = {"timed": F.count("arrived_ms"), "arrived": F.coalesce(arrived, F.lit(0))}
     try:
         events = clustered(all_events(facts).select(*EVENT_COLUMNS))
         handled = batch.write(events, EVENTS, "event_name", watch=of_type)
@@ -104,10 +107,10 @@ def process_batch(
     batch.write(spark.createDataFrame(list(handled.items()), JOB_METRIC).coalesce(1), JOB_METRICS)
     # Deliveries are not written, only shuffled, where a task that runs again would count twice.
     orders, delivered, stop = batch.sizes[ACCEPTED], deliveries.count(), clock()
-    elapsed = seen["timed"] * stop - seen["arrived"]
+    elapsed = Decimal(seen["timed"] * stop - int(seen["arrived"]))
     row = spark.createDataFrame([(delivered, orders, elapsed)], COUNT).coalesce(1)
     batch.write(row, COUNTS)
-    totals = counters(spark, root, row)
+    totals = counter_row(_totals(spark, root, row))
     snapshot = metric_lines(totals, stop).select(F.lit(stop).cast("bigint").alias("epoch_ms"), "name", "value", "line")
     batch.write(snapshot.coalesce(1), METRICS)
     batch.commit()
@@ -144,14 +147,28 @@ def compact_orders(spark: SparkSession, root: str) -> None:
 
 
 def _sums() -> list:
-    return [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("IN", "OK", "ELAPSED")]
+    return [F.coalesce(F.sum(f.name), F.lit(0)).cast(f.dataType).alias(f.name) for f in _schema(COUNT)]
 
 
-def counters(spark: SparkSession, root: str, more: DataFrame | None = None) -> DataFrame:
-    """API counters over all batches, whatever retention did to the events."""
+def _totals(spark: SparkSession, root: str, more: DataFrame | None = None) -> DataFrame:
     rows = batches.read(spark, root, COUNTS, _schema(COUNT))
     rows = rows if more is None else rows.unionByName(more)
-    return counter_row(rows.agg(*_sums()))
+    return rows.agg(*_sums())
+
+
+def counters(spark: SparkSession, root: str) -> DataFrame:
+    """API counters over all batches, whatever retention did to the events.
+
+    ELAPSED is a long, or a ``decimal(38,0)`` once the total has outgrown it.
+    """
+    totals = _totals(spark, root)
+    row = counter_row(totals)
+    return row.withColumn("ELAPSED", F.col("ELAPSED").cast("bigint")) if _fits(totals) else row
+
+
+def _fits(totals: DataFrame) -> bool:
+    """Whether the elapsed time of all orders is a long."""
+    return -(2**63) <= int(totals.first()["ELAPSED"]) < 2**63
 
 
 def rejects(spark: SparkSession, root: str) -> DataFrame:

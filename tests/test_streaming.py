@@ -259,3 +259,24 @@ def test_time_bounded_pairs_give_up(spark, tmp_path):
     pairs = batches.read(spark, out, "pairs", T.StructType.fromDDL(f"k string, left {side}, right {side}"))
     found = {(r.k, r.left and r.left.v, r.right and r.right.v) for r in pairs.collect()}
     assert {("a", 1, 3), ("alone", 2, None), ("late", 4, 5)} <= found
+
+
+def test_elapsed_time_may_outgrow_a_long(spark, requests, lookups, tmp_path):
+    """Arrivals far in the past, as those of tens of millions of orders add up to; each batch alone and both."""
+    root = str(tmp_path / "out")
+    for batch, some in enumerate([requests.limit(3), requests.subtract(requests.limit(3)).limit(2)]):
+        old = some.withColumn("arrived_ms", F.lit(-(2**62)).cast("bigint"))
+        assert orders.process_batch(old, root, "run", batch, lookups, clock=lambda: 10)
+        counted = orders.counters(spark, root).first()
+        n = (3, 5)[batch]
+        assert (counted.OK, counted.ELAPSED, counted.LATENCY_OK) == (n, n * (10 + 2**62), float(2**62))
+
+
+def test_elapsed_time_is_a_long_while_it_fits(spark, tmp_path):
+    """A store whose counts were written as longs is read as before."""
+    root = str(tmp_path)
+    old = spark.createDataFrame([(2, 2, 7)], "IN bigint, OK bigint, ELAPSED bigint")
+    assert batches.append(old, root, orders.COUNTS, "run", 0)
+    counted = orders.counters(spark, root)
+    assert dict(counted.dtypes)["ELAPSED"] == "bigint"
+    assert (counted.first().ELAPSED, counted.first().LATENCY_OK) == (7, 3.5)

@@ -124,6 +124,11 @@ def _one_edit(a: Column, b: Column) -> Column:
     return close & (F.levenshtein(a, b, 1) == 1)
 
 
+def _shuffled(keys: DataFrame) -> DataFrame:
+    """One side of a join that is not broadcast: Spark takes a word's many keys for as many bytes as the word."""
+    return keys.hint("merge")
+
+
 def _pivotal(words: DataFrame) -> DataFrame:
     """Pairs one edit apart, each at least once in some direction, by pivots and prefixes."""
     order = gram_order(words)
@@ -133,7 +138,7 @@ def _pivotal(words: DataFrame) -> DataFrame:
         return rows.select(F.xxhash64("key").alias("key"), *(F.col(c).alias(f"{name}_{c}") for c in ("word", "n", "last")))
 
     meets = (F.col("a_last") <= F.col("b_last")) & _one_edit(F.col("a_word"), F.col("b_word"))
-    return part(True, "a").join(part(False, "b"), "key").filter(meets)
+    return part(True, "a").join(_shuffled(part(False, "b")), "key").filter(meets)
 
 
 def _by_halves(words: DataFrame) -> DataFrame:
@@ -151,7 +156,7 @@ def _by_halves(words: DataFrame) -> DataFrame:
         sides = F.array(*(side for d in more for side in halves(F.length("word") + d)))
         return words.select(F.explode(sides).alias("side"), *(F.col(c).alias(f"{name}_{c}") for c in ("word", "n")))
 
-    return part("a", (0, 1)).join(part("b", (0,)), "side").filter(_one_edit(F.col("a_word"), F.col("b_word")))
+    return part("a", (0, 1)).join(_shuffled(part("b", (0,))), "side").filter(_one_edit(F.col("a_word"), F.col("b_word")))
 
 
 def near_pairs(words: DataFrame) -> DataFrame:

@@ -146,3 +146,11 @@ def test_pairs_once_in_each_direction(spark):
     one_way = {("colours", "colors", 5, 9), ("colours", "colour", 5, 9), ("colours", "dolours", 5, 1)}
     got = [tuple(r) for r in near_pairs(words).collect()]
     assert len(got) == 6 and set(got) == one_way | {(b, a, m, n) for a, b, n, m in one_way}
+
+
+def test_keys_are_shuffled_whatever_size_spark_takes_them_for(spark):
+    """Each word has many keys, which Spark sizes as the word alone; no side of the joins is broadcast for that."""
+    words = spark.createDataFrame([("abcdefgh", 3), ("abcdefgi", 30), ("x" * 70, 2)], "word string, n bigint")
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+    plan = near_pairs(words)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") >= 2

@@ -16,7 +16,7 @@ from orderloom.operators.events import create_order_responses
 from orderloom.plans.lifecycle import Lookups, all_events, all_rejects, order_facts
 from orderloom.schemas import CREATE, EVENT_COLUMNS, EVENT_TYPES, REJECT, REQUEST
 from orderloom.sinks import batches
-from orderloom.sinks.tables import EVENTS, clustered
+from orderloom.sinks.tables import EVENTS, MIXED_FROM, clustered
 from orderloom.streaming.runs import start
 
 # Tables below the root of a deployment, beside the events.
@@ -79,23 +79,27 @@ def process_batch(
     """Runs all steps on one batch of deliveries and commits all its tables together.
 
     A batch that its run has committed before is left as it is. IN counts deliveries, OK the orders
-    made, and ELAPSED adds up the time of each from its request's arrival to the end of the batch.
+    made, and ELAPSED adds up the time of each from its request's arrival to the end of the batch. A batch that
+    may make ``MIXED_FROM`` events is stored mixed, by order, and without a shuffle by type.
     """
     spark = deliveries.sparkSession
     if batches.is_committed(spark, root, run, batch_id):
         return False
-    batch = batches.Batch(spark, root, run, batch_id)
     deliveries = deliveries.select(*REQUEST.fieldNames())
+    # Deliveries are not written, only shuffled, where a task that runs again would count twice.
+    delivered = deliveries.count()
+    batch = batches.Batch(spark, root, run, batch_id, mixed=delivered * len(EVENT_TYPES) >= MIXED_FROM)
     known = batches.read(spark, root, ACCEPTED, REQUEST)
     requests, differing = accept(deliveries, known)
-    facts = order_facts(requests, lookups, require_success).persist()
+    facts = order_facts(requests, lookups, require_success)
+    facts = (facts.sortWithinPartitions("do_key") if batch.mixed else facts).persist()
     # Counted by the tasks that write, so no pass is made for them, and one that runs again counts once.
     of_type = {metric: F.count_if(F.col("event_name") == event) for metric, event in STAGE_METRICS.items()}
     arrived = F.sum(F.col("arrived_ms").cast("decimal(20,0)"))
     arrivals = {"timed": F.count("arrived_ms"), "arrived": F.coalesce(arrived, F.lit(0))}
     try:
-        events = clustered(all_events(facts).select(*EVENT_COLUMNS))
-        handled = batch.write(events, EVENTS, "event_name", watch=of_type)
+        events = all_events(facts).select(*EVENT_COLUMNS)
+        handled = batch.write(events if batch.mixed else clustered(events), EVENTS, "event_name", watch=of_type)
         batch.write(all_rejects(facts).unionByName(differing).select(*REJECT.fieldNames()), REJECTS)
         accepted = facts.filter("created").select(
             "request_id", "account_number", "item_number", "location", "quantity", F.col("event_time").alias("arrived_ms")
@@ -105,8 +109,7 @@ def process_batch(
     finally:
         facts.unpersist()
     batch.write(spark.createDataFrame(list(handled.items()), JOB_METRIC).coalesce(1), JOB_METRICS)
-    # Deliveries are not written, only shuffled, where a task that runs again would count twice.
-    orders, delivered, stop = batch.sizes[ACCEPTED], deliveries.count(), clock()
+    orders, stop = batch.sizes[ACCEPTED], clock()
     elapsed = Decimal(seen["timed"] * stop - int(seen["arrived"]))
     row = spark.createDataFrame([(delivered, orders, elapsed)], COUNT).coalesce(1)
     batch.write(row, COUNTS)

@@ -280,3 +280,17 @@ def test_elapsed_time_is_a_long_while_it_fits(spark, tmp_path):
     counted = orders.counters(spark, root)
     assert dict(counted.dtypes)["ELAPSED"] == "bigint"
     assert (counted.first().ELAPSED, counted.first().LATENCY_OK) == (7, 3.5)
+
+
+def test_large_batches_are_stored_mixed(spark, requests, lookups, tmp_path, monkeypatch):
+    monkeypatch.setattr(orders, "MIXED_FROM", 7 * 150)
+    root, halves = str(tmp_path), requests.randomSplit([0.5, 0.5], 4)
+    for batch, some in enumerate([*halves, requests.limit(20)]):
+        assert orders.process_batch(some, root, "run", batch, lookups, clock=lambda: 2_000_000_000_000)
+    assert [batches.is_mixed(a) for _, a in batches.attempts(spark, root, EVENTS)] == [True, True, False]
+    facts = order_facts(requests, lookups)
+    stored = read_events(spark, root)
+    assert rows(stored, *EVENT_COLUMNS) == rows(all_events(facts), *EVENT_COLUMNS)
+    assert rows(orders.rejects(spark, root)) == rows(all_rejects(facts))
+    assert rows(orders.responses(spark, root)) == rows(create_order_responses(requests))
+    assert orders.counters(spark, root).first().IN == 420

@@ -323,7 +323,20 @@ def _view_columns(rows: DataFrame) -> DataFrame:
 
 
 def order_view(spark: SparkSession, folder: str) -> DataFrame:
-    return _view_columns(view.order_view(lifecycle.all_events(_facts(spark, folder))))
+    """The fold of all events; of many, in the parts of a load, as an order's events are all in one of them.
+
+    What a part shuffles is gone before the next one.
+    """
+    parts = _load_parts(spark, folder)
+    if parts == 1:
+        return _view_columns(view.order_view(lifecycle.all_events(_facts(spark, folder))))
+    path = new_folder(spark, "order-view")
+    with tables.lookups_by_item(tables.lookups(spark, folder), f"{path}-lookups") as saved, batches.cleaned_up(spark):
+        for span in tables.order_spans(spark, folder, parts):
+            facts = lifecycle.order_facts(tables.requests(spark, folder, span=span), saved)
+            rows = _view_columns(view.order_view(lifecycle.all_events(facts)))
+            rows.write.mode("append").option("compression", "zstd").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def order_view_as_of(spark: SparkSession, folder: str) -> DataFrame:

@@ -65,3 +65,12 @@ def test_requests_arrive_in_few_files(spark, small, tmp_path):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_order_view_in_parts(spark, small, monkeypatch):
+    whole = sorted(map(tuple, catalog.order_view(spark, small).collect()))
+    monkeypatch.setattr(catalog, "PART_LINES", 2000)
+    parts = catalog.order_view(spark, small)
+    assert sorted(map(tuple, parts.collect())) == whole
+    # What was folded is read back; nothing is left to shuffle.
+    assert "Exchange" not in parts._jdf.queryExecution().executedPlan().toString()
